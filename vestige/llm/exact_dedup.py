@@ -47,8 +47,9 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 
-#: Larger first, then the smaller doc_id (null last), then the row that was read first.
-_RANK = F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
+def _rank():
+    """Larger first, then the smaller doc_id (null last), then the row that was read first."""
+    return F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
 
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -66,12 +67,12 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
         )
     )
     winners = staged(
-        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(_RANK).alias("best")).where("group_size > 1")
+        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(_rank()).alias("best")).where("group_size > 1")
     )
     hot = digests.join(F.broadcast(winners), "digest")
     cold = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     alike = Window.partitionBy("digest")
-    cold = cold.select("*", F.count(F.lit(1)).over(alike).alias("group_size"), F.min(_RANK).over(alike).alias("best"))
+    cold = cold.select("*", F.count(F.lit(1)).over(alike).alias("group_size"), F.min(_rank()).over(alike).alias("best"))
     return hot.unionByName(cold).select("doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -80,7 +81,7 @@ def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     spark_docs = docs.select("*", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("__digest"), F.length(text_of()).cast("long").alias("__n"))
     digests = staged(spark_docs.select("doc_id", F.col("__digest").alias("digest"), F.col("__n").alias("n_cp"), F.lit(0).alias("row")))
     winners = staged(
-        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(_RANK).alias("best")).where("size > 1").select(F.col("digest").alias("__digest"), F.col("best.i").alias("__keep"), (-F.col("best.m")).alias("__most"))
+        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(_rank()).alias("best")).where("size > 1").select(F.col("digest").alias("__digest"), F.col("best.i").alias("__keep"), (-F.col("best.m")).alias("__most"))
     )
     # Of a frequent digest only the winner's row passes the map side, beside repeats of that very row.
     rest = spark_docs.join(F.broadcast(winners), "__digest", "left").where("__most is null or (doc_id <=> __keep and __n = __most)")

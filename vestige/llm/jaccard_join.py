@@ -7,9 +7,9 @@ share a rare token or two frequent ones of a class. So rare prefix tokens are in
 pairs within their class; classes number with the set's size, so that a prefix has a few pairs a token. Every
 candidate is verified on the whole sets.
 
-Within an index list a leader is compared with the other members; only members that this leaves in different
-components meet again. So a group of copies costs a number of comparisons in proportion to its size, and every
-link that could join two components is looked at.
+Within an index list a leader is compared with the other members; after that only members which are in different
+components meet. So a group of copies costs a number of comparisons in proportion to its size, and every link that
+could join two components is looked at.
 """
 
 from __future__ import annotations
@@ -26,11 +26,9 @@ from vestige.llm.common import grouped_words, mix, shingles, staged, text_of
 THRESHOLD = 75
 #: Frequent tokens: at most so many, in no fewer documents than this. Summaries name all that are in more than
 #: 2 / (FREQUENT + 1) of the corpus's tokens.
-FREQUENT, LEAST = 1 << 15, 256
+FREQUENT, LEAST = 1 << 16, 32
 #: Tokens of a set for each class of frequent ones; smaller sets index frequent tokens singly.
 A_CLASS = 32
-#: Lists of up to so many members whose components differ after a round are compared as a whole.
-SMALL_LIST = 48
 _SEEN = 200_000
 
 
@@ -91,62 +89,84 @@ while _LEVELS[-1] < 1 << 40:
 _LEVELS = np.array(_LEVELS)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Keys of a set of sorted tokens. frequent: sorted tokens; place: each one's place in their order.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of sorted tokens, and whether each stands within its shorter prefix. frequent: sorted tokens;
+    place: each one's place in their order.
 
-    Linked sets' sizes lie in one level or in neighbouring ones, and both emit the keys of the upper one."""
+    Of linked sets the one that isn't larger lacks fewer of the other's tokens, so its prefix may be shorter: a pair
+    is a candidate only by a key of the smaller one's shorter prefix. Linked sets' sizes lie in one level or in
+    neighbouring ones, and both emit the keys of the upper one."""
     n = len(tokens)
-    beyond = n - (THRESHOLD * n + 99) // 100  # tokens that a linked set may lack
+    beyond = n - (THRESHOLD * n + 99) // 100  # tokens that may be missing from the other set
+    beyond_smaller = n - (2 * THRESHOLD * n + 99 + THRESHOLD) // (100 + THRESHOLD)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
     else:
         often = np.zeros(n, bool)
-    if not often.any() or int((~often).sum()) > beyond:
-        return tokens[~often][: beyond + 1]
+    n_rare = n - int(often.sum())
+    if n_rare > beyond:
+        keys = tokens[~often][: beyond + 1]
+        return keys, np.arange(len(keys)) <= beyond_smaller
     ordered = np.concatenate((tokens[~often], tokens[often][np.argsort(place[at[often]])]))
-    n_rare, keys = int((~often).sum()), []
+    keys, short = [], []
     level = int(np.searchsorted(_LEVELS, n, "right")) - 1
     for low in _LEVELS[level : level + 2]:
         classes = int(low) // A_CLASS
         if not classes:
             keys.append(ordered[: beyond + 1])
+            short.append(np.arange(beyond + 1) <= beyond_smaller)
             continue
         own = (ordered[n_rare:] >> np.uint64(7)) % np.uint64(classes)
         first = np.zeros(n, np.int64)
         first[n_rare + np.unique(own, return_index=True)[1]] = 1
-        prefix = int(np.argmax(np.arange(n) - beyond >= np.cumsum(first))) + 1
+        free = np.arange(n) - np.cumsum(first)
+        prefix, shorter = int(np.argmax(free >= beyond)) + 1, int(np.argmax(free >= beyond_smaller)) + 1
         keys.append(ordered[: min(prefix, n_rare)])
-        combined, own = ordered[n_rare:prefix], own[: prefix - n_rare]
+        short.append(np.arange(len(keys[-1])) < shorter)
+        combined, own, within = ordered[n_rare:prefix], own[: max(0, prefix - n_rare)], np.arange(n_rare, prefix) < shorter
         for c in np.unique(own):
-            group = np.sort(combined[own == c])
-            a, b = np.triu_indices(len(group), 1)
-            keys.append(mix(group[a] * np.uint64(3) + mix(group[b] + np.uint64(classes))))
-    return np.unique(np.concatenate(keys))
+            members = np.flatnonzero(own == c)
+            members = members[np.argsort(combined[members])]
+            i, j = np.triu_indices(len(members), 1)
+            x, y = members[i], members[j]
+            keys.append(mix(combined[x] * np.uint64(3) + mix(combined[y] + np.uint64(classes))))
+            short.append(within[x] & within[y])
+    keys, short = np.concatenate(keys), np.concatenate(short)
+    order = np.lexsort((~short, keys))
+    keys, short = keys[order], short[order]
+    once = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return keys[once], short[once]
 
 
 def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """(sig, doc_id) of all documents; a task indexes the copies of a set that it has indexed not again."""
+    """(sig, doc_id, n) of all documents, n negative for keys outside of the shorter prefix; a task indexes the
+    copies of a set that it has indexed not again."""
+
+    def flush(ids, sizes, keys):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32))], ["sig", "doc_id", "n"])
 
     def index(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids, keys = [], []
+            ids, sizes, keys = [], [], []
             for doc_id, tokens in zip(b.column(0).to_pylist(), _token_sets(b.column(1).to_pylist())):
                 if len(tokens) == 0 or (own := _print(tokens)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(own)
-                keys.append(signatures(tokens, frequent, place))
-                ids.append(np.full(len(keys[-1]), doc_id, np.int64))
+                found, short = signatures(tokens, frequent, place)
+                keys.append(found)
+                ids.append(np.full(len(found), doc_id, np.int64))
+                sizes.append(np.where(short, len(tokens), -len(tokens)))
                 if len(keys) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
-                    ids, keys = [], []
+                    yield flush(ids, sizes, keys)
+                    ids, sizes, keys = [], [], []
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
+                yield flush(ids, sizes, keys)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(index, "sig long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(index, "sig long, doc_id long, n int")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -214,36 +234,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = staged(sets.join(groups, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
 
     listed = Window.partitionBy("sig")
-    shared = _index(docs, frequent, place).select("*", (F.count(F.lit(1)).over(listed) > 1).alias("shared")).where("shared")
-    lists = staged(shared.join(copies, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("id")).distinct())
-
-    members = lists.select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(members, "doc_id", "left_semi"))
-
-    leaders = staged(lists.groupBy("sig").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("sig", "leader"))
-    pairs = staged(lists.join(leaders, "sig").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
-    seen, edges = pairs, staged(_verified(pairs, texts))
+    shared = _index(docs, frequent, place).select("*", F.count(F.lit(1)).over(listed).alias("size"), F.max("n").over(listed).alias("top")).where("size > 1 and top > 0")
+    lists = staged(shared.join(copies, "doc_id", "left").groupBy("sig", F.coalesce("rep", "doc_id").alias("id")).agg(F.max("n").alias("n"), F.max(F.abs("n")).alias("size")))
+
+    # The leader is compared with all that it can link with by this list.
+    leaders = staged(lists.groupBy("sig").agg(F.min(F.when(F.col("n") > 0, F.struct("id", "size"))).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1 and leader is not null").select("sig", F.col("leader.id").alias("b"), F.col("leader.size").alias("m")))
+    alike = f"100 * least(size, m) >= {THRESHOLD} * greatest(size, m)"
+    pairs = staged(lists.join(leaders, "sig").where(f"id <> b and {alike} and (n > 0 or struct(size, id) > struct(m, b))").select(F.col("id").alias("a"), "b").distinct())
+    involved = lists.select(F.col("id").alias("doc_id")).distinct()
+    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(involved, "doc_id", "left_semi"))
+    edges = staged(_verified(pairs, texts))
     labels = components(edges)
-    lists = lists.join(leaders, "sig").where("id <> leader").select("sig", "id")
-    while True:
-        by_comp = lists.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-        open_ = staged(by_comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("lo < hi").select("sig", "size", "leader"))
-        if not open_.limit(1).count():
-            break
-        by_comp = staged(by_comp.join(open_, "sig"))
-        small = by_comp.where(F.col("size") <= SMALL_LIST)
-        other = small.select("sig", F.col("id").alias("b"), F.col("comp").alias("other"))
-        within = small.select("sig", F.col("id").alias("a"), "comp").join(other, "sig").where("a > b and comp <> other")
-        large = by_comp.where(F.col("size") > SMALL_LIST)
-        heads = large.where("id = leader").select("sig", F.col("comp").alias("other"))
-        star = large.join(heads, "sig").where("comp <> other").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        new = staged(within.select("a", "b").union(star).distinct().join(seen, ["a", "b"], "left_anti"))
-        found = staged(_verified(new, texts))
-        if found.limit(1).count():
-            edges = edges.union(found)
-            labels = components(edges)
-        seen = seen.union(new)
-        lists = staged(large.where("id <> leader").select("sig", "id"))
+
+    # What that leaves apart meets again: the members of different components.
+    apart = lists.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select("sig", "id", "n", "size", F.coalesce("comp", "id").alias("comp"))
+    open_ = staged(apart.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"))
+    apart = staged(apart.join(open_, "sig"))
+    smaller = apart.where("n > 0").select("sig", F.col("id").alias("b"), F.col("size").alias("m"), F.col("comp").alias("other"))
+    rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike}").select(F.col("id").alias("a"), "b").distinct()
+    tried = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    rest = staged(rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = staged(_verified(rest, texts))
+    if found.limit(1).count():
+        labels = components(edges.union(found))
 
     named = sets.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
     return named.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
