@@ -1,0 +1,169 @@
+"""Device inventory, links between identities, groups of identities."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from vestige.functions import macros as m
+
+LEAST_SERIAL = 5
+LEAST_PREFIX = 20
+SHARING_ENUMERATORS = ("USB", "USBSTOR", "SCSI", "WPDBUSENUM")
+
+
+def table_in_shared_folder(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, so that its lineage ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="vestige-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def device_evidence(*parts: DataFrame) -> DataFrame:
+    """Union of (device_key, evidence, observed_utc) of the naming sources, without empty keys."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("device_key <> ''")
+
+
+def inventory(evidence: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per device: evidence list, first and last observation, activity counts, serial and enumerator."""
+    named = evidence.groupBy("device_key").agg(
+        F.array_join(F.array_sort(F.collect_set("evidence")), "; ").alias("evidence"), F.min("observed_utc").alias("first_utc"), F.max("observed_utc").alias("last_utc"), F.count(F.lit(1)).alias("records")
+    )
+    activity = events.groupBy("device_key").agg(F.count_if(F.col("kind") == "connect").alias("connects"), F.count_if(F.col("kind") == "disconnect").alias("disconnects"), F.count_if(F.col("kind") == "fault").alias("faults"))
+    out = named.join(activity, "device_key", "left").na.fill(0, ["connects", "disconnects", "faults"])
+    key = F.col("device_key")
+    return out.withColumn("enumerator", m.identity_enumerator(key)).withColumn("serial", m.device_serial(key)).withColumn("serial_is_generated", m.is_generated_serial(key))
+
+
+def links(devices: DataFrame) -> DataFrame:
+    """Distinct (left_key, right_key, method, precedence, asserts) from device_key, container_id, enumerator,
+    serial, generated, vid_pid, product. Each method is an equi-join on its own key, so no pair of unrelated
+    devices is formed; prefix candidates meet on the first LEAST_PREFIX characters."""
+    a, b = devices.alias("a"), devices.alias("b")
+    out = []
+
+    def add(joined: DataFrame, method: str, precedence: int, asserts: bool) -> None:
+        out.append(joined.select(F.col("a.device_key").alias("left_key"), F.col("b.device_key").alias("right_key"), F.lit(method).alias("method"), F.lit(precedence).alias("precedence"), F.lit(asserts).alias("asserts")))
+
+    real = devices.where(m.is_real_container(F.col("container_id")))
+    add(real.alias("a").join(real.alias("b"), F.lower("a.container_id") == F.lower("b.container_id")).where("a.device_key < b.device_key"), "container_id", 1, True)
+
+    serials = devices.where((F.col("serial") != "") & ~F.col("generated"))
+    long = serials.where((F.length("serial") >= LEAST_SERIAL) & F.col("enumerator").isin(*SHARING_ENUMERATORS))
+    conflict = serials.groupBy("serial", "enumerator").agg(F.count_distinct(F.nullif("product", F.lit(""))).alias("products"), F.count_distinct(F.nullif("vid_pid", F.lit(""))).alias("vids"))
+    shared = conflict.groupBy("serial").agg((F.greatest(F.max("products"), F.max("vids")) > 1).alias("shared"))
+    across = long.alias("a").join(long.alias("b"), F.col("a.serial") == F.col("b.serial")).where("a.device_key < b.device_key and a.enumerator <> b.enumerator").join(shared.alias("c"), F.col("a.serial") == F.col("c.serial"))
+    add(across.where("not c.shared"), "serial_across_enumerators", 2, True)
+    add(across.where("c.shared"), "serial_across_enumerators_shared", 6, False)
+
+    vid = serials.where("vid_pid <> ''")
+    add(vid.alias("a").join(vid.alias("b"), (F.col("a.serial") == F.col("b.serial")) & (F.col("a.vid_pid") == F.col("b.vid_pid"))).where("a.device_key < b.device_key"), "vid_pid_and_serial", 3, True)
+
+    head = serials.where(F.length("serial") >= LEAST_PREFIX).withColumn("head", F.substring("serial", 1, LEAST_PREFIX))
+    starts = head.alias("a").join(head.alias("b"), F.col("a.head") == F.col("b.head"))
+    starts = starts.where("a.device_key < b.device_key and a.enumerator <> b.enumerator and a.serial <> b.serial and (startswith(a.serial, b.serial) or startswith(b.serial, a.serial))")
+    add(starts, "serial_prefix_candidate", 6, False)
+
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.union(part)
+    return whole.distinct()
+
+
+def parent_prefix_links(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Links by parent id prefix: children's instance ids are the prefix, or begin with it and `&`. A child offers
+    its id and each of its `&`-ended beginnings, and meets parents on equality."""
+    parts = F.split("instance_id", "&")
+    offered = children.select("device_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "&"))).alias("prefix"))
+    hubs = parents.where((F.col("parent_id_prefix") != "") & F.col("enumerator").isin("USB", "HID")).select(F.col("device_key").alias("parent_key"), F.col("parent_id_prefix").alias("prefix"))
+    pair = offered.join(hubs, "prefix").where("device_key <> parent_key")
+    return pair.select(F.least("device_key", "parent_key").alias("left_key"), F.greatest("device_key", "parent_key").alias("right_key")).distinct()
+
+
+def hardware_id_links(declaring: DataFrame, partial: DataFrame) -> DataFrame:
+    """(partial_key, device_key, matches, asserts): partial keys among the `|`-separated hardware ids of devices;
+    unique matches assert."""
+    ids = declaring.select("device_key", F.explode(F.split(F.upper("hardware_id"), r"\|")).alias("partial_key")).distinct()
+    w = Window.partitionBy("partial_key")
+    return partial.join(ids, "partial_key").select("partial_key", "device_key", F.count(F.lit(1)).over(w).alias("matches")).withColumn("asserts", F.col("matches") == 1)
+
+
+def connected_components(keys: DataFrame, edges: DataFrame) -> DataFrame:
+    """(device_key, component_key): each key's smallest reachable one. Least neighbouring labels with pointer
+    jumping, a table in the shared folder per round; the number of rounds grows with the diameter's logarithm."""
+    both = table_in_shared_folder(edges.select("left_key", "right_key").union(edges.select("right_key", "left_key")).toDF("k", "n").distinct())
+    labels = keys.select(F.col("device_key").alias("k")).distinct().select("k", F.col("k").alias("label"))
+    while True:
+        near = both.join(labels.select(F.col("k").alias("n"), F.col("label").alias("near")), "n").groupBy("k").agg(F.min("near").alias("near"))
+        lower = labels.join(near, "k", "left").select("k", F.least("label", "near").alias("to"), (F.col("near") < F.col("label")).alias("moved"))
+        jumped = lower.join(lower.select(F.col("k").alias("to"), F.col("to").alias("next")), "to").select("k", F.col("next").alias("label"), "moved")
+        labels = table_in_shared_folder(jumped)
+        if not labels.where("moved").limit(1).count():
+            return labels.select(F.col("k").alias("device_key"), F.col("label").alias("component_key"))
+        labels = labels.select("k", "label")
+
+
+def groups(devices: DataFrame, edges: DataFrame) -> DataFrame:
+    """device_key, physical_device_id, identity_count, preference: the component's best identity names it - one with
+    a recorded serial, then one with an instance id, then by enumerator, then by key."""
+    comp = connected_components(devices, edges)
+    key = F.col("device_key")
+    ranked = Window.partitionBy("component_key").orderBy(
+        F.when((F.col("serial") != "") & ~F.col("generated"), 0).otherwise(1), F.when(m.has_instance_id(key), 0).otherwise(1), m.identity_rank(F.col("enumerator")), "device_key"
+    )
+    out = comp.join(devices.select("device_key", "serial", "generated", "enumerator"), "device_key")
+    return out.select("device_key", F.first("device_key").over(ranked).alias("physical_device_id"), F.count(F.lit(1)).over(Window.partitionBy("component_key")).alias("identity_count"), F.row_number().over(ranked).alias("preference"))
+
+
+def best_values(identities: DataFrame, columns: list[str]) -> DataFrame:
+    """Per physical_device_id the first non-empty value of each column by preference."""
+    picks = [F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("preference"))).alias(c) for c in columns]
+    return identities.groupBy("physical_device_id").agg(F.count(F.lit(1)).alias("identities"), *picks)
+
+
+def ambiguous_labels(portable: DataFrame) -> DataFrame:
+    """Labels on more than one device: friendly_name, devices."""
+    return portable.where("friendly_name <> ''").groupBy("friendly_name").agg(F.count_distinct("device_key").alias("devices")).where("devices > 1")
+
+
+def signature_links(mounts: DataFrame, disks: DataFrame) -> DataFrame:
+    """(mount_id, device_key): mount entries whose signature equals either of a disk's two and whose offset a
+    partition has. The disk offers both, so the join is on equality; a row that matches by both counts once."""
+    offered = disks.select("device_key", "starting_offset", F.explode(F.array_distinct(F.array("disk_signature", "boot_record_signature"))).alias("signature"))
+    pair = mounts.join(offered, (mounts["signature"] == offered["signature"]) & (mounts["partition_offset"] == offered["starting_offset"]))
+    return pair.select("mount_id", "device_key").distinct()
+
+
+def device_labels(devices: DataFrame) -> DataFrame:
+    """device_key and its display label: the name, or the key's product, or the key; ` · serial` is added where
+    devices share the label."""
+    base = F.coalesce(F.nullif(F.when(~m.is_drive_path(F.col("name")), F.col("name")), F.lit("")), F.nullif(m.device_id_product(F.col("device_key")), F.lit("")), F.col("device_key"))
+    named = devices.select("device_key", "serial", base.alias("base"))
+    often = named.groupBy("base").agg((F.count(F.lit(1)) > 1).alias("several"))
+    return named.join(often, "base").select("device_key", F.when(F.col("several") & (F.col("serial") != ""), F.concat("base", F.lit(" · "), "serial")).otherwise(F.col("base")).alias("label"))
+
+
+def run_volumes(files: DataFrame, volumes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, device_path, precision): the volume of a run whose loaded file carries the executable's name, 1
+    where the whole base name equals it and 2 where it begins with it; only if one volume has the best precision.
+    A file offers each of its ancestor paths, which meet the volumes' on equality."""
+    parts = F.split(F.upper("path"), r"\\")
+    offered = files.select("run_id", F.upper(F.substring_index("path", "\\", -1)).alias("base"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "\\"))).alias("above"))
+    on = offered.join(volumes.select("run_id", "device_path", F.upper("device_path").alias("above")), ["run_id", "above"]).join(runs.select("run_id", F.upper("executable").alias("exe")), "run_id")
+    hit = on.where(F.col("base").startswith(F.col("exe"))).select("run_id", "device_path", F.when(F.col("base") == F.col("exe"), 1).otherwise(2).alias("precision"))
+    best = hit.groupBy("run_id", "device_path").agg(F.min("precision").alias("precision"))
+    w = Window.partitionBy("run_id")
+    kept = best.withColumn("best", F.min("precision").over(w)).where("precision = best").withColumn("n", F.count(F.lit(1)).over(w))
+    return kept.where("n = 1").select("run_id", "device_path", "precision")

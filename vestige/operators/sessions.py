@@ -1,0 +1,151 @@
+"""Connection windows and what bounds them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from vestige.functions.macros import millis, seconds
+
+TOLERANCE_MS = 15_000
+SOLE_HOURS = 24
+CANDIDATE_SECONDS = 120
+
+
+def state_changes(events: DataFrame) -> DataFrame:
+    """Arrivals and departures: record_id, time_utc, device_key, state. A removal event 420 counts only with
+    problem code 45."""
+    kinds = F.when(F.col("kind") == "connect", "arrival").when(F.col("kind") == "disconnect", "departure")
+    real = (F.col("event_id") != 420) | (F.coalesce("problem_code", F.lit("")) == "45")
+    return events.where(F.col("kind").isin("connect", "disconnect") & (F.col("device_key") != "") & real).select("record_id", "time_utc", "device_key", kinds.alias("state"))
+
+
+def transitions(changes: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
+    """Changes that begin a state: the first of a device, those of another state, and those after a longer gap;
+    with the state and time of the next such change."""
+    w = Window.partitionBy("device_key").orderBy("time_utc", "record_id")
+    seen = changes.select("*", F.lag("state").over(w).alias("previous_state"), F.lag("time_utc").over(w).alias("previous_time"))
+    kept = seen.where(F.col("previous_state").isNull() | (F.col("previous_state") != F.col("state")) | (millis(F.col("time_utc")) - millis(F.col("previous_time")) > tolerance_ms))
+    return kept.select("*", F.lead("state").over(w).alias("next_state"), F.lead("time_utc").over(w).alias("next_time"), F.lead("record_id").over(w).alias("next_record"))
+
+
+def connection_windows(changes: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
+    """One row per window. An arrival's window ends with the next departure, or is superseded by the next arrival
+    (ended_before_utc); a leading departure ends a window of unknown start. Both steps share one partitioning."""
+    t = transitions(changes, tolerance_ms)
+    departs, arrives = F.col("next_state") == "departure", F.col("next_state") == "arrival"
+    arrival = F.col("state") == "arrival"
+    t = t.where(arrival | F.col("previous_state").isNull())
+    pick = lambda when, a, b: F.when(arrival, F.when(when, a) if when is not None else a).otherwise(b)
+    none_ts, none_id = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("long")
+    return t.select(
+        "device_key",
+        pick(None, F.col("time_utc"), none_ts).alias("started_utc"),
+        pick(departs, F.col("next_time"), F.col("time_utc")).alias("ended_utc"),
+        pick(arrives, F.col("next_time"), none_ts).alias("ended_before_utc"),
+        arrival.alias("start_known"),
+        pick(None, F.col("record_id"), none_id).alias("opened_by_record"),
+        pick(departs, F.col("next_record"), F.col("record_id")).alias("closed_by_record"),
+    ).withColumn("open_ended", F.col("ended_utc").isNull()).withColumn("span_seconds", seconds(F.col("ended_utc")) - seconds(F.col("started_utc")))
+
+
+def session_events(events: DataFrame) -> DataFrame:
+    """record_id, time_utc, session_state of the host's session records."""
+    return events.where("kind = 'session'").select("record_id", "time_utc", "session_state")
+
+
+def unclean_stops(events: DataFrame) -> DataFrame:
+    """One row per unexpected stop: reported_utc, record_id, boot_associated, boot_utc, stopped_before_utc,
+    stopped_after_utc.
+
+    The boot is the last start or wake up to the report, if no clean stop lies between; then the host ran at the
+    last event before that boot. As-of look-ups are ordered windows over the session events and, for the last one,
+    over boots and events together, dealt by day so that no task orders everything."""
+    s = session_events(events)
+    upto = Window.partitionBy(F.lit(0)).orderBy("time_utc").rangeBetween(Window.unboundedPreceding, 0)
+    boot = F.max(F.when(F.col("session_state").isin("started", "woke"), F.col("time_utc"))).over(upto)
+    before = Window.partitionBy(F.lit(0)).orderBy(F.col("time_us")).rangeBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("time_us", F.unix_micros(F.col("time_utc").cast("timestamp")))
+    stop = F.max(F.when(F.col("session_state") == "stopped", F.col("time_utc"))).over(before)
+    reported = s.select("*", boot.alias("boot"), stop.alias("stop")).where("session_state = 'stopped_unexpectedly'")
+    associated = F.col("boot").isNotNull() & (F.col("stop").isNull() | (F.col("stop") <= F.col("boot")))
+    reported = reported.select(F.col("time_utc").alias("reported_utc"), "record_id", associated.alias("boot_associated"), F.when(associated, F.col("boot")).alias("boot_utc"))
+    last = last_before(reported.select("boot_utc").where("boot_utc is not null").distinct(), "boot_utc", events.select("time_utc"), "time_utc")
+    out = reported.join(last, "boot_utc", "left")
+    return out.select("reported_utc", "record_id", "boot_associated", "boot_utc", F.coalesce("boot_utc", "reported_utc").alias("stopped_before_utc"), F.col("found").alias("stopped_after_utc"))
+
+
+def last_before(asked: DataFrame, at: str, events: DataFrame, when: str) -> DataFrame:
+    """(at, found): for each asked time the last event before it. Per day a partition decides; where a day has none
+    before, the last event of the days before does, found among one row a day."""
+    day = lambda c: F.col(c).cast("date")
+    by_day = events.groupBy(day(when).alias("day")).agg(F.max(when).alias("last_of_day"))
+    carried = by_day.union(asked.select(day(at).alias("day"), F.lit(None).cast("timestamp_ntz")).distinct()).groupBy("day").agg(F.max("last_of_day").alias("last_of_day"))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select("day", F.max("last_of_day").over(earlier).alias("carried"))
+    same = asked.withColumn("day", day(at)).join(events.select(day(when).alias("day"), F.col(when).alias("e")), "day").where(F.col("e") < F.col(at)).groupBy(at).agg(F.max("e").alias("same_day"))
+    return asked.withColumn("day", day(at)).join(carried, "day", "left").join(same, at, "left").select(at, F.coalesce("same_day", "carried").alias("found"))
+
+
+def bounded(windows: DataFrame, events: DataFrame) -> DataFrame:
+    """windows with host_stopped_utc, host_stopped_after_utc, host_stopped_before_utc and host_stopped_undated of
+    those that are open: the first clean stop after the start, and the first unclean one whose last sign of life is.
+
+    Stops of one host are few, so they're looked up in sorted arrays that are joined as one row."""
+    clean = session_events(events).where("session_state = 'stopped'").agg(F.sort_array(F.collect_set("time_utc")).alias("clean"))
+    u = unclean_stops(events)
+    unclean = u.agg(
+        F.sort_array(F.collect_list(F.when(F.col("stopped_after_utc").isNotNull(), F.struct(F.col("stopped_after_utc").alias("a"), F.col("reported_utc").alias("r"), F.col("record_id").alias("i"), F.col("stopped_before_utc").alias("b"))))).alias("unclean"),
+        F.max(F.when(~F.col("boot_associated"), F.col("reported_utc"))).alias("undated"),
+    )
+    open_ = F.col("ended_utc").isNull() & F.col("ended_before_utc").isNull()
+    joined = windows.crossJoin(F.broadcast(clean)).crossJoin(F.broadcast(unclean))
+    first_clean = F.get(F.filter("clean", lambda t: t > F.col("started_utc")), F.lit(0))
+    first_unclean = F.get(F.filter("unclean", lambda x: x.a > F.col("started_utc")), F.lit(0))
+    return joined.select(
+        *windows.columns,
+        F.when(open_, first_clean).alias("host_stopped_utc"),
+        F.when(open_, first_unclean.a).alias("host_stopped_after_utc"),
+        F.when(open_, first_unclean.b).alias("host_stopped_before_utc"),
+        F.when(open_, F.coalesce(F.col("undated") > F.col("started_utc"), F.lit(False))).alias("host_stopped_undated"),
+    )
+
+
+def placing(bounded_windows: DataFrame) -> DataFrame:
+    """Windows that can place an activity: known start, not superseded; places_until_utc is the end or the first stop."""
+    return bounded_windows.where("start_known and ended_before_utc is null").select("device_key", "started_utc", F.coalesce("ended_utc", F.least("host_stopped_utc", "host_stopped_after_utc")).alias("places_until_utc"))
+
+
+def supporting_records(windows: DataFrame, changes: DataFrame) -> DataFrame:
+    """windows with the number of state changes within each, ends included. A device's changes are numbered in
+    order and each window takes a difference of two running counts, so no pair of window and change is formed."""
+    inner = changes.select("device_key", F.col("time_utc").alias("t"), F.lit(1).alias("k"), F.lit(0).alias("o"))
+    low = windows.select("device_key", F.col("started_utc").alias("t")).where("t is not null").distinct().select("*", F.lit(0).alias("k"), F.lit(-1).alias("o"))
+    high = windows.select("device_key", F.coalesce("ended_utc", "ended_before_utc").alias("t")).where("t is not null").distinct().select("*", F.lit(0).alias("k"), F.lit(1).alias("o"))
+    running = Window.partitionBy("device_key").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    counted = inner.union(low).union(high).select("device_key", "t", "o", F.sum("k").over(running).alias("c"))
+    total = changes.groupBy("device_key").agg(F.count(F.lit(1)).alias("total"))
+    before = counted.where("o = -1").select("device_key", F.col("t").alias("started_utc"), F.col("c").alias("before"))
+    upto = counted.where("o = 1").select("device_key", F.col("t").alias("until"), F.col("c").alias("upto"))
+    w = windows.withColumn("until", F.coalesce("ended_utc", "ended_before_utc"))
+    out = w.join(before, ["device_key", "started_utc"], "left").join(upto, ["device_key", "until"], "left").join(total, "device_key", "left")
+    return out.select(*windows.columns, (F.coalesce("upto", "total") - F.coalesce("before", F.lit(0))).alias("supporting_records"))
+
+
+def departure_candidates(records: DataFrame, changes: DataFrame, within: int = CANDIDATE_SECONDS) -> DataFrame:
+    """Records (record_id, device_key, time_utc) with corroborated: whether the device has a departure within so
+    many seconds on either side. Departures go to their slot of that width and its neighbours, so the join is equi."""
+    slot = lambda c: F.floor(seconds(F.col(c)) / within)
+    near = changes.where("state = 'departure'").select("device_key", F.col("time_utc").alias("d"), F.explode(F.array(*[slot("time_utc") + k for k in (-1, 0, 1)])).alias("slot"))
+    hits = records.withColumn("slot", slot("time_utc")).join(near, ["device_key", "slot"]).where(F.abs(seconds(F.col("d")) - seconds(F.col("time_utc"))) <= within).select("record_id").distinct().withColumn("hit", F.lit(True))
+    return records.join(hits, "record_id", "left").select("record_id", "device_key", "time_utc", F.coalesce("hit", F.lit(False)).alias("corroborated"))
+
+
+def sole_connected(activity: DataFrame, placed: DataFrame, hours: int = SOLE_HOURS) -> DataFrame:
+    """Activities (activity_id, recorded_utc) during which exactly one device was connected, at most so many hours
+    after its arrival: activity_id, device_key, started_utc. Windows go to the days that they can cover."""
+    limit = F.col("started_utc") + F.expr(f"INTERVAL {hours} HOURS")
+    w = placed.withColumn("until", F.least(F.coalesce("places_until_utc", limit), limit)).where("until >= started_utc")
+    days = w.select("device_key", "started_utc", "until", F.explode(F.sequence(F.col("started_utc").cast("date"), F.col("until").cast("date"))).alias("day"))
+    hits = activity.select("activity_id", "recorded_utc", F.col("recorded_utc").cast("date").alias("day")).join(days, "day").where("recorded_utc >= started_utc and recorded_utc <= until")
+    return hits.groupBy("activity_id").agg(F.min("device_key").alias("device_key"), F.max("device_key").alias("other"), F.min("started_utc").alias("started_utc")).where("device_key = other").drop("other")

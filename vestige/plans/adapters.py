@@ -1,0 +1,101 @@
+"""Model tables made from the star-schema tables, as DataFrames; registry.py has the same as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vestige.functions import macros as m
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def device_key_of(user: Column) -> Column:
+    return F.concat(F.lit("USBSTOR\\DISK&VEN_V"), (user % 5).cast("string"), F.lit("\\S"), F.lpad(user.cast("string"), 8, "0"), F.lit("&0"))
+
+
+def event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views arrive, purchases depart (those of record ids divisible by 7 as event 420, with a problem code), errors
+    are faults, sign-ups installs; of the clicks every tenth record id is a session record."""
+    e = read(spark, sf_dir, "events")
+    t, i = F.col("event_type"), F.col("event_id")
+    kind = F.when(t == "view", "connect").when(t == "purchase", "disconnect").when(t == "error", "fault").when(t == "signup", "install").when(i % 10 == 0, "session").otherwise("other")
+    state = F.get(F.array(*map(F.lit, ("started", "stopped", "stopped_unexpectedly", "running"))), (F.floor(i / 10) % 4).cast("int"))
+    removal = (t == "purchase") & (i % 7 == 0)
+    return e.select(
+        i.alias("record_id"), F.col("ts").alias("time_utc"), "user_id", device_key_of(F.col("user_id")).alias("device_key"), kind.alias("kind"), F.when(kind == "session", state).alias("session_state"),
+        F.when(removal, 420).otherwise(1).alias("event_id"), F.when(removal, F.when(i % 2 == 0, "45").otherwise("24")).alias("problem_code"), "event_type", "value", "props",
+    )
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three identities a user: USB, USBSTOR and SWD. Containers join users by threes; every seventh user's SWD
+    serial is generated."""
+    u = read(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.explode(F.array(F.lit("USB"), F.lit("USBSTOR"), F.lit("SWD"))).alias("bus"))
+    serial = F.concat(F.lit("S"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    hexed = F.lpad(F.hex(F.col("user_id") % 97), 4, "0")
+    key = (
+        F.when(F.col("bus") == "USB", F.concat(F.lit("USB\\VID_1234&PID_"), hexed, F.lit("\\"), serial))
+        .when(F.col("bus") == "USBSTOR", device_key_of(F.col("user_id")))
+        .otherwise(F.concat(F.lit("SWD\\WPDBUSENUM\\"), F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("5&"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("W"), serial))))
+    )
+    container = F.when(F.col("bus") == "SWD", F.lit("{00000000-0000-0000-0000-000000000000}")).otherwise(F.concat(F.lit("{C-"), F.floor(F.col("user_id") / 3).cast("string"), F.lit("}")))
+    k = F.col("device_key")
+    return u.select("user_id", "bus", key.alias("device_key"), container.alias("container_id")).select(
+        "*", m.identity_enumerator(k).alias("enumerator"), m.device_serial(k).alias("serial"), m.is_generated_serial(k).alias("generated"), m.device_vid_pid(k).alias("vid_pid"), m.device_id_product(k).alias("product")
+    )
+
+
+def portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = read(spark, sf_dir, "events").select("user_id").distinct()
+    return u.select("user_id", device_key_of(F.col("user_id")).alias("device_key"), F.concat(F.lit("VOL"), (F.col("user_id") % 140).cast("string")).alias("friendly_name"))
+
+
+def letter_of(user: Column) -> Column:
+    return F.get(F.array(*map(F.lit, "EFGH")), (user % 4).cast("int"))
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as link targets on removable volumes."""
+    e = event(spark, sf_dir).where("event_type = 'click'")
+    return e.select(F.col("record_id").alias("activity_id"), F.col("time_utc").alias("recorded_utc"), "user_id", "device_key", letter_of(F.col("user_id")).alias("drive_letter"), F.concat(F.lit("VOL"), (F.col("user_id") % 140).cast("string")).alias("volume_label"))
+
+
+def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters E to H, each of the largest user of its remainder."""
+    u = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("r")).agg(F.max("user_id").alias("user_id"))
+    return u.select(letter_of(F.col("user_id")).alias("drive_letter"), device_key_of(F.col("user_id")).alias("device_key"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution routes: by unique label (probable) and by letter (possible where the activity's label names one
+    device and none of the letter's, else probable)."""
+    a, p, mt = activity(spark, sf_dir), portable(spark, sf_dir), mounts(spark, sf_dir)
+    named = p.groupBy("friendly_name").agg(F.min("device_key").alias("named"), F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("friendly_name").alias("volume_label"), "named")
+    by_label = a.join(named, "volume_label").select("activity_id", F.col("named").alias("device_key"), F.lit("volume_label_unique").alias("route"), F.lit("probable").alias("confidence"), F.lit(False).alias("contradicted"))
+    lettered = a.select("activity_id", "volume_label", "drive_letter").join(F.broadcast(mt), "drive_letter").join(named, "volume_label", "left")
+    against = F.col("named").isNotNull() & (F.col("named") != F.col("device_key"))
+    by_letter = lettered.select("activity_id", "device_key", F.lit("drive_letter").alias("route"), F.when(against, "possible").otherwise("probable").alias("confidence"), F.coalesce(against, F.lit(False)).alias("contradicted"))
+    return by_label.unionByName(by_letter)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of customers, from their numbers."""
+    c = read(spark, sf_dir, "customer")
+    k, b, s = F.col("c_custkey"), F.col("c_acctbal"), F.col("c_mktsegment")
+    told = {
+        "storage_identity": b > 3000, "hid_interface": k % 3 == 0, "network_interface": s == "MACHINERY", "hub_interface": k % 5 == 0, "internal_hub": k % 10 == 0, "printer_interface": s == "FURNITURE", "usb_attached": k % 2 == 0,
+        "optical_identity": k % 11 == 0, "mtp_interface": s == "AUTOMOBILE", "no_serial": b < 0, "duplicate_serial": k % 13 == 0, "software_device": k % 17 == 0, "known_class": k % 4 != 0, "short_lived_connection": k % 6 == 1,
+    }
+    each = F.explode(F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in told.items()]), lambda x: x.isNotNull()))
+    return c.select(k.alias("device"), each.alias("fact"))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeline arms: events in UTC, orders as local text, shipping dates with clock defaults among them."""
+    e = event(spark, sf_dir).where("kind in ('connect', 'disconnect', 'install')").select(F.when(F.col("kind") == "install", "install").otherwise("connection").alias("category"), F.col("record_id").alias("ref"), F.col("time_utc").alias("utc_recorded"), F.lit("").alias("local_text"), F.col("device_key").alias("physical_device_id"))
+    o = read(spark, sf_dir, "orders").select(F.lit("file").alias("category"), F.col("o_orderkey").alias("ref"), F.lit(None).cast("timestamp_ntz").alias("utc_recorded"), F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss.SSS").alias("local_text"), F.lit("").alias("physical_device_id"))
+    s = read(spark, sf_dir, "lineitem").select(F.lit("volume").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("l_shipdate").cast("timestamp_ntz").alias("utc_recorded"), F.lit("").alias("local_text"), F.lit("").alias("physical_device_id"))
+    return e.unionByName(o).unionByName(s)
