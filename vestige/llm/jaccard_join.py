@@ -202,6 +202,44 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
+_CELLS = 128
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, cells): how many of a set's tokens fall in each of _CELLS cells, as 16-bit numbers; empty for
+    sets too large for those."""
+
+    def sketch(batches):
+        for b in batches:
+            n, cells = [], []
+            for tokens in _token_sets(b.column(1).to_pylist()):
+                n.append(len(tokens))
+                cells.append(np.bincount((tokens >> np.uint64(20)) % np.uint64(_CELLS), minlength=_CELLS).astype("<i2").tobytes() if len(tokens) < 1 << 15 else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "cells"])
+
+    return texts.mapInArrow(sketch, "doc_id long, n long, cells binary")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that can link by their sketches: sets share no more tokens of a cell than either has there. So few
+    pairs remain for which whole texts move."""
+    sketches = staged(_sketches(texts))
+
+    def bound(batches):
+        for b in batches:
+            na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            ca, cb = b.column(3).to_pylist(), b.column(5).to_pylist()
+            sketched = np.array([bool(x) and bool(y) for x, y in zip(ca, cb)], bool)
+            most = np.minimum(na, nb)
+            if sketched.any():
+                x, y = (np.frombuffer(b"".join(c for c, ok in zip(side, sketched) if ok), "<i2").reshape(-1, _CELLS) for side in (ca, cb))
+                most[sketched] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(100 * most >= THRESHOLD * (na + nb - most)))
+
+    of = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("n").alias("n" + side), F.col("cells").alias("c" + side))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(bound, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): each node's smallest reachable one, by least neighbouring labels and pointer jumping. Every
     round is a table in the shared folder."""
@@ -254,7 +292,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike}").select(F.col("id").alias("a"), "b").distinct()
     tried = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     rest = staged(rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = staged(_verified(rest, texts))
+    found = staged(_verified(staged(_possible(rest, texts)), texts))
     if found.limit(1).count():
         labels = components(edges.union(found))
 
