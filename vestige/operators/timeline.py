@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.functions import macros as m
+from vestige.operators.devices import table_in_shared_folder
 
 CONFIDENCES = ("confirmed", "strong", "probable", "possible")
 GATHERED = ("connection", "device", "device_state", "install", "disk")
@@ -16,10 +17,11 @@ NEAR_MS = 15_000
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with name = its place in the total order, from 1. Rows are range-partitioned and sorted, counted by
-    partition, and numbered within it after the counts of those before: no task sees all rows."""
+    partition, and numbered within it after the counts of those before: no task sees all rows. The dealt rows are
+    written once, as ranges of a second run could differ."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = table_in_shared_folder(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     within = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = within.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     before = counts.select("__part", (F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows")).alias("__before"))
