@@ -19,8 +19,9 @@ from vestige.llm.common import grouped_words, mix, staged, text_of
 BUCKETS = 1 << 16
 #: Labelled documents that the target model and the cut are fitted on, at most; of each label.
 LABELLED = 4000
-#: Share of the labelled good documents that may fall below the cut.
-LOST = 0.002
+#: The cut: this quantile of the labelled good documents' weights, less SLACK nats a n-gram, so that good documents
+#: of a few words, whose means scatter, stay too.
+LOST, SLACK = 0.002, 0.08
 #: Scale of the Gumbel noise, in nats a n-gram. Weights are means, so 1 would drown them.
 TEMPERATURE = 0.01
 _REPEAT = np.uint64(0x5EED)
@@ -118,8 +119,8 @@ def labelled(docs: DataFrame, labels: DataFrame, quality: int) -> DataFrame:
 
 
 class Resampler:
-    """Fitted on docs and labels. keep is the number of documents that stay: as many as weigh no less than the
-    labelled good documents do but for a share of LOST. Without good labels all stay."""
+    """Fitted on docs and labels. keep is the number of documents that stay: as many as reach the cut. Without good
+    labels all stay."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, seed: int = 7):
         docs, self.seed = docs.select("doc_id", "text"), seed
@@ -128,7 +129,7 @@ class Resampler:
         scored = _scored(good, self.ratios, seed).select("log_weight")
         cut = scored.agg(F.percentile_approx("log_weight", LOST, 100_000)).first()[0]
         keys = staged(_scored(docs, self.ratios, seed).select("log_weight", "key"))
-        self.keep = keys.where(F.col("log_weight") >= (-math.inf if cut is None else cut)).count()
+        self.keep = keys.where(F.col("log_weight") >= (-math.inf if cut is None else cut - SLACK)).count()
         self.least = nth_largest(keys, self.keep) if self.keep else math.inf
 
     def apply(self, docs: DataFrame) -> DataFrame:
