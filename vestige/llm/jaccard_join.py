@@ -202,38 +202,43 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-_CELLS = 128
+#: Tokens of a set for each cell of its sketch, and the least number of cells.
+A_CELL, CELLS = 4, 128
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each cell, a byte each; a power of two of cells, so that halves of a longer sketch
+    add up to a shorter one. Empty if a cell has too many for its byte."""
+    size = max(CELLS, 1 << max(0, len(tokens) // A_CELL - 1).bit_length())
+    cells = np.bincount(((tokens >> np.uint64(20)) % np.uint64(size)).astype(np.int64), minlength=size)
+    return cells.astype(np.uint8).tobytes() if cells.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """A bound of how many tokens two sketched sets share: no more in a cell than either has there."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, cells): how many of a set's tokens fall in each of _CELLS cells, as 16-bit numbers; empty for
-    sets too large for those."""
+    """(doc_id, n, cells) of each text."""
 
-    def sketch(batches):
+    def each(batches):
         for b in batches:
-            n, cells = [], []
-            for tokens in _token_sets(b.column(1).to_pylist()):
-                n.append(len(tokens))
-                cells.append(np.bincount((tokens >> np.uint64(20)) % np.uint64(_CELLS), minlength=_CELLS).astype("<i2").tobytes() if len(tokens) < 1 << 15 else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "cells"])
+            sets = list(_token_sets(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["doc_id", "n", "cells"])
 
-    return texts.mapInArrow(sketch, "doc_id long, n long, cells binary")
+    return texts.mapInArrow(each, "doc_id long, n long, cells binary")
 
 
-def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that can link by their sketches: sets share no more tokens of a cell than either has there. So few
-    pairs remain for which whole texts move."""
-    sketches = staged(_sketches(texts))
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that can link by their sketches. So few pairs remain for which whole texts move."""
 
     def bound(batches):
         for b in batches:
             na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
-            ca, cb = b.column(3).to_pylist(), b.column(5).to_pylist()
-            sketched = np.array([bool(x) and bool(y) for x, y in zip(ca, cb)], bool)
-            most = np.minimum(na, nb)
-            if sketched.any():
-                x, y = (np.frombuffer(b"".join(c for c, ok in zip(side, sketched) if ok), "<i2").reshape(-1, _CELLS) for side in (ca, cb))
-                most[sketched] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            most = np.array([most_shared(x, y) if x and y else min(n, m) for n, x, m, y in zip(na, b.column(3).to_pylist(), nb, b.column(5).to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(100 * most >= THRESHOLD * (na + nb - most)))
 
     of = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("n").alias("n" + side), F.col("cells").alias("c" + side))
@@ -281,7 +286,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = staged(lists.join(leaders, "sig").where(f"id <> b and {alike} and (n > 0 or struct(size, id) > struct(m, b))").select(F.col("id").alias("a"), "b").distinct())
     involved = lists.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(involved, "doc_id", "left_semi"))
-    edges = staged(_verified(pairs, texts))
+    sketches = staged(_sketches(texts))
+    edges = staged(_verified(staged(_possible(pairs, sketches)), texts))
     labels = components(edges)
 
     # What that leaves apart meets again: the members of different components.
@@ -292,7 +298,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike}").select(F.col("id").alias("a"), "b").distinct()
     tried = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     rest = staged(rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = staged(_verified(staged(_possible(rest, texts)), texts))
+    found = staged(_verified(staged(_possible(rest, sketches)), texts))
     if found.limit(1).count():
         labels = components(edges.union(found))
 
