@@ -234,11 +234,11 @@ def link_bytes() -> bytes:
     volume = struct.pack("<IIII", 26, 2, 0xE6079156, 16) + b"FIELDWORK\0"
     path = b"E:\\report.docx\0"
     info = struct.pack("<7I", 28 + len(volume) + len(path) + 1, 28, 1, 28, 28 + len(volume), 0, 28 + len(volume) + len(path)) + volume + path + b"\0"
-    return head + info + struct.pack("<H", 3) + "abc".encode("utf-16-le") + struct.pack("<II16s16s", 96, 0xA0000003, b"", b"HOST").ljust(96, b"\0")
+    return head + info + struct.pack("<H", 3) + "abc".encode("utf-16-le") + struct.pack("<II8s16s", 96, 0xA0000003, b"", b"HOST").ljust(96, b"\0")
 
 
 def test_links_and_bad_files(spark, tmp_path):
-    for name, content in (("a.lnk", link_bytes()), ("b.lnk", link_bytes()[:90]), ("c.lnk", b"")):
+    for name, content in (("a.lnk", link_bytes()), ("b.lnk", link_bytes()[:90]), ("c.lnk", b"x")):
         (tmp_path / name).write_bytes(content)
     got = {r.path.rsplit("/", 1)[1]: r for r in binary.links(spark, str(tmp_path)).collect()}
     a = got["a.lnk"]

@@ -16,18 +16,18 @@ def setup_sections(spark: SparkSession, path: str) -> DataFrame:
 
     A section runs from its `>>>  [operation - target]` line to the next such line; its number is a running count of
     those lines within the file. Of repeated details the first counts. A section without an end stays."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line_number", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     header = F.col("line").rlike(r"^>>>\s+\[.* - .*\]")
-    w = Window.partitionBy("source_file").orderBy("line_number")
+    w = Window.partitionBy("source_file").orderBy("at")
     numbered = lines.withColumn("section", F.sum(header.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("section > 0")
 
     def first(pattern: str) -> Column:
         hit = F.regexp_extract("line", pattern, 1)
-        return F.coalesce(F.min(F.when(hit != "", F.struct(F.col("line_number").alias("at"), hit.alias("hit")))).getField("hit"), F.lit(""))
+        return F.coalesce(F.min(F.when(hit != "", F.struct("at", hit.alias("hit")))).getField("hit"), F.lit(""))
 
     stamp = r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{3})"
     out = numbered.groupBy("source_file", "section").agg(
-        F.min("line_number").alias("line_number"), first(r"^>>>\s+\[(.*?) - .*\]").alias("operation"), first(r"^>>>\s+\[.*? - (.*)\]").alias("target"), first(r">>>\s+Section start " + stamp).alias("start_local"),
+        F.min("at").alias("line_number"), first(r"^>>>\s+\[(.*?) - .*\]").alias("operation"), first(r"^>>>\s+\[.*? - (.*)\]").alias("target"), first(r">>>\s+Section start " + stamp).alias("start_local"),
         first(r"<<<\s+Section end " + stamp).alias("end_local"), first(r"<<<\s+\[Exit status: (.*)\]").alias("exit_status"), first(r"(?i)Parent Device[^:=]*[:=]\s*(\S.*)$").alias("parent_device"), first(r"(?i)\b(\w+\.inf)\b").alias("driver_inf"),
         first(rf"(?i)class[^{{]*({_GUID})").alias("class_guid"), first(r"(?i)problem:?\s+(0x[0-9a-f]+|\d+)").alias("problem"),
     )
@@ -46,7 +46,9 @@ def mounted(values: DataFrame) -> DataFrame:
     partition_offset, device_path, device_key."""
     name, raw = F.col("value_name"), F.unhex("hex")
     size = F.length(raw)
-    wide = F.decode(raw, "UTF-16LE")
+    # The beginnings, in UTF-16, of a device path and of a volume's name; other bytes needn't be text.
+    worded = F.upper("hex").rlike("^(5F003F003F005F00|5C003F003F005C00|7B00)") & (size % 2 == 0)
+    wide = F.when(worded, F.decode(raw, "UTF-16LE")).otherwise("")
     reverse = lambda at, n: F.concat(*[F.substring(F.upper("hex"), 2 * (at + n - 1 - k) + 1, 2) for k in range(n)])
     number = lambda at, n: F.conv(reverse(at, n), 16, 10).cast("decimal(20,0)").cast("long")
     gpt = F.upper("hex").startswith("444D494F3A49443A") & (size == 24)
