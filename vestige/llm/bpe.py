@@ -7,6 +7,7 @@ repeated scans would cost their square, take the same merges in the same order f
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -184,14 +185,21 @@ class ByteBpe:
         if len(self._chunks) >= CACHED_WORDS:
             self._chunks.clear()
         chunks = self._chunks
-        rows = [[] if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        new = self._learn({c for row in rows for c in row[1:]}.difference(chunks))
+        starts, rows = [], []
+        for t in texts:
+            if _ODD_SPACE.search(t):
+                starts.append(SPLIT.findall(t))
+                rows.append(())
+            else:
+                # What precedes the first space has none before it, so it isn't a chunk.
+                start, space, rest = t.partition(" ")
+                starts.append(SPLIT.findall(start))
+                rows.append(rest.split(" ") if space else ())
+        new = self._learn(set().union(*rows).difference(chunks))
         chunks.update(new)
-        # What precedes the first space has none before it, so it isn't a chunk.
-        starts = [SPLIT.findall(row[0] if row else text) for text, row in zip(texts, rows, strict=True)]
         words = list(set(chain.from_iterable(starts)))
         first = dict(zip(words, self._word_ids([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
-        out = [list(chain.from_iterable(chain(map(first.__getitem__, start), map(chunks.__getitem__, row[1:])))) for start, row in zip(starts, rows, strict=True)]
+        out = [list(chain.from_iterable(chain(map(first.__getitem__, start), map(chunks.__getitem__, row)))) for start, row in zip(starts, rows, strict=True)]
         for c in new:
             if len(c) > SHORT:
                 del chunks[c]
@@ -207,7 +215,14 @@ class ByteBpe:
                 owner += [end] * len(found)
                 size += len(texts[end]) + 1
                 end += 1
-            plain = iter(self._plain([p for p in pieces if p not in self.special]))
+            # Tuples by the hundred thousand, none of them in a cycle, would set the collector off again and again.
+            collecting = gc.isenabled()
+            gc.disable()
+            try:
+                plain = iter(self._plain([p for p in pieces if p not in self.special]))
+            finally:
+                if collecting:
+                    gc.enable()
             for _, group in groupby(zip(owner, pieces, strict=True), key=itemgetter(0)):
                 yield list(chain.from_iterable([self.special[p]] if p in self.special else next(plain) for _, p in group))
             at = end
