@@ -451,6 +451,8 @@ def test_sketches_bound_the_shared_tokens():
         a, b = np.unique(both[:n]), np.unique(both[n - shared : n + m - shared])
         most = jaccard_join.most_shared(jaccard_join.sketch(a), jaccard_join.sketch(b))
         assert shared <= most <= min(n, m)
+        x, y = (jaccard_join.bit_map(t).view(np.uint64) for t in (a, b))
+        assert shared <= min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
         assert jaccard_join.most_shared(jaccard_join.sketch(a), jaccard_join.sketch(a)) == len(a)
     assert jaccard_join.sketch(np.zeros(300, np.uint64)) == b""
 

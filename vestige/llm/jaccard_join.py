@@ -221,15 +221,36 @@ def most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
 
 
+#: Words of 64 bits of a set's bit map.
+MAP = 8
+
+
+def bit_map(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each token, at one of 64 * MAP places."""
+    bits = np.zeros(64 * MAP, np.uint8)
+    bits[((tokens >> np.uint64(33)) % np.uint64(64 * MAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _maps_allow(n: str, a: str, m: str, b: str) -> str:
+    """SQL: whether sets of n and m tokens can link by their bit maps, columns a0.. and b0..: each bit that only one
+    has stands for a token at least that the other lacks."""
+    lacks = lambda x, y: " + ".join(f"bit_count({x}{k} & ~{y}{k})" for k in range(MAP))
+    most = f"least({n} - ({lacks(a, b)}), {m} - ({lacks(b, a)}))"
+    return f"{100 + THRESHOLD} * {most} >= {THRESHOLD} * ({n} + {m})"
+
+
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, cells) of each text."""
+    """(doc_id, n, cells, w0, w1, ...) of each text."""
+    names = ["doc_id", "n", "cells", *(f"w{k}" for k in range(MAP))]
 
     def each(batches):
         for b in batches:
             sets = list(_token_sets(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["doc_id", "n", "cells"])
+            maps = np.array([bit_map(t) for t in sets], np.int64).reshape(-1, MAP)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary()), *(pa.array(maps[:, k]) for k in range(MAP))], names)
 
-    return texts.mapInArrow(each, "doc_id long, n long, cells binary")
+    return texts.mapInArrow(each, "doc_id long, n long, cells binary, " + ", ".join(f"w{k} long" for k in range(MAP)))
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -293,9 +314,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # What that leaves apart meets again: the members of different components.
     apart = lists.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select("sig", "id", "n", "size", F.coalesce("comp", "id").alias("comp"))
     open_ = staged(apart.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"))
-    apart = staged(apart.join(open_, "sig"))
-    smaller = apart.where("n > 0").select("sig", F.col("id").alias("b"), F.col("size").alias("m"), F.col("comp").alias("other"))
-    rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike}").select(F.col("id").alias("a"), "b").distinct()
+    words = [F.col(f"w{k}") for k in range(MAP)]
+    maps = sketches.select(F.col("doc_id").alias("id"), F.col("n").alias("own"), *words)
+    apart = staged(apart.join(open_, "sig").join(maps, "id"))
+    smaller = apart.where("n > 0").select("sig", F.col("id").alias("b"), F.col("size").alias("m"), F.col("comp").alias("other"), F.col("own").alias("its"), *[w.alias(f"v{k}") for k, w in enumerate(words)])
+    rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike} and {_maps_allow('own', 'w', 'its', 'v')}").select(F.col("id").alias("a"), "b").distinct()
     tried = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     rest = staged(rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = staged(_verified(staged(_possible(rest, sketches)), texts))
