@@ -315,6 +315,19 @@ def test_markov_models_hold_out():
     assert np.mean([models.ratio(s) > secrets.MARGIN for s in names]) < 0.02
 
 
+@pytest.mark.parametrize("length", [12, 16, 19, 20, 32])
+@pytest.mark.parametrize("alphabet", ["base62", "letters"])
+def test_random_keys_without_label_are_spans(alphabet, length):
+    models = secrets.Models(secrets.random_strings(), secrets.identifiers(WORDS))
+    rng = random.Random(length)
+    keys = ["".join(rng.choices(secrets._ALPHABET[: 62 if alphabet == "base62" else 52], k=length)) for _ in range(300)]
+    found = [(3, 3 + length, "random") in models.spans(f"a: {k}, b") for k in keys]
+    assert np.mean(found) > 0.95
+    ordinary = [n for n in secrets.identifiers(WORDS, 500, 78) if len(n) >= 12]
+    assert np.mean([models.spans(f"a: {n}, b") != [] for n in ordinary]) < 0.02
+    assert not any(models.spans(f"a\n{r}\nb") for r in ("-" * 40, "=" * 12, "_" * 20, "+----------+----------+"))
+
+
 # ------------------------------------------------------------------ packing
 
 

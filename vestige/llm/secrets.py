@@ -1,7 +1,8 @@
 """Secret scans: patterns for known forms, character Markov models for the rest.
 
 Two first-order Markov models over characters, of random strings and of ordinary identifiers, are trained from
-labelled samples; a token whose log-likelihood ratio between them exceeds MARGIN nats a character is a secret.
+labelled samples; a token whose log-likelihood ratio between them exceeds MARGIN nats a character and NATS in all is
+a secret.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: From this length on the models judge every token, whatever it is made of.
+LEAST = 12
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _AT = {c: i for i, c in enumerate(_ALPHABET)}
 MARGIN = 0.5
+#: What tokens of under 20 characters must reach in all.
+NATS = 10
 #: Ordinary words that the identifiers are made of, at most.
 WORDS = 20_000
 
@@ -67,13 +72,17 @@ def random_strings(n: int = 4000, seed: int = 11) -> list[str]:
 
 
 def identifiers(words: list[str], n: int = 20_000, seed: int = 12) -> list[str]:
-    """The negative samples: words joined as snake, kebab, camel and constant names, with numbers and dates."""
+    """The negative samples: words joined as snake, kebab, camel and constant names, with numbers and dates; and rules
+    and table borders, as the models judge tokens without a letter or digit too."""
     rng, out = random.Random(seed), []
     words = [w for w in words if w and all(c in _AT for c in w)] or ["value", "index", "count", "name"]
     for k in range(n):
         some = rng.choices(words, k=rng.randint(1, 5))
         number = str(rng.choice((rng.randint(0, 99), rng.randint(1990, 2030))))
         out.append(("_".join(some), "-".join(some), "".join(w.title() for w in some), "_".join(some).upper(), "/".join(some) + "/" + number, "-".join((number, f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}", *some)))[k % 6])
+    for k in range(n // 20):
+        line = "-=_+/"[k % 5] * rng.randint(3, 40)
+        out.append(line if k % 3 else "+".join(("", line, line, "")))
     return out
 
 
@@ -85,12 +94,15 @@ class Models:
         """Nats a character in favour of a random string."""
         return (self.random.score(token) - self.ordinary.score(token)) / len(token)
 
+    def is_random(self, token: str) -> bool:
+        return self.ratio(token) > max(MARGIN, NATS / len(token))
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """All spans: the base ones and tokens outside of them that the models call random."""
         base = base_spans(text)
         added = []
         for m in _TOKEN.finditer(text):
-            if all(b <= m.start() or m.end() <= a for a, b, _ in base) and self.ratio(m[0]) > MARGIN:
+            if all(b <= m.start() or m.end() <= a for a, b, _ in base) and self.is_random(m[0]):
                 added.append((m.start(), m.end(), "random"))
         return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
