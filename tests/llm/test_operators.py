@@ -170,6 +170,37 @@ def test_licenses(spark):
     assert licenses.licenses(files.limit(0)).count() == 0
 
 
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def test_license_passages(spark):
+    comment = lambda notice, mark: "\n".join(f"{mark} {line}" for line in notice.split("\n"))
+    long, apache = prose(500, 1), licenses.TEMPLATES["Apache-2.0"]
+    cases = [
+        (comment(GPL_HEADER.format(3), " *"), "GPL-3.0"), (comment(GPL_HEADER.format(2), "#"), "GPL-2.0"), (comment(GPL_HEADER.format(3).replace("GNU General", "GNU Lesser General"), "//"), "LGPL-3.0"), (comment(MPL_HEADER, "--"), "MPL-2.0"), (comment(MIT_TEXT, "#"), "MIT"),
+        ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("// SPDX-License-Identifier: ISC", None),
+        (prose(60, 7) + " " + apache + " " + prose(60, 8), "Apache-2.0"), (comment("Licensed under the\nApache License,\nVersion 2.0.", "%"), "Apache-2.0"), ("the software was released by a license office under the terms of version 3", None),
+    ]
+    files = spark.createDataFrame([(i, f"/d{i}/f.c", f"{long}\n{text}\n{long}") for i, (text, _) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.licenses(files).collect()}
+    assert got == {i: (name, "own" if name else "none") for i, (_, name) in enumerate(cases)}
+
+
 # ------------------------------------------------------------------ URL filter
 
 

@@ -1,17 +1,30 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-A file's licence lines (header lines that name a licence) and licence files (whole texts of few words) are compared
-with the templates; inverse document frequencies come from all files. A file without a licence of its own takes
-that of the nearest directory above it that holds a licence file. DataFrame operations only.
+Each passage of a file that is as long as a template is compared with it; inverse document frequencies come from all
+files. Passages are runs of words, so line breaks, comment marks and what stands beside a notice don't matter. A file
+without a licence of its own takes that of the nearest directory above it that holds a licence file. DataFrame
+operations only.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vestige.llm.common import staged, text_of
 
+
+class Template(NamedTuple):
+    license: str
+    notice: str
+    #: Words that a passage must hold: those that tell the licence from the ones worded like it.
+    needs: str = ""
+    #: Whether it tells the licence; other passages only count as covered by it.
+    tells: bool = True
+
+
 # What the licences' notices say.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -22,18 +35,69 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+_NEEDS = {"Apache-2.0": "apache 2", "MIT": "mit", "GPL-3.0": "gnu general 3", "CC-BY-NC-4.0": "cc by nc 4", "CC-BY-4.0": "cc by 4", "BSD-3-Clause": "redistribution binary", "MPL-2.0": "mozilla 2"}
+_GNU = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser", "2.1"), "LGPL-3.0": ("Lesser", "3"), "AGPL-3.0": ("Affero", "3")}
+_CC = {"": "Attribution", "-NC": "Attribution-NonCommercial", "-SA": "Attribution-ShareAlike", "-ND": "Attribution-NoDerivatives", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_BSD = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)",
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+
+
+def templates() -> list[Template]:
+    """Short notices, the usual headers, passages of full texts and SPDX ids."""
+    out = [Template(k, v, _NEEDS[k]) for k, v in TEMPLATES.items()]
+    out += [
+        Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache 2"),
+        Template("MIT", "Licensed under the MIT License.", "mit"),
+        Template("MIT", _MIT[0]),
+        *(Template("MIT", p, tells=False) for p in _MIT[1:]),
+        *(Template("BSD-3-Clause", p, tells=False) for p in _BSD),
+        Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mozilla 2"),
+    ]
+    for name, (kind, version) in _GNU.items():
+        needs = f"gnu general {kind.lower()} {version.replace('.', ' ')}"
+        gnu = f"GNU {kind} General Public License"
+        if name != "GPL-3.0":
+            out.append(Template(name, f"This work is licensed under the {gnu}, version {version}.", needs))
+        for what in ("program", "library"):
+            out.append(Template(name, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {gnu} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.", needs))
+    for name, title in _CC.items():
+        mark = f"BY{name}"
+        if f"CC-{mark}-4.0" not in TEMPLATES:
+            out.append(Template(f"CC-{mark}-4.0", f"Licensed under CC {mark} 4.0.", f"cc {mark} 4".lower().replace("-", " ")))
+        out.append(Template(f"CC-{mark}-4.0", f"This work is licensed under a Creative Commons {title} 4.0 International License.", f"creative commons {title} 4".lower().replace("-", " ")))
+    for name in sorted({t.license for t in out} | {f"{g}-{tail}" for g in _GNU for tail in ("only", "or-later")}):
+        licence = name.removesuffix("-only").removesuffix("-or-later")
+        out.append(Template(licence, f"SPDX-License-Identifier: {name}", "spdx " + name.lower().replace("-", " ").replace(".", " ")))
+    return out
+
+
 LIKE = 0.7
 #: Words of a licence file, at most; longer texts only have licence lines.
 FILE_WORDS = 400
-_NAMES_ONE = r"(?i)licen[cs]|redistribut|copyright|spdx"
+#: Share of a licence file's words that lie in its licence's passages, at least.
+COVERED = 0.5
 
 
 def _tokens(column):
-    return F.filter(F.split(F.lower(column), r"[^a-z0-9.\-]+|\.(?=\s|$)"), lambda t: t != "")
+    return F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "license string, notice string").select("license", F.explode(_tokens(F.col("notice"))).alias("token")).groupBy("license", "token").agg(F.count(F.lit(1)).alias("tf"))
+def _templates(spark: SparkSession, known: list[Template]) -> list[list[str]]:
+    """The words of each template, by the same rule as the files'."""
+    rows = spark.createDataFrame([(k, t.notice) for k, t in enumerate(known)], "k int, notice string").select("k", _tokens(F.col("notice")).alias("words")).collect()
+    return [r.words for r in sorted(rows, key=lambda r: r.k)]
 
 
 def path_of(docs: DataFrame) -> DataFrame:
@@ -42,43 +106,81 @@ def path_of(docs: DataFrame) -> DataFrame:
     return docs.withColumn("path", F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), block, F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
 
 
+def _anchors(unit: dict[str, float], idf: dict[str, float]) -> list[str]:
+    """The rarest words of a template without all of which no passage is as near as LIKE: a passage's cosine is at
+    most the length of the template's unit vector over the words that both have."""
+    rest, out = 1.0, []
+    for word in sorted(unit, key=lambda w: (-idf[w], -unit[w], w)):
+        if rest < LIKE * LIKE - 1e-9:
+            break
+        out.append(word)
+        rest -= unit[word] ** 2
+    return out
+
+
+def passages(files: DataFrame) -> DataFrame:
+    """path, row (an id of the file's row), words (of the whole text), license, tells, score, start, stop of each
+    passage that is like a template."""
+    spark = files.sparkSession
+    known = templates()
+    words_of = _templates(spark, known)
+    vocabulary = sorted({w for ws in words_of for w in ws})
+    tokens = _tokens(F.col("text"))
+    held = files.select(F.explode(F.array_distinct(F.filter(tokens, lambda t: t.isin(vocabulary)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    total = files.count()
+    seen = {r.token: r.df for r in held.collect()}
+    idf = {r.token: r.idf for r in spark.createDataFrame([(w, seen.get(w, 0)) for w in vocabulary], "token string, df long").select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")).collect()}
+    most = max(idf.values(), default=1.0)  # of a word that no template has
+
+    # The templates' unit vectors are constants of this module, some hundred weights.
+    rows = []
+    for k, (t, ws) in enumerate(zip(known, words_of)):
+        raw = {w: ws.count(w) * idf[w] for w in ws}
+        norm = sum(x * x for x in raw.values()) ** 0.5
+        unit = {w: x / norm for w, x in raw.items()}
+        rows += [(a, k, t.license, t.tells, len(ws), t.needs.split(), unit) for a in _anchors(unit, idf)]
+    anchored = F.broadcast(spark.createDataFrame(rows, "token string, k int, license string, tells boolean, n int, needs array<string>, unit map<string,double>"))
+    anchors, longest = sorted({r[0] for r in rows}), max(map(len, words_of))
+
+    # Every place of an anchor, with as many words on each side as a passage over it can hold.
+    spots = files.select("path", tokens.alias("tokens")).where(F.exists("tokens", lambda t: t.isin(anchors))).withColumn("row", F.monotonically_increasing_id())
+    place = lambda t, i: F.when(t.isin(anchors), F.struct(t.alias("token"), i.alias("at"), F.greatest(i - longest + 1, F.lit(0)).alias("first")))
+    spots = spots.withColumn("places", F.filter(F.transform("tokens", place), lambda p: p.isNotNull()))
+    spots = spots.select("path", "row", F.size("tokens").alias("words"), F.explode(F.transform("places", lambda p: F.struct(p.token.alias("token"), p["at"].alias("at"), p.first.alias("first"), F.slice("tokens", p.first + 1, F.lit(2 * longest - 1)).alias("near")))).alias("p"))
+    near = spots.select("path", "row", "words", "p.*").join(anchored, "token")
+
+    # Passages over the place begin at lo to hi, counted in near.
+    lo = F.greatest(F.col("at") - F.col("n") + 1, F.lit(0)) - F.col("first")
+    hi = F.greatest(F.least(F.col("at"), F.col("words") - F.col("n")), F.lit(0)) - F.col("first")
+    near = near.withColumn("lo", lo).withColumn("hi", hi).withColumn("near", F.slice("near", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("n"))).withColumn("lo", F.col("first") + F.col("lo")).withColumn("hi", F.col("first") + F.col("hi"))
+    shared = F.aggregate(F.array_intersect("near", F.map_keys("unit")), F.lit(0.0), lambda acc, t: acc + F.pow(F.element_at("unit", t), F.lit(2.0)))
+    near = near.where((shared >= LIKE * LIKE - 1e-9) & (F.size(F.array_except("needs", "near")) == 0))
+    each = near.withColumn("start", F.explode(F.sequence("lo", "hi"))).withColumn("words_in", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("n"))).where(F.size(F.array_except("needs", "words_in")) == 0)
+    weight_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
+    # Both are sums over the distinct words of count times weight.
+    vector = F.transform(F.array_distinct("words_in"), lambda t: F.struct(F.coalesce(F.element_at("unit", t), F.lit(0.0)).alias("u"), (F.size(F.filter("words_in", lambda u: u == t)) * F.coalesce(F.element_at(weight_of, t), F.lit(most))).alias("w")))
+    dot = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.u * v.w)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.w * v.w))
+    each = each.withColumn("vector", vector).withColumn("score", F.round(dot / length, 6)).where(F.col("score") >= LIKE)
+    return each.select("path", "row", "words", "license", "tells", "score", "start", F.least(F.col("start") + F.col("n"), F.col("words")).alias("stop")).distinct()
+
+
 def licenses(files: DataFrame) -> DataFrame:
     """One row per file (doc_id, path, text): doc_id, path, license, score, basis (own, file, inherited, none) and
     inherited_from, the directory.
 
     Null text counts as empty. The best cosine of at least LIKE decides, ties by the license's name; a directory's
     licence is that of its best licence file, ties by name. A directory that holds none asks the one above."""
-    spark = files.sparkSession
     files = files.select("doc_id", "path", text_of().alias("text"))
-    templates = _templates(spark)
-    vocabulary = sorted({r.token for r in templates.select("token").distinct().collect()})
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    held = files.select(F.explode(F.array_intersect(_tokens(F.col("text")), words)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = files.agg(F.count(F.lit(1)).alias("n"))
-    everywhere = spark.createDataFrame([(w,) for w in vocabulary], "token string")
-    idf = {r.token: r.idf for r in everywhere.join(held, "token", "left").crossJoin(F.broadcast(total)).select("token", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")).collect()}
-    most = max(idf.values(), default=1.0)  # of a word that no template has
-    # The templates' unit vectors are constants of this module, a few dozen weights.
-    weighted = {}
-    for r in templates.collect():
-        weighted.setdefault(r.license, {})[r.token] = r.tf * idf[r.token]
-    norms = {name: sum(w * w for w in v.values()) ** 0.5 for name, v in weighted.items()}
-
-    spots = F.concat(
-        F.transform(F.filter(F.split("text", "\n"), lambda line: line.rlike(_NAMES_ONE)), lambda line: F.struct(line.alias("notice"), F.lit(False).alias("whole"))),
-        F.when(F.col("text").rlike(_NAMES_ONE) & (F.size(F.split(F.col("text"), r"\s+")) <= FILE_WORDS), F.array(F.struct(F.col("text").alias("notice"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<notice:string,whole:boolean>>")),
-    )
-    notice = files.where(F.col("text").rlike(_NAMES_ONE)).select("doc_id", "path", F.explode(spots).alias("s")).select("doc_id", "path", "s.whole", _tokens(F.col("s.notice")).alias("tokens"))
-    weight_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    # tf-idf length: each token's count times its weight, over the distinct tokens.
-    count_of = lambda t: F.size(F.filter("tokens", lambda u: u == t)).cast("double")
-    length = F.sqrt(F.aggregate(F.array_distinct("tokens"), F.lit(0.0), lambda acc, t: acc + F.pow(count_of(t) * F.coalesce(F.element_at(weight_of, t), F.lit(most)), F.lit(2.0))))
-    scores = [
-        F.struct((-sum((count_of(F.lit(t)) * F.lit(w * idf[t]) for t, w in v.items()), F.lit(0.0)) / F.lit(norms[name]) / F.col("length")).alias("s"), F.lit(name).alias("license"))
-        for name, v in weighted.items()
-    ]
-    best = notice.withColumn("length", length).where("length > 0").withColumn("best", F.array_min(F.array(*scores))).select("doc_id", "path", "whole", (-F.col("best.s")).alias("score"), "best.license").where(F.col("score") >= LIKE)
-    best = staged(best.groupBy("path").agg(F.max_by("license", F.struct("score", F.hash("license"))).alias("own"), F.round(F.max("score"), 6).alias("score"), F.max("whole").alias("whole")))
+    found = staged(passages(files))
+    told = found.where("tells").groupBy("path", "row").agg(F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("own"), F.max("score").alias("score"))
+    # The words in passages of the file's licence: each passage adds what lies beyond those that began before it.
+    before = Window.partitionBy("path", "row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    within = told.join(found, ["path", "row"]).where(F.col("license") == F.col("own")).select("path", "row", "own", told["score"].alias("score"), "words", "start", "stop")
+    within = within.withColumn("added", F.greatest(F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))), F.lit(0)))
+    best = within.groupBy("path", "row", "own", "score", "words").agg(F.sum("added").alias("covered"))
+    best = best.withColumn("whole", (F.col("words") <= FILE_WORDS) & (F.col("covered") >= COVERED * F.col("words")))
+    best = staged(best.groupBy("path").agg(F.min_by("own", F.struct(-F.col("score"), F.col("own"))).alias("own"), F.max("score").alias("score"), F.max("whole").alias("whole")))
 
     # Every directory once, with the directories above it, the nearest first.
     directory = F.regexp_replace("path", r"/[^/]*$", "")
