@@ -201,6 +201,19 @@ def test_license_passages(spark):
     assert got == {i: (name, "own" if name else "none") for i, (_, name) in enumerate(cases)}
 
 
+def test_license_files_of_any_length(spark):
+    from vestige.llm.license_texts import FULL
+
+    full = lambda name: " ".join(part + " " + prose(FULL[name][0] - 40, k) for k, part in enumerate(FULL[name][1]))
+    cases = {
+        "/a/terms.txt": (full("GPL-3.0"), "GPL-3.0", "file"), "/a/b/c/f.txt": (prose(50, 1), "GPL-3.0", "inherited"), "/b/terms.txt": (full("Apache-2.0"), "Apache-2.0", "file"), "/b/f.txt": ("", "Apache-2.0", "inherited"),
+        "/j/k.txt": (full("CC-BY-SA-4.0"), "CC-BY-SA-4.0", "file"), "/c/LICENSE.txt": (prose(450, 2) + "\n" + licenses.TEMPLATES["MIT"], "MIT", "file"), "/c/d/f.txt": ("", "MIT", "inherited"), "/e/license.py": (prose(450, 3) + "\n" + licenses.TEMPLATES["MIT"], "MIT", "own"), "/e/f.txt": ("", None, "none"),
+        "/g/f.c": (GPL_HEADER.format(3) + prose(450, 4), "GPL-3.0", "own"), "/g/g.c": ("", None, "none"), "/h/COPYING": (prose(800, 5), None, "none"), "/i/x.txt": (" ".join(FULL["MPL-2.0"][1][:1]) + prose(3000, 6), "MPL-2.0", "own"),
+    }
+    files = spark.createDataFrame([(i, p, c[0]) for i, (p, c) in enumerate(cases.items())], "doc_id long, path string, text string")
+    assert {r.path: (r.license, r.basis) for r in licenses.licenses(files).collect()} == {p: c[1:] for p, c in cases.items()}
+
+
 # ------------------------------------------------------------------ URL filter
 
 

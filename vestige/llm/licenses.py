@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vestige.llm.common import staged, text_of
+from vestige.llm.license_texts import FULL
 
 
 class Template(NamedTuple):
@@ -23,6 +24,8 @@ class Template(NamedTuple):
     needs: str = ""
     #: Whether it tells the licence; other passages only count as covered by it.
     tells: bool = True
+    #: Words of a full text that it stands for, where these are more than its own.
+    stands: int = 0
 
 
 # What the licences' notices say.
@@ -36,7 +39,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 _NEEDS = {"Apache-2.0": "apache 2", "MIT": "mit", "GPL-3.0": "gnu general 3", "CC-BY-NC-4.0": "cc by nc 4", "CC-BY-4.0": "cc by 4", "BSD-3-Clause": "redistribution binary", "MPL-2.0": "mozilla 2"}
-_GNU = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser", "2.1"), "LGPL-3.0": ("Lesser", "3"), "AGPL-3.0": ("Affero", "3")}
+_GNU = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.0": ("Library", "2"), "LGPL-2.1": ("Lesser", "2.1"), "LGPL-3.0": ("Lesser", "3"), "AGPL-3.0": ("Affero", "3")}
 _CC = {"": "Attribution", "-NC": "Attribution-NonCommercial", "-SA": "Attribution-ShareAlike", "-ND": "Attribution-NoDerivatives", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -77,6 +80,18 @@ def templates() -> list[Template]:
         if f"CC-{mark}-4.0" not in TEMPLATES:
             out.append(Template(f"CC-{mark}-4.0", f"Licensed under CC {mark} 4.0.", f"cc {mark} 4".lower().replace("-", " ")))
         out.append(Template(f"CC-{mark}-4.0", f"This work is licensed under a Creative Commons {title} 4.0 International License.", f"creative commons {title} 4".lower().replace("-", " ")))
+    for name, (stands, parts) in FULL.items():
+        if name == "CC-BY-SA-4.0":  # all kinds have these passages, with their own title in the first
+            for kind, title in _CC.items():
+                words = title.lower().replace("-", " ")
+                out.append(Template(f"CC-BY{kind}-4.0", parts[0].replace("attribution sharealike", words), f"creative commons {words} 4", stands=stands))
+                out += [Template(f"CC-BY{kind}-4.0", p, tells=False, stands=stands) for p in parts[1:]]
+            continue
+        out.append(Template(name, parts[0], stands=stands))
+        out += [Template(name, p, tells=False, stands=stands) for p in parts[1:]]
+        if name == "GPL-3.0":
+            out.append(Template("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation", "affero", stands=stands))
+            out += [Template("AGPL-3.0", p, tells=False, stands=stands) for p in parts[1:]]
     for name in sorted({t.license for t in out} | {f"{g}-{tail}" for g in _GNU for tail in ("only", "or-later")}):
         licence = name.removesuffix("-only").removesuffix("-or-later")
         out.append(Template(licence, f"SPDX-License-Identifier: {name}", "spdx " + name.lower().replace("-", " ").replace(".", " ")))
@@ -84,10 +99,11 @@ def templates() -> list[Template]:
 
 
 LIKE = 0.7
-#: Words of a licence file, at most; longer texts only have licence lines.
-FILE_WORDS = 400
-#: Share of a licence file's words that lie in its licence's passages, at least.
+#: Share of a licence file's words that lie in its licence's passages, at least, unless its name tells.
 COVERED = 0.5
+# Names of licence files, but for those of programs.
+_NAMED = r"(?i)/([^/]*[._-])?((un)?licen[cs]es?|copying|copyright|notice)([._-][^/]*)?$"
+_PROGRAM = r"(?i)\.(c|cc|cpp|cs|cxx|go|h|hpp|java|jsx?|kt|m?js|php|pl|py|r|rb|rs|scala|sh|sql|swift|tsx?)$"
 
 
 def _tokens(column):
@@ -119,8 +135,8 @@ def _anchors(unit: dict[str, float], idf: dict[str, float]) -> list[str]:
 
 
 def passages(files: DataFrame) -> DataFrame:
-    """path, row (an id of the file's row), words (of the whole text), license, tells, score, start, stop of each
-    passage that is like a template."""
+    """path, row (an id of the file's row), words (of the whole text), license, tells, needed, score, start, stop of each
+    passage that is like a template. A passage of a full text stops where the words that it stands for do."""
     spark = files.sparkSession
     known = templates()
     words_of = _templates(spark, known)
@@ -138,8 +154,8 @@ def passages(files: DataFrame) -> DataFrame:
         raw = {w: ws.count(w) * idf[w] for w in ws}
         norm = sum(x * x for x in raw.values()) ** 0.5
         unit = {w: x / norm for w, x in raw.items()}
-        rows += [(a, k, t.license, t.tells, len(ws), t.needs.split(), unit) for a in _anchors(unit, idf)]
-    anchored = F.broadcast(spark.createDataFrame(rows, "token string, k int, license string, tells boolean, n int, needs array<string>, unit map<string,double>"))
+        rows += [(a, k, t.license, t.tells, len(ws), max(len(ws), t.stands), t.needs.split(), unit) for a in _anchors(unit, idf)]
+    anchored = F.broadcast(spark.createDataFrame(rows, "token string, k int, license string, tells boolean, n int, stands int, needs array<string>, unit map<string,double>"))
     anchors, longest = sorted({r[0] for r in rows}), max(map(len, words_of))
 
     # Every place of an anchor, with as many words on each side as a passage over it can hold.
@@ -162,24 +178,28 @@ def passages(files: DataFrame) -> DataFrame:
     dot = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.u * v.w)
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.w * v.w))
     each = each.withColumn("vector", vector).withColumn("score", F.round(dot / length, 6)).where(F.col("score") >= LIKE)
-    return each.select("path", "row", "words", "license", "tells", "score", "start", F.least(F.col("start") + F.col("n"), F.col("words")).alias("stop")).distinct()
+    return each.select("path", "row", "words", "license", "tells", F.size("needs").alias("needed"), "score", "start", F.least(F.col("start") + F.col("stands"), F.col("words")).alias("stop")).distinct()
 
 
 def licenses(files: DataFrame) -> DataFrame:
     """One row per file (doc_id, path, text): doc_id, path, license, score, basis (own, file, inherited, none) and
     inherited_from, the directory.
 
-    Null text counts as empty. The best cosine of at least LIKE decides, ties by the license's name; a directory's
-    licence is that of its best licence file, ties by name. A directory that holds none asks the one above."""
+    Null text counts as empty. The best cosine of at least LIKE decides, ties by the number of words that its template
+    needs (a title that goes on, as that of CC BY-SA, also holds the shorter one), then by the license's name; a
+    directory's licence is that of its best licence file, ties by name. A directory that holds none asks the one
+    above. A licence file is one with a licence and a licence file's name, or with at least COVERED of its words in
+    passages of its licence, however long it is."""
     files = files.select("doc_id", "path", text_of().alias("text"))
     found = staged(passages(files))
-    told = found.where("tells").groupBy("path", "row").agg(F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("own"), F.max("score").alias("score"))
+    told = found.where("tells").groupBy("path", "row").agg(F.min_by("license", F.struct(-F.col("score"), -F.col("needed"), F.col("license"))).alias("own"), F.max("score").alias("score"))
     # The words in passages of the file's licence: each passage adds what lies beyond those that began before it.
     before = Window.partitionBy("path", "row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     within = told.join(found, ["path", "row"]).where(F.col("license") == F.col("own")).select("path", "row", "own", told["score"].alias("score"), "words", "start", "stop")
     within = within.withColumn("added", F.greatest(F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))), F.lit(0)))
     best = within.groupBy("path", "row", "own", "score", "words").agg(F.sum("added").alias("covered"))
-    best = best.withColumn("whole", (F.col("words") <= FILE_WORDS) & (F.col("covered") >= COVERED * F.col("words")))
+    named = F.col("path").rlike(_NAMED) & ~F.col("path").rlike(_PROGRAM)
+    best = best.withColumn("whole", named | (F.col("covered") >= COVERED * F.col("words")))
     best = staged(best.groupBy("path").agg(F.min_by("own", F.struct(-F.col("score"), F.col("own"))).alias("own"), F.max("score").alias("score"), F.max("whole").alias("whole")))
 
     # Every directory once, with the directories above it, the nearest first.
