@@ -98,11 +98,11 @@ class Models:
         return self.ratio(token) > max(MARGIN, NATS / len(token))
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """All spans: the base ones and tokens outside of them that the models call random."""
+        """All spans: the base ones and whole tokens not within one of them that the models call random."""
         base = base_spans(text)
         added = []
         for m in _TOKEN.finditer(text):
-            if all(b <= m.start() or m.end() <= a for a, b, _ in base) and self.is_random(m[0]):
+            if not any(a <= m.start() and m.end() <= b for a, b, _ in base) and self.is_random(m[0]):
                 added.append((m.start(), m.end(), "random"))
         return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
