@@ -214,6 +214,16 @@ def test_license_files_of_any_length(spark):
     assert {r.path: (r.license, r.basis) for r in licenses.licenses(files).collect()} == {p: c[1:] for p, c in cases.items()}
 
 
+def test_made_up_paths_inherit_over_several_levels(spark):
+    docs = spark.createDataFrame([(i, "", "s", None) for i in range(400)], "doc_id long, text string, source string, lang string")
+    files = licenses.path_of(docs).withColumn("text", F.when(F.size(F.split("path", "/")) == 3, licenses.TEMPLATES["MIT"]))
+    paths = {r.path for r in files.collect()}
+    assert {p.count("/") for p in paths} == {2, 3, 4, 5} and len(paths) == 400
+    up = {r.path.rsplit("/", 1)[0].count("/") - r.inherited_from.count("/") for r in licenses.licenses(files).collect() if r.basis == "inherited"}
+    assert up == {1, 2, 3}
+    assert licenses.path_of(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "source", "lang")).where("path is null").count() == 0
+
+
 # ------------------------------------------------------------------ URL filter
 
 

@@ -117,9 +117,12 @@ def _templates(spark: SparkSession, known: list[Template]) -> list[list[str]]:
 
 
 def path_of(docs: DataFrame) -> DataFrame:
-    """docs with the path that a corpus of this layout gives them: /source/lang/block of 100 ids/id.txt."""
-    block = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / 100).cast("string")
-    return docs.withColumn("path", F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), block, F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
+    """docs with the path that a corpus of this layout gives them: /source/lang/block of 100 ids/ten ids/id.txt, of
+    which a hash of the id keeps one to all four directories."""
+    number = F.coalesce(F.col("doc_id"), F.lit(0))
+    above = F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(number / 100).cast("string"), F.floor(number / 10).cast("string"))
+    kept = F.slice(above, F.lit(1), (F.pmod(F.xxhash64(number), F.lit(4)) + 1).cast("int"))
+    return docs.withColumn("path", F.concat(F.lit("/"), F.array_join(kept, "/"), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
 
 
 def _anchors(unit: dict[str, float], idf: dict[str, float]) -> list[str]:
