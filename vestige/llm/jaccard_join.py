@@ -2,19 +2,25 @@
 
 A document is the set of its word shingles (tokens). Tokens stand in one order for all documents: rare ones by
 hash, then the frequent ones, rarest first. Two sets of similarity THRESHOLD/100 or more share a token in their
-first n - ceil(n * t) + 1 tokens; if the prefix grows by one token for each class of frequent tokens in it, they
-share a rare token or two frequent ones of a class. So rare prefix tokens are indexed singly, and frequent ones as
-pairs within their class; classes number with the set's size, so that a prefix has a few pairs a token. Every
-candidate is verified on the whole sets.
-
-Within an index list a leader is compared with the other members; after that only members which are in different
-components meet. So a group of copies costs a number of comparisons in proportion to its size, and every link that
-could join two components is looked at.
+first n - o + 1 tokens, o being the overlap that they need; if the prefix grows by k - 1 tokens for each class of
+frequent tokens in it, they share a rare token or k frequent ones of a class. So rare prefix tokens are indexed
+singly, frequent ones as pairs within their class and very frequent ones as triples; classes number with the set's
+size, so that a prefix has a few keys a token. Each entry says how many of the set's tokens count from its key on:
+a pair whose needed overlap exceeds that on either side meets by another key or not at all, so it isn't formed.
+Every candidate is verified on the whole sets.
+
+Within an index list the member with the shortest prefix, nearest to what the list's members have in common, leads:
+it is compared with the other members. After that only members of different components meet, with more leaders a
+list in each round, until no list has two components or the pairs left are few for the number of entries. So a group
+of copies costs a number of comparisons in proportion to its size, and every link that could join two components is
+looked at.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +33,15 @@ THRESHOLD = 75
 #: Frequent tokens: at most so many, in no fewer documents than this. Summaries name all that are in more than
 #: 2 / (FREQUENT + 1) of the corpus's tokens.
 FREQUENT, LEAST = 1 << 16, 32
-#: Tokens of a set for each class of frequent ones; smaller sets index frequent tokens singly.
-A_CLASS = 32
-_SEEN = 200_000
+#: Frequent tokens in this many documents are combined by threes, the others by twos; sets under SMALL tokens have too
+#: few tokens for threes.
+VERY, SMALL = 1 << 12, 16
+#: Tokens of a set for each class of frequent ones, by the size of combinations.
+A_CLASS = {2: 32, 3: 16}
+#: Leaders a list grow by this factor in each round; the pairs that remain are all formed once they number at most
+#: FEW for each entry of the index.
+MORE, FEW = 8, 2
+_SEEN = 50_000
 
 
 def _token_sets(texts: list[str]):
@@ -89,16 +101,23 @@ while _LEVELS[-1] < 1 << 40:
 _LEVELS = np.array(_LEVELS)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set of sorted tokens, and whether each stands within its shorter prefix. frequent: sorted tokens;
-    place: each one's place in their order.
+@lru_cache(1024)
+def _choices(n: int, k: int) -> np.ndarray:
+    """Columns of k places out of n."""
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k).T
 
-    Of linked sets the one that isn't larger lacks fewer of the other's tokens, so its prefix may be shorter: a pair
-    is a candidate only by a key of the smaller one's shorter prefix. Linked sets' sizes lie in one level or in
-    neighbouring ones, and both emit the keys of the upper one."""
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set of sorted tokens; for each, how many tokens count from it on, and whether it combines frequent
+    ones. frequent: sorted tokens; place: each one's place in their order; size: of its combinations.
+
+    A key counts for an overlap o if its last token lies in the shortest prefix that, less k - 1 tokens of each
+    class, has n - o + 1 tokens. Linked sets' sizes lie in one level or in neighbouring ones, and both emit the keys
+    of the upper one. A set of one token links with its copies alone and has no keys."""
     n = len(tokens)
-    beyond = n - (THRESHOLD * n + 99) // 100  # tokens that may be missing from the other set
-    beyond_smaller = n - (2 * THRESHOLD * n + 99 + THRESHOLD) // (100 + THRESHOLD)
+    beyond = n - (THRESHOLD * n + 99) // 100  # tokens that may be missing from another set
+    if n < 2:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -106,67 +125,68 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> t
         often = np.zeros(n, bool)
     n_rare = n - int(often.sum())
     if n_rare > beyond:
-        keys = tokens[~often][: beyond + 1]
-        return keys, np.arange(len(keys)) <= beyond_smaller
-    ordered = np.concatenate((tokens[~often], tokens[often][np.argsort(place[at[often]])]))
-    keys, short = [], []
+        return tokens[~often][: beyond + 1], n - np.arange(beyond + 1), np.zeros(beyond + 1, bool)
+    order = np.argsort(place[at[often]])
+    ordered, by = np.concatenate((tokens[~often], tokens[often][order])), size[at[often]][order]
+    keys, left, combined = [ordered[:n_rare]], [n - np.arange(n_rare)], [np.zeros(n_rare, bool)]
     level = int(np.searchsorted(_LEVELS, n, "right")) - 1
-    for low in _LEVELS[level : level + 2]:
-        classes = int(low) // A_CLASS
-        if not classes:
-            keys.append(ordered[: beyond + 1])
-            short.append(np.arange(beyond + 1) <= beyond_smaller)
-            continue
-        own = (ordered[n_rare:] >> np.uint64(7)) % np.uint64(classes)
-        first = np.zeros(n, np.int64)
-        first[n_rare + np.unique(own, return_index=True)[1]] = 1
-        free = np.arange(n) - np.cumsum(first)
-        prefix, shorter = int(np.argmax(free >= beyond)) + 1, int(np.argmax(free >= beyond_smaller)) + 1
-        keys.append(ordered[: min(prefix, n_rare)])
-        short.append(np.arange(len(keys[-1])) < shorter)
-        combined, own, within = ordered[n_rare:prefix], own[: max(0, prefix - n_rare)], np.arange(n_rare, prefix) < shorter
-        for c in np.unique(own):
-            members = np.flatnonzero(own == c)
-            members = members[np.argsort(combined[members])]
-            i, j = np.triu_indices(len(members), 1)
-            x, y = members[i], members[j]
-            keys.append(mix(combined[x] * np.uint64(3) + mix(combined[y] + np.uint64(classes))))
-            short.append(within[x] & within[y])
-    keys, short = np.concatenate(keys), np.concatenate(short)
-    order = np.lexsort((~short, keys))
-    keys, short = keys[order], short[order]
-    once = np.concatenate(([True], keys[1:] != keys[:-1]))
-    return keys[once], short[once]
-
-
-def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """(sig, doc_id, n) of all documents, n negative for keys outside of the shorter prefix; a task indexes the
-    copies of a set that it has indexed not again."""
-
-    def flush(ids, sizes, keys):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32))], ["sig", "doc_id", "n"])
+    schemes = {(max(1, low // A_CLASS[2]), max(1, low // A_CLASS[3]), low >= SMALL) for low in _LEVELS[level : level + 2].tolist()}
+    for twos, threes, large in schemes:
+        by_ = by if large else np.full(n - n_rare, 2)
+        classes = np.where(by_ == 2, twos, threes).astype(np.uint64)
+        own = ((ordered[n_rare:] >> np.uint64(7)) % classes).astype(np.int64) * 4 + by_
+        # The first k - 1 tokens of a class don't count towards the prefix.
+        rank = np.argsort(own, kind="stable")
+        begins = np.concatenate(([True], own[rank][1:] != own[rank][:-1]))
+        nth = np.empty(n - n_rare, np.int64)
+        nth[rank] = np.arange(n - n_rare) - np.maximum.accumulate(np.where(begins, np.arange(n - n_rare), 0))
+        free = np.concatenate((np.arange(n_rare), np.arange(n_rare, n) - np.cumsum(nth < by_ - 1)))
+        prefix = int(np.argmax(free >= beyond)) + 1 if free[-1] >= beyond else n
+        needs = np.concatenate(([0], free[:-1] + 1))  # tokens that may be missing before this one counts
+        head = own[: max(0, prefix - n_rare)]
+        for c in np.unique(head).tolist():
+            members = np.flatnonzero(head == c) + n_rare
+            k = c % 4
+            if len(members) < k:
+                continue
+            members = members[np.argsort(ordered[members])]
+            chosen = members[_choices(len(members), k)]
+            key = np.full(chosen.shape[1], twos * 8 + k + 4 * large, np.uint64)
+            for token in ordered[chosen]:
+                key = mix(key * np.uint64(3) + token)
+            keys.append(key)
+            left.append(n - needs[chosen.max(axis=0)])
+            combined.append(np.ones(len(key), bool))
+    return np.concatenate(keys), np.concatenate(left), np.concatenate(combined)
+
+
+def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(sig, doc_id, n, left, combined) of all documents; a task indexes the copies of a set that it has indexed not
+    again."""
+
+    def flush(ids, sizes, keys, left, combined):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32), (left, np.int32), (combined, bool))], ["sig", "doc_id", "n", "left", "combined"])
 
     def index(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids, sizes, keys = [], [], []
+            rows = [], [], [], [], []
             for doc_id, tokens in zip(b.column(0).to_pylist(), _token_sets(b.column(1).to_pylist())):
                 if len(tokens) == 0 or (own := _print(tokens)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(own)
-                found, short = signatures(tokens, frequent, place)
-                keys.append(found)
-                ids.append(np.full(len(found), doc_id, np.int64))
-                sizes.append(np.where(short, len(tokens), -len(tokens)))
-                if len(keys) >= 2000:
-                    yield flush(ids, sizes, keys)
-                    ids, sizes, keys = [], [], []
-            if keys:
-                yield flush(ids, sizes, keys)
+                found = signatures(tokens, frequent, place, size)
+                for kept, new in zip(rows, (np.full(len(found[0]), doc_id, np.int64), np.full(len(found[0]), len(tokens)), *found), strict=True):
+                    kept.append(new)
+                if len(rows[0]) >= 1000:
+                    yield flush(*rows)
+                    rows = [], [], [], [], []
+            if rows[0]:
+                yield flush(*rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(index, "sig long, doc_id long, n int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(index, "sig long, doc_id long, n int, left int, combined boolean")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -221,36 +241,15 @@ def most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
 
 
-#: Words of 64 bits of a set's bit map.
-MAP = 8
-
-
-def bit_map(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each token, at one of 64 * MAP places."""
-    bits = np.zeros(64 * MAP, np.uint8)
-    bits[((tokens >> np.uint64(33)) % np.uint64(64 * MAP)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
-def _maps_allow(n: str, a: str, m: str, b: str) -> str:
-    """SQL: whether sets of n and m tokens can link by their bit maps, columns a0.. and b0..: each bit that only one
-    has stands for a token at least that the other lacks."""
-    lacks = lambda x, y: " + ".join(f"bit_count({x}{k} & ~{y}{k})" for k in range(MAP))
-    most = f"least({n} - ({lacks(a, b)}), {m} - ({lacks(b, a)}))"
-    return f"{100 + THRESHOLD} * {most} >= {THRESHOLD} * ({n} + {m})"
-
-
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, cells, w0, w1, ...) of each text."""
-    names = ["doc_id", "n", "cells", *(f"w{k}" for k in range(MAP))]
+    """(doc_id, n, cells) of each text."""
 
     def each(batches):
         for b in batches:
             sets = list(_token_sets(b.column(1).to_pylist()))
-            maps = np.array([bit_map(t) for t in sets], np.int64).reshape(-1, MAP)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary()), *(pa.array(maps[:, k]) for k in range(MAP))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["doc_id", "n", "cells"])
 
-    return texts.mapInArrow(each, "doc_id long, n long, cells binary, " + ", ".join(f"w{k} long" for k in range(MAP)))
+    return texts.mapInArrow(each, "doc_id long, n long, cells binary")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -280,53 +279,94 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(lower.join(jump, "comp").select("node", F.col("jumped").alias("comp")))
 
 
+def _lists(docs: DataFrame, copies: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(sig, id, n, left): the index's lists of two members or more; a set's copies are one member.
+
+    Lists of rare tokens are short by the summaries' bound, so a window counts them; those of combinations may hold
+    any share of the rows, so they are counted by partial sums and joined, which splits a hot list."""
+    index = staged(_index(docs, frequent, place, size))
+    rare = index.where("not combined").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("members > 1")
+    combined = index.where("combined")
+    several = combined.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    kept = rare.select("sig", "doc_id", "n", "left").union(combined.join(several, "sig").select("sig", "doc_id", "n", "left"))
+    return kept.join(copies, "doc_id", "left").groupBy("sig", F.coalesce("rep", "doc_id").alias("id"), "n").agg(F.max("left").alias("left"))
+
+
+#: SQL: whether sets of n and m tokens, of which `left` and `its` count from a shared key on, can link by it.
+_MEETS = f"{100 + THRESHOLD} * least(left, its) >= {THRESHOLD} * (n + m)"
+
+
+def _joined_components(lists: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(id, comp) of the members that link with others. lists: what _lists() gives."""
+    spark, names, leaders, tried = lists.sparkSession, None, 1, None
+    entries = lists.count()
+    while True:
+        if names is not None:
+            told = lists.join(names, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        else:
+            told = lists.withColumn("comp", F.col("id"))
+        # A list is open if it has two components; a member counts that can link with one of the others' sizes.
+        open_ = told.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("m"), F.max("left").alias("its")).where("lo < hi")
+        told = staged(told.join(open_, "sig").where(_MEETS).select("sig", "id", "n", "left", "comp"))
+        of_one = told.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        pairs_left = of_one.groupBy("sig").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("alike")).agg(F.sum(F.expr("(members * members - alike) / 2"))).first()[0]
+        if not pairs_left:
+            break
+        other = told.select("sig", F.col("id").alias("b"), F.col("n").alias("m"), F.col("left").alias("its"), F.col("comp").alias("beside"))
+        last = pairs_left <= FEW * entries
+        if last:
+            pairs = told.join(other, "sig").where(f"comp <> beside and id > b and {_MEETS}")
+        else:
+            # Those of a list whose prefix is shortest, one for each of `leaders` remainders of the ids' hashes.
+            nearest = F.struct((F.col("its") / F.col("m")).alias("share"), -F.col("b"))
+            first = staged(other.groupBy("sig", F.pmod(F.xxhash64("b"), F.lit(leaders)).alias("nth")).agg(*[F.max_by(c, nearest).alias(c) for c in ("b", "m", "its", "beside")]).drop("nth"))
+            pairs = told.join(first, "sig").where(f"comp <> beside and {_MEETS}")
+        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = staged(_verified(staged(_possible(pairs, sketches)), texts))
+        if found.limit(1).count():
+            # Components of components: their least ids.
+            if names is None:
+                names = components(found).select(F.col("node").alias("id"), "comp")
+            else:
+                named = lambda side: names.select(F.col("id").alias(side), F.col("comp").alias(side + "_comp"))
+                edges = found.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b").distinct()
+                higher = components(staged(edges)).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+                known = names.join(higher, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+                names = staged(known.union(higher.join(names.select(F.col("id").alias("comp")), "comp", "left_anti").select("comp", "top")))
+        if last:
+            break
+        # A leader has met all of its list.
+        lists = told.select("sig", "id", "n", "left").join(first.select("sig", F.col("b").alias("id")), ["sig", "id"], "left_anti")
+        tried = pairs if tried is None else tried.union(pairs)
+        leaders *= MORE
+    return names if names is not None else spark.createDataFrame([], "id long, comp long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Null text counts as empty; a text without words has no shingles and no links. Rows that share a doc_id are one
     node. A row without doc_id has no node, so its component_id is null. Other columns aren't read."""
-    spark = docs.sparkSession
     described = staged(_described(docs))
     sets = described.where("kind = 0").select("doc_id", "n", "f1", "f2")
     top = described.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "f1").limit(FREQUENT).collect()
     frequent = np.array([r.f1 for r in reversed(top)], np.int64).astype(np.uint64)  # rarest first
+    size = np.array([2 if r.n < VERY else 3 for r in reversed(top)], np.int64)
     order = np.argsort(frequent)
-    frequent, place = frequent[order], order
+    frequent, place, size = frequent[order], order, size[order]
 
     # Copies of a set count as its smallest doc_id.
     groups = staged(sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     copies = staged(sets.join(groups, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
 
-    listed = Window.partitionBy("sig")
-    shared = _index(docs, frequent, place).select("*", F.count(F.lit(1)).over(listed).alias("size"), F.max("n").over(listed).alias("top")).where("size > 1 and top > 0")
-    lists = staged(shared.join(copies, "doc_id", "left").groupBy("sig", F.coalesce("rep", "doc_id").alias("id")).agg(F.max("n").alias("n"), F.max(F.abs("n")).alias("size")))
-
-    # The leader is compared with all that it can link with by this list.
-    leaders = staged(lists.groupBy("sig").agg(F.min(F.when(F.col("n") > 0, F.struct("id", "size"))).alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1 and leader is not null").select("sig", F.col("leader.id").alias("b"), F.col("leader.size").alias("m")))
-    alike = f"100 * least(size, m) >= {THRESHOLD} * greatest(size, m)"
-    pairs = staged(lists.join(leaders, "sig").where(f"id <> b and {alike} and (n > 0 or struct(size, id) > struct(m, b))").select(F.col("id").alias("a"), "b").distinct())
+    lists = staged(_lists(docs, copies, frequent, place, size))
     involved = lists.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(involved, "doc_id", "left_semi"))
-    sketches = staged(_sketches(texts))
-    edges = staged(_verified(staged(_possible(pairs, sketches)), texts))
-    labels = components(edges)
-
-    # What that leaves apart meets again: the members of different components.
-    apart = lists.join(labels.select(F.col("node").alias("id"), "comp"), "id", "left").select("sig", "id", "n", "size", F.coalesce("comp", "id").alias("comp"))
-    open_ = staged(apart.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig"))
-    words = [F.col(f"w{k}") for k in range(MAP)]
-    maps = sketches.select(F.col("doc_id").alias("id"), F.col("n").alias("own"), *words)
-    apart = staged(apart.join(open_, "sig").join(maps, "id"))
-    smaller = apart.where("n > 0").select("sig", F.col("id").alias("b"), F.col("size").alias("m"), F.col("comp").alias("other"), F.col("own").alias("its"), *[w.alias(f"v{k}") for k, w in enumerate(words)])
-    rest = apart.join(smaller, "sig").where(f"comp <> other and struct(size, id) > struct(m, b) and {alike} and {_maps_allow('own', 'w', 'its', 'v')}").select(F.col("id").alias("a"), "b").distinct()
-    tried = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    rest = staged(rest.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).join(tried, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = staged(_verified(staged(_possible(rest, sketches)), texts))
-    if found.limit(1).count():
-        labels = components(edges.union(found))
-
-    named = sets.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node"))
-    return named.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"))
+    labels = _joined_components(lists, texts, staged(_sketches(texts)))
+
+    named = sets.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("id"))
+    return named.join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
