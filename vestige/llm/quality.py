@@ -1,20 +1,23 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams, one of target documents (a bounded sample of those labelled good) and one
-of the raw corpus (all documents), give each document a log importance weight, the mean over its n-grams of the
-ratio of the models' log-probabilities. Gumbel noise makes the largest `keep` keys a sample without replacement.
+of the raw corpus (all documents), give each document a log importance weight from its n-grams' ratios of the
+models' log-probabilities: their sum divided by their number to the power `normalise`. Gumbel noise, times
+`temperature`, makes the largest `keep` keys a sample without replacement in proportion to exp(weight /
+temperature).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import grouped_words, mix, staged, text_of
+from vestige.llm.common import mix, staged, text_of, texts_of, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model and the cut are fitted on, at most; of each label.
@@ -22,23 +25,42 @@ LABELLED = 4000
 #: The cut: this quantile of the labelled good documents' weights, less SLACK nats a n-gram, so that good documents
 #: of a few words, whose means scatter, stay too.
 LOST, SLACK = 0.002, 0.08
-#: Scale of the Gumbel noise, in nats a n-gram. Weights are means, so 1 would drown them.
-TEMPERATURE = 0.01
+#: In production weights are means (NORMALISE 1; sums have 0), which compares short documents with long ones, and the
+#: noise is small beside the gap between good and bad documents: 1 would drown means, and sums would keep long ones.
+NORMALISE, TEMPERATURE = 1.0, 0.01
+#: Counts that each bucket has at least, in both models.
+SMOOTH = 20.0
 _REPEAT = np.uint64(0x5EED)
-
-
-def features(texts: list[str]) -> list[np.ndarray]:
-    """Buckets of each text's n-grams: words, pairs of neighbouring words (one bucket for a repeated word) and runs
-    of three bytes."""
-    out: list[np.ndarray] = []
-    for at, words in grouped_words(texts, fold=False):
-        for text, w in zip(texts[at : at + len(words)], words):
-            codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-            runs = codes[:-2] << np.uint64(16) | codes[1:-1] << np.uint64(8) | codes[2:] if len(codes) > 2 else codes
-            pairs = np.where(w[1:] == w[:-1], _REPEAT, w[1:] * np.uint64(3) + w[:-1])
-            grams = np.concatenate((w, mix(pairs + np.uint64(1)), mix(runs + (np.uint64(1) << np.uint64(40)))))
-            out.append((grams % np.uint64(BUCKETS)).astype(np.int64))
-    return out
+#: Bytes of text whose n-grams are held at once.
+_BLOCK = 1 << 19
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, index of the text of each) of the texts' n-grams, block by block: words, pairs of neighbouring words
+    (one bucket for a repeated word) and runs of three bytes."""
+    bucket = lambda hashes: (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    at = 0
+    while at < len(texts):
+        run, size = [], 0
+        while at + len(run) < len(texts) and (not run or size < _BLOCK):
+            run.append(texts[at + len(run)].encode("utf-8", "surrogatepass"))
+            size += len(run[-1]) + 1
+        data, ends = b"\n".join(run), np.cumsum([len(x) + 1 for x in run])
+        words, starts = word_hashes(data, fold=False)
+        owner = np.searchsorted(ends, starts, "right")
+        yield bucket(words), at + owner
+        beside = np.flatnonzero(owner[1:] == owner[:-1])
+        first, second = words[beside], words[beside + 1]
+        yield bucket(mix(np.where(first == second, _REPEAT, second * np.uint64(3) + first) + np.uint64(1))), at + owner[beside]
+        del words, starts, owner, beside, first, second
+        codes = np.frombuffer(data, np.uint8)
+        for low in range(0, max(0, len(codes) - 2), _BLOCK):
+            part = codes[low : low + _BLOCK + 2].astype(np.uint64)
+            owner = np.searchsorted(ends, np.arange(low, low + len(part) - 2), "right")
+            whole = np.arange(low, low + len(part) - 2) + 3 < ends[owner]  # ends count the separator
+            runs = part[:-2] << np.uint64(16) | part[1:-1] << np.uint64(8) | part[2:]
+            yield bucket(mix(runs[whole] + (np.uint64(1) << np.uint64(40)))), at + owner[whole]
+        at += len(run)
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
@@ -47,8 +69,8 @@ def _counts(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for f in features(b.column(0).to_pylist()):
-                total += np.bincount(f, minlength=BUCKETS)
+            for buckets, _ in grams(b.column(0).to_pylist()):
+                total += np.bincount(buckets, minlength=BUCKETS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
@@ -59,16 +81,20 @@ def _counts(docs: DataFrame) -> np.ndarray:
 
 
 def log_ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Per bucket, log-probability in the target less that in the raw corpus, both smoothed by one count a bucket
-    scaled to the target's size."""
+    """Per bucket, log-probability in the target less that in the raw corpus. The raw counts are scaled to the
+    target's size, then both get SMOOTH counts a bucket."""
     raw, good = _counts(docs).astype(float), _counts(target).astype(float)
-    share = min(1.0, (good.sum() + 1) / (raw.sum() + 1))
-    smooth = 20.0
-    return np.log((good + smooth) / (good + smooth).sum()) - np.log((raw * share + smooth) / (raw * share + smooth).sum())
+    raw *= min(1.0, (good.sum() + 1) / (raw.sum() + 1))
+    return np.log((good + SMOOTH) / (good + SMOOTH).sum()) - np.log((raw + SMOOTH) / (raw + SMOOTH).sum())
 
 
-def weights(texts: list[str], ratios: np.ndarray) -> list[float]:
-    return [float(ratios[f].mean()) if len(f) else 0.0 for f in features(texts)]
+def weights(texts: list[str], ratios: np.ndarray, normalise: float = NORMALISE) -> np.ndarray:
+    """Log importance weights; 0 for a text without n-grams."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for buckets, owner in grams(texts):
+        total += np.bincount(owner, ratios[buckets], minlength=len(texts))
+        n += np.bincount(owner, minlength=len(texts))
+    return total / np.maximum(n, 1) ** normalise
 
 
 def _gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
@@ -76,19 +102,21 @@ def _gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(u / 2.0**53))
 
 
-def _scored(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
-    """docs with log_weight and key added. A null doc_id draws the noise of 0; text without n-grams weighs 0."""
+_ADDED = ("log_weight", "key", "kept")
+
+
+def _scored(docs: DataFrame, ratios: np.ndarray, seed: int, normalise: float, temperature: float) -> DataFrame:
+    """docs with __log_weight and __key added. A null doc_id draws the noise of 0."""
     names = docs.columns
 
     def score(batches):
         for b in batches:
-            w = np.array(weights(["" if t is None else t for t in b.column(names.index("text")).to_pylist()], ratios), float)
+            w = weights(texts_of(b.column(names.index("text"))), ratios, normalise)
             ids = np.array([0 if i is None else i for i in b.column(names.index("doc_id")).to_pylist()], np.int64)
-            key = w + TEMPERATURE * _gumbel(ids, seed)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(key)], [*names, "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w + temperature * _gumbel(ids, seed))], [*names, "__log_weight", "__key"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, log_weight double, key double")
+    return docs.mapInArrow(score, f"{fields}, __log_weight double, __key double")
 
 
 def nth_largest(keys: DataFrame, n: int) -> float:
@@ -119,19 +147,26 @@ def labelled(docs: DataFrame, labels: DataFrame, quality: int) -> DataFrame:
 
 
 class Resampler:
-    """Fitted on docs and labels. keep is the number of documents that stay: as many as reach the cut. Without good
-    labels all stay."""
+    """Fitted on docs and labels. keep: how many documents stay; without it, as many as reach the cut under the
+    labelled good documents' weights, and all where there are none. Null text counts as empty; it weighs 0, like any
+    text without n-grams. Rows that tie with the last one that stays, stay too, so repeated rows share one fate."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, seed: int = 7):
-        docs, self.seed = docs.select("doc_id", "text"), seed
+    def __init__(self, docs: DataFrame, labels: DataFrame, seed: int = 7, keep: int | None = None, normalise: float = NORMALISE, temperature: float = TEMPERATURE):
+        docs, self.how = docs.select("doc_id", "text"), (seed, normalise, temperature)
         good = staged(labelled(docs, labels, 1))
         self.ratios = log_ratios(docs, good)
-        scored = _scored(good, self.ratios, seed).select("log_weight")
-        cut = scored.agg(F.percentile_approx("log_weight", LOST, 100_000)).first()[0]
-        keys = staged(_scored(docs, self.ratios, seed).select("log_weight", "key"))
-        self.keep = keys.where(F.col("log_weight") >= (-math.inf if cut is None else cut - SLACK)).count()
+        scored = _scored(good, self.ratios, *self.how).select("__log_weight")
+        cut = scored.agg(F.percentile_approx("__log_weight", LOST, 100_000)).first()[0]
+        keys = staged(_scored(docs, self.ratios, *self.how).select(F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key")))
+        self.keep = keys.where(F.col("log_weight") >= (-math.inf if cut is None else cut - SLACK)).count() if keep is None else min(keep, keys.count())
         self.least = nth_largest(keys, self.keep) if self.keep else math.inf
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with log_weight, key and kept added; keys that tie with the last one that stays, stay too."""
-        return _scored(docs, self.ratios, self.seed).withColumn("kept", F.col("key") >= self.least)
+        """docs with log_weight, key and kept added; columns of docs that are named so give way."""
+        scored = _scored(docs, self.ratios, *self.how)
+        own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED]
+        return scored.select(*own, F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key"), (F.col("__key") >= self.least).alias("kept"))
+
+    def kept(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs that stay, with all their columns."""
+        return _scored(docs, self.ratios, *self.how).where(F.col("__key") >= self.least).select(*[F.col(f"`{c}`") for c in docs.columns])
