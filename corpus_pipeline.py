@@ -13,28 +13,31 @@ from vestige.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampler keeps."""
-    resampler = quality.Resampler(docs, table(spark, sf_dir, "labels"))
-    return resampler.apply(docs).where("kept").select(*docs.columns)
+    """Documents that the importance resampler keeps. Null and empty texts weigh 0 and so stay where clean documents
+    of that weight would; repeated rows and ties share one fate; an empty table stays empty."""
+    return quality.Resampler(docs, table(spark, sf_dir, "labels")).kept(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the one with the most code points, then the smallest doc_id (null last). Null and
+    empty texts are one text."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """The document of smallest doc_id of each component of near copies. Texts without words (null ones too) are
+    near none, and rows without doc_id stay."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced."""
+    """All documents, each secret replaced by `[secret]`; null and empty texts stay as they are."""
     return secrets.redacted(docs, secrets.train(docs, table(spark, sf_dir, "labels")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null or empty text is its end token alone. Where sequences are cut
+    depends on the order in which tasks read the documents, what they hold doesn't."""
     return packing.packed(docs, tokenizer_path())
 
 
