@@ -14,8 +14,7 @@ import json
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, groupby
-from operator import itemgetter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from vestige.llm.common import texts_of
 
 #: Bytes of a word that goes through the arrays; words at once; characters of text at once.
 SHORT, ROWS, BATCH = 64, 20_000, 1 << 21
-#: Entries of a worker's word cache, after which it starts anew.
-CACHED_WORDS = 300_000
+#: Chunks of up to SHORT characters that a task keeps; beyond that the half that was learnt first goes.
+CACHED = 300_000
 
 # The split pattern of byte-level BPE vocabularies, with white space spelled out.
 _S = r"\t-\r \x85\xa0  -     　"
@@ -47,7 +46,7 @@ class ByteBpe:
     """encode() gives the ids that the tokenizers library gives for the same file, special tokens in the text
     included; decode() gives its text."""
 
-    def __init__(self, path: str, word_ids: Callable[[list[bytes]], Iterable[Sequence[int]]] | None = None):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letter = byte_letters()
@@ -58,9 +57,7 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._word_ids = word_ids or self.merged
-        self._words: dict[str, Sequence[int]] = {}
-        self._chunks: dict[str, Sequence[int]] = {}
+        self.shown = [str(i) for i in range(max(self.bytes_of) + 1)]
         self.rank_of = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(parts)}
         self.none = len(parts)
         self._joined = np.array([self.ids[a + b] for a, b in parts] + [-1], np.int32)  # by rank
@@ -159,79 +156,113 @@ class ByteBpe:
             i = ends[i]
         return out
 
-    def _learn(self, chunks: Iterable[str]) -> dict[str, Sequence[int]]:
-        """The ids of chunks that aren't kept yet; each stands for itself after a space."""
-        if len(self._words) >= CACHED_WORDS:
-            self._words.clear()
-        words, split = self._words, {}
+    def pieces(self, text: str) -> list[str]:
+        """The text around its special tokens, these at odd places."""
+        return self._special.split(text) if self._special and any(t in text for t in self.special) else [text]
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        for row in Chunks(self, tuple).rows(texts):
+            yield list(chain.from_iterable(row))
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_batch([text]))
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Chunks:
+    """What the ids of texts' chunks become, kept for the chunks that come again.
+
+    Where each space of a text stands alone between other characters, a word begins at it, so what lies between two
+    spaces is encoded by itself, with the space before it."""
+
+    def __init__(self, bpe: ByteBpe, become: Callable[[Sequence[int]], object], both: Callable = lambda a, b: a + b):
+        """become: of a word's ids; both: what two neighbours become together."""
+        self.bpe, self.become, self.both = bpe, become, both
+        self.known: dict[str, object] = {}  # by chunk, without the space before it
+        self.words: dict[str, object] = {}  # by word, for words that aren't such chunks
+
+    def _merged(self, words: list[str]) -> list[object]:
+        return list(map(self.become, self.bpe.merged([w.encode("utf-8", "surrogatepass") for w in words])))
+
+    def _of(self, words: Sequence[str]) -> object:
+        """words: known ones."""
+        out = self.words[words[0]]
+        for w in words[1:]:
+            out = self.both(out, self.words[w])
+        return out
+
+    def _learn(self, chunks: set[str], words_too: set[str]) -> None:
+        known, words = self.known, self.words
+        plain, ended, split = [], [], {}
         for c in chunks:
             if c.isalpha():
-                split[c] = (" " + c,)
+                plain.append(c)
             elif c[:-1].isalpha():
-                split[c] = (" " + c[:-1], c[-1])
+                ended.append(c)
             else:
                 split[c] = SPLIT.findall(" " + c)
-        new = list(set(chain.from_iterable(split.values())).difference(words))
-        words.update(zip(new, self._word_ids([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-        out = {c: words[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(words.__getitem__, w))) for c, w in split.items()}
-        for w in new:
-            if len(w) > SHORT:
-                del words[w]
-        return out
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        """Without special tokens. Where each space stands alone between other characters, a word begins at it, so
-        a text falls into chunks that can be kept."""
-        if len(self._chunks) >= CACHED_WORDS:
-            self._chunks.clear()
-        chunks = self._chunks
-        starts, rows = [], []
+        plain += {c[:-1] for c in ended}.difference(known, plain)
+        new = list(words_too.union((c[-1] for c in ended), *split.values()).difference(words))
+        merged = self._merged([*(" " + c for c in plain), *new])
+        known.update(zip(plain, merged))
+        words.update(zip(new, merged[len(plain) :], strict=True))
+        for c in ended:
+            known[c] = self.both(known[c[:-1]], words[c[-1]])
+        for c, w in split.items():
+            known[c] = self._of(w)
+        self._new, self._new_words = [*plain, *split], new
+
+    def _forget(self) -> None:
+        """Long chunks, which hardly come again, and the oldest ones where there are too many."""
+        for kept, new in ((self.known, self._new), (self.words, self._new_words)):
+            for c in new:
+                if len(c) > SHORT:
+                    kept.pop(c, None)
+            if len(kept) > CACHED:
+                for c in list(islice(kept, len(kept) // 2)):
+                    del kept[c]
+
+    def _rows(self, texts: list[str]) -> list[list[object]]:
+        """Of texts without special tokens."""
+        starts, rows, known = [], [], self.known
         for t in texts:
-            if _ODD_SPACE.search(t):
-                starts.append(SPLIT.findall(t))
-                rows.append(())
-            else:
-                # What precedes the first space has none before it, so it isn't a chunk.
-                start, space, rest = t.partition(" ")
-                starts.append(SPLIT.findall(start))
-                rows.append(rest.split(" ") if space else ())
-        new = self._learn(set().union(*rows).difference(chunks))
-        chunks.update(new)
-        words = list(set(chain.from_iterable(starts)))
-        first = dict(zip(words, self._word_ids([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
-        out = [list(chain.from_iterable(chain(map(first.__getitem__, start), map(chunks.__getitem__, row)))) for start, row in zip(starts, rows, strict=True)]
-        for c in new:
-            if len(c) > SHORT:
-                del chunks[c]
+            # What precedes the first space has none before it, so it isn't a chunk.
+            start, space, rest = (t, "", "") if _ODD_SPACE.search(t) else t.partition(" ")
+            starts.append(SPLIT.findall(start))
+            rows.append(rest.split(" ") if space else ())
+        self._learn(set().union(*rows).difference(known), set(chain.from_iterable(starts)))
+        out = [[*map(self.words.__getitem__, start), *map(known.__getitem__, row)] for start, row in zip(starts, rows, strict=True)]
+        self._forget()
         return out
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        at = 0
+    def rows(self, texts: list[str]) -> Iterator[list[object]]:
+        """Per text, what its words and chunks become, in order."""
+        bpe, at = self.bpe, 0
         while at < len(texts):
-            pieces, owner, end, size = [], [], at, 0
-            while end < len(texts) and size < BATCH:
-                found = self._special.split(texts[end]) if self._special and self._special.search(texts[end]) else [texts[end]]
+            pieces, counts, size = [], [], 0
+            while at + len(counts) < len(texts) and size < BATCH:
+                found = bpe.pieces(texts[at + len(counts)])
                 pieces += found
-                owner += [end] * len(found)
-                size += len(texts[end]) + 1
-                end += 1
-            # Tuples by the hundred thousand, none of them in a cycle, would set the collector off again and again.
+                counts.append(len(found))
+                size += sum(map(len, found)) + 1
+            # Values by the hundred thousand, none of them in a cycle, would set the collector off again and again.
             collecting = gc.isenabled()
             gc.disable()
             try:
-                plain = iter(self._plain([p for p in pieces if p not in self.special]))
+                plain = iter(self._rows([p for p in pieces if p not in bpe.special]))
             finally:
                 if collecting:
                     gc.enable()
-            for _, group in groupby(zip(owner, pieces, strict=True), key=itemgetter(0)):
-                yield list(chain.from_iterable([self.special[p]] if p in self.special else next(plain) for _, p in group))
-            at = end
-
-    def encode(self, text: str) -> list[int]:
-        return next(self.encode_batch([text]))
-
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+            of = iter(pieces)
+            for n in counts:
+                if n == 1 and pieces:
+                    p = next(of)
+                    yield next(plain) if p not in bpe.special else [self.become((bpe.special[p],))]
+                else:
+                    yield list(chain.from_iterable([self.become((bpe.special[p],))] if p in bpe.special else next(plain) for p in islice(of, n)))
+            at += len(counts)
 
 
 @lru_cache(2)
@@ -245,12 +276,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches):
         bpe = encoder(path)
+        shown, bytes_of = bpe.shown.__getitem__, bpe.bytes_of.__getitem__
+        # A chunk's ids become their decimals and, decoded, their bytes.
+        chunks = Chunks(bpe, lambda ids: (",".join(map(shown, ids)), b"".join(map(bytes_of, ids))), lambda a, b: (a[0] + "," + b[0], a[1] + b[1]))
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode_batch(texts_of(batch.column(1))):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            for row in chunks.rows(texts_of(batch.column(1))):
+                ids = ",".join([c[0] for c in row]).encode()
+                n.append(ids.count(b",") + 1 if ids else 0)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(b"".join([c[1] for c in row]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -260,9 +295,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, an array of integers."""
 
     def encode(batches):
-        bpe = encoder(path)
+        chunks = Chunks(encoder(path), tuple)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(bpe.encode_batch(texts_of(batch.column(1)))), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [list(chain.from_iterable(row)) for row in chunks.rows(texts_of(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
