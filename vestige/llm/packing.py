@@ -18,53 +18,81 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vestige.llm.bpe import ByteBpe
+from vestige.llm.bpe import SPLIT, ByteBpe
 from vestige.llm.common import texts_of
 
 WINDOW = 2048
 END = 1
 STRIDE = 128
-#: What a cut costs, in tokens of padding: at a document's end, a sentence's, elsewhere; and a window itself.
-AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, A_WINDOW = 0, 6, 24, 8
+#: What a cut costs, in tokens of padding: at a document's end, a sentence's, elsewhere; and a window itself, so that
+#: short windows aren't a cheap way round padding.
+AT_DOCUMENT, AT_SENTENCE, ELSEWHERE, A_WINDOW = 0, 6, 24, 64
 #: Tokens that are cut up at once; the last two windows of a block go to the next one.
 BLOCK = 1 << 18
-_POWERS = [1 << k for k in range(6, 12)]
+_POWERS = [1 << k for k in range(8, 12)]
+
+
+class Encoder:
+    """The ids that the tokenizers library gives, special tokens included, by tiktoken's core."""
+
+    def __init__(self, path: str):
+        bpe = ByteBpe(path)
+        self.special, self.bytes_of = bpe.special, bpe.bytes_of
+        # The pattern's runs never give back what they took, so they needn't remember it.
+        pattern = SPLIT.pattern.replace("L}+", "L}++").replace("N}+", "N}++").replace("N}]+", "N}]++")
+        self._core = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=bpe.ids, special_tokens=bpe.special)
+
+    def encode(self, text: str) -> list[int]:
+        if any(t in text for t in self.special):
+            return self._core.encode(text, allowed_special="all")
+        return self._core.encode_ordinary(text)
 
 
 @lru_cache(2)
-def encoder(path: str) -> ByteBpe:
-    """The vocabulary's encoder, with words that aren't kept yet merged by tiktoken."""
-    bpe = ByteBpe(path, lambda words: [merge(w) for w in words])
-    core = tiktoken.Encoding("vocabulary", pat_str=r"[\s\S]+", mergeable_ranks=bpe.ids, special_tokens={})
-    merge = core._encode_single_piece
-    return bpe
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(2)
 def sentence_ends(path: str) -> np.ndarray:
     """By id: whether a sentence ends with this token."""
-    bpe = encoder(path)
-    out = np.zeros(max(bpe.bytes_of) + 1, bool)
-    for i, b in bpe.bytes_of.items():
+    bytes_of = encoder(path).bytes_of
+    out = np.zeros(max(bytes_of) + 1, bool)
+    for i, b in bytes_of.items():
         out[i] = b.rstrip(b"\"')]").endswith((b".", b"!", b"?")) or b"\n" in b
     return out
 
 
+def _whole(places: list[int]) -> dict[int, list[int]]:
+    """By index of a place, the places that lie a window's length without padding before it."""
+    at = np.array(places)
+    index = np.full(places[-1] + 1, -1, np.int64)
+    index[at] = np.arange(len(at))
+    out: dict[int, list[int]] = {}
+    for power in _POWERS:
+        j = np.flatnonzero(at >= power)
+        i = index[at[j] - power]
+        for a, b in zip(j[i >= 0].tolist(), i[i >= 0].tolist()):
+            out.setdefault(a, []).append(b)
+    return out
+
+
 def cuts(places: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Where to cut, ascending and without 0; places ascend from 0 to the stream's end, at most window apart."""
     n = len(places)
-    cost, came = [0] * n, [0] * n
-    index = {p: i for i, p in enumerate(places)}
+    cost, came, whole = [0] * n, [0] * n, _whole(places)
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # cost + place, place, index: ascending in both
     for j in range(1, n):
-        here, least = places[j], places[j] - window
-        while queue[0][1] < least:
+        here = places[j]
+        while queue[0][1] < here - window:
             queue.popleft()
         best, i = queue[0][0] + window - here, queue[0][2]
-        for power in _POWERS:
-            if (k := index.get(here - power)) is not None and cost[k] < best:
-                best, i = cost[k], k
-        cost[j], came[j] = (total := best + penalties[j] + A_WINDOW), i
+        if j in whole:
+            for k in whole[j]:
+                if cost[k] < best:
+                    best, i = cost[k], k
+        cost[j] = total = best + penalties[j] + A_WINDOW
+        came[j] = i
         entry = total + here
         while queue and queue[-1][0] >= entry:
             queue.pop()
@@ -119,7 +147,7 @@ class Packer:
                 doc_id, before, own, total = self.waiting[k]
                 size = min(cut - begin, len(own) - used)
                 piece = own[used : used + size]
-                out.append((doc_id, before + used, size, zlib.crc32(piece.astype("<u4").tobytes()), total, self.window, offset))
+                out.append((doc_id, before + used, size, zlib.crc32(piece), total, self.window, offset))
                 offset, used, begin = offset + size, used + size, begin + size
                 if used == len(own):
                     k, used = k + 1, 0
@@ -136,13 +164,13 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each task packs the rows that it reads, in their order, so nothing is shuffled and a lost task gives the same
-    pieces again; a task's last window is the only one whose end isn't chosen. Null text counts as empty, which is
-    the end token alone. Rows that share a doc_id are packed each for itself. A window's sequence_id is the task's
+    pieces again; a task's last window is the only one whose end isn't chosen. So where the cuts fall depends on how
+    the input is split, but not what the pieces hold. Null text counts as empty, which is the end token alone. Rows that share a doc_id are packed each for itself. A window's sequence_id is the task's
     number times 2^33 plus the window's place in the task."""
 
     def pack(batches):
         first = TaskContext.get().partitionId() << 33
-        bpe, packer = encoder(path), Packer(sentence_ends(path))
+        encode, packer = encoder(path).encode, Packer(sentence_ends(path))
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kind = None
 
@@ -153,8 +181,10 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
 
         for b in batches:
             kind = b.schema.field(0).type
-            for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode_batch(texts_of(b.column(1)))):
-                if pieces := packer.add(doc_id, np.array([*ids, END], np.int32)):
+            for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+                ids = encode(text)
+                ids.append(END)
+                if pieces := packer.add(doc_id, np.array(ids, "<u4")):
                     yield rows(pieces)
         if pieces := packer.finish():
             yield rows(pieces)
