@@ -75,11 +75,12 @@ def _op5() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules)
-    listed = ", ".join(f"'{k}'" for k in url_filter.LISTED)
+    of = lambda names: f"(SELECT unnest({names!r}) AS x)"
     return rf"""
-WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH listed AS (SELECT f.x || a.x || '-' || b.x || '.example.' || e.x AS key FROM {of(url_filter._FRONTS)} f, {of(url_filter._FIRST)} a, {of(url_filter._SECOND)} b, {of(url_filter._ENDS)} e),
+r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host IN ({listed}) OR host || path IN ({listed}) THEN 'block' ELSE 'allow' END AS verdict FROM p
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host IN (SELECT key FROM listed) OR host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM p
 """
 
 

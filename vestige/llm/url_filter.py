@@ -3,7 +3,8 @@
 The key universe is all keys that the corpus's URLs have: each host, and each host with its path. Level 0 holds the
 listed keys; level 1 the universe's keys that level 0 takes for listed though they aren't; level 2 the listed ones
 that level 1 takes for such, and so on until none is left. So for every key of the universe the number of levels
-that it passes tells exactly whether it is listed, by look-ups in a few bit arrays and no join. DataFrame
+that it passes tells exactly whether it is listed, by look-ups in a few bit arrays and no join. Level 0 lets so few
+unlisted keys pass that level 1 holds about as many keys as level 0; from then on half of the keys pass. DataFrame
 operations only.
 """
 
@@ -18,13 +19,14 @@ from vestige.llm.common import staged
 
 # The rules that come before the list, (host, path, verdict), and the production block list.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED = [f"{front}{site}.example.{end}" for site in _SITES for front in ("", "www.", "m.", "blog.") for end in ("com", "net", "org")]
-
-#: Share of unlisted keys that a level lets pass, hash functions, and the most bits of a level. Each level's array
-#: is a scalar of the plan, so its size is bounded;
-#: with more keys inside of a level than MOST_KEYS the list is joined instead.
-PASS, HASHES, MOST_BITS, MOST_KEYS = 0.02, 5, 1 << 23, 1 << 20
+_FIRST, _SECOND = ["ads", "adult", "casino", "cheap", "free", "spam"], ["track", "x", "win", "pills", "bets", "farm"]
+_FRONTS, _ENDS = ["", "www.", "m.", "blog."], ["com", "net", "org"]
+LISTED = [f"{front}{a}-{b}.example.{end}" for a in _FIRST for b in _SECOND for front in _FRONTS for end in _ENDS]
+
+#: Bits of an array, at most: each array is a scalar of the plan. A level of more bits is dealt over several arrays.
+MOST_BITS = 1 << 24
+#: The least share of unlisted keys that level 0 lets pass.
+LEAST_PASS = 2.0**-20
 _WORD = 64
 
 
@@ -47,54 +49,58 @@ def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _bits(n: int) -> int:
-    """Bits of a level for n keys, a multiple of the word."""
-    return min(MOST_BITS, -(-max(_WORD, math.ceil(-n * math.log(PASS) / math.log(2) ** 2)) // _WORD) * _WORD)
-
-
-def _place(key: Column, level: int, k: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(k)), F.lit(bits))
-
-
-class TooLong(ValueError):
-    """A level would need more than MOST_BITS."""
+def _level(n: int, share: float) -> tuple[int, int, int]:
+    """(arrays, bits of each, hash functions) for n keys of which this share of others passes."""
+    bits = max(_WORD, math.ceil(-n * math.log(share) / math.log(2) ** 2))
+    arrays = -(-bits // MOST_BITS)
+    return arrays, -(-bits // (arrays * _WORD)) * _WORD, max(1, round(-math.log2(share)))
 
 
 class Cascade:
-    """Exact for the keys of the universe. levels: the bit arrays' tables (words in order) and their sizes."""
+    """Exact for the keys of the universe."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         """listed and universe: a column `key`; listed keys outside of the universe are of no account."""
         self.spark = universe.sparkSession
         universe = universe.where("key is not null").select("key").distinct()
-        marked = universe.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-        marked = staged(marked)
+        marked = staged(universe.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
         inside, outside = marked.where("listed").select("key"), marked.where("not listed").select("key")
-        self.levels: list[tuple[str, int]] = []
-        while n := inside.count():
-            if n > MOST_KEYS:
-                raise TooLong(f"{n} keys for a level")
-            bits, level = _bits(n), len(self.levels)
-            self.levels.append((self._array(inside, level, bits), bits))
+        n, others = inside.count(), outside.count()
+        #: Of each level its arrays (tables of one row, the words in order), their bits and the hash functions.
+        self.levels: list[tuple[list[DataFrame], int, int]] = []
+        while n:
+            share = min(0.5, max(LEAST_PASS, n / (others + 1) / 2**0.5)) if not self.levels else 0.5
+            arrays, bits, hashes = _level(n, share)
+            level = len(self.levels)
+            self.levels.append(([self._array(inside, level, k, arrays, bits, hashes) for k in range(arrays)], bits, hashes))
             inside, outside = staged(outside.where(self._in_level(F.col("key"), level))), inside
+            n = inside.count()
 
-    def _array(self, keys: DataFrame, level: int, bits: int) -> str:
-        """The name of a one-row table with the level's words."""
-        places = keys.select(F.explode(F.array(*[_place(F.col("key"), level, k, bits) for k in range(HASHES)])).alias("p"))
+    def _places(self, key: Column, level: int, bits: int, hashes: int) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(k)), F.lit(bits)) for k in range(hashes)]
+
+    def _dealt(self, key: Column, level: int, arrays: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(level), F.lit(-1)), F.lit(arrays))
+
+    def _array(self, keys: DataFrame, level: int, nth: int, arrays: int, bits: int, hashes: int) -> DataFrame:
+        places = keys.where(self._dealt(F.col("key"), level, arrays) == nth).select(F.explode(F.array(*self._places(F.col("key"), level, bits, hashes))).alias("p"))
         words = places.select((F.col("p") / _WORD).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(p % {_WORD} as int))").alias("b"))
         none = self.spark.range(bits // _WORD).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
         full = words.union(none).groupBy("w").agg(F.bit_or("b").alias("b"))
-        name = f"bloom_{id(self)}_{level}"
-        staged(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x.b).alias("words"))).createOrReplaceTempView(name)
-        return name
+        return staged(full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x.b).alias("words")))
 
     def _in_level(self, key: Column, level: int) -> Column:
-        name, bits = self.levels[level]
-        words = F.expr(f"(select words from {name})")
-        hits = [F.getbit(F.element_at(words, (_place(key, level, k, bits) / _WORD).cast("int") + 1), (_place(key, level, k, bits) % _WORD).cast("int")) == 1 for k in range(HASHES)]
-        out = hits[0]
-        for h in hits[1:]:
-            out = out & h
+        arrays, bits, hashes = self.levels[level]
+
+        def within(array: DataFrame) -> Column:
+            words, out = array.scalar(), F.lit(True)
+            for place in self._places(key, level, bits, hashes):
+                out = out & (F.getbit(F.element_at(words, (place / _WORD).cast("int") + 1), (place % _WORD).cast("int")) == 1)
+            return out
+
+        out = within(arrays[0])
+        for k in range(1, len(arrays)):
+            out = F.when(self._dealt(key, level, len(arrays)) == k, within(arrays[k])).otherwise(out)
         return out
 
     def holds(self, key: Column) -> Column:
@@ -111,14 +117,8 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]
     parts = with_host_and_path(pages.select("page_id", "url"))
     universe = parts.select(F.explode(F.array("host", F.concat("host", "path"))).alias("key")).distinct()
     rule, verdict = ruled(rules)
-    try:
-        cascade = Cascade(listed, universe)
-        is_listed = cascade.holds(F.col("host")) | cascade.holds(F.concat("host", "path"))
-    except TooLong:
-        one = listed.select("key").distinct()
-        parts = parts.join(one.select(F.col("key").alias("host"), F.lit(True).alias("a")), "host", "left").withColumn("both", F.concat("host", "path"))
-        parts = parts.join(one.select(F.col("key").alias("both"), F.lit(True).alias("b")), "both", "left")
-        is_listed = F.coalesce("a", "b", F.lit(False))
+    cascade = Cascade(listed, universe)
+    is_listed = cascade.holds(F.col("host")) | cascade.holds(F.concat("host", "path"))
     by_list = F.when(is_listed, "block").otherwise("allow")
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
 
