@@ -48,15 +48,15 @@ def device_serial(key: Column) -> Column:
 
 def device_serial_rule(key: Column) -> Column:
     recorded = device_serial_recorded(key)
-    return F.when(recorded == "", "").when(recorded != device_serial(key), "trailing instance index removed").otherwise("as recorded")
+    return F.when(recorded == "", "").when(recorded != device_serial(key), "the trailing instance index this enumerator appends was removed").otherwise("as recorded")
 
 
 def is_location(value: Column) -> Column:
-    return (value != "") & (value.contains("\\") | value.rlike("^[A-Za-z]:"))
+    return F.coalesce((value != "") & (value.contains("\\") | value.rlike("^[A-Za-z]:")), F.lit(False))
 
 
 def device_vid_pid(key: Column) -> Column:
-    return F.upper(F.regexp_extract(key, "(?i)VID_[0-9A-F]{4}&PID_[0-9A-F]{4}", 0))
+    return F.upper(F.regexp_extract(key, "VID_[0-9A-Fa-f]{4}&PID_[0-9A-Fa-f]{4}", 0))
 
 
 def is_real_container(container: Column) -> Column:
@@ -64,11 +64,11 @@ def is_real_container(container: Column) -> Column:
 
 
 def identity_rank(enumerator: Column) -> Column:
-    return reduce(lambda out, kv: F.when(enumerator == kv[0], kv[1]).otherwise(out), IDENTITY_RANKS.items(), F.lit(5))
+    return reduce(lambda out, kv: F.when(F.upper(enumerator) == kv[0], kv[1]).otherwise(out), IDENTITY_RANKS.items(), F.lit(5))
 
 
 def has_usb_class(ids: Column, code: str) -> Column:
-    return F.upper(F.coalesce(ids, F.lit(""))).contains("USB\\CLASS_" + code)
+    return F.upper(F.coalesce(ids, F.lit(""))).contains("USB\\CLASS_" + code.upper())
 
 
 def has_text(value: Column, part: str) -> Column:
@@ -80,15 +80,16 @@ def is_drive_path(name: Column) -> Column:
 
 
 def device_id_product(key: Column) -> Column:
-    """`Ven_x&Prod_y` as "x y"."""
-    both = F.concat_ws(" ", F.regexp_extract(key, "(?i)VEN_([^&\\\\]*)", 1), F.regexp_extract(key, "(?i)PROD_([^&\\\\]*)", 1))
+    """`Ven_x&Prod_y` as "x y"; empty without both."""
+    pattern = "Ven_([^&]*)&Prod_([^&]*)"
+    both = F.concat(F.regexp_extract(key, pattern, 1), F.lit(" "), F.regexp_extract(key, pattern, 2))
     return F.trim(F.regexp_replace(F.replace(both, F.lit("_"), F.lit(" ")), " +", " "))
 
 
 def local_timestamp(text: Column) -> Column:
-    """A zone-less wall-clock text as TIMESTAMP_NTZ, null where it isn't one."""
-    slashed = F.try_to_timestamp(F.regexp_replace(text, r"(\.\d{1,3})\d*$", "$1"), F.lit("yyyy/MM/dd HH:mm:ss.SSS")).cast("timestamp_ntz")
-    return F.coalesce(F.nullif(text, F.lit("")).try_cast("timestamp_ntz"), slashed)
+    """A zone-less wall-clock text, dashed or slashed, as TIMESTAMP_NTZ of microseconds; null where it isn't one."""
+    shaped = F.regexp_replace(F.when(text.rlike(r"^\s*\d{4,}[-/]\d{1,2}[-/]\d{1,2}([ T]|\s*$)"), text), r"^(\s*\d+)/(\d+)/(\d+)", "$1-$2-$3")
+    return F.regexp_replace(shaped, r"(\.\d{6})\d+", "$1").try_cast("timestamp_ntz")
 
 
 def epoch_default_local(ts: Column) -> Column:

@@ -1,16 +1,13 @@
-"""Timeline, moments, attribution, provenance and report operators."""
+"""Numbering in a total order, moments, seasonal readings."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.functions import macros as m
-from vestige.operators.devices import table_in_shared_folder
+from vestige.operators.staging import table_in_shared_folder
 
-CONFIDENCES = ("confirmed", "strong", "probable", "possible")
 GATHERED = ("connection", "device", "device_state", "install", "disk")
 NEAR_MS = 15_000
 
@@ -28,26 +25,6 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return within.join(F.broadcast(before), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 
 
-def resolved(entries: DataFrame, bias: int, standard_bias: int = 0, daylight_bias: int = -60, observes_dst: bool = True) -> DataFrame:
-    """entries (utc_recorded, local_text, ...) with utc, utc_alternate, time_basis, sort_utc and epoch_default.
-
-    UTC times stay; a local time is read with the standard offset and, where daylight time is observed, with the
-    daylight offset as an alternative. A clock default isn't converted."""
-    local = m.local_timestamp(F.col("local_text"))
-    sentinel = m.epoch_default_local(local)
-    add = lambda minutes: local + F.expr(f"make_dt_interval(0, 0, {minutes})")
-    usable = local.isNotNull() & (sentinel == "")
-    out = entries.withColumn("utc", F.coalesce("utc_recorded", F.when(usable, add(bias + standard_bias))))
-    out = out.withColumn("utc_alternate", F.when(F.col("utc_recorded").isNull() & usable & F.lit(observes_dst), add(bias + standard_bias + daylight_bias)))
-    basis = F.when(F.col("utc_recorded").isNotNull(), "recorded in UTC").when(usable & F.lit(observes_dst), "local time, standard or daylight").when(usable, "local time, one offset").when(local.isNotNull(), "clock default").otherwise("none")
-    default = F.when(F.col("utc_recorded").isNotNull(), m.epoch_default_name(F.col("utc_recorded"))).otherwise(F.when(local.isNull(), "").otherwise(sentinel))
-    return out.withColumn("time_basis", basis).withColumn("sort_utc", F.coalesce("utc", local)).withColumn("epoch_default", default)
-
-
-def merged(arms: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, arms)
-
-
 def moment_anchors(endpoints: DataFrame, tolerance_ms: int = NEAR_MS) -> DataFrame:
     """Islands of endpoints (physical_device_id, moment_kind, moment_utc, device_key, moment_rule) of a device and
     kind that follow one another within the tolerance: moment_id, their first time, number and rules."""
@@ -72,74 +49,6 @@ def moment_members(entries: DataFrame, anchors: DataFrame, tolerance_ms: int = N
     return best.select("entry_id", F.col("best.moment_id").alias("moment_id"), F.col("best.distance_ms").alias("distance_ms"))
 
 
-def report_timeline(entries: DataFrame, members: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Moments of at least two members, and the entries that are in none of those: kind, id, sort_utc, records."""
-    shown = members.groupBy("moment_id").agg(F.count(F.lit(1)).alias("records")).where("records >= 2")
-    moments = anchors.join(shown, "moment_id").select(F.lit("moment").alias("kind"), F.col("moment_id").alias("id"), F.col("moment_utc").alias("sort_utc"), "records")
-    inside = members.join(shown.select("moment_id"), "moment_id", "left_semi").select("entry_id")
-    alone = entries.join(inside, "entry_id", "left_anti").select(F.lit("entry").alias("kind"), F.col("entry_id").alias("id"), "sort_utc", F.lit(1).cast("long").alias("records"))
-    return moments.unionByName(alone)
-
-
-def attribution_summary(activity: DataFrame, routes: DataFrame) -> DataFrame:
-    """Per activity: number of devices and routes, best confidence (unattributed without any), the routes and
-    devices as ordered lists."""
-    rank = F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence"))
-    agg = routes.groupBy("activity_id").agg(F.count_distinct("device_key").alias("candidate_devices"), F.count_distinct("route").alias("n_routes"), F.min(rank).alias("best"), F.array_join(F.array_sort(F.collect_set("route")), "; ").alias("routes"), F.array_join(F.array_sort(F.collect_set("device_key")), "; ").alias("devices"))
-    out = activity.select("activity_id").join(agg, "activity_id", "left")
-    return out.select("activity_id", F.coalesce("candidate_devices", F.lit(0)).alias("candidate_devices"), F.coalesce("n_routes", F.lit(0)).alias("n_routes"), F.coalesce(F.get(F.array(*map(F.lit, CONFIDENCES)), F.col("best").cast("int") - 1), F.lit("unattributed")).alias("best_confidence"), F.coalesce("routes", F.lit("")).alias("routes"), F.coalesce("devices", F.lit("")).alias("devices"))
-
-
-def named_device(activity: DataFrame, routes: DataFrame) -> DataFrame:
-    """(activity_id, device_key): the device that alone has the best rank; contradicted routes rank behind all."""
-    rank = F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.col("confidence")) + F.when(F.col("contradicted"), 5).otherwise(0)
-    each = routes.groupBy("activity_id", "device_key").agg(F.min(rank).alias("rank"))
-    w = Window.partitionBy("activity_id")
-    top = each.withColumn("best", F.min("rank").over(w)).where("rank = best").groupBy("activity_id").agg(F.min("device_key").alias("device_key"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    return activity.select("activity_id").join(top.select("activity_id", "device_key"), "activity_id", "left").select("activity_id", F.coalesce("device_key", F.lit("")).alias("device_key"))
-
-
-def covered(activity: DataFrame, placed: DataFrame) -> DataFrame:
-    """Distinct (activity_id, device_key) where the activity lies in one of the device's placing windows."""
-    hit = activity.join(placed, "device_key").where("recorded_utc >= started_utc and (places_until_utc is null or recorded_utc <= places_until_utc)")
-    return hit.select("activity_id", "device_key").distinct()
-
-
-def parse_warnings(texts: DataFrame) -> DataFrame:
-    """(artefact, reason, warnings, sources, example) of texts (artefact, source_id, warnings) whose parts are
-    separated by `;` or line ends; runs of digits become `#`."""
-    part = texts.select("artefact", "source_id", F.explode(F.split("warnings", "[;\n]")).alias("p")).select("artefact", "source_id", F.trim("p").alias("p")).where("p <> ''")
-    return part.groupBy("artefact", F.regexp_replace("p", "[0-9]+", "#").alias("reason")).agg(F.count(F.lit(1)).alias("warnings"), F.count_distinct("source_id").alias("sources"), F.min("p").alias("example"))
-
-
-def coverage(sources: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Per artefact: sources, bytes, replayed and not, failed and malformed. replayed is null where it doesn't apply."""
-    bad = warnings.groupBy("artefact").agg(F.count_if(F.col("severity") == "failed").alias("failed"), F.count_if(F.col("severity") == "malformed").alias("malformed"))
-    per = sources.groupBy("artefact").agg(F.count(F.lit(1)).alias("sources"), F.sum("size_bytes").alias("bytes"), F.count_if("replayed").alias("replayed"), F.count_if(~F.col("replayed")).alias("not_replayed"))
-    return per.join(bad, "artefact", "left").na.fill(0, ["failed", "malformed"])
-
-
-def limitations(warnings: DataFrame, severities: tuple[str, ...] = ("failed", "truncated", "malformed", "partial", "absent")) -> DataFrame:
-    """Warnings of these severities, each with its rank and the number of all; the number is one row, joined."""
-    order = F.array(*map(F.lit, severities))
-    kept = warnings.where(F.col("severity").isin(*severities)).withColumn("rank", F.array_position(order, F.col("severity")).cast("int"))
-    return kept.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("total"))))
-
-
-def findings(parts: list[tuple[int, str, DataFrame]]) -> DataFrame:
-    """Headlines (rank, kind, n) of counts over 0; one per part, and finding_id by rank and kind. A few rows."""
-    counted = merged([df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "n") for rank, kind, df in parts]).where("n > 0")
-    return counted.withColumn("finding_id", F.row_number().over(Window.orderBy("rank", "kind")))
-
-
-def unpivoted(devices: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, field, value, distinct_values): per field the value of the best preference, then the largest."""
-    long = devices.unpivot([key, "preference"], columns, "field", "value").where("value <> ''")
-    w = Window.partitionBy(key, "field").orderBy("preference", F.desc("value"))
-    spread = long.groupBy(key, "field").agg(F.count_distinct("value").alias("distinct_values"))
-    return long.withColumn("n", F.row_number().over(w)).where("n = 1").select(key, "field", "value").join(spread, [key, "field"])
-
-
 def seasonal_candidates(local: DataFrame, bias: int, daylight: int) -> DataFrame:
     """local (id, local_text) with both UTC readings of a wall-clock time; UTC is local plus bias minutes."""
     t = m.local_timestamp(F.col("local_text"))

@@ -1,405 +1,128 @@
-"""The registered queries and their SQL."""
+"""The registered queries, a view each, and their SQL."""
 
 from __future__ import annotations
 
+import re
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vestige.functions import macros as m
-from vestige.operators import devices, sessions, timeline
-from vestige.operators.rules import RuleSet, catalogue, classified, matches
-from vestige.plans import adapters as ad
+from vestige.operators import timeline
+from vestige.operators.full import Case
+from vestige.operators.rules import RuleSet
+from vestige.plans import case_sql, model
 
-HOUR_MS = 3_600_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-_KEY = r"'USBSTOR\DISK&VEN_V' || (user_id % 5) || '\S' || lpad(CAST(user_id AS VARCHAR), 8, '0') || '&0'"
-_EV = rf"""
-ev AS (SELECT event_id AS record_id, ts AS time_utc, user_id, {_KEY} AS device_key, event_type,
-  CASE event_type WHEN 'view' THEN 'connect' WHEN 'purchase' THEN 'disconnect' WHEN 'error' THEN 'fault' WHEN 'signup' THEN 'install'
-    ELSE CASE WHEN event_id % 10 = 0 THEN 'session' ELSE 'other' END END AS kind,
-  CASE WHEN event_type NOT IN ('view', 'purchase', 'error', 'signup') AND event_id % 10 = 0 THEN list_extract(['started', 'stopped', 'stopped_unexpectedly', 'running'], CAST((event_id // 10) % 4 + 1 AS INTEGER)) END AS session_state,
-  event_type = 'purchase' AND event_id % 7 = 0 AS removal, event_id % 2 = 0 AS even FROM events),
-ch AS (SELECT record_id, time_utc, device_key, CASE kind WHEN 'connect' THEN 'arrival' ELSE 'departure' END AS state FROM ev WHERE kind IN ('connect', 'disconnect') AND (NOT removal OR even))"""
-_WIN = rf"""{_EV},
-l AS (SELECT *, lag(state) OVER w AS ps, lag(time_utc) OVER w AS pt FROM ch WINDOW w AS (PARTITION BY device_key ORDER BY time_utc, record_id)),
-tr AS (SELECT * FROM l WHERE ps IS NULL OR ps <> state OR date_diff('millisecond', pt, time_utc) > {HOUR_MS}),
-pr AS (SELECT *, lead(state) OVER w AS ns, lead(time_utc) OVER w AS nt, lead(record_id) OVER w AS nr FROM tr WINDOW w AS (PARTITION BY device_key ORDER BY time_utc, record_id)),
-wn AS (SELECT device_key, time_utc AS started_utc, CASE WHEN ns = 'departure' THEN nt END AS ended_utc, CASE WHEN ns = 'arrival' THEN nt END AS ended_before_utc, true AS start_known,
-    record_id AS opened_by_record, CASE WHEN ns = 'departure' THEN nr END AS closed_by_record FROM pr WHERE state = 'arrival'
-  UNION ALL SELECT device_key, NULL, time_utc, NULL, false, NULL, record_id FROM pr WHERE state = 'departure' AND ps IS NULL)"""
-_STOP = rf"""{_WIN},
-se AS (SELECT record_id, time_utc, session_state FROM ev WHERE kind = 'session'),
-rp AS (SELECT r.time_utc AS reported_utc, r.record_id, (SELECT max(s.time_utc) FROM se s WHERE s.session_state = 'started' AND s.time_utc <= r.time_utc) AS cb FROM se r WHERE r.session_state = 'stopped_unexpectedly'),
-asc_ AS (SELECT *, cb IS NOT NULL AND NOT EXISTS (SELECT 1 FROM se s WHERE s.session_state = 'stopped' AND s.time_utc > rp.cb AND s.time_utc < rp.reported_utc) AS boot_associated FROM rp),
-us AS (SELECT reported_utc, record_id, boot_associated, CASE WHEN boot_associated THEN cb END AS boot_utc, CASE WHEN boot_associated THEN cb ELSE reported_utc END AS stopped_before_utc,
-  CASE WHEN boot_associated THEN (SELECT max(time_utc) FROM ev WHERE time_utc < asc_.cb) END AS stopped_after_utc FROM asc_),
-bw AS (SELECT wn.*, ended_utc IS NULL AND ended_before_utc IS NULL AS op,
-  (SELECT min(s.time_utc) FROM se s WHERE s.session_state = 'stopped' AND s.time_utc > wn.started_utc) AS hs,
-  (SELECT arg_min(stopped_after_utc, (stopped_after_utc, reported_utc, us.record_id)) FROM us WHERE stopped_after_utc > wn.started_utc) AS ha,
-  (SELECT arg_min(stopped_before_utc, (stopped_after_utc, reported_utc, us.record_id)) FROM us WHERE stopped_after_utc > wn.started_utc) AS hb,
-  EXISTS (SELECT 1 FROM us WHERE NOT boot_associated AND reported_utc > wn.started_utc) AS hu FROM wn),
-pl AS (SELECT device_key, started_utc, coalesce(ended_utc, least(CASE WHEN op THEN hs END, CASE WHEN op THEN ha END)) AS places_until_utc FROM bw WHERE start_known AND ended_before_utc IS NULL)"""
-_ID = rf"""
-u AS (SELECT DISTINCT user_id FROM events),
-i0 AS (SELECT user_id, b.bus, 'S' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS s FROM u, (VALUES ('USB'), ('USBSTOR'), ('SWD')) b(bus)),
-i1 AS (SELECT user_id, bus, CASE bus WHEN 'USB' THEN 'USB\VID_1234&PID_' || lpad(hex(user_id % 97), 4, '0') || '\' || s WHEN 'USBSTOR' THEN {_KEY}
-    ELSE 'SWD\WPDBUSENUM\' || CASE WHEN user_id % 7 = 0 THEN '5&' || user_id ELSE 'W' || s END END AS device_key,
-  CASE bus WHEN 'SWD' THEN '{{00000000-0000-0000-0000-000000000000}}' ELSE '{{C-' || (user_id // 3) || '}}' END AS container_id FROM i0),
-i2 AS (SELECT *, upper(split_part(device_key, '\', 1)) AS enumerator, regexp_extract(device_key, '([^\\]+)$', 1) AS tail FROM i1),
-idn AS (SELECT *, substr(tail, 2, 1) = '&' AS generated, CASE WHEN substr(tail, 2, 1) = '&' OR tail LIKE '{{%' THEN '' WHEN enumerator <> 'USB' THEN regexp_replace(tail, '&[0-9]+$', '') ELSE tail END AS serial,
-  upper(regexp_extract(device_key, 'VID_[0-9A-F]{{4}}&PID_[0-9A-F]{{4}}', 0)) AS vid_pid,
-  trim(regexp_extract(device_key, 'VEN_([^&\\]*)', 1)) AS product FROM i2)"""
-_LINKS = rf"""{_ID},
-lk AS (SELECT a.device_key AS left_key, b.device_key AS right_key, 'container_id' AS method, 1 AS precedence, true AS asserts FROM idn a JOIN idn b ON lower(a.container_id) = lower(b.container_id) AND a.device_key < b.device_key
-    WHERE a.container_id <> '{{00000000-0000-0000-0000-000000000000}}'
-  UNION SELECT a.device_key, b.device_key, 'serial_across_enumerators', 2, true FROM idn a JOIN idn b ON a.serial = b.serial AND a.device_key < b.device_key AND a.enumerator <> b.enumerator
-    WHERE a.serial <> '' AND length(a.serial) >= 5 AND a.enumerator IN ('USB', 'USBSTOR', 'SCSI', 'WPDBUSENUM') AND b.enumerator IN ('USB', 'USBSTOR', 'SCSI', 'WPDBUSENUM')
-  UNION SELECT a.device_key, b.device_key, 'vid_pid_and_serial', 3, true FROM idn a JOIN idn b ON a.serial = b.serial AND a.vid_pid = b.vid_pid AND a.device_key < b.device_key WHERE a.serial <> '' AND a.vid_pid <> '')"""
-_GROUPS = rf"""{_LINKS},
-eg AS (SELECT left_key AS k, right_key AS n FROM lk WHERE asserts UNION SELECT right_key, left_key FROM lk WHERE asserts),
-re(k, r) AS (SELECT device_key, device_key FROM idn UNION SELECT re.k, eg.n FROM re JOIN eg ON eg.k = re.r),
-cm AS (SELECT k AS device_key, min(r) AS component_key FROM re GROUP BY k),
-rk AS (SELECT c.device_key, c.component_key, row_number() OVER (PARTITION BY c.component_key ORDER BY CASE WHEN serial <> '' AND NOT generated THEN 0 ELSE 1 END,
-  CASE enumerator WHEN 'USBSTOR' THEN 1 WHEN 'SCSI' THEN 2 WHEN 'USB' THEN 3 WHEN 'HID' THEN 4 WHEN 'SWD' THEN 6 ELSE 5 END, c.device_key) AS preference FROM cm c JOIN idn USING (device_key)),
-gr AS (SELECT device_key, first_value(device_key) OVER (PARTITION BY component_key ORDER BY preference) AS physical_device_id, count(*) OVER (PARTITION BY component_key) AS identity_count, preference FROM rk)"""
-_LETTER = "list_extract(['E', 'F', 'G', 'H'], CAST(user_id % 4 + 1 AS INTEGER))"
-_ACT = rf"""
-ac AS (SELECT event_id AS activity_id, ts AS recorded_utc, user_id, {_KEY} AS device_key, {_LETTER} AS drive_letter, 'VOL' || (user_id % 140) AS volume_label FROM events WHERE event_type = 'click'),
-po AS (SELECT DISTINCT user_id, {_KEY} AS device_key, 'VOL' || (user_id % 140) AS friendly_name FROM events),
-mt AS (SELECT {_LETTER} AS drive_letter, {_KEY} AS device_key FROM (SELECT max(user_id) AS user_id FROM events GROUP BY user_id % 4)),
-nm AS (SELECT friendly_name, min(device_key) AS named FROM po GROUP BY friendly_name HAVING count(*) = 1),
-ro AS (SELECT activity_id, named AS device_key, 'volume_label_unique' AS route, 'probable' AS confidence, false AS contradicted FROM ac JOIN nm ON volume_label = friendly_name
-  UNION ALL SELECT activity_id, mt.device_key, 'drive_letter', CASE WHEN named IS NOT NULL AND named <> mt.device_key THEN 'possible' ELSE 'probable' END, coalesce(named IS NOT NULL AND named <> mt.device_key, false)
-    FROM ac JOIN mt USING (drive_letter) LEFT JOIN nm ON volume_label = friendly_name)"""
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _changes(s: SparkSession, d: str) -> DataFrame:
-    return sessions.state_changes(ad.event(s, d))
-
-
-def _windows(s: SparkSession, d: str) -> DataFrame:
-    return sessions.connection_windows(_changes(s, d), HOUR_MS)
-
-
-def _placing(s: SparkSession, d: str) -> DataFrame:
-    return sessions.placing(sessions.bounded(_windows(s, d), ad.event(s, d)))
-
-
-@query(f"WITH {_EV} SELECT * FROM ch")
-def device_state_changes(s, d):
-    return _changes(s, d)
-
-
-@query(f"WITH {_WIN} SELECT *, ended_utc IS NULL AS open_ended, date_diff('second', started_utc, ended_utc) AS span_seconds FROM wn")
-def connection_windows(s, d):
-    return _windows(s, d)
-
-
-@query(f"WITH {_WIN} SELECT wn.device_key, started_utc, ended_utc, ended_before_utc, (SELECT count(*) FROM ch c WHERE c.device_key = wn.device_key AND (started_utc IS NULL OR c.time_utc >= started_utc) AND (coalesce(ended_utc, ended_before_utc) IS NULL OR c.time_utc <= coalesce(ended_utc, ended_before_utc))) AS supporting_records FROM wn")
-def connection_support(s, d):
-    return sessions.supporting_records(_windows(s, d), _changes(s, d)).select("device_key", "started_utc", "ended_utc", "ended_before_utc", "supporting_records")
-
-
-@query(f"WITH {_STOP} SELECT * FROM us")
-def unclean_stop_bounds(s, d):
-    return sessions.unclean_stops(ad.event(s, d))
-
-
-@query(f"WITH {_STOP} SELECT device_key, started_utc, ended_utc, CASE WHEN op THEN hs END AS host_stopped_utc, CASE WHEN op THEN ha END AS host_stopped_after_utc, CASE WHEN op THEN hb END AS host_stopped_before_utc, CASE WHEN op THEN hu END AS host_stopped_undated FROM bw")
-def connection_bounds(s, d):
-    return sessions.bounded(_windows(s, d), ad.event(s, d)).select("device_key", "started_utc", "ended_utc", "host_stopped_utc", "host_stopped_after_utc", "host_stopped_before_utc", "host_stopped_undated")
-
-
-@query(f"WITH {_STOP} SELECT * FROM pl")
-def connection_placing(s, d):
-    return _placing(s, d)
-
-
-@query(f"WITH {_EV} SELECT record_id, device_key, time_utc, EXISTS (SELECT 1 FROM ch WHERE state = 'departure' AND ch.device_key = ev.device_key AND abs(date_diff('second', ch.time_utc, ev.time_utc)) <= 7200) AS corroborated FROM ev WHERE kind = 'fault'")
-def departure_candidates(s, d):
-    return sessions.departure_candidates(ad.event(s, d).where("kind = 'fault'").select("record_id", "device_key", "time_utc"), _changes(s, d), 7200)
-
-
-@query(f"WITH {_STOP}, {_ACT} SELECT activity_id, min(pl.device_key) AS device_key, min(started_utc) AS started_utc FROM ac JOIN pl ON recorded_utc >= started_utc AND (places_until_utc IS NULL OR recorded_utc <= places_until_utc) AND recorded_utc <= started_utc + INTERVAL 24 HOUR GROUP BY activity_id HAVING count(DISTINCT pl.device_key) = 1")
-def sole_connected(s, d):
-    return sessions.sole_connected(ad.activity(s, d), _placing(s, d))
-
-
-@query(f"WITH {_STOP}, {_ACT} SELECT DISTINCT activity_id, ac.device_key FROM ac JOIN pl ON pl.device_key = ac.device_key AND recorded_utc >= started_utc AND (places_until_utc IS NULL OR recorded_utc <= places_until_utc)")
-def activity_covered(s, d):
-    return timeline.covered(ad.activity(s, d), _placing(s, d))
-
-
-@query(f"""WITH {_EV}, {_ID},
-es AS (SELECT device_key, 'devnode' AS evidence, CAST(NULL AS TIMESTAMP) AS o FROM idn UNION ALL SELECT device_key, 'event.' || kind, time_utc FROM ev)
-SELECT es.device_key, string_agg(DISTINCT evidence, '; ' ORDER BY evidence) AS evidence, min(o) AS first_utc, max(o) AS last_utc, count(*) AS records, coalesce(max(c), 0) AS connects, coalesce(max(x), 0) AS disconnects, coalesce(max(f), 0) AS faults,
-  max(i.enumerator) AS enumerator, max(i.serial) AS serial, bool_or(i.generated) AS serial_is_generated
-FROM es JOIN idn i USING (device_key) LEFT JOIN (SELECT device_key, count(*) FILTER (WHERE kind = 'connect') AS c, count(*) FILTER (WHERE kind = 'disconnect') AS x, count(*) FILTER (WHERE kind = 'fault') AS f FROM ev GROUP BY 1) USING (device_key) GROUP BY 1""")
-def device_inventory(s, d):
-    e = ad.event(s, d)
-    named = ad.identities(s, d).select("device_key", F.lit("devnode").alias("evidence"), F.lit(None).cast("timestamp_ntz").alias("observed_utc"))
-    return devices.inventory(devices.device_evidence(named, e.select("device_key", F.concat(F.lit("event."), "kind").alias("evidence"), F.col("time_utc").alias("observed_utc"))), e)
-
-
-@query(f"WITH {_LINKS} SELECT * FROM lk")
-def device_links(s, d):
-    return devices.links(ad.identities(s, d))
-
-
-@query(f"WITH RECURSIVE {_GROUPS} SELECT * FROM gr")
-def physical_groups(s, d):
-    i = ad.identities(s, d)
-    return devices.groups(i, devices.links(i).where("asserts"))
-
-
-@query(f"WITH RECURSIVE {_GROUPS} SELECT physical_device_id, count(*) AS identities, arg_min(serial, preference) FILTER (WHERE serial <> '') AS serial, arg_min(vid_pid, preference) FILTER (WHERE vid_pid <> '') AS vid_pid, arg_min(product, preference) FILTER (WHERE product <> '') AS product FROM gr JOIN idn USING (device_key) GROUP BY 1")
-def physical_device_best_values(s, d):
-    i = ad.identities(s, d)
-    return devices.best_values(devices.groups(i, devices.links(i).where("asserts")).join(i, "device_key"), ["serial", "vid_pid", "product"])
-
-
-@query(f"WITH RECURSIVE {_GROUPS}, un AS (SELECT physical_device_id, preference, unnest(['serial', 'vid_pid', 'product']) AS field, unnest([serial, vid_pid, product]) AS value FROM gr JOIN idn USING (device_key)), p AS (SELECT *, row_number() OVER (PARTITION BY physical_device_id, field ORDER BY preference, value DESC) AS n FROM un WHERE value <> '') SELECT physical_device_id, field, value, (SELECT count(DISTINCT value) FROM un q WHERE q.physical_device_id = p.physical_device_id AND q.field = p.field AND q.value <> '') AS distinct_values FROM p WHERE n = 1")
-def device_field_unpivot(s, d):
-    i = ad.identities(s, d)
-    return timeline.unpivoted(devices.groups(i, devices.links(i).where("asserts")).join(i, "device_key"), "physical_device_id", ["serial", "vid_pid", "product"])
-
-
-@query(f"WITH {_ACT} SELECT friendly_name, count(DISTINCT device_key) AS devices FROM po GROUP BY 1 HAVING count(DISTINCT device_key) > 1")
-def ambiguous_labels(s, d):
-    return devices.ambiguous_labels(ad.portable(s, d))
+#: Cases whose consolidated tables are kept; the oldest is closed beyond that.
+KEPT = 4
+_cases: OrderedDict[tuple, Case] = OrderedDict()
+_PARTS = {name: re.sub(r"@(\w+)@", r"\1", sql) for name, sql in model.TABLES.items()} | case_sql.PARTS
 
 
-@query("""WITH mo AS (SELECT o_orderkey AS mount_id, o_custkey % 500 AS signature, o_orderkey % 7 AS po FROM orders), di AS (SELECT DISTINCT l_partkey AS device_key, l_partkey % 500 AS s1, l_suppkey % 500 AS s2, l_linenumber AS o FROM lineitem)
-SELECT DISTINCT mount_id, device_key FROM mo JOIN di ON (signature = s1 OR signature = s2) AND po = o""")
-def volume_links(s, d):
-    o, li = ad.read(s, d, "orders"), ad.read(s, d, "lineitem")
-    mounts = o.select(F.col("o_orderkey").alias("mount_id"), (F.col("o_custkey") % 500).alias("signature"), (F.col("o_orderkey") % 7).alias("partition_offset"))
-    disks = li.select(F.col("l_partkey").alias("device_key"), (F.col("l_partkey") % 500).alias("disk_signature"), (F.col("l_suppkey") % 500).alias("boot_record_signature"), F.col("l_linenumber").cast("long").alias("starting_offset")).distinct()
-    return devices.signature_links(mounts, disks)
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells whether the tables have changed: each one's length and time of change."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in model.BASE:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path)]
+    return tuple(out)
 
 
-@query(f"WITH {_ACT} SELECT * FROM ro")
-def attribution_routes(s, d):
-    return ad.routes(s, d)
+def case_of(spark: SparkSession, sf_dir: str) -> Case:
+    """The case over sf_dir. Its consolidated tables serve all queries of the application for as long as the tables
+    there stay as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _cases:
+        rules = RuleSet().tables(spark)
+        _cases[key] = Case(lambda name: rules[name] if name in rules else model.table(spark, sf_dir, name))
+        while len(_cases) > KEPT:
+            _, old = _cases.popitem(last=False)
+            old.close()
+    _cases.move_to_end(key)
+    return _cases[key]
 
 
-_RANK = "CASE confidence WHEN 'confirmed' THEN 1 WHEN 'strong' THEN 2 WHEN 'probable' THEN 3 ELSE 4 END"
+def sql_of(query: str) -> str:
+    return model.with_parts(query, _PARTS, recursive=True)
 
 
-@query(f"""WITH {_ACT} SELECT activity_id, count(DISTINCT ro.device_key) AS candidate_devices, count(DISTINCT route) AS n_routes, coalesce(list_extract(['confirmed', 'strong', 'probable', 'possible'], min(CASE WHEN route IS NOT NULL THEN {_RANK} END)), 'unattributed') AS best_confidence,
-coalesce(string_agg(DISTINCT route, '; ' ORDER BY route), '') AS routes, coalesce(string_agg(DISTINCT ro.device_key, '; ' ORDER BY ro.device_key), '') AS devices FROM ac LEFT JOIN ro USING (activity_id) GROUP BY 1""")
-def attribution_summary(s, d):
-    return timeline.attribution_summary(ad.activity(s, d), ad.routes(s, d))
-
-
-@query(f"""WITH {_ACT}, e AS (SELECT activity_id, device_key, min({_RANK} + CASE WHEN contradicted THEN 5 ELSE 0 END) AS r FROM ro GROUP BY ALL), b AS (SELECT *, min(r) OVER (PARTITION BY activity_id) AS br FROM e),
-t AS (SELECT activity_id, min(device_key) AS dk FROM b WHERE r = br GROUP BY 1 HAVING count(*) = 1) SELECT activity_id, coalesce(dk, '') AS device_key FROM ac LEFT JOIN t USING (activity_id)""")
-def activity_named_device(s, d):
-    return timeline.named_device(ad.activity(s, d), ad.routes(s, d))
-
-
-@query(f"WITH {_ACT} SELECT DISTINCT drive_letter, volume_label FROM ac JOIN nm ON volume_label = friendly_name WHERE EXISTS (SELECT 1 FROM mt WHERE mt.drive_letter = ac.drive_letter) AND NOT EXISTS (SELECT 1 FROM mt WHERE mt.drive_letter = ac.drive_letter AND mt.device_key = nm.named)")
-def letter_contradicted(s, d):
-    p = ad.portable(s, d)
-    one = p.groupBy("friendly_name").agg(F.min("device_key").alias("named"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    used = ad.activity(s, d).select("drive_letter", "volume_label").distinct().join(one, F.col("volume_label") == F.col("friendly_name")).select("drive_letter", "volume_label", F.col("named").alias("device_key"))
-    mt = ad.mounts(s, d)
-    return used.join(mt, "drive_letter", "left_semi").join(mt, ["drive_letter", "device_key"], "left_anti").select("drive_letter", "volume_label")
-
-
-_FACTS = {
-    "storage_identity": "c_acctbal > 3000", "hid_interface": "c_custkey % 3 = 0", "network_interface": "c_mktsegment = 'MACHINERY'", "hub_interface": "c_custkey % 5 = 0", "internal_hub": "c_custkey % 10 = 0", "printer_interface": "c_mktsegment = 'FURNITURE'", "usb_attached": "c_custkey % 2 = 0",
-    "optical_identity": "c_custkey % 11 = 0", "mtp_interface": "c_mktsegment = 'AUTOMOBILE'", "no_serial": "c_acctbal < 0", "duplicate_serial": "c_custkey % 13 = 0", "software_device": "c_custkey % 17 = 0", "known_class": "c_custkey % 4 <> 0", "short_lived_connection": "c_custkey % 6 = 1",
-}
-
-
-def _rules_sql(profile: str = "general") -> str:
-    r = RuleSet()
-    rows = lambda xs: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) for v in x) + ")" for x in xs)
-    facts = " UNION ALL ".join(f"SELECT c_custkey AS device, '{f}' AS fact FROM customer WHERE {p}" for f, p in _FACTS.items())
-    return f"""fc AS ({facts}),
-ru(rule_id, category, tier, priority) AS (VALUES {rows((k, v[0], v[1], v[2]) for k, v in r.rules.items())}),
-co(rule_id, fact, neg) AS (VALUES {rows((k, c.lstrip("!"), c.startswith("!")) for k, v in r.rules.items() for c in v[3].split())}),
-wt(fact, weight) AS (VALUES {rows((k, float(v)) for k, v in r.weighted(profile).items())}),
-ct(category, relevance) AS (VALUES {rows((k, v[1]) for k, v in r.categories.items())}),
-rv(fact) AS (VALUES {rows((k,) for k in r.review)}), rx(fact, unless_fact) AS (VALUES {rows((k, u) for k, v in r.review.items() for u in v)}),
-ma AS (SELECT s.device, ru.* FROM (SELECT device, rule_id, count(*) AS met FROM fc JOIN co USING (fact) WHERE NOT neg GROUP BY ALL) s JOIN (SELECT rule_id, count(*) AS needed FROM co WHERE NOT neg GROUP BY 1) q ON q.rule_id = s.rule_id AND met = needed JOIN ru ON ru.rule_id = s.rule_id
-  WHERE NOT EXISTS (SELECT 1 FROM fc JOIN co USING (fact) WHERE neg AND fc.device = s.device AND co.rule_id = s.rule_id))"""
-
-
-@query(f"WITH {_rules_sql()} SELECT * FROM fc")
-def device_facts(s, d):
-    return ad.facts(s, d)
-
-
-@query(f"WITH {_rules_sql()} SELECT * FROM ma")
-def rule_matches(s, d):
-    return matches(ad.facts(s, d), RuleSet().tables(s))
-
-
-@query(f"""WITH {_rules_sql("exfiltration")},
-w AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY priority DESC, rule_id) AS n FROM ma),
-sc AS (SELECT device, sum(weight) AS raw FROM fc LEFT JOIN wt USING (fact) GROUP BY 1)
-SELECT c_custkey AS device, coalesce(w.category, 'Unknown') AS category, coalesce(w.tier, 3) AS tier, coalesce(relevance, 'review') AS relevance, coalesce(greatest(0, least(100, round(raw))), 0) AS score, coalesce(round(raw, 1), 0) AS raw_score, coalesce(w.rule_id, '') AS rule_id,
-  coalesce((SELECT string_agg(rule_id, '; ' ORDER BY priority DESC, rule_id) FROM ma WHERE ma.device = c_custkey), '') AS matched_rules, (SELECT count(*) FROM ma WHERE ma.device = c_custkey) AS rules_matched,
-  EXISTS (SELECT 1 FROM fc JOIN rv USING (fact) WHERE fc.device = c_custkey AND NOT EXISTS (SELECT 1 FROM fc x WHERE x.device = c_custkey AND x.fact IN ('software_device', 'internal_bus', 'usb_attachment_not_observed')) AND NOT EXISTS (SELECT 1 FROM rx JOIN fc y ON y.fact = rx.unless_fact WHERE rx.fact = fc.fact AND y.device = c_custkey)) AS review_required,
-  coalesce((SELECT string_agg(fact, ', ' ORDER BY fact) FROM fc WHERE fc.device = c_custkey), '') AS facts
-FROM customer LEFT JOIN w ON w.device = c_custkey AND n = 1 LEFT JOIN ct USING (category) LEFT JOIN sc ON sc.device = c_custkey""")
-def classification_scores(s, d):
-    return classified(ad.read(s, d, "customer").select(F.col("c_custkey").alias("device")), ad.facts(s, d), RuleSet().tables(s, "exfiltration"))
-
-
-@query(f"WITH {_rules_sql()} SELECT rule_id, category, tier, priority, (SELECT string_agg(CASE WHEN neg THEN 'NOT ' ELSE '' END || fact, ' AND ' ORDER BY fact) FROM co WHERE co.rule_id = ru.rule_id) AS conditions FROM ru")
-def rule_catalogue(s, d):
-    return catalogue(RuleSet().tables(s))
-
-
-@query(f"WITH {_rules_sql()} SELECT fact, count(*) AS devices, (SELECT count(*) FROM co WHERE co.fact = fc.fact) AS rules FROM fc GROUP BY fact")
-def fact_use(s, d):
-    rules = RuleSet().tables(s)["condition"].groupBy("fact").agg(F.count(F.lit(1)).alias("rules"))
-    return ad.facts(s, d).groupBy("fact").agg(F.count(F.lit(1)).alias("devices")).join(F.broadcast(rules), "fact", "left").na.fill(0, ["rules"])
-
-
-@query("""WITH b AS (SELECT s_suppkey, s_nationkey, s_suppkey % 40 AS g FROM supplier), n AS (SELECT 'DISK&VEN_A' || g || '\\' AS k, * FROM b), l AS (SELECT *, CASE WHEN g % 4 = 0 THEN 'Model ' || g WHEN g % 4 = 1 THEN 'E:\\' ELSE '' END AS name FROM n),
-x AS (SELECT 'USBSTOR\\DISK&VEN_A' || g || '&PROD_B_' || g || '\\S' || s_suppkey AS device_key, 'S' || s_suppkey AS serial, CASE WHEN g % 4 = 0 THEN name ELSE 'A' || g || ' B ' || g END AS base FROM l)
-SELECT device_key, CASE WHEN count(*) OVER (PARTITION BY base) > 1 AND serial <> '' THEN base || ' · ' || serial ELSE base END AS label FROM x""".replace("\\\\", "\\"))
-def device_labels(s, d):
-    g = (F.col("s_suppkey") % 40).cast("string")
-    v = ad.read(s, d, "supplier")
-    k = F.concat(F.lit("USBSTOR\\DISK&VEN_A"), g, F.lit("&PROD_B_"), g, F.lit("\\S"), F.col("s_suppkey").cast("string"))
-    name = F.when(F.col("s_suppkey") % 40 % 4 == 0, F.concat(F.lit("Model "), g)).when(F.col("s_suppkey") % 40 % 4 == 1, "E:\\").otherwise("")
-    return devices.device_labels(v.select(k.alias("device_key"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("serial"), name.alias("name")))
-
-
-@query("""WITH p AS (SELECT lang AS artefact, doc_id, trim(unnest(string_split_regex(text, '[;\n]'))) AS x FROM documents)
-SELECT artefact, regexp_replace(x, '[0-9]+', '#', 'g') AS reason, count(*) AS warnings, count(DISTINCT doc_id) AS sources, min(x) AS example FROM p WHERE x <> '' GROUP BY ALL""")
-def parse_warnings(s, d):
-    return timeline.parse_warnings(ad.read(s, d, "documents").select(F.col("lang").alias("artefact"), F.col("doc_id").alias("source_id"), F.col("text").alias("warnings")))
-
-
-_RUNS_ON = "WHEN {t} >= TIMESTAMP '2000-01-01' AND {t} < TIMESTAMP '2000-02-01' THEN 'an unset device clock running on from 2000-01-01' ELSE '' END"
-_EPOCH_UTC = "CASE WHEN {t} BETWEEN TIMESTAMP '1999-12-31 10:00:00' AND TIMESTAMP '2000-01-01 14:00:00' THEN 'an unset device clock at 2000-01-01' " + _RUNS_ON
-_EPOCH_LOCAL = "CASE WHEN CAST({t} AS DATE) = DATE '2000-01-01' THEN 'an unset device clock at 2000-01-01' " + _RUNS_ON
-_TL = rf"""{_EV},
-en AS (SELECT CASE kind WHEN 'install' THEN 'install' ELSE 'connection' END AS category, record_id AS ref, time_utc AS utc_recorded, CAST(NULL AS TIMESTAMP) AS lo, device_key AS physical_device_id FROM ev WHERE kind IN ('connect', 'disconnect', 'install')
-  UNION ALL SELECT 'file', o_orderkey, NULL, date_trunc('millisecond', o_orderdate), '' FROM orders UNION ALL SELECT 'volume', l_orderkey * 10 + l_linenumber, l_shipdate, NULL, '' FROM lineitem),
-e1 AS (SELECT *, {_EPOCH_LOCAL.format(t="lo")} AS ls FROM en),
-e2 AS (SELECT *, lo IS NOT NULL AND ls = '' AS usable FROM e1),
-tl AS (SELECT category, ref, physical_device_id, coalesce(utc_recorded, CASE WHEN usable THEN lo + INTERVAL 300 MINUTE END) AS utc, CASE WHEN utc_recorded IS NULL AND usable THEN lo + INTERVAL 240 MINUTE END AS utc_alternate,
-  CASE WHEN utc_recorded IS NOT NULL THEN 'recorded in UTC' WHEN usable THEN 'local time, standard or daylight' WHEN lo IS NOT NULL THEN 'clock default' ELSE 'none' END AS time_basis,
-  coalesce(utc_recorded, CASE WHEN usable THEN lo + INTERVAL 300 MINUTE END, lo) AS sort_utc, CASE WHEN utc_recorded IS NOT NULL THEN {_EPOCH_UTC.format(t="utc_recorded")} WHEN lo IS NULL THEN '' ELSE ls END AS epoch_default FROM e2),
-te AS (SELECT *, row_number() OVER (ORDER BY sort_utc NULLS FIRST, category, ref, physical_device_id) AS entry_id FROM tl)"""
-
-
-def _timeline(s: SparkSession, d: str) -> DataFrame:
-    e = timeline.resolved(ad.entries(s, d), 300).drop("utc_recorded", "local_text")
-    return timeline.numbered(e, ["sort_utc", "category", "ref", "physical_device_id"], "entry_id")
-
-
-@query(f"WITH {_TL} SELECT * FROM te")
-def timeline_resolved(s, d):
-    return _timeline(s, d)
-
-
-@query(f"WITH {_TL} SELECT epoch_default, time_basis, category, count(*) AS n, min(sort_utc) AS first_utc, max(sort_utc) AS last_utc FROM te GROUP BY ALL")
-def epoch_defaults(s, d):
-    e = timeline.resolved(ad.entries(s, d), 300)
-    return e.groupBy("epoch_default", "time_basis", "category").agg(F.count(F.lit(1)).alias("n"), F.min("sort_utc").alias("first_utc"), F.max("sort_utc").alias("last_utc"))
-
-
-_MOM = rf"""{_TL},
-ep AS (SELECT device_key AS physical_device_id, state AS moment_kind, time_utc AS moment_utc, device_key, state AS moment_rule FROM ch),
-o AS (SELECT *, lag(moment_utc) OVER (PARTITION BY physical_device_id, moment_kind ORDER BY moment_utc, device_key) AS pu FROM ep),
-cl AS (SELECT *, sum(CASE WHEN pu IS NULL OR date_diff('millisecond', pu, moment_utc) > {HOUR_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY physical_device_id, moment_kind ORDER BY moment_utc, device_key ROWS UNBOUNDED PRECEDING) AS ci FROM o),
-an AS (SELECT row_number() OVER (ORDER BY physical_device_id, moment_kind, ci) AS moment_id, physical_device_id, moment_kind, min(moment_utc) AS moment_utc, count(*) AS window_count, string_agg(DISTINCT moment_rule, '; ' ORDER BY moment_rule) AS moment_rules FROM cl GROUP BY physical_device_id, moment_kind, ci),
-ca AS (SELECT entry_id, moment_id, abs(date_diff('millisecond', moment_utc, sort_utc)) AS distance_ms FROM te JOIN an USING (physical_device_id) WHERE epoch_default = '' AND category IN ('connection', 'install') AND abs(date_diff('millisecond', moment_utc, sort_utc)) <= {HOUR_MS}),
-me AS (SELECT entry_id, moment_id, distance_ms FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY distance_ms, moment_id) AS n FROM ca) WHERE n = 1)"""
-
-
-def _anchors(s: SparkSession, d: str) -> DataFrame:
-    e = _changes(s, d).select(F.col("device_key").alias("physical_device_id"), F.col("state").alias("moment_kind"), F.col("time_utc").alias("moment_utc"), "device_key", F.col("state").alias("moment_rule"))
-    return timeline.moment_anchors(e, HOUR_MS)
+def query(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql_of(sql)
+        return f
 
+    return add
 
-@query(f"WITH {_MOM} SELECT * FROM an")
-def moment_anchors(s, d):
-    return _anchors(s, d)
 
+def _register(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(case_of(spark, sf_dir), name)()
 
-@query(f"WITH {_MOM} SELECT * FROM me")
-def moment_members(s, d):
-    return timeline.moment_members(_timeline(s, d), _anchors(s, d), HOUR_MS)
+    run.__name__, run.__doc__ = name, getattr(Case, name).__doc__
+    query(f"SELECT * FROM v_{name}")(run)
 
 
-@query(f"WITH {_MOM} SELECT moment_id, category, count(*) AS entries, min(distance_ms) AS nearest_ms FROM me JOIN te USING (entry_id) GROUP BY ALL")
-def moment_support(s, d):
-    t = _timeline(s, d)
-    return timeline.moment_members(t, _anchors(s, d), HOUR_MS).join(t.select("entry_id", "category"), "entry_id").groupBy("moment_id", "category").agg(F.count(F.lit(1)).alias("entries"), F.min("distance_ms").alias("nearest_ms"))
+for _view in [name[2:] for name in case_sql.PARTS if name.startswith("v_")]:
+    _register(_view)
 
 
-@query(f"WITH {_MOM}, sh AS (SELECT moment_id, count(*) AS records FROM me GROUP BY 1 HAVING count(*) >= 2) SELECT 'moment' AS kind, moment_id AS id, moment_utc AS sort_utc, records FROM an JOIN sh USING (moment_id) UNION ALL SELECT 'entry', entry_id, sort_utc, 1 FROM te WHERE entry_id NOT IN (SELECT entry_id FROM me JOIN sh USING (moment_id))")
-def report_timeline(s, d):
-    t, a = _timeline(s, d), _anchors(s, d)
-    return timeline.report_timeline(t, timeline.moment_members(t, a, HOUR_MS), a)
+@query("SELECT entry_id, category, event, sort_utc FROM v_timeline_significant ORDER BY sort_utc DESC NULLS LAST, entry_id DESC LIMIT 750")
+def significant_newest(spark, sf_dir):
+    """The report's section of the newest entries, which has a limit."""
+    t = case_of(spark, sf_dir).timeline_significant()
+    return t.orderBy(F.desc_nulls_last("sort_utc"), F.desc("entry_id")).limit(750).select("entry_id", "category", "event", "sort_utc")
 
 
-@query("WITH w AS (SELECT source AS artefact, list_extract(['failed', 'malformed', 'truncated', 'ok'], CAST(doc_id % 4 + 1 AS INTEGER)) AS severity FROM documents), b AS (SELECT artefact, count(*) FILTER (WHERE severity = 'failed') AS failed, count(*) FILTER (WHERE severity = 'malformed') AS malformed FROM w GROUP BY 1) SELECT source AS artefact, count(*) AS sources, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) FILTER (WHERE doc_id % 3 = 0) AS replayed, count(*) FILTER (WHERE doc_id % 3 = 1) AS not_replayed, any_value(failed) AS failed, any_value(malformed) AS malformed FROM documents JOIN b ON artefact = source GROUP BY 1")
-def coverage(s, d):
-    docs = ad.read(s, d, "documents")
-    severity = F.get(F.array(*map(F.lit, ("failed", "malformed", "truncated", "ok"))), (F.col("doc_id") % 4).cast("int"))
-    return timeline.coverage(docs.select(F.col("source").alias("artefact"), F.col("n_chars").alias("size_bytes"), F.when(F.col("doc_id") % 3 < 2, F.col("doc_id") % 3 == 0).alias("replayed")), docs.select(F.col("source").alias("artefact"), severity.alias("severity")))
+@query("SELECT enumerator, count(*) AS identities, count(*) FILTER (WHERE serial_is_generated) AS generated FROM v_device GROUP BY 1")
+def count_by_enumerator(spark, sf_dir):
+    return case_of(spark, sf_dir).device().groupBy("enumerator").agg(F.count(F.lit(1)).alias("identities"), F.count_if("serial_is_generated").alias("generated"))
 
 
-@query("WITH w AS (SELECT doc_id, list_extract(['failed', 'malformed', 'truncated', 'ok'], CAST(doc_id % 4 + 1 AS INTEGER)) AS severity FROM documents) SELECT doc_id, severity, CASE severity WHEN 'failed' THEN 1 WHEN 'truncated' THEN 2 ELSE 3 END AS rank, count(*) OVER () AS total FROM w WHERE severity <> 'ok'")
-def limitations(s, d):
-    severity = F.get(F.array(*map(F.lit, ("failed", "malformed", "truncated", "ok"))), (F.col("doc_id") % 4).cast("int"))
-    return timeline.limitations(ad.read(s, d, "documents").select("doc_id", severity.alias("severity")))
+@query("SELECT min(sort_utc) AS first_utc, max(sort_utc) AS last_utc, count(*) AS entries FROM v_timeline WHERE epoch_default = ''")
+def timeline_span(spark, sf_dir):
+    return case_of(spark, sf_dir).timeline().where("epoch_default = ''").agg(F.min("sort_utc").alias("first_utc"), F.max("sort_utc").alias("last_utc"), F.count(F.lit(1)).alias("entries"))
 
 
-@query(f"WITH {_EV}, f AS (SELECT 1 AS rank, 'faults' AS kind, count(*) AS n FROM ev WHERE kind = 'fault' HAVING count(*) > 0 UNION ALL SELECT 2, 'unexpected_stops', count(*) FROM ev WHERE session_state = 'stopped_unexpectedly' HAVING count(*) > 0 UNION ALL SELECT 3, 'no_such_thing', count(*) FROM ev WHERE kind = 'none' HAVING count(*) > 0) SELECT *, row_number() OVER (ORDER BY rank, kind) AS finding_id FROM f")
-def report_findings(s, d):
-    e = ad.event(s, d)
-    return timeline.findings([(1, "faults", e.where("kind = 'fault'")), (2, "unexpected_stops", e.where("session_state = 'stopped_unexpectedly'")), (3, "no_such_thing", e.where("kind = 'none'"))])
+@query("SELECT epoch_default, time_basis, category, count(*) AS entries, min(sort_utc) AS first_utc, max(sort_utc) AS last_utc FROM v_timeline GROUP BY ALL")
+def epoch_defaults(spark, sf_dir):
+    return case_of(spark, sf_dir).timeline().groupBy("epoch_default", "time_basis", "category").agg(F.count(F.lit(1)).alias("entries"), F.min("sort_utc").alias("first_utc"), F.max("sort_utc").alias("last_utc"))
 
 
-@query(f"WITH {_WIN} SELECT count(*) AS windows, count(*) FILTER (WHERE NOT start_known) AS unknown_start, count(*) FILTER (WHERE ended_before_utc IS NOT NULL) AS superseded, count(DISTINCT device_key) AS devices, min(started_utc) AS first_utc, max(ended_utc) AS last_utc FROM wn")
-def report_summary(s, d):
-    return _windows(s, d).agg(F.count(F.lit(1)).alias("windows"), F.count_if(~F.col("start_known")).alias("unknown_start"), F.count_if(F.col("ended_before_utc").isNotNull()).alias("superseded"), F.count_distinct("device_key").alias("devices"), F.min("started_utc").alias("first_utc"), F.max("ended_utc").alias("last_utc"))
+@query(
+    """SELECT d.physical_device_id, ifnull(m.c, 'Unknown') AS category, ifnull(m.t, 3) AS tier, ifnull(least(greatest(round(raw), 0), 100), 0) AS score, ifnull(round(raw, 1), 0) AS raw_score FROM v_physical_device d
+    LEFT JOIN (SELECT physical_device_id, arg_min(category, (-priority, rule_id)) AS c, arg_min(tier, (-priority, rule_id)) AS t FROM v_device_rule_match GROUP BY 1) m USING (physical_device_id)
+    LEFT JOIN (SELECT physical_device_id, sum(base_weight * CASE WHEN fact IN ('storage_identity', 'mtp_interface', 'optical_identity') THEN 1.5 WHEN fact IN ('mounted_volume', 'file_activity', 'executable_run_from_removable') THEN 2 ELSE 1 END) AS raw FROM v_device_fact JOIN rule_indicator USING (fact) GROUP BY 1) s USING (physical_device_id)"""
+)
+def exfiltration_profile(spark, sf_dir):
+    """Classification with another profile's weights: scores change, categories don't."""
+    return case_of(spark, sf_dir).with_rules(RuleSet().tables(spark, "exfiltration")).device_classification().select("physical_device_id", "category", "tier", "score", "raw_score")
 
 
-@query(f"WITH {_TL} SELECT entry_id, category, sort_utc FROM te WHERE category <> 'volume' ORDER BY sort_utc DESC NULLS LAST, entry_id DESC LIMIT 750")
-def significant_topk(s, d):
-    return _timeline(s, d).where("category <> 'volume'").orderBy(F.desc_nulls_last("sort_utc"), F.desc("entry_id")).limit(750).select("entry_id", "category", "sort_utc")
+@query(
+    """SELECT k, len(string_split(k, '\\')) > 2 AS has_instance_id, {tail} AS identity_tail, {generated} AS is_generated_serial, upper(split_part(k, '\\', 1)) AS identity_enumerator, upper(split_part(k, '\\', 1)) IN ('USBSTOR', 'STORAGE', 'SWD', 'SCSI', 'WPDBUSENUM') AS appends_instance_index, {recorded} AS device_serial_recorded, {serial} AS device_serial,
+    CASE WHEN ({recorded}) = '' THEN '' WHEN ({recorded}) = ({serial}) THEN 'as recorded' ELSE 'the trailing instance index this enumerator appends was removed' END AS device_serial_rule, contains(k, '\\') OR k SIMILAR TO '[A-Za-z]:.*' AS is_location, upper(regexp_extract(k, 'VID_[0-9A-Fa-f]{{4}}&PID_[0-9A-Fa-f]{{4}}')) AS device_vid_pid,
+    ifnull(list_position(['USBSTOR', 'SCSI', 'USB', 'HID', '-', 'SWD'], upper(split_part(k, '\\', 1))), 5) AS identity_rank, contains(upper(i), 'USB\\CLASS_0E') AS has_usb_class, contains(lower(i), 'subclass') AS has_text, regexp_matches(trim(f), '^[A-Za-z]:\\\\?$') AS is_drive_path, c <> '' AND replace(replace(c, '0', ''), '-', '') <> '{{}}' AS is_real_container,
+    trim(replace(regexp_extract(d, 'Ven_([^&]*)&Prod_([^&]*)', 1) || ' ' || regexp_extract(d, 'Ven_([^&]*)&Prod_([^&]*)', 2), '_', ' ')) AS device_id_product
+    FROM (SELECT DISTINCT normalised_instance_id AS k, compatible_ids AS i, friendly_name AS f, container_id AS c, device_id AS d FROM devnode)""".format(tail=case_sql._tail("k"), generated=case_sql._generated("k"), recorded=case_sql._recorded("k"), serial=case_sql._serial("k"))
+)
+def macro_suite(spark, sf_dir):
+    """Every scalar function over identities."""
+    d = case_of(spark, sf_dir).table("devnode").select(F.col("normalised_instance_id").alias("k"), F.col("compatible_ids").alias("i"), F.col("friendly_name").alias("f"), F.col("container_id").alias("c"), F.col("device_id").alias("d")).distinct()
+    of_key = (m.has_instance_id, m.identity_tail, m.is_generated_serial, m.identity_enumerator, m.appends_instance_index, m.device_serial_recorded, m.device_serial, m.device_serial_rule, m.is_location, m.device_vid_pid)
+    return d.select(
+        "k", *[f(F.col("k")).alias(f.__name__) for f in of_key], m.identity_rank(m.identity_enumerator(F.col("k"))).alias("identity_rank"), m.has_usb_class(F.col("i"), "0e").alias("has_usb_class"), m.has_text(F.col("i"), "subclass").alias("has_text"), m.is_drive_path(F.col("f")).alias("is_drive_path"),
+        m.is_real_container(F.col("c")).alias("is_real_container"), m.device_id_product(F.col("d")).alias("device_id_product"),
+    )
 
 
-@query("SELECT o_orderkey AS id, date_trunc('millisecond', o_orderdate) + INTERVAL 300 MINUTE AS standard_utc, date_trunc('millisecond', o_orderdate) + INTERVAL 240 MINUTE AS daylight_utc FROM orders")
-def seasonal_candidates(s, d):
-    o = ad.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss.SSS").alias("local_text"))
+@query("SELECT o_orderkey AS id, date_trunc('day', o_orderdate) + INTERVAL 300 MINUTE AS standard_utc, date_trunc('day', o_orderdate) + INTERVAL 240 MINUTE AS daylight_utc FROM orders")
+def seasonal_candidates(spark, sf_dir):
+    """Both UTC readings of wall-clock times."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy/MM/dd 00:00:00").alias("local_text"))
     return timeline.seasonal_candidates(o, 300, -60)
-
-
-@query(rf"WITH {_ID} SELECT device_key, enumerator, tail, serial, generated, vid_pid, CASE WHEN serial = '' THEN '' WHEN serial <> tail THEN 'trailing instance index removed' ELSE 'as recorded' END AS serial_rule, CASE enumerator WHEN 'USBSTOR' THEN 1 WHEN 'USB' THEN 3 WHEN 'SWD' THEN 6 ELSE 5 END AS rank, contains(device_key, '\') AS is_location FROM idn")
-def macro_suite(s, d):
-    k = F.col("device_key")
-    return ad.identities(s, d).select("device_key", "enumerator", m.identity_tail(k).alias("tail"), "serial", "generated", "vid_pid", m.device_serial_rule(k).alias("serial_rule"), m.identity_rank(F.col("enumerator")).alias("rank"), m.is_location(k).alias("is_location"))
-
-
-@query("SELECT doc_id AS sequence, 'src-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS source_id, sha256(text) AS sha256, row_number() OVER (ORDER BY doc_id) AS read_order FROM documents")
-def source_order(s, d):
-    docs = ad.read(s, d, "documents")
-    out = docs.select(F.col("doc_id").alias("sequence"), F.concat(F.lit("src-"), F.when(F.length(F.col("doc_id").cast("string")) >= 4, F.col("doc_id").cast("string")).otherwise(F.lpad(F.col("doc_id").cast("string"), 4, "0"))).alias("source_id"), F.sha2("text", 256).alias("sha256"))
-    return timeline.numbered(out, ["sequence"], "read_order")
