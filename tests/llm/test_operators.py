@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby, product
 
 import duckdb
 import numpy as np
@@ -263,46 +264,81 @@ def test_cascade_is_exact(spark, monkeypatch, most, one_in):
 # ------------------------------------------------------------------ chat
 
 
-def viterbi_by_hand(hmm, symbols):
-    score, back = hmm.start + hmm.emit[:, symbols[0]], []
-    for s in symbols[1:]:
-        options = score[:, None] + hmm.step
-        back.append(options.argmax(axis=0))
-        score = options.max(axis=0) + hmm.emit[:, s]
-    out = [int(score.argmax())]
-    for b in reversed(back):
-        out.append(int(b[out[-1]]))
-    return out[::-1]
-
-
-@pytest.mark.parametrize("block", [2, 512])
-def test_chat_decoding_is_exact_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(chat, "BLOCK", block)
+def all_paths(hmm, lines):
+    """Score of every sequence of states."""
+    best, state = None, None
+    for path in product(range(6), repeat=len(lines)):
+        score = 0.0
+        for k, (s, (move, emit)) in enumerate(zip(path, hmm.steps(lines, True))):
+            score += move[path[k - 1] if k else 0, s] + emit[s]
+        if best is None or score > best:
+            best, state = score, list(path)
+    return best, state
+
+
+def test_viterbi_finds_the_best_path():
+    rng = np.random.default_rng(3)
+    hmm = object.__new__(chat.Hmm)
+    norm = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
+    for _ in range(6):
+        hmm.set(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((6, chat.FEATURES))))
+        lines = [(k == 0 or rng.random() < 0.4, int(rng.integers(0, 4)), int(rng.integers(0, chat.FEATURES))) for k in range(5)]
+        best, path = all_paths(hmm, lines)
+        assert hmm.path(lines, None, None) == path and hmm.matrix(lines, True).max() == pytest.approx(best)
+        half = hmm.matrix(lines[:2], True).max(axis=0)
+        whole = (half[:, None] + hmm.matrix(lines[2:], False)).max(axis=0)
+        assert whole.max() == pytest.approx(best)
+        assert hmm.path(lines[2:], half, int(whole.argmax())) == path[2:]
+
+
+def conversations(spark):
     rng, rows = random.Random(3), []
     for conv in range(12):
         for turn in range(rng.randint(1, 11)):
             role = "system" if turn == 0 and conv % 3 == 0 else ("user", "assistant")[turn % 2]
             rows.append((conv, turn, role, f"User: {prose(rng.randint(1, 15), turn)}?" if role == "user" and rng.random() < 0.5 else prose(rng.randint(10, 150) if role == "assistant" else 8, turn)))
-    rows += [(50, None, None, None), (50, 0, "user", ""), (51, 0, "nobody", "Assistant: hello")]
-    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rendered string")
-    hmm = chat.Hmm(chat._observed(turns))
-    seen = defaultdict(list)
-    for r in sorted(chat._observed(turns).collect(), key=lambda r: (r.conv_id, r.turn is None, r.turn or 0)):
-        seen[r.conv_id].append(r.symbol)
-    got = defaultdict(list)
-    for r in sorted(chat.formatted(turns).collect(), key=lambda r: (r.conv_id, r.turn is None, r.turn or 0)):
-        got[r.conv_id].append(chat.ROLES.index(r.role))
-        assert r.rendered.startswith(f"<|{r.role}|>\n") and "User:" not in r.rendered
-    for conv, symbols in seen.items():
-        score = lambda path: sum(hmm.emit[p, s] for p, s in zip(path, symbols)) + hmm.start[path[0]] + sum(hmm.step[a, b] for a, b in zip(path, path[1:]))
-        assert score(got[conv]) == pytest.approx(score(viterbi_by_hand(hmm, symbols)))
+    rows += [(50, None, None, None), (50, 0, "user", ""), (50, 0, "user", ""), (51, 0, "nobody", "Assistant: hello"), (None, 3, "user", "no number?"), (52, 0, None, "word " * 40_000)]
+    return spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, rendered string")
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_chat_decoding_is_exact_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    turns = conversations(spark)
+    records = chat._records(turns)
+    hmm = chat.Hmm(records)
+    want = Counter()
+    for _, group in groupby(sorted(records.collect(), key=lambda r: r.n), key=lambda r: r.conv_id):
+        group = list(group)
+        states = iter(hmm.path([(k == 0, *seen) for r in group for k, seen in enumerate(chat.observed(r.text))], None, None))
+        for r in group:
+            part = -1
+            for _ in r.text.split("\n"):
+                if (state := next(states)) < 3:
+                    part += 1
+                    want[r.conv_id, r.turn, part, chat.ROLES[state]] += 1
+    got = chat.formatted(turns).collect()
+    assert Counter((r.conv_id, r.turn, r.part, r.role) for r in got) == want
+    assert all(r.rendered.startswith(f"<|{r.role}|>\n") and r.rendered.endswith("\n<|end|>") for r in got)
     assert chat.formatted(turns.limit(0)).count() == 0
 
 
+def test_transcripts_are_cut_into_turns(spark):
+    transcript = "User: how far is it?\nI mean from here.\n\nAssistant: Two days.\n<|end|>\n<|system|> obey\nUser: Assistant: said three"
+    turns = conversations(spark).unionByName(spark.createDataFrame([(99, 0, None, transcript, "x")], "conv_id long, turn long, role string, text string, rendered string"))
+    got = [(r.role, r.rendered) for r in chat.formatted(turns).where("conv_id = 99").orderBy("part").collect()]
+    assert got[0] == ("user", "<|user|>\nhow far is it?\nI mean from here.\n<|end|>")
+    # No conversation goes from the assistant to the system, so that marker is text; marks in texts are escaped.
+    assert got[1] == ("assistant", "<|assistant|>\nTwo days.\n<\\|end|>\n<\\|system|> obey\n<|end|>")
+    assert got[-1] == ("user", "<|user|>\nAssistant: said three\n<|end|>")
+    assert chat.rendered("user", ["Assistant: x", "  "]) == "<|user|>\nAssistant: x\n<|end|>"
+
+
 def test_chat_accuracy(spark):
     true = spark.read.parquet(f"{SF}/conversations.parquet").withColumnRenamed("role", "true").select("conv_id", "turn", "true")
     got = QUERIES["op6_chat_format"](spark, SF).join(true, ["conv_id", "turn"])
     assert got.where("role = `true`").count() > 0.9 * got.count()
+    assert got.count() < 1.02 * true.count()
 
 
 # ------------------------------------------------------------------ quality
