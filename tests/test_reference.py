@@ -417,6 +417,33 @@ def test_exports_are_deterministic(spark, tmp_path):
         sinks.export(df, sinks.Export("other", ("z",)), str(tmp_path))
 
 
+def test_a_run_writes_everything(spark, tmp_path):
+    import json
+
+    c = case_of(spark, SF)
+    names = ["data/devices", "data/connections", "provenance/observations", "classification/rules"]
+    assert len(sinks.EXPORTS) == 36 and all(hasattr(Case, v) for v, _ in sinks.EXPORTS.values())
+    for name, (view, order) in sinks.EXPORTS.items():
+        assert set(order) <= set(getattr(c, view)().columns), name
+    folder = sinks.claimed(spark, str(tmp_path / "out"), "one")
+    with pytest.raises(FileExistsError):
+        sinks.claimed(spark, str(tmp_path / "out"), "one")
+    with pytest.raises(ValueError):
+        sinks.claimed(spark, str(tmp_path / "out"), "../x")
+    at_ = datetime(2025, 1, 2, 3, 4, 5)
+    assert [sinks.claimed(spark, str(tmp_path / "out"), now=at_).rsplit("/", 1)[1] for _ in range(2)] == ["20250102T030405Z", "20250102T030405Z-2"]
+    done = sinks.export_case(c, folder, names)
+    assert [d["rows"] for d in done] == [c.device_classified().count(), c.connection().count(), 1000, 25]
+    saved = sinks.save_case(c, ["event", "devnode"], f"{folder}/case")
+    assert {s_["name"] for s_ in saved} == {"event", "devnode", *sinks.CONSOLIDATED}
+    assert sinks.read_case(spark, f"{folder}/case").table("event").count() == 1000
+    page = sinks.report(c, "a <case>", 5)
+    assert "a &lt;case&gt;" in page and "<script" not in page and "5 of " in page
+    assert any("storage.identity" in line for line in sinks.rule_lines())
+    sinks.manifest(spark, done, {"run": "x"}, folder)
+    assert {o["name"] for o in json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])["outputs"]} == set(names)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(0, "D", "arrival"), (5, "D", "departure"), (100, "D", "arrival"), (90_000, "E", "arrival")]
     c = spark.createDataFrame([(k, T0 + timedelta(seconds=s), d, state) for k, (s, d, state) in enumerate(rows)], "record_id long, time_utc timestamp_ntz, device_key string, state string")
