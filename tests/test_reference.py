@@ -405,7 +405,6 @@ def test_layouts():
     sector = bytearray(512)
     sector[440:444], sector[510:] = struct.pack("<I", 77), b"\x55\xaa"
     assert binary.mbr_signature(bytes(sector)) == 77 and binary.mbr_signature(b"\0" * 512) is None
-    assert binary.prefetch(struct.pack("<I4s8s60sI", 30, b"SCCA", b"", "SPADE.EXE".encode("utf-16-le"), 0xBEEF) + b"\0" * 8) == {"format_version": 30, "executable": "SPADE.EXE", "path_hash": "0000BEEF", "warnings": ""}
 
 
 def test_exports_are_deterministic(spark, tmp_path):

@@ -198,3 +198,152 @@ def test_key_lists(spark, tmp_path):
 def test_no_hive(content):
     with pytest.raises((ValueError, struct.error)):
         hive.Hive(content)
+
+
+# ------------------------------------------------------------------ prefetch, jump lists, discovery
+
+
+def packed_bits(codes: list[tuple[int, int]]) -> bytes:
+    bits = "".join(f"{code:0{n}b}" for code, n in codes)
+    bits += "0" * (-len(bits) % 16) + "0" * 16  # the decoder reads one unit ahead
+    return b"".join(struct.pack("<H", int(bits[k : k + 16], 2)) for k in range(0, len(bits), 16))
+
+
+def folded(data: bytes) -> bytes:
+    """Every symbol has a code of nine bits, its own number; runs of one byte become matches."""
+    out = b""
+    for block in (data[k : k + 65536] for k in range(0, len(data), 65536)):
+        codes, at = [], 0
+        while at < len(block):
+            run = 0
+            while 0 < at and run < 17 and at + run < len(block) and block[at + run] == block[at - 1]:
+                run += 1
+            if run >= 3:
+                codes.append((256 + run - 3, 9))  # an offset of one has no bits
+                at += run
+            else:
+                codes.append((block[at], 9))
+                at += 1
+        out += bytes([0x99]) * 256 + packed_bits(codes)
+    return b"MAM\x04" + struct.pack("<I", len(data)) + out
+
+
+def prefetch_file(version=30, name="SPADE.EXE", metrics=304) -> bytes:
+    names = "".join(f"{n}\0" for n in ("\\VOLUME{a}\\X\\SPADE.EXE", "\\VOLUME{b}\\NTDLL.DLL")).encode("utf-16-le")
+    device = "\\VOLUME{a}".encode("utf-16-le")
+    entry = 96
+    block = struct.pack("<IIQI", 2 * entry, 10, NOON, 0x1234ABCD).ljust(entry, b"\0") + struct.pack("<IIQI", 2 * entry, 4, NOON, 1).ljust(entry, b"\0") + device
+    b = bytearray(struct.pack("<I4s8s60sI", version, b"SCCA", b"", name.encode("utf-16-le"), 0xBEEF).ljust(304, b"\0"))
+    struct.pack_into("<9I", b, 84, metrics, 0, 0, 0, 304, len(names), 304 + len(names), 2, len(block))
+    struct.pack_into("<8Q", b, 128, NOON, NOON - 5, 0, 0, 0, 0, 0, 0)
+    struct.pack_into("<I", b, 208 if metrics == 304 else 200, 42)
+    return bytes(b) + names + block
+
+
+def test_prefetch(spark, tmp_path):
+    from vestige.sources import prefetch
+
+    data = bytes(range(256)) * 3 + b"z" * 500 + bytes(range(200)) * 400
+    assert prefetch.unfolded(folded(data)) == data
+    for k, content in enumerate((prefetch_file(), folded(prefetch_file()), prefetch_file(metrics=296), prefetch_file(version=99), b"MAM\x04" + b"\0" * 400, b"x")):
+        (tmp_path / f"{k}.pf").write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r for r in registry.rows_of(binary.files(spark, str(tmp_path), "*.pf"), prefetch.run, prefetch.RUN).collect()}
+    for name in ("0.pf", "1.pf", "2.pf"):
+        r = got[name]
+        assert (r.executable, r.executable_path, r.run_count, r.times_recorded, list(r.raw_run_times), r.volume_count, r.file_count) == ("SPADE.EXE", "\\VOLUME{a}\\X\\SPADE.EXE", 42, 2, [NOON, NOON - 5], 1, 2)
+        assert (r.volumes[0].device_path, r.volumes[0].volume_serial_hex) == ("\\VOLUME{a}", "1234-ABCD") and "volume 2" in r.parse_warnings
+    assert "99" in got["3.pf"].parse_warnings and got["4.pf"].problem and got["5.pf"].problem
+
+
+def link_bytes(name: str) -> bytes:
+    head = struct.pack("<I16sIIQQQI", 76, bytes.fromhex("0114020000000000c000000000000046"), 2, 0, 1, 2, 3, 99).ljust(76, b"\0")
+    path = name.encode() + b"\0"
+    return head + struct.pack("<7I", 28 + len(path) + 1, 28, 2, 0, 28, 0, 28 + len(path)) + path + b"\0"
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of version 3; every stream lies in the small one."""
+    small, container, starts = [], b"", {}
+    for name, data in streams.items():
+        starts[name] = len(small)
+        count = -(-len(data) // 64)
+        small += [*range(len(small) + 1, len(small) + count), 0xFFFFFFFE]
+        container += data.ljust(64 * count, b"\0")
+    names = ["Root Entry", *streams]
+    entry = lambda n, kind, start, size: n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(n) + 2, kind).ljust(52, b"\0") + struct.pack("<IQ", start, size)
+    sectors = lambda b: -(-len(b) // 512)
+    small_table = struct.pack(f"<{len(small)}I", *small)
+    directory_size = -(-len(names) * 128 // 512)
+    layout = {"fat": 0, "dir": 1, "small": 1 + directory_size, "data": 1 + directory_size + sectors(small_table)}
+    directory = entry(names[0], 5, layout["data"], len(container)) + b"".join(entry(n, 2, starts[n], len(streams[n])) for n in streams)
+    fat = [0xFFFFFFFD]
+    for n in (directory_size, sectors(small_table), sectors(container)):
+        fat += [*range(len(fat) + 1, len(fat) + n), 0xFFFFFFFE]
+    head = bytearray(512)
+    head[:8] = bytes.fromhex("d0cf11e0a1b11ae1")
+    struct.pack_into("<HHHHH", head, 24, 0x3E, 3, 0xFFFE, 9, 6)
+    struct.pack_into("<IIIIIIII", head, 44, 1, layout["dir"], 0, 4096, layout["small"], sectors(small_table), 0xFFFFFFFE, 0)
+    struct.pack_into("<109I", head, 76, 0, *([0xFFFFFFFF] * 108))
+    pad = lambda b, fill=b"\0": b.ljust(512 * sectors(b), fill)
+    return bytes(head) + pad(struct.pack(f"<{len(fat)}I", *fat), b"\xff") + pad(directory) + pad(small_table, b"\xff") + pad(container)
+
+
+def dest(number: int, path: str, pinned: bool, count: int) -> bytes:
+    b = bytearray(0x80)
+    b[0x48:0x4D] = b"HOST1"
+    struct.pack_into("<IIfQi", b, 0x58, number, 0, 1.5, NOON + number, 0 if pinned else -1)
+    struct.pack_into("<I", b, 0x74, count)
+    return bytes(b) + struct.pack("<H", len(path)) + path.encode("utf-16-le") + b"\0" * 4
+
+
+def test_jump_lists():
+    from vestige.sources import jumplists
+
+    listed = struct.pack("<II", 4, 2).ljust(32, b"\0") + dest(10, "E:\\b.txt", True, 3) + dest(1, "E:\\a.txt", False, 9)
+    b = compound({"1": link_bytes("E:\\a.txt"), "a": link_bytes("E:\\b.txt"), "2": link_bytes("E:\\c.txt"), "DestList": listed, "other": b"x"})
+    rows = list(jumplists.entries(b, "/x/5F7B.automaticDestinations-ms"))
+    assert [(r["stream_name"], r["target_path"], r.get("mru_position"), r.get("pinned"), r.get("access_count"), r["destlist_present"]) for r in rows] == [("2", "E:\\c.txt", None, None, None, False), ("a", "E:\\b.txt", 1, True, 3, True), ("1", "E:\\a.txt", 2, False, 9, True)]
+    assert {r["app_id"] for r in rows} == {"5f7b"} and rows[1]["machine_id"] == "HOST1" and rows[1]["raw_last_access"] == NOON + 10
+    old = struct.pack("<II", 1, 1).ljust(32, b"\0") + dest(1, "E:\\a.txt", True, 9)
+    (row,) = jumplists.entries(compound({"1": link_bytes("E:\\a.txt"), "DestList": old}), "x.automaticDestinations-ms")
+    assert row["access_count"] is None and row["pinned"] is None and "legacy" in row["warnings"]
+    custom = list(jumplists.entries(b"head" + link_bytes("E:\\a.txt") + b"gap" + link_bytes("E:\\b.txt"), "y.customDestinations-ms"))
+    assert [(r["stream_name"], r["target_path"]) for r in custom] == [("link_0", "E:\\a.txt"), ("link_1", "E:\\b.txt")]
+    with pytest.raises(ValueError):
+        list(jumplists.entries(b"nothing", "x.automaticDestinations-ms"))
+
+
+def test_discovery(spark, tmp_path):
+    from vestige.sources import evidence
+
+    v = tmp_path / "in" / "uploads" / "auto" / "C%3A"
+    for f in ("Windows/System32/config/system", "Windows/System32/config/SYSTEM.LOG1", "Users/ann/ntuser.dat", "Users/ann/NTUSER.DAT.LOG2", "Users/ann/AppData/Roaming/Microsoft/Windows/Recent/AutomaticDestinations/5f.automaticDestinations-ms", "Users/ann/Desktop/a.LNK", "Windows/INF/setupapi.dev.log", "Windows/INF/setupapi.dev.2024.log", "Windows/Prefetch/A.pf", "Windows/Prefetch/b.txt", "Users/bob/NTUSER.DAT", "Users/bob/ntuser.dat"):
+        (v / f).parent.mkdir(parents=True, exist_ok=True)
+        (v / f).write_text("x")
+    (tmp_path / "out.lnk").write_text("x")
+    (v / "Users/ann/Desktop/escape.lnk").symlink_to(tmp_path / "out.lnk")
+    found = evidence.locate(str(tmp_path / "in"))
+    got = {(a[0], a[1].rsplit("/", 1)[1], a[3], a[4], a[5], len(a[6])) for a in found.artefacts}
+    assert got == {("SYSTEM", "system", "C", "", "", 1), ("NTUSER", "ntuser.dat", "C", "ann", "", 1), ("JUMPLIST", "5f.automaticDestinations-ms", "C", "ann", "recent", 0), ("LNK", "a.LNK", "C", "ann", "desktop", 0), ("SETUPAPI", "setupapi.dev.log", "C", "", "", 0), ("SETUPAPI_ROTATED", "setupapi.dev.2024.log", "C", "", "", 0), ("PREFETCH", "A.pf", "C", "", "", 0)}
+    assert [f[0] for f in found.failures] == ["LNK"] and len(found.collisions) == 1 and {m.split(" ")[0] for m in found.missing} == {"SOFTWARE", "EVTX"}
+    artefacts, problems = found.tables(spark)
+    assert artefacts.count() == 7 and problems.where("severity = 'failed'").count() == 1
+    assert [evidence.letter_of(x) for x in ("C", "d:", "%5C%5C.%5CE%3A", "data")] == ["C", "D", "E", ""]
+    with pytest.raises(ValueError):
+        evidence.locate(str(tmp_path / "in" / "uploads"))
+    with pytest.raises(ValueError):
+        evidence.Boundary(str(tmp_path / "in")).refuse_write(str(v / "new"))
+    evidence.Boundary(str(tmp_path / "in")).refuse_write(str(tmp_path / "elsewhere"))
+
+
+def test_links_with_items_wide_paths_and_shares():
+    head = lambda flags: struct.pack("<I16sIIQQQI", 76, bytes.fromhex("0114020000000000c000000000000046"), flags, 0, 1, 2, 3, 99).ljust(76, b"\0")
+    listed = PC + DRIVE + file_item("N", "notes.txt") + b"\0\0"
+    wide = "G:\\é.txt\0".encode("utf-16-le")
+    info = struct.pack("<9I", 36 + 1 + len(wide) + 2, 36, 1, 0, 36, 0, 36, 37, 37 + len(wide)) + b"\0" + wide + b"\0\0"
+    got = binary.link(head(3) + struct.pack("<H", len(listed)) + listed + info)
+    assert (got["target_item_path"], got["target_item_modified_local"], got["mft_entry"], got["target_path"]) == ("This PC\\G:\\notes.txt", "2024-03-04 05:06:08", 1234, "G:\\é.txt")
+    share = struct.pack("<5I", 40, 2, 20, 0, 0) + b"\\\\srv\\files\0".ljust(20, b"\0")
+    info = struct.pack("<7I", 28 + len(share) + 5, 28, 2, 0, 0, 28, 28 + len(share)) + share + b"a.b\0\0"
+    got = binary.link(head(2) + info)
+    assert (got["network_path"], got["target_path"], got["removable"]) == ("\\\\srv\\files", "\\\\srv\\files\\a.b", False)

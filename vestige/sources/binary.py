@@ -53,11 +53,14 @@ def guid(b: bytes) -> str:
     return f"{{{a:08x}-{c:04x}-{d:04x}-{b[8:10].hex()}-{b[10:16].hex()}}}"
 
 
-LINK = "target_path string, drive_type string, removable boolean, volume_serial_hex string, volume_label string, target_size_bytes long, raw_created long, raw_accessed long, raw_written long, relative_path string, working_dir string, arguments string, machine_id string, warnings string"
+LINK = "target_path string, drive_type string, removable boolean, volume_serial_hex string, volume_label string, target_size_bytes long, raw_created long, raw_accessed long, raw_written long, relative_path string, working_dir string, arguments string, icon_location string, machine_id string, target_item_path string, target_item_modified_local string, mft_entry long, mft_sequence long, network_path string, warnings string"
 
 
 def link(b: bytes) -> dict:
-    """A shell link: header, link information with its volume, string data, tracker block."""
+    """A shell link: header, target's items, link information with its volume or network share, string data, tracker
+    block."""
+    from vestige.sources.shellitems import items, path_of
+
     if len(b) < 76 or struct.unpack_from("<I", b)[0] != 76 or b[4:20] != _LINK_ID:
         return {"warnings": "not a shell link"}
     flags, _, created, accessed, written, size = struct.unpack_from("<IIQQQI", b, 20)
@@ -65,10 +68,17 @@ def link(b: bytes) -> dict:
     out: dict = {"raw_created": signed(created), "raw_accessed": signed(accessed), "raw_written": signed(written), "target_size_bytes": size, "removable": False}
     warnings, at = [], 76
     if flags & 1:
-        at += 2 + struct.unpack_from("<H", b, at)[0]
+        size = struct.unpack_from("<H", b, at)[0]
+        found, wrong = items(b[at + 2 : at + 2 + size])
+        warnings += wrong
+        out["target_item_path"] = path_of(found)[0]
+        if found:
+            out |= {"target_item_modified_local": found[-1]["modified_local"], "mft_entry": found[-1]["mft_entry"], "mft_sequence": found[-1]["mft_sequence"]}
+        at += 2 + size
     if flags & 2:
         info = b[at : at + struct.unpack_from("<I", b, at)[0]]
-        _, head, has, volume, base, _, suffix = struct.unpack_from("<7I", info)
+        _, head, has, volume, base, share, suffix = struct.unpack_from("<7I", info)
+        wide = struct.unpack_from("<2I", info, 28) if head >= 36 else (0, 0)
         text = lambda o: info[o : info.index(b"\0", o)].decode("cp1252", "replace") if 0 < o < len(info) and b"\0" in info[o:] else ""
         if has & 1:
             if volume + 16 > len(info):
@@ -76,7 +86,10 @@ def link(b: bytes) -> dict:
             else:
                 _, kind, serial, label = struct.unpack_from("<4I", info, volume)
                 out |= {"drive_type": _DRIVE_TYPES[kind] if kind < len(_DRIVE_TYPES) else str(kind), "removable": kind == 2, "volume_serial_hex": f"{serial >> 16:04X}-{serial & 0xFFFF:04X}", "volume_label": text(volume + label)}
-        front, back = text(base), text(suffix)
+        full = lambda o: "".join(c for c in info[o : o + (len(info) - o & ~1)].decode("utf-16-le", "replace").split("\0")[:1]) if 0 < o < len(info) else ""
+        if has & 2 and 0 < share < len(info) - 20:
+            out["network_path"] = text(share + struct.unpack_from("<I", info, share + 8)[0])
+        front, back = full(wide[0]) or text(base) or out.get("network_path", ""), full(wide[1]) or text(suffix)
         out["target_path"] = front + ("\\" if back and front and not front.endswith("\\") else "") + back
         at += len(info)
     for bit, name in ((4, "description"), (8, "relative_path"), (16, "working_dir"), (32, "arguments"), (64, "icon_location")):
@@ -127,18 +140,6 @@ def mbr_signature(b: bytes) -> int | None:
     return struct.unpack_from("<I", b, 440)[0] if len(b) >= 512 and b[510:512] == b"\x55\xaa" else None
 
 
-PREFETCH = "executable string, path_hash string, format_version int, warnings string"
-
-
-def prefetch(b: bytes) -> dict:
-    """The header of an uncompressed prefetch file; compressed ones give a warning."""
-    if b[:3] == b"MAM":
-        return {"warnings": "compressed"}
-    if len(b) < 84 or b[4:8] != b"SCCA":
-        return {"warnings": "not a prefetch file"}
-    return {"format_version": struct.unpack_from("<I", b)[0], "executable": b[16:76].decode("utf-16-le", "replace").split("\0")[0], "path_hash": f"{struct.unpack_from('<I', b, 76)[0]:08X}", "warnings": ""}
-
-
 def links(spark: SparkSession, path: str) -> DataFrame:
     return decoded(files(spark, path, "*.lnk"), link, LINK)
 
