@@ -347,3 +347,115 @@ def test_links_with_items_wide_paths_and_shares():
     info = struct.pack("<7I", 28 + len(share) + 5, 28, 2, 0, 0, 28, 28 + len(share)) + share + b"a.b\0\0"
     got = binary.link(head(2) + info)
     assert (got["network_path"], got["target_path"], got["removable"]) == ("\\\\srv\\files", "\\\\srv\\files\\a.b", False)
+
+
+# ------------------------------------------------------------------ event logs
+
+
+class Xml:
+    """Binary XML with one template a record, its names and values in place."""
+
+    def __init__(self):
+        self.b = bytearray(512)
+
+    def name(self, text: str) -> None:
+        at = len(self.b) + 4
+        self.b += struct.pack("<I", at) + struct.pack("<IHH", 0, 0, len(text)) + text.encode("utf-16-le") + b"\0\0"
+
+    def element(self, name: str, attributes: dict[str, int | str], content: list) -> None:
+        """content: numbers of values, texts, or (name, attributes, content)."""
+        self.b += bytes([0x41 if attributes else 0x01]) + struct.pack("<HI", 0xFFFF, 0)
+        self.name(name)
+        if attributes:
+            at = len(self.b)
+            self.b += b"\0\0\0\0"
+            for k, v in attributes.items():
+                self.b += b"\x06"
+                self.name(k)
+                self.leaf(v)
+            struct.pack_into("<I", self.b, at, len(self.b) - at - 4)
+        if not content:
+            self.b += b"\x03"
+            return
+        self.b += b"\x02"
+        for c in content:
+            self.element(*c) if isinstance(c, tuple) else self.leaf(c)
+        self.b += b"\x04"
+
+    def leaf(self, v: int | str) -> None:
+        self.b += b"\x05\x01" + struct.pack("<H", len(v)) + v.encode("utf-16-le") if isinstance(v, str) else b"\x0e" + struct.pack("<HB", v, 1)
+
+    def record(self, number: int, raw: int, tree: tuple, values: list[tuple[int, bytes]]) -> None:
+        begin = len(self.b)
+        self.b += b"**\0\0" + struct.pack("<IQQ", 0, number, raw) + b"\x0f\1\1\0" + b"\x0c\1" + struct.pack("<I", 0)
+        where = len(self.b) + 4
+        self.b += struct.pack("<I", where) + struct.pack("<I16sI", 0, b"", 0)
+        at = len(self.b)
+        self.b += b"\x0f\1\1\0"
+        self.element(*tree)
+        self.b += b"\0"
+        struct.pack_into("<I", self.b, where + 20, len(self.b) - at)
+        self.b += struct.pack("<I", len(values)) + b"".join(struct.pack("<HBB", len(v), k, 0) for k, v in values) + b"".join(v for _, v in values)
+        size = len(self.b) - begin + 4
+        self.b += struct.pack("<I", size)
+        struct.pack_into("<I", self.b, begin + 4, size)
+
+    def chunk(self) -> bytes:
+        self.b[:8] = b"ElfChnk\0"
+        struct.pack_into("<I", self.b, 48, len(self.b))
+        return bytes(self.b).ljust(65536, b"\0")
+
+
+def wide(t: str) -> tuple[int, bytes]:
+    return 1, t.encode("utf-16-le")
+
+
+def an_event(x: Xml, number: int, channel: str, provider: str, event: int, data: dict[str, tuple[int, bytes]], raw=NOON) -> None:
+    system = ("System", {}, [("Provider", {"Name": provider}, []), ("EventID", {}, [0]), ("Channel", {}, [channel]), ("EventRecordID", {}, [1])])
+    tree = ("Event", {"xmlns": "urn:x"}, [system, ("EventData", {}, [("Data", {"Name": k}, [n + 2]) for n, k in enumerate(data)])])
+    x.record(number, raw, tree, [(6, struct.pack("<H", event)), (10, struct.pack("<Q", number)), *data.values()])
+
+
+def test_event_logs(spark, tmp_path):
+    from vestige.sources import events, evtx
+
+    partition = "Microsoft-Windows-Partition/Diagnostic"
+    slot = struct.pack("<iiqqIi", 0, 0, 1048576, 5000, 1, 0) + bytes([7]) + b"\0" * 111
+    table = struct.pack("<III", 0, 1, 0xABCD).ljust(48, b"\0") + slot
+    sector = bytearray(512)
+    sector[440:444], sector[510:] = struct.pack("<I", 77), b"\x55\xaa"
+    x = Xml()
+    an_event(x, 1, partition, "P", 1006, {"ParentId": wide("USB\\VID_1&PID_2\\S1"), "Capacity": (10, struct.pack("<Q", 512000)), "DiskNumber": (8, struct.pack("<I", 3)), "BusType": (8, struct.pack("<I", 7)), "Mbr": (14, bytes(sector)), "PartitionTable": (14, table)})
+    an_event(x, 2, partition, "P", 1006, {"ParentId": wide("PCI\\VEN_1"), "BusType": (8, struct.pack("<I", 17))})
+    an_event(x, 3, partition, "P", 9999, {"A": wide("b")})
+    y = Xml()
+    an_event(y, 4, "System", "EventLog", 6005, {"Flag": (13, b"\1\0\0\0"), "Guid": (15, bytes(range(16))), "Sid": (19, bytes([1, 1, 0, 0, 0, 0, 0, 5]) + struct.pack("<I", 18)), "List": (0x81, "a\0b\0".encode("utf-16-le")), "Hex": (20, b"\x10\0\0\0"), "Time": (17, struct.pack("<Q", NOON)), "None": (0, b"")})
+    an_event(y, 5, "System", "Else", 6005, {})
+    an_event(y, 6, "System", "Microsoft-Windows-Ntfs", 98, {})
+    z = Xml()
+    for n, code in ((7, "45"), (8, "10")):
+        an_event(z, n, "Microsoft-Windows-Kernel-PnP/Configuration", "K", 420, {"DeviceInstanceId": wide("USBSTOR\\DISK&VEN_Q\\Z&0"), "Problem": (8, struct.pack("<I", int(code)))})
+    broken = bytearray(z.chunk())
+    broken[512 + 28] = 0x7E  # a token of the first record that there isn't
+    head = b"ElfFile\0".ljust(4096, b"\0")
+    for name, content in (("Microsoft-Windows-Partition%4Diagnostic.evtx", head + x.chunk() + b"junk".ljust(65536, b"\0")), ("System.evtx", head + y.chunk()), ("Microsoft-Windows-Kernel-PnP%4Configuration.evtx", head + z.chunk()), ("Security.evtx", b"not opened"), ("Application.evtx", b"not opened"), ("Microsoft-Windows-Ntfs%4Operational.evtx", b"no log")):
+        (tmp_path / name).write_bytes(content)
+    fields = dict(next(iter(evtx.records(y.chunk())))[2])
+    assert fields["Event.EventData.Flag"] == "true" and fields["Event.EventData.Guid"] == "{03020100-0504-0706-0809-0a0b0c0d0e0f}" and fields["Event.EventData.Sid"] == "S-1-5-18" and fields["Event.EventData.List"] == "a, b" and fields["Event.EventData.Hex"] == "0x10"
+    assert fields["Event.EventData.Time"].startswith("2024-01-17 21:20:00") and fields["Event.System.Provider@Name"] == "EventLog" and fields["Event.System.EventID"] == "6005" and "Event.EventData.None" not in fields
+    assert [f is None for _, _, f in evtx.records(bytes(broken))] == [True, False]
+
+    found = events.scanned(events.logs(spark, str(tmp_path))).cache()
+    got = {r.record_id: r for r in found.collect() if r.record_id}
+    assert {k: (r.outcome, r.kind) for k, r in got.items()} == {1: ("kept", "inventory"), 2: ("no usb device", None), 3: ("no rule", None), 4: ("kept", "session"), 5: ("no rule", None), 6: ("excluded: corruption state without a device identity", None), 7: ("kept", "disconnect"), 8: ("kept", "fault")}
+    assert got[4].rule_id == "System:EventLog:6005" and got[7].device_instance_id == "USBSTOR\\DISK&VEN_Q\\Z&0"
+    e = {r.record_id: r for r in events.event_table(found).collect()}
+    assert (e[1].time_utc, e[1].device_key) == (datetime(2024, 1, 17, 21, 20), "USB\\VID_1&PID_2\\S1") and set(e) == {1, 4, 7, 8}
+    assert {(r.role, r.value) for r in events.field_table(found).where("record_id = 7").collect()} == {("device_instance_id", "USBSTOR\\DISK&VEN_Q\\Z&0"), ("problem_code", "45")}
+    counts = {(r.path.rsplit("/", 1)[1], r.outcome): r.records for r in events.outcomes(found).collect()}
+    assert counts["Microsoft-Windows-Ntfs%4Operational.evtx", "unreadable log"] == 1 and not any(k[0].startswith(("Security", "Application")) for k in counts)
+    (disk,) = events.disks(found).collect()
+    assert (disk.disk_number, disk.capacity, disk.style, disk.disk_signature, disk.boot_record_signature, len(disk.partitions), disk.device_key) == ("3", "512000", "MBR", 0xABCD, 77, 1, "USB\\VID_1&PID_2\\S1")
+    assert events.wanted("x/Security.evtx", ("Security",)) and not events.wanted("x/Security.evtx")
+    listed = events.catalogue(spark)
+    assert (listed.where("excluded = ''").count(), listed.where("excluded <> ''").count()) == (40, 9)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _DRIVE_TYPES = ("unknown", "no root directory", "removable", "fixed", "remote", "cd-rom", "ram disk")
 _LINK_ID = bytes.fromhex("0114020000000000c000000000000046")
@@ -29,7 +30,7 @@ def verified(before: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 def decoded(df: DataFrame, decode: Callable[[bytes], dict], schema: str) -> DataFrame:
     """path and the decoder's fields for each file; schema: the fields' DDL, `warnings string` among them."""
-    names = [part.split()[0] for part in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
 
     def each(batches):
         for b in batches:
