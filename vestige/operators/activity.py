@@ -123,8 +123,8 @@ class Activity(Facts):
         carried = rows.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums]).select("day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
         within = Window.partitionBy("day").orderBy("t", "o", "activity_id").rowsBetween(Window.unboundedPreceding, 0)
         swept = rows.select("day", "activity_id", *[F.sum(c).over(within).alias(c) for c in sums]).where("activity_id is not null").join(F.broadcast(carried), "day")
-        alone = swept.where("n + n_before = 1").select("activity_id", (F.col("number") + F.col("number_before")).cast("decimal(20,0)").alias("number"), (F.col("arrived") + F.col("arrived_before")).cast("decimal(20,0)").alias("arrived"))
-        return alone.join(w.select("number", "arrived", "device_key", "device_instance_id", "started_utc"), ["number", "arrived"]).select("activity_id", "device_key", "device_instance_id", "started_utc", F.lit(1).cast("long").alias("connected_devices"))
+        alone = swept.where("n + n_before = 1").select("activity_id", (F.col("number") + F.col("number_before")).cast("decimal(38,0)").alias("number"), (F.col("arrived") + F.col("arrived_before")).cast("decimal(38,0)").alias("arrived"))
+        return alone.join(w.select(F.col("number").cast("decimal(38,0)").alias("number"), F.col("arrived").cast("decimal(38,0)").alias("arrived"), "device_key", "device_instance_id", "started_utc"), ["number", "arrived"]).select("activity_id", "device_key", "device_instance_id", "started_utc", F.lit(1).cast("long").alias("connected_devices"))
 
     @view
     def activity_label_device(self) -> DataFrame:

@@ -13,6 +13,7 @@ from vestige.functions import macros as m
 from vestige.operators import timeline
 from vestige.operators.full import Case
 from vestige.operators.rules import RuleSet
+from vestige.operators.staging import table_in_shared_folder
 from vestige.plans import case_sql, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,8 @@ def case_of(spark: SparkSession, sf_dir: str) -> Case:
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _cases:
         rules = RuleSet().tables(spark)
-        _cases[key] = Case(lambda name: rules[name] if name in rules else model.table(spark, sf_dir, name))
+        # Evidence tables are files; these are made of others, so they are written when they are first asked for.
+        _cases[key] = made = Case(lambda name: rules[name] if name in rules else table_in_shared_folder(model.table(spark, sf_dir, name), made._written))
         while len(_cases) > KEPT:
             _, old = _cases.popitem(last=False)
             old.close()
