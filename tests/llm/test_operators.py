@@ -116,6 +116,33 @@ def test_fingerprints_follow_the_contract(spark):
     assert lz_fingerprint.edited_and_next(odd(spark)).count() == len(odd_rows())
 
 
+def phrases_by_hand(text):
+    """LZ78 over symbols, phrases as tuples."""
+    known, at = set(), ()
+    for symbol in re.findall(rb"[^\x20\x09-\x0d]{1,16}", text.encode()):
+        at = (*at, symbol)
+        if at not in known:
+            known.add(at)
+            at = ()
+    return known
+
+
+def test_phrases_and_signatures_by_hand():
+    import xxhash
+
+    for text in [prose(900, 3), "a a a a a a b a a b", "x" * 100, "one", "Ünder éau " * 40]:
+        hashes = set()
+        for phrase in phrases_by_hand(text):
+            h = 0
+            for symbol in phrase:
+                h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(symbol)) % 2**64
+            hashes.add(h)
+        assert lz_fingerprint.phrases(text) == hashes and len(hashes) == len(phrases_by_hand(text))
+        least = [min((((h ^ h >> 31) * int(f) + int(s)) % 2**64) >> 32 for h in hashes) for f, s in zip(lz_fingerprint._FACTORS, lz_fingerprint._SHIFTS)]
+        assert lz_fingerprint.signature(text).tolist() == least
+    assert lz_fingerprint.signature(" \n") is None
+
+
 def test_minima_estimate_the_phrases_overlap():
     a, b = prose(2000, 1), prose(1500, 1) + " " + prose(500, 9)
     pa_, pb = lz_fingerprint.phrases(a), lz_fingerprint.phrases(b)
@@ -224,6 +251,45 @@ def test_made_up_paths_inherit_over_several_levels(spark):
     up = {r.path.rsplit("/", 1)[0].count("/") - r.inherited_from.count("/") for r in licenses.licenses(files).collect() if r.basis == "inherited"}
     assert up == {1, 2, 3}
     assert licenses.path_of(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "source", "lang")).where("path is null").count() == 0
+    nameless = spark.createDataFrame([(None, licenses.TEMPLATES["MIT"], "s", "l"), (None, "nothing here", "s", "l")], "doc_id long, text string, source string, lang string")
+    assert sorted((r.license or "", r.basis) for r in licenses.licenses(licenses.path_of(nameless)).collect()) == [("MIT", "file"), ("MIT", "inherited")]
+
+
+def test_license_scores_are_cosines_over_the_whole_corpus(spark):
+    rng = random.Random(12)
+    notices = list(licenses.TEMPLATES.values())
+    texts = [prose(rng.randint(5, 60), k) + " " + (rng.choice(notices) if k % 3 else "") + " " + prose(rng.randint(3, 40), k + 900) for k in range(90)]
+    texts[4] = notices[1].replace("the", "the the the")  # a repeated word counts as often as it stands there
+    files = spark.createDataFrame([(f"/d/{k}", t) for k, t in enumerate(texts)], "path string, text string")
+    words = [[w for w in re.split("[^a-z0-9]+", t.lower()) if w] for t in texts]
+    df = Counter(w for ws in words for w in set(ws))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    known = licenses.templates()
+    template = [[w for w in re.split("[^a-z0-9]+", t.notice.lower()) if w] for t in known]
+
+    def cosine(a, b):
+        x, y = Counter(a), Counter(b)
+        dot = sum(x[w] * y[w] * idf(w) ** 2 for w in x)
+        return dot / math.sqrt(sum((n * idf(w)) ** 2 for w, n in x.items()) * sum((n * idf(w)) ** 2 for w, n in y.items()))
+
+    want = {}
+    for k, ws in enumerate(words):
+        for t, tw in zip(known, template):
+            for start in range(max(1, len(ws) - len(tw) + 1)):
+                part = ws[start : start + len(tw)]
+                if set(t.needs.split()) <= set(part) and (score := round(cosine(part, tw), 6)) >= licenses.LIKE:
+                    key = (f"/d/{k}", t.license, start, min(start + max(len(tw), t.stands), len(ws)))
+                    want[key] = {*want.get(key, ()), score}
+    got = defaultdict(set)
+    for r in licenses.passages(files).collect():
+        got[r.path, r.license, r.start, r.stop].add(r.score)
+    assert set(got) == set(want) and len(want) > 50
+    assert all(np.allclose(sorted(got[k]), sorted(want[k]), atol=2e-6) for k in want)
+
+
+def test_a_long_line_of_words_is_scored(spark):
+    files = spark.createDataFrame([("/a", " ".join(f"w{k % 7000}" for k in range(60_000)) + " " + licenses.TEMPLATES["MIT"]), ("/b", "x")], "path string, text string")
+    assert {(r.path, r.license) for r in licenses.passages(files).collect()} == {("/a", "MIT")}
 
 
 # ------------------------------------------------------------------ URL filter
@@ -482,6 +548,27 @@ def test_random_tokens_over_base_spans_are_whole(spark):
     assert clean == {i: "a [secret] b" for i in range(len(runs) + 1)}
 
 
+def test_secrets_in_documents(spark):
+    """Recall of planted keys and silence on ordinary documents, with the models that the query trains."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    models = secrets.train(docs, labels)
+    good = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").collect()]
+    rng, found, planted = random.Random(9), 0, 0
+    for text in good:
+        words = text.split(" ")
+        for length in (14, 24, 40):
+            key = "".join(rng.choices(secrets._ALPHABET[:62], k=length))
+            at = rng.randrange(len(words) + 1)
+            whole = " ".join([*words[:at], key, *words[at:]])
+            begin = len(" ".join(words[:at])) + (1 if at else 0)
+            planted += 1
+            found += any(a <= begin and begin + length <= b for a, b, _ in models.spans(whole))
+    assert found >= 0.97 * planted
+    tokens = sum(len(secrets._TOKEN.findall(t)) for t in good)
+    false = sum(kind == "random" for t in good for _, _, kind in models.spans(t))
+    assert false <= max(1, 0.01 * tokens)
+
+
 # ------------------------------------------------------------------ packing
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vestige.operators.staging import table_in_shared_folder
+
 #: The characters `[\x20\x09-\x0D]` that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -29,35 +28,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vestige-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, schema_only_if_empty: bool = True) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors
-    cost only the reading. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
-    def forget() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended before the interpreter: nothing can be deleted through it
-            pass
-
-    atexit.register(forget)
+def staged(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read back: lineage ends here, and lost executors cost only the reading."""
+    return table_in_shared_folder(df)
 
 
 # ---------------------------------------------------------------- word hashing

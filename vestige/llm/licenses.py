@@ -118,11 +118,11 @@ def _templates(spark: SparkSession, known: list[Template]) -> list[list[str]]:
 
 def path_of(docs: DataFrame) -> DataFrame:
     """docs with the path that a corpus of this layout gives them: /source/lang/block of 100 ids/ten ids/id.txt, of
-    which a hash of the id keeps one to all four directories."""
+    which a hash of the id keeps one to all four directories. Without an id, a hash of the text names the file."""
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     above = F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(number / 100).cast("string"), F.floor(number / 10).cast("string"))
     kept = F.slice(above, F.lit(1), (F.pmod(F.xxhash64(number), F.lit(4)) + 1).cast("int"))
-    return docs.withColumn("path", F.concat(F.lit("/"), F.array_join(kept, "/"), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(".txt")))
+    return docs.withColumn("path", F.concat(F.lit("/"), F.array_join(kept, "/"), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none-"), F.hex(F.xxhash64(text_of())))), F.lit(".txt")))
 
 
 def _anchors(unit: dict[str, float], idf: dict[str, float]) -> list[str]:
@@ -149,14 +149,14 @@ def passages(files: DataFrame) -> DataFrame:
     total = files.count()
     seen = {r.token: r.df for r in held.collect()}
     idf = {r.token: r.idf for r in spark.createDataFrame([(w, seen.get(w, 0)) for w in vocabulary], "token string, df long").select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")).collect()}
-    most = max(idf.values(), default=1.0)  # of a word that no template has
 
     # The templates' unit vectors are constants of this module, some hundred weights.
-    rows = []
+    rows, of_template = [], []
     for k, (t, ws) in enumerate(zip(known, words_of)):
         raw = {w: ws.count(w) * idf[w] for w in ws}
         norm = sum(x * x for x in raw.values()) ** 0.5
         unit = {w: x / norm for w, x in raw.items()}
+        of_template.append(unit)
         rows += [(a, k, t.license, t.tells, len(ws), max(len(ws), t.stands), t.needs.split(), unit) for a in _anchors(unit, idf)]
     anchored = F.broadcast(spark.createDataFrame(rows, "token string, k int, license string, tells boolean, n int, stands int, needs array<string>, unit map<string,double>"))
     anchors, longest = sorted({r[0] for r in rows}), max(map(len, words_of))
@@ -175,13 +175,19 @@ def passages(files: DataFrame) -> DataFrame:
     shared = F.aggregate(F.array_intersect("near", F.map_keys("unit")), F.lit(0.0), lambda acc, t: acc + F.pow(F.element_at("unit", t), F.lit(2.0)))
     near = near.where((shared >= LIKE * LIKE - 1e-9) & (F.size(F.array_except("needs", "near")) == 0))
     each = near.withColumn("start", F.explode(F.sequence("lo", "hi"))).withColumn("words_in", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("n"))).where(F.size(F.array_except("needs", "words_in")) == 0)
-    weight_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    # Both are sums over the distinct words of count times weight.
-    vector = F.transform(F.array_distinct("words_in"), lambda t: F.struct(F.coalesce(F.element_at("unit", t), F.lit(0.0)).alias("u"), (F.size(F.filter("words_in", lambda u: u == t)) * F.coalesce(F.element_at(weight_of, t), F.lit(most))).alias("w")))
-    dot = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.u * v.w)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v.w * v.w))
-    each = each.withColumn("vector", vector).withColumn("score", F.round(dot / length, 6)).where(F.col("score") >= LIKE)
-    return each.select("path", "row", "words", "license", "tells", F.size("needs").alias("needed"), "score", "start", F.least(F.col("start") + F.col("stands"), F.col("words")).alias("stop")).distinct()
+    each = staged(each.select("path", "row", "words", "k", "license", "tells", F.size("needs").alias("needed"), "start", F.least(F.col("start") + F.col("stands"), F.col("words")).alias("stop"), "words_in").distinct().withColumn("passage", F.monotonically_increasing_id()))
+
+    # Both the cosine's sums run over the distinct words of a passage; the weights of words that no template has come
+    # from all files too.
+    counted = each.select("passage", "k", F.explode("words_in").alias("token")).groupBy("passage", "k", "token").agg(F.count(F.lit(1)).alias("n"))
+    told = spark.createDataFrame(list(idf.items()), "token string, idf double")
+    others = staged(counted.select("token").distinct().join(F.broadcast(told.select("token")), "token", "left_anti"))
+    elsewhere = files.select(F.explode(F.array_distinct(tokens)).alias("token")).join(others, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weights = elsewhere.select("token", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")).unionByName(told)
+    units = F.broadcast(spark.createDataFrame([(k, w, u) for k, unit in enumerate(of_template) for w, u in unit.items()], "k int, token string, u double"))
+    weight = F.col("n") * F.col("idf")
+    score = counted.join(weights, "token").join(units, ["k", "token"], "left").groupBy("passage").agg((F.sum(F.coalesce("u", F.lit(0.0)) * weight) / F.sqrt(F.sum(weight * weight))).alias("score"))
+    return each.join(score.select("passage", F.round("score", 6).alias("score")), "passage").where(F.col("score") >= LIKE).select("path", "row", "words", "license", "tells", "needed", "score", "start", "stop").distinct()
 
 
 def licenses(files: DataFrame) -> DataFrame:

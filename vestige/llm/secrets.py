@@ -11,14 +11,13 @@ import hashlib
 import random
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import table, text_of
+from vestige.llm.common import text_of
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns and least lengths.
