@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.functions import macros as m
+from vestige.operators import sentences as say
 from vestige.operators import timeline
 from vestige.operators.activity import Activity, confidence_of, confidence_rank
 from vestige.operators.case import consolidated, listed, listed_by, said, view, with_source
@@ -17,7 +18,7 @@ _FIELDS = {
     "friendly_name": "friendly_name", "device_description": "device_desc", "bus_reported_description": "bus_reported_desc", "manufacturer": "mfg", "serial": "serial", "device_class": "class", "driver_service": "service", "hardware_id": "hardware_id", "compatible_ids": "compatible_ids", "container_id": "container_id",
     "location": "location_information",
 }
-_ENTRY_ORDER = ("sort_utc", "category", "event", "device_key", "path", "time_utc", "time_utc_alt", "time_local", "time_basis", "drive_letter", "profile", "confidence", "artefact", "detail", "record_id", "source_id", "source_path")
+_ENTRY_ORDER = ("sort_utc", "category", "event", "device_key", "path", "time_utc", "time_utc_alt", "time_local", "time_basis", "meaning", "drive_letter", "profile", "confidence", "artefact", "detail", "record_id", "source_id", "source_path")
 
 
 def _text(*parts) -> Column:
@@ -35,24 +36,32 @@ class Chronicle(Activity):
     def _arms(self) -> list[DataFrame]:
         text, no_time, no_record = F.lit(""), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("long")
 
-        def arm(df, category, event, at, detail, artefact, local=text, device=text, letter=text, path=text, profile=text, confidence=F.lit("confirmed"), record=no_record, source_path=F.col("source_path")):  # noqa: B008
+        def arm(df, category, event, at, meaning, detail, artefact, local=text, device=text, letter=text, path=text, profile=text, confidence=F.lit("confirmed"), record=no_record, source_path=F.col("source_path")):  # noqa: B008
             lit = lambda x: F.lit(x) if isinstance(x, str) else x
-            values = {"category": lit(category), "event": lit(event), "recorded": no_time if at is None else F.col(at), "time_local": local, "device_key": device, "drive_letter": letter, "path": path, "profile": profile, "confidence": confidence, "artefact": lit(artefact), "detail": detail, "record_id": record.cast("long")}
+            values = {"category": lit(category), "event": lit(event), "meaning": lit(meaning), "recorded": no_time if at is None else F.col(at), "time_local": local, "device_key": device, "drive_letter": letter, "path": path, "profile": profile, "confidence": confidence, "artefact": lit(artefact), "detail": detail, "record_id": record.cast("long")}
             return df.select(*[v.alias(k) for k, v in values.items()], "source_id", F.coalesce(source_path, text).alias("source_path"))
 
         key, letter, profile = F.col("device_key"), F.col("drive_letter"), F.col("profile")
         source = self.table("source")
         e = self.event().where("time_utc is not null and kind not in ('connect', 'disconnect')")
-        arms = [arm(e, F.when(F.col("kind").isin("session", "logon"), F.col("kind")).otherwise("device"), F.col("kind"), "time_utc", _text(F.col("channel"), " event ", F.col("event_id"), _after(" (", "rule_id", ")")), "windows_event_log", device=key, record=F.col("record_id"))]
+        blank = self.disk_departure_candidate().select("record_id", "source_id", F.lit(True).alias("without")).distinct()
+        e = e.join(blank, ["record_id", "source_id"], "left")
+        what = F.when(F.col("without"), say.NO_CAPACITY).otherwise(F.coalesce(said("meaning"), say.column(say.RECORDED, channel=F.col("channel"))))
+        arms = [arm(e, F.when(F.col("kind").isin("session", "logon"), F.col("kind")).otherwise("device"), F.col("kind"), "time_utc", what, _text(F.col("channel"), " event ", F.col("event_id"), _after(" (", "rule_id", ")")), "windows_event_log", device=key, record=F.col("record_id"))]
         c = with_source(self.connection(), source, source_path="path")
-        arms.append(arm(c.where("started_utc is not null"), "connection", "device_connected", "started_utc", _text("opened by ", F.col("opened_by"), "; ", F.col("supporting_records"), " record(s) support this window"), "connection_window", device=key, record=F.col("opened_by_record")))
+        ending = (
+            F.when(F.col("ended_before_utc").isNotNull(), say.column(say.SUPERSEDED, at=F.col("ended_before_utc"))).when(F.col("host_stopped_utc").isNotNull(), say.column(say.SHUT_DOWN, at=F.col("host_stopped_utc")))
+            .when(F.col("host_stopped_after_utc").isNotNull(), say.column(say.BROKE_OFF, after=F.col("host_stopped_after_utc"), before=F.col("host_stopped_before_utc"))).when(F.col("host_stopped_undated"), say.UNDATED).when(F.col("open_ended"), say.OPEN)
+            .otherwise(say.column(say.ENDED, seconds=F.col("span_seconds")))
+        )
+        arms.append(arm(c.where("started_utc is not null"), "connection", "device_connected", "started_utc", say.CONNECTED, F.concat(say.column(say.OPENED_BY, opened_by=F.col("opened_by"), records=F.col("supporting_records")), ending), "connection_window", device=key, record=F.col("opened_by_record")))
         unknown = F.when(F.col("start_known"), "").otherwise("; no arrival was recorded before it, so the device was already connected when the evidence begins")
-        arms.append(arm(c.where("ended_utc is not null"), "connection", "device_removed", "ended_utc", _text("closed by ", F.col("closed_by"), unknown), "connection_window", device=key, record=F.col("closed_by_record")))
+        arms.append(arm(c.where("ended_utc is not null"), "connection", "device_removed", "ended_utc", say.REMOVED, _text("closed by ", F.col("closed_by"), unknown), "connection_window", device=key, record=F.col("closed_by_record")))
         s = self.table("setup_section").where("start_local <> '' and device_key <> ''")
-        arms.append(arm(s, "install", _text("setupapi.", F.col("kind")), None, _text(F.col("operation"), _after(" — exit ", "exit_status"), _after("; ", "problem")), "setupapi_log", local=F.col("start_local"), device=key, record=F.col("line_number"), source_path=F.col("source_file")))
-        for event, column in (("first_install_date", "first_install_date_utc"), ("driver_install_date", "install_date_utc"), ("last_arrival_date", "last_arrival_date_utc"), ("last_removal_date", "last_removal_date_utc")):
-            arms.append(arm(self.device_lifecycle().where(f"{column} is not null"), "device_state", event, column, _text("control set ", F.col("control_set")), "registry_devnode", device=key))
-        arms.append(arm(self.devnode().where("device_key <> '' and key_last_write_utc is not null"), "device_state", "registry_key_written", "key_last_write_utc", F.col("registry_key"), "registry_devnode", device=key))
+        arms.append(arm(s, "install", _text("setupapi.", F.col("kind")), None, say.SECTION, _text(F.col("operation"), _after(" — exit ", "exit_status"), _after("; ", "problem")), "setupapi_log", local=F.col("start_local"), device=key, record=F.col("line_number"), source_path=F.col("source_file")))
+        for event, column, means in (("first_install_date", "first_install_date_utc", say.FIRST_INSTALL), ("driver_install_date", "install_date_utc", say.DRIVER_INSTALL), ("last_arrival_date", "last_arrival_date_utc", say.ARRIVAL), ("last_removal_date", "last_removal_date_utc", say.REMOVAL)):
+            arms.append(arm(self.device_lifecycle().where(f"{column} is not null"), "device_state", event, column, means, _text("control set ", F.col("control_set")), "registry_devnode", device=key))
+        arms.append(arm(self.devnode().where("device_key <> '' and key_last_write_utc is not null"), "device_state", "registry_key_written", "key_last_write_utc", say.KEY_WRITTEN, F.col("registry_key"), "registry_devnode", device=key))
 
         named = self.attributed().select("activity_id", F.col("device_key").alias("reached"), "candidates", "best_candidates", F.col("confidence").alias("sure"))
         one = F.when(F.col("best_candidates") == 1, F.col("reached")).otherwise("")
@@ -64,22 +73,22 @@ class Chronicle(Activity):
             F.when(kind == "user_assist", "program_launched").when((basis == "not_after_bound") & (kind == "mru"), "file_listed_no_later_than").when(basis == "not_after_bound", "record_no_later_than").when(kind == "shell_bag", "shell_bag_key_written").when(kind == "mru", "mru_key_written")
             .when(basis == "target_metadata", "target_file_written").when(basis == "link_written", "shortcut_written").when(kind.isin("shell_link", "jump_list"), "file_opened").otherwise("file_listed")
         )
-        arms.append(arm(a, F.when(kind == "user_assist", "execution").otherwise("file"), what, "recorded_utc", _text(F.col("detail"), rivals), kind, device=one, letter=letter, path=F.col("path"), profile=profile, confidence=sure, source_path=F.col("source_file")))
+        arms.append(arm(a, F.when(kind == "user_assist", "execution").otherwise("file"), what, "recorded_utc", F.col("recorded_meaning"), _text(F.col("detail"), rivals), kind, device=one, letter=letter, path=F.col("path"), profile=profile, confidence=sure, source_path=F.col("source_file")))
         runs = self.table("prefetch_run").select("source_file", F.when(F.startswith("executable_path", F.lit("\\")), F.col("executable_path")).otherwise(F.col("executable")).alias("path"), "run_count", "times_recorded")
         x = self.table("prefetch_execution").where("time_utc is not null").join(runs, "source_file").join(self.file_activity().where("artefact = 'prefetch'").select("source_file", "activity_id").join(named, "activity_id", "left"), "source_file", "left")
         slot = _text("slot ", F.col("slot"), " of ", F.col("times_recorded"), " recorded; Windows counts ", F.col("run_count"), " execution(s) of this programme in total", rivals)
-        arms.append(arm(x, "execution", "program_executed", "time_utc", slot, "prefetch", device=one, path=F.col("path"), confidence=sure, source_path=F.col("source_file")))
+        arms.append(arm(x, "execution", "program_executed", "time_utc", F.when(F.col("slot") == 1, say.RUN_LATEST).otherwise(say.RUN_EARLIER), slot, "prefetch", device=one, path=F.col("path"), confidence=sure, source_path=F.col("source_file")))
 
         where = _after(" · ", "registry_path")
-        item = lambda df, path, artefact, detail, local, source_path: arm(df, "file", "shell_item_modified", None, detail, artefact, local=F.col(local), letter=letter, path=path, profile=profile, confidence=F.lit("unattributed"), source_path=source_path)
+        item = lambda df, path, artefact, detail, local, source_path, means=say.ITEM: arm(df, "file", "shell_item_modified", None, means, detail, artefact, local=F.col(local), letter=letter, path=path, profile=profile, confidence=F.lit("unattributed"), source_path=source_path)
         arms.append(item(self.shell_bag().where("modified_local <> '' and path <> ''"), F.col("path"), "shell_bag", _text(F.col("hive"), " bag, depth ", F.col("depth"), where), "modified_local", F.col("source_path")))
         arms.append(item(self.mru_entry().where("modified_local <> ''"), F.coalesce(said("path"), F.col("name")), "mru", _text(F.col("source_list"), where), "modified_local", F.col("source_path")))
         app = F.when((F.col("origin") == "jump_list") & (F.col("app_id") != ""), F.concat(F.lit("app "), "app_id")).otherwise("")
-        arms.append(item(self.table("file_target").where("target_item_modified_local <> ''"), F.coalesce(said("target_item_path"), F.col("path")), F.col("origin"), app, "target_item_modified_local", F.col("source_file")))
+        arms.append(item(self.table("file_target").where("target_item_modified_local <> ''"), F.coalesce(said("target_item_path"), F.col("path")), F.col("origin"), app, "target_item_modified_local", F.col("source_file"), say.LINK_ITEM))
         p = with_source(self.table("mount_point").where("key_last_write_utc is not null"), source, source_path="path")
-        arms.append(arm(p, "volume", "mount_point_written", "key_last_write_utc", _text(F.col("kind"), _after(" ", "volume_guid"), _after(" ", "remote_path"), where), "registry_mount_points", letter=letter, profile=profile))
+        arms.append(arm(p, "volume", "mount_point_written", "key_last_write_utc", say.MOUNT_POINT, _text(F.col("kind"), _after(" ", "volume_guid"), _after(" ", "remote_path"), where), "registry_mount_points", letter=letter, profile=profile))
         disk = _text("disk ", F.col("disk_number"), _after(" ", "model"), _after(" (", "style", ")"))
-        arms.append(arm(self.disk().where("time_utc is not null"), "disk", "disk_layout_recorded", "time_utc", disk, "disk_layout", device=key, record=F.col("record_id")))
+        arms.append(arm(self.disk().where("time_utc is not null"), "disk", "disk_layout_recorded", "time_utc", say.LAYOUT, disk, "disk_layout", device=key, record=F.col("record_id")))
         return arms
 
     @consolidated
@@ -134,10 +143,12 @@ class Chronicle(Activity):
     @view
     def report_timeline(self) -> DataFrame:
         """Moments of the devices that matter, and their entries that no moment shows."""
-        columns = ["time_utc_alt", "time_local", "time_basis", "time_ambiguous", "epoch_default", "category", "event", "device_key", "physical_device_id", "device_label", "drive_letter", "path", "profile", "confidence", "artefact", "detail", "source_id", "source_path"]
+        columns = ["time_utc_alt", "time_local", "time_basis", "time_ambiguous", "epoch_default", "category", "event", "meaning", "device_key", "physical_device_id", "device_label", "drive_letter", "path", "profile", "confidence", "artefact", "detail", "source_id", "source_path"]
         shown = self.device_classification().where(F.col("tier") <= SHOWN_TIER).select("physical_device_id", "tier")
         arrival, empty = F.col("moment_kind") == "arrival", F.lit("")
         said_of = {"time_utc_alt": F.lit(None).cast("timestamp_ntz"), "time_basis": F.lit("recorded_utc"), "time_ambiguous": F.lit(False), "category": F.lit("connection"), "event": F.when(arrival, "device_connected").otherwise("device_removed"), "confidence": F.lit("confirmed"), "artefact": F.lit("connection_window")}
+        across = F.when(F.col("identity_count") > 1, say.column(say.MOMENT_ACROSS, identities=F.col("identity_count"))).otherwise("")
+        said_of |= {"meaning": F.concat(F.when(arrival, say.MOMENT_ARRIVAL).otherwise(say.MOMENT_REMOVAL), say.column(say.MOMENT, records=F.col("member_count")), across)}
         said_of |= {"detail": _text("opened by ", F.col("moment_rules"))} | {c: F.col(c) for c in ("physical_device_id", "device_label", "source_id", "source_path")}
         moments = self.timeline_moment().join(shown, "physical_device_id").select(
             F.lit("moment").alias("row_kind"), "moment_id", "entry_id", F.col("moment_utc").alias("sort_utc"), F.col("moment_utc").alias("time_utc"), *[said_of.get(c, empty).alias(c) for c in columns], "member_count", "supporting", (F.col("first_install_recorded") & arrival).alias("first_install_recorded"), "tier"
@@ -176,26 +187,36 @@ class Chronicle(Activity):
 
     @view
     def report_finding(self) -> DataFrame:
-        """Headlines, each only where there is something to say: finding_id, rank, kind, headline, basis."""
-        n, count = F.col("n"), F.count(F.lit(1)).alias("n")
+        """Headlines, each only where there is something to say: finding_id, rank, kind, headline, detail, basis. The
+        lists in a detail grow with a host's devices and programmes."""
+        n, line = F.col("n"), "\n"
         s = lambda column, one="", more="s": F.when(column == 1, one).otherwise(more)
+        told = lambda detail: [F.count(F.lit(1)).alias("n"), detail.alias("detail")]
         d, f, p = self.device_classified(), self.file_attribution_summary(), self.prefetch_device_link()
-        row = lambda df, rank, kind, basis, *words: df.where("n > 0").select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), _text(*words).alias("headline"), F.lit(basis).alias("basis"))
-        carried = lambda df, did: (df.agg(F.count_distinct("executable").alias("n"), F.count_distinct("device_key").alias("devices")), n, " programme", s(n), did, F.col("devices"), " removable device", s(F.col("devices")))
-        ran, read = carried(p.where("ran_from"), " ran from a volume carried by "), carried(p.where("not ran_from"), " read files from a volume carried by ")
-        reached = self.file_attribution().agg(F.count_distinct("activity_id").alias("n"), F.count_distinct("device_key").alias("devices"))
-        no_window = self.connection().agg(count).select((F.col("n") == 0).cast("long").alias("n"))
+        row = lambda df, rank, kind, basis, *words: df.where("n > 0").select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), _text(*words).alias("headline"), F.coalesce("detail", F.lit("")).alias("detail"), F.lit(basis).alias("basis"))
+        name = F.coalesce(said("friendly_name"), said("device_desc"), F.col("physical_device_id"))
+        serial = F.when(F.col("serial") != "", _text(" (serial ", F.col("serial"), ")")).otherwise(" (no serial recorded)")
+        by_id = lambda value: listed_by(value, line, F.col("physical_device_id"))
+        odd = _text(F.coalesce(said("friendly_name"), F.col("physical_device_id")), " — ", F.col("classification_reason"))
+        programmes = listed(_text(F.col("executable"), " (", F.col("drive_letter"), ":)"), line)
+        carried = lambda df, did, sentence: (df.agg(F.count_distinct("executable").alias("n"), F.count_distinct("device_key").alias("devices"), _text(programmes, line, sentence).alias("detail")), n, " programme", s(n), did, F.col("devices"), " removable device", s(F.col("devices")))
+        ran, read = carried(p.where("ran_from"), " ran from a volume carried by ", say.RAN), carried(p.where("not ran_from"), " read files from a volume carried by ", say.READ)
+        launch = F.when(F.col("run_count") > 0, _text(" — launched ", F.col("run_count"), " time(s)")).otherwise(" — no launch recorded")
+        focus = F.when(F.col("focus_count") > 0, _text(", in the foreground for ", F.round("focus_seconds", 1), "s")).otherwise("")
+        launched = listed_by(_text(F.col("drive_letter"), ":  ", F.col("name"), launch, focus), line, F.col("drive_letter"), F.col("name"))
+        reached = self.file_attribution().agg(F.count_distinct("activity_id").alias("n"), F.count_distinct("device_key").alias("devices"), say.column(say.STRONGEST, best=F.coalesce(confidence_of(F.min(confidence_rank())), F.lit("none"))).alias("detail"))
+        no_window = self.connection().agg(F.count(F.lit(1)).alias("n")).select((F.col("n") == 0).cast("long").alias("n"), F.lit(say.NO_WINDOW).alias("detail"))
         parts = [
-            row(d.where("category = 'PotentialOffensiveDevice'").agg(count), 0, "offensive", "devices.csv, category PotentialOffensiveDevice", n, " device", s(n), " present", s(n, "s", ""), " interfaces that do not match ", s(n, "its", "their"), " apparent purpose"),
-            row(d.where("category = 'Storage' and tier = 1").agg(count), 1, "storage", "devices.csv, category Storage", n, " storage device", s(n), " ", s(n, "was", "were"), " attached to this host"),
+            row(d.where("category = 'PotentialOffensiveDevice'").agg(*told(by_id(odd))), 0, "offensive", "devices.csv, category PotentialOffensiveDevice", n, " device", s(n), " present", s(n, "s", ""), " interfaces that do not match ", s(n, "its", "their"), " apparent purpose"),
+            row(d.where("category = 'Storage' and tier = 1").agg(*told(by_id(F.concat(name, serial)))), 1, "storage", "devices.csv, category Storage", n, " storage device", s(n), " ", s(n, "was", "were"), " attached to this host"),
             row(ran[0], 1, "execution", "prefetch-runs.csv, ran_from_removable", *ran[1:]), row(read[0], 1, "execution_read", "prefetch-files-removable.csv", *read[1:]),
-            row(self.table("user_assist").where("not bookkeeping and drive_letter <> ''").agg(count), 1, "user_launched", "user-assist.csv, drive_letter", n, " programme", s(n, " was", "s were"), " launched from a drive letter by a user"),
-            row(d.where("category = 'MobileDevice'").agg(count), 2, "mobile", "devices.csv, category MobileDevice", n, " mobile device", s(n), " ", s(n, "was", "were"), " attached to this host"),
+            row(self.table("user_assist").where("not bookkeeping and drive_letter <> ''").agg(*told(_text(launched, line, say.BY_USER))), 1, "user_launched", "user-assist.csv, drive_letter", n, " programme", s(n, " was", "s were"), " launched from a drive letter by a user"),
+            row(d.where("category = 'MobileDevice'").agg(*told(by_id(name))), 2, "mobile", "devices.csv, category MobileDevice", n, " mobile device", s(n), " ", s(n, "was", "were"), " attached to this host"),
             row(reached, 3, "file_activity", "file-attribution.csv", n, " file record", s(n), " reached a device, across ", F.col("devices"), " device", s(F.col("devices"))),
-            row(f.where("candidate_devices = 0").agg(count), 4, "unattributed", "file-attribution-summary.csv, candidate_devices = 0", n, " file record", s(n), " reached no device at all"),
-            row(f.where("candidate_devices > 1").agg(count), 5, "contested", "file-attribution-summary.csv, candidate_devices > 1", n, " file record", s(n), " reached more than one candidate device"),
-            row(d.where("review_required").agg(count), 6, "review", "devices.csv, review_required", n, " device", s(n), " ", s(n, "needs", "need"), " a closer look"), row(no_window, 7, "no_connections", "connections.csv, empty", "no connection window could be derived"),
-            row(d.where(f"identity_not_unique and tier <= {SHOWN_TIER}").agg(count), 8, "identity", "devices.csv, identity_not_unique", n, " device", s(n), " cannot be told apart from another of the same model"),
+            row(f.where("candidate_devices = 0").agg(*told(F.lit(say.NO_DEVICE))), 4, "unattributed", "file-attribution-summary.csv, candidate_devices = 0", n, " file record", s(n), " reached no device at all"),
+            row(f.where("candidate_devices > 1").agg(*told(F.lit(say.CONTESTED))), 5, "contested", "file-attribution-summary.csv, candidate_devices > 1", n, " file record", s(n), " reached more than one candidate device"),
+            row(d.where("review_required").agg(*told(F.lit(say.REVIEW))), 6, "review", "devices.csv, review_required", n, " device", s(n), " ", s(n, "needs", "need"), " a closer look"), row(no_window, 7, "no_connections", "connections.csv, empty", "no connection window could be derived"),
+            row(d.where(f"identity_not_unique and tier <= {SHOWN_TIER}").agg(*told(F.lit(say.ALIKE))), 8, "identity", "devices.csv, identity_not_unique", n, " device", s(n), " cannot be told apart from another of the same model"),
         ]
         return reduce(DataFrame.unionByName, parts).withColumn("finding_id", F.row_number().over(Window.orderBy("rank", "kind")))  # a dozen rows
 
@@ -264,11 +285,11 @@ class Chronicle(Activity):
     @view
     def report_file_activity(self) -> DataFrame:
         """Each record with each device that it reaches, by the best route."""
-        f = self.file_attribution().join(self.device_group().select("device_key", "physical_device_id"), "device_key").select("physical_device_id", "activity_id", "route", "confidence", "contradicted", confidence_rank().cast("int").alias("confidence_rank"))
-        order = F.struct("confidence_rank", "contradicted", (F.col("route") == "sole_connected_device").alias("last"), "route")
-        best = f.groupBy("physical_device_id", "activity_id").agg(F.min_by(F.struct("confidence", "confidence_rank", "route"), order).alias("b")).select("physical_device_id", "activity_id", "b.*")
+        f = self.file_attribution().join(self.device_group().select("device_key", "physical_device_id"), "device_key").select("physical_device_id", "activity_id", "route", "confidence", "contradicted", F.col("detail").alias("reason"), confidence_rank().cast("int").alias("confidence_rank"))
+        order = F.struct("confidence_rank", "contradicted", (F.col("route") == "sole_connected_device").alias("last"), "route", "reason")
+        best = f.groupBy("physical_device_id", "activity_id").agg(F.min_by(F.struct("confidence", "confidence_rank", "route", "reason"), order).alias("b")).select("physical_device_id", "activity_id", "b.*")
         spread = f.groupBy("activity_id").agg(F.count_distinct("physical_device_id").alias("candidate_devices"))
-        a = with_source(self.file_activity().select("activity_id", "artefact", "detail", "path", "drive_letter", "volume_label", "profile", "recorded_utc", "source_id"), self.table("source"), source_path="path", source_sha256="sha256")
+        a = with_source(self.file_activity().select("activity_id", "artefact", "detail", "path", "drive_letter", "volume_label", "profile", "recorded_utc", "recorded_meaning", "source_id"), self.table("source"), source_path="path", source_sha256="sha256")
         out = best.join(spread, "activity_id").join(a, "activity_id").join(self.device_classification().select("physical_device_id", "tier", "score"), "physical_device_id").join(self.device_label(), "physical_device_id", "left")
         return out.withColumn("device_label", F.coalesce("device_label", "physical_device_id")).withColumn("epoch_default", m.epoch_default_name(F.col("recorded_utc"))).na.fill("", ["source_path", "source_sha256"])
 
@@ -280,5 +301,5 @@ class Chronicle(Activity):
             F.when(nothing, "the record carries no drive letter, volume serial or label, so there is nothing to match a device on").when(F.col("drive_letter") == "", "the record carries no drive letter, and its volume serial and label match no device in this evidence")
             .otherwise(_text("drive letter ", F.col("drive_letter"), " is linked to no USB device in this evidence"))
         )
-        out = with_source(a.select("activity_id", "artefact", "detail", "path", "drive_letter", "profile", "recorded_utc", reason.alias("reason"), m.epoch_default_name(F.col("recorded_utc")).alias("epoch_default"), "source_id"), self.table("source"), source_path="path", source_sha256="sha256")
+        out = with_source(a.select("activity_id", "artefact", "detail", "path", "drive_letter", "profile", "recorded_utc", "recorded_meaning", reason.alias("reason"), m.epoch_default_name(F.col("recorded_utc")).alias("epoch_default"), "source_id"), self.table("source"), source_path="path", source_sha256="sha256")
         return out.na.fill("", ["source_path", "source_sha256"])

@@ -22,7 +22,7 @@ class Inventory(Views):
 
     @view
     def source(self) -> DataFrame:
-        return self.table("source").select(F.col("id").alias("source_id"), F.col("sequence").alias("read_order"), "artefact", F.col("path").alias("source_path"), "staged_path", "size_bytes", "sha256", "replayed", "verified")
+        return self.table("source").withColumnsRenamed({"id": "source_id", "sequence": "read_order", "path": "source_path"})
 
     @view
     def observation(self) -> DataFrame:
@@ -31,7 +31,7 @@ class Inventory(Views):
     @view
     def warning(self) -> DataFrame:
         w = with_source(self.table("warning"), self.table("source"), of_source="path")
-        return w.select("severity", "artefact", F.coalesce("path", "of_source").alias("path"), "message", "source_id")
+        return w.select("severity", "artefact", F.coalesce("path", "of_source").alias("path"), "message", "source_id", "recorded_at")
 
     @view
     def parse_warning(self) -> DataFrame:
