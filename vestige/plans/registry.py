@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 from collections import OrderedDict
 from collections.abc import Callable
@@ -34,11 +35,19 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
+def _close_all() -> None:
+    for case in _cases.values():
+        case.close()
+    _cases.clear()
+
+
 def case_of(spark: SparkSession, sf_dir: str) -> Case:
     """The case over sf_dir. Its consolidated tables serve all queries of the application for as long as the tables
     there stay as they are."""
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _cases:
+        if not _cases:
+            atexit.register(_close_all)  # after the session's own, so that it runs before
         rules = RuleSet().tables(spark)
         # Evidence tables are files; these are made of others, so they are written when they are first asked for.
         _cases[key] = made = Case(lambda name: rules[name] if name in rules else table_in_shared_folder(model.table(spark, sf_dir, name), made._written))
