@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vestige.llm.common import texts_of
+from vestige.llm.common import texts_of, tidy
 
 #: Bytes of a word that goes through the arrays; words at once; characters of text at once.
 SHORT, ROWS, BATCH = 64, 20_000, 1 << 21
@@ -288,7 +288,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(b"".join([c[1] for c in row]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -300,7 +300,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = [list(chain.from_iterable(row)) for row in chunks.rows(texts_of(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -311,4 +311,4 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(decode, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidy(decode), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from vestige.llm.common import staged, text_of
+from vestige.llm.common import staged, text_of, tidy
 from vestige.operators.timeline import numbered
 
 ROLES = ("system", "user", "assistant")
@@ -76,7 +76,7 @@ class Hmm:
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(f, pa.int32()), pa.array(total[s, f])], ["s", "f", "c"])
 
         feature = np.ones((6, FEATURES))
-        for row in seen.select("r", "text").mapInArrow(count, "s int, f int, c long").groupBy("s", "f").agg(F.sum("c").alias("c")).collect():
+        for row in seen.select("r", "text").mapInArrow(tidy(count), "s int, f int, c long").groupBy("s", "f").agg(F.sum("c").alias("c")).collect():
             feature[row.s, row.f] += row.c
         start, step = np.ones(3), np.ones((3, 3))
         first = records.groupBy("conv_id").agg(F.min("n").alias("n"))
@@ -172,7 +172,7 @@ def formatted(turns: DataFrame) -> DataFrame:
             yield batch_of(out, (id_type, pa.int64(), pa.list_(pa.float64())), ["conv_id", "block", "m"])
 
     parts = blocks.alias("b").join(long.alias("l"), F.col("b.conv_id").eqNullSafe(F.col("l.conv_id"))).select("b.conv_id", "block", "n", "text", (F.col("block") == F.col("first")).alias("begins"))
-    ms = parts.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n").mapInArrow(matrices, f"conv_id {kind}, block long, m array<double>")
+    ms = parts.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n").mapInArrow(tidy(matrices), f"conv_id {kind}, block long, m array<double>")
 
     def entries(batches):
         """Per block of a long conversation the scores on entry and the last line's state."""
@@ -189,7 +189,7 @@ def formatted(turns: DataFrame) -> DataFrame:
                 ends.append(int((entry + m[:, ends[-1]]).argmax()))
             yield batch_of([(conv, k, None if e is None else e.tolist(), last) for k, e, last in zip(numbers, before, ends[::-1])], (id_type, pa.int64(), pa.list_(pa.float64()), pa.int32()), ["conv_id", "block", "entry", "last"])
 
-    entered = staged(ms.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(entries, f"conv_id {kind}, block long, entry array<double>, last int"))
+    entered = staged(ms.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(tidy(entries), f"conv_id {kind}, block long, entry array<double>, last int"))
 
     def decode(batches):
         out = []
@@ -214,4 +214,4 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     ready = blocks.alias("b").join(entered.alias("e"), F.col("b.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("b.block") == F.col("e.block")), "left").select("b.conv_id", "b.block", "turn", "n", "text", "entry", "last")
     ready = ready.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "n")
-    return ready.mapInArrow(decode, f"conv_id {kind}, turn long, part int, role string, rendered string")
+    return ready.mapInArrow(tidy(decode), f"conv_id {kind}, turn long, part int, role string, rendered string")

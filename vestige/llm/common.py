@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def staged(df: DataFrame) -> DataFrame:
     return table_in_shared_folder(df)
 
 
+def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """each, after which the worker gives its free memory back: workers are kept for later tasks, and Spark may keep
+    more of them than there are cores."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 # ---------------------------------------------------------------- word hashing
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

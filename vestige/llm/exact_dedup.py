@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestige.llm.common import SPACES, staged, text_of
+from vestige.llm.common import SPACES, staged, text_of, tidy
 
 COUNTERS = 1024
 
@@ -43,7 +43,7 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
         kept = misra_gries((x for b in batches for x in b.column(0).to_pylist()), counters)
         yield pa.RecordBatch.from_pydict({"digest": pa.array(list(kept), pa.binary()), "n": pa.array(list(kept.values()), pa.int64())})
 
-    parts = digests.select("digest").mapInArrow(summarise, "digest binary, n long")
+    parts = digests.select("digest").mapInArrow(tidy(summarise), "digest binary, n long")
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 

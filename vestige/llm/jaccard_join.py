@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestige.llm.common import grouped_words, mix, shingles, staged, text_of
+from vestige.llm.common import grouped_words, mix, shingles, staged, text_of, tidy
 
 THRESHOLD = 75
 #: Frequent tokens: at most so many, in no fewer documents than this. Summaries name all that are in more than
@@ -44,9 +44,12 @@ MORE, FEW = 8, 2
 _SEEN = 50_000
 
 
-def _token_sets(texts: list[str]):
-    for _, words in grouped_words(texts, fold=True):
-        yield from map(shingles, words)
+def _token_sets(texts: list[str] | pa.Array):
+    """The set of each text; an Arrow column's texts become Python's some at a time."""
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        for _, words in grouped_words(part if isinstance(part, list) else part.to_pylist(), fold=True):
+            yield from map(shingles, words)
 
 
 def _print(tokens: np.ndarray) -> tuple[int, int]:
@@ -72,7 +75,7 @@ def _described(docs: DataFrame) -> DataFrame:
         kept, held, size = (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
         for b in batches:
             n, prints = [], []
-            for tokens in _token_sets(b.column(1).to_pylist()):
+            for tokens in _token_sets(b.column(1)):
                 n.append(len(tokens))
                 prints.append(_print(tokens))
                 held.append(tokens)
@@ -92,7 +95,7 @@ def _described(docs: DataFrame) -> DataFrame:
     def _rows(kind, ids, n, f1, f2):
         return pa.RecordBatch.from_arrays([pa.array(kind), ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["kind", "doc_id", "n", "f1", "f2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(describe, "kind byte, doc_id long, n long, f1 long, f2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidy(describe), "kind byte, doc_id long, n long, f1 long, f2 long")
 
 
 _LEVELS = [1]
@@ -171,7 +174,7 @@ def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.nd
         seen: set[tuple[int, int]] = set()
         for b in batches:
             rows = [], [], [], [], []
-            for doc_id, tokens in zip(b.column(0).to_pylist(), _token_sets(b.column(1).to_pylist())):
+            for doc_id, tokens in zip(b.column(0).to_pylist(), _token_sets(b.column(1))):
                 if len(tokens) == 0 or (own := _print(tokens)) in seen:
                     continue
                 if len(seen) >= _SEEN:
@@ -186,7 +189,7 @@ def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.nd
             if rows[0]:
                 yield flush(*rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(index, "sig long, doc_id long, n int, left int, combined boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(tidy(index), "sig long, doc_id long, n int, left int, combined boolean")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -216,10 +219,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return got
 
         for b in batches:
-            ok = [linked(tokens(x), tokens(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [linked(tokens(x.as_py()), tokens(y.as_py())) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(verify), "a long, b long")
 
 
 #: Tokens of a set for each cell of its sketch, and the least number of cells.
@@ -246,10 +249,10 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            sets = list(_token_sets(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["doc_id", "n", "cells"])
+            sets = [(len(t), sketch(t)) for t in _token_sets(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.binary())], ["doc_id", "n", "cells"])
 
-    return texts.mapInArrow(each, "doc_id long, n long, cells binary")
+    return texts.mapInArrow(tidy(each), "doc_id long, n long, cells binary")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -262,7 +265,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(100 * most >= THRESHOLD * (na + nb - most)))
 
     of = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("n").alias("n" + side), F.col("cells").alias("c" + side))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(bound, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(tidy(bound), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

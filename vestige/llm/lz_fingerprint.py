@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import mix, shuffle_partitions, text_of
+from vestige.llm.common import mix, shuffle_partitions, text_of, tidy
 
 SLOTS = 64
 _SYMBOLS = re.compile(rb"[^\x20\x09-\x0d]{1,16}")
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shown(signature(t or "")) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(each), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 _FIRST = -(1 << 63)
@@ -101,7 +101,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tail), took.column(0), took.column(1), took.column(2)], ["part", "tail", "i", "doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("i"), "doc_id", text_of().alias("text")).mapInArrow(deal, f"part int, tail boolean, i long, doc_id {kind}, text string")
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("i"), "doc_id", text_of().alias("text")).mapInArrow(tidy(deal), f"part int, tail boolean, i long, doc_id {kind}, text string")
     ordered = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "tail", "i", "text")
 
     def compare(batches):
@@ -128,4 +128,4 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return ordered.mapInArrow(compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(tidy(compare), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from vestige.llm.bpe import SPLIT, ByteBpe
-from vestige.llm.common import texts_of
+from vestige.llm.common import texts_of, tidy
 
 WINDOW = 2048
 END = 1
@@ -189,4 +189,4 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
         if pieces := packer.finish():
             yield rows(pieces)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(pack), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import mix, staged, text_of, texts_of, word_hashes
+from vestige.llm.common import mix, staged, text_of, texts_of, tidy, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model and the cut are fitted on, at most; of each label.
@@ -75,7 +75,7 @@ def _counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select(text_of().alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(text_of().alias("text")).mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -116,7 +116,7 @@ def _scored(docs: DataFrame, ratios: np.ndarray, seed: int, normalise: float, te
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w + temperature * _gumbel(ids, seed))], [*names, "__log_weight", "__key"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, __log_weight double, __key double")
+    return docs.mapInArrow(tidy(score), f"{fields}, __log_weight double, __key double")
 
 
 def nth_largest(keys: DataFrame, n: int) -> float:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import text_of
+from vestige.llm.common import text_of, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns and least lengths.
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(tidy(each), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, models: Models) -> DataFrame:
@@ -159,4 +159,4 @@ def redacted(docs: DataFrame, models: Models) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([len(t or "") for t in texts], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(tidy(each), schema)
