@@ -124,7 +124,7 @@ def sequences(docs: DataFrame, known: Known, log_total: float, end_count: int) -
                 texts_n, owner = len(texts), np.repeat(np.arange(len(texts)), lengths)
                 at_hand = counts > 0
                 logs = np.log10(np.where(at_hand, counts, 1) + RAISED)
-                sums = lambda w, keep: np.bincount(owner[keep], w[keep], minlength=texts_n)  # noqa: E731, B023
+                sums = lambda w, keep: np.bincount(owner[keep], w[keep], minlength=texts_n).astype(float)  # noqa: E731, B023
                 n_known = np.bincount(owner[at_hand], minlength=texts_n) + (end_count > 0)
                 base = sums(logs - log_total, at_hand) + np.log10(end_count + RAISED) - log_total
                 inner = sums(logs, at_hand & (symbols > OWN))
