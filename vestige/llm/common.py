@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,47 @@ def staged(df: DataFrame) -> DataFrame:
     return table_in_shared_folder(df)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """wanted, with underscores where such a column is there already."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in lower:
+            name += "_"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def nth_largest(keys: DataFrame, n: int) -> float:
+    """The n-th largest of the column `key`, exactly: quantiles narrow the bracket, and only a bracket of at most
+    10,000 rows is sorted."""
+    low, high, need = -math.inf, math.inf, n
+    while True:
+        inside = keys.where((F.col("key") > low) & (F.col("key") <= high))
+        size = inside.count()
+        if size <= 10_000:
+            return inside.orderBy(F.desc("key")).limit(need).agg(F.min("key")).first()[0]
+        a, b = inside.agg(F.percentile_approx("key", [max(0.0, 1 - need / size - 0.001), min(1.0, 1 - need / size + 0.001)], 10_000)).first()[0]
+        above, from_a = inside.agg(F.count_if(F.col("key") > b), F.count_if(F.col("key") > a)).first()
+        if above >= need and b > low:
+            low = b
+        elif from_a >= need and (a, b) != (low, high):
+            low, high, need = a, b, need - above
+        elif a < high:
+            high, need = a, need - from_a
+        else:  # all keys of the bracket are equal
+            return high
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> list:
+    """The rows with the largest counts, at most `most`. Rows that tie with the first one left out stay out as well, so
+    no task sends the driver more than what stays."""
+    keys = counted.select(F.col(count).cast("double").alias("key"))
+    if keys.count() > most:
+        counted = counted.where(F.col(count) > nth_largest(keys, most + 1))
+    return counted.collect()
+
+
 def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """each, after which the worker gives its free memory back: workers are kept for later tasks, and Spark may keep
     more of them than there are cores."""

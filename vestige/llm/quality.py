@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import mix, staged, text_of, texts_of, tidy, word_hashes
+from vestige.llm.common import free_names, mix, nth_largest, staged, text_of, texts_of, tidy, word_hashes
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model and the cut are fitted on, at most; of each label.
@@ -105,39 +105,19 @@ def _gumbel(doc_ids: np.ndarray, seed: int) -> np.ndarray:
 _ADDED = ("log_weight", "key", "kept")
 
 
-def _scored(docs: DataFrame, ratios: np.ndarray, seed: int, normalise: float, temperature: float) -> DataFrame:
-    """docs with __log_weight and __key added. A null doc_id draws the noise of 0."""
+def _scored(docs: DataFrame, ratios: np.ndarray, seed: int, normalise: float, temperature: float) -> tuple[DataFrame, F.Column, F.Column]:
+    """docs with two columns more, and those: log weight and key. A null doc_id draws the noise of 0."""
     names = docs.columns
+    more = free_names(names, "log_weight", "key")
 
     def score(batches):
         for b in batches:
             w = weights(texts_of(b.column(names.index("text"))), ratios, normalise)
             ids = np.array([0 if i is None else i for i in b.column(names.index("doc_id")).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w + temperature * _gumbel(ids, seed))], [*names, "__log_weight", "__key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w), pa.array(w + temperature * _gumbel(ids, seed))], [*names, *more])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(score), f"{fields}, __log_weight double, __key double")
-
-
-def nth_largest(keys: DataFrame, n: int) -> float:
-    """The n-th largest of the column `key`, exactly: quantiles narrow the bracket, and only a bracket of at most
-    10,000 rows is sorted."""
-    low, high, need = -math.inf, math.inf, n
-    while True:
-        inside = keys.where((F.col("key") > low) & (F.col("key") <= high))
-        size = inside.count()
-        if size <= 10_000:
-            return inside.orderBy(F.desc("key")).limit(need).agg(F.min("key")).first()[0]
-        a, b = inside.agg(F.percentile_approx("key", [max(0.0, 1 - need / size - 0.001), min(1.0, 1 - need / size + 0.001)], 10_000)).first()[0]
-        above, from_a = inside.agg(F.count_if(F.col("key") > b), F.count_if(F.col("key") > a)).first()
-        if above >= need and b > low:
-            low = b
-        elif from_a >= need and (a, b) != (low, high):
-            low, high, need = a, b, need - above
-        elif a < high:
-            high, need = a, need - from_a
-        else:  # all keys of the bracket are equal
-            return high
+    return docs.mapInArrow(tidy(score), f"{fields}, `{more[0]}` double, `{more[1]}` double"), F.col(f"`{more[0]}`"), F.col(f"`{more[1]}`")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, quality: int) -> DataFrame:
@@ -155,18 +135,20 @@ class Resampler:
         docs, self.how = docs.select("doc_id", "text"), (seed, normalise, temperature)
         good = staged(labelled(docs, labels, 1))
         self.ratios = log_ratios(docs, good)
-        scored = _scored(good, self.ratios, *self.how).select("__log_weight")
-        cut = scored.agg(F.percentile_approx("__log_weight", LOST, 100_000)).first()[0]
-        keys = staged(_scored(docs, self.ratios, *self.how).select(F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key")))
+        scored, weight, _ = _scored(good, self.ratios, *self.how)
+        cut = scored.select(weight.alias("w")).agg(F.percentile_approx("w", LOST, 100_000)).first()[0]
+        scored, weight, key = _scored(docs, self.ratios, *self.how)
+        keys = staged(scored.select(weight.alias("log_weight"), key.alias("key")))
         self.keep = keys.where(F.col("log_weight") >= (-math.inf if cut is None else cut - SLACK)).count() if keep is None else min(keep, keys.count())
         self.least = nth_largest(keys, self.keep) if self.keep else math.inf
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with log_weight, key and kept added; columns of docs that are named so give way."""
-        scored = _scored(docs, self.ratios, *self.how)
+        scored, weight, key = _scored(docs, self.ratios, *self.how)
         own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _ADDED]
-        return scored.select(*own, F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key"), (F.col("__key") >= self.least).alias("kept"))
+        return scored.select(*own, weight.alias("log_weight"), key.alias("key"), (key >= self.least).alias("kept"))
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that stay, with all their columns."""
-        return _scored(docs, self.ratios, *self.how).where(F.col("__key") >= self.least).select(*[F.col(f"`{c}`") for c in docs.columns])
+        scored, _, key = _scored(docs, self.ratios, *self.how)
+        return scored.where(key >= self.least).select(*[F.col(f"`{c}`") for c in docs.columns])
