@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestige.llm.common import SPACES, staged, text_of, tidy
@@ -47,9 +47,9 @@ def frequent(digests: DataFrame, counters: int) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(counters).select("digest")
 
 
-def _rank():
-    """Larger first, then the smaller doc_id (null last), then the row that was read first."""
-    return F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
+def _rank(*ties: str):
+    """Larger first, then the smaller doc_id (null last), then by `ties`."""
+    return F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), *map(F.col, ties))
 
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -66,24 +66,49 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
             F.monotonically_increasing_id().alias("row"),
         )
     )
-    winners = staged(
-        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(_rank()).alias("best")).where("group_size > 1")
-    )
+    groups = lambda of: of.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(_rank("row")).alias("best")).where("group_size > 1")
+    winners = staged(groups(digests.join(F.broadcast(frequent(digests, counters)), "digest")))
     hot = digests.join(F.broadcast(winners), "digest")
     cold = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    alike = Window.partitionBy("digest")
-    cold = cold.select("*", F.count(F.lit(1)).over(alike).alias("group_size"), F.min(_rank()).over(alike).alias("best"))
-    return hot.unionByName(cold).select("doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    cold = cold.join(groups(cold), "digest", "left")
+    several = F.col("best").isNotNull()
+    return hot.unionByName(cold).select(
+        "doc_id",
+        F.when(several, F.col("best.i")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (~several | (F.col("row") == F.col("best.row"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows with one doc_id and one text, one stays."""
-    spark_docs = docs.select("*", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("__digest"), F.length(text_of()).cast("long").alias("__n"))
-    digests = staged(spark_docs.select("doc_id", F.col("__digest").alias("digest"), F.col("__n").alias("n_cp"), F.lit(0).alias("row")))
-    winners = staged(
-        digests.join(F.broadcast(frequent(digests, counters)), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(_rank()).alias("best")).where("size > 1").select(F.col("digest").alias("__digest"), F.col("best.i").alias("__keep"), (-F.col("best.m")).alias("__most"))
+    """The rows of docs that stay, with all their columns, whatever they are called; of rows with one doc_id and one
+    text, one stays.
+
+    Winners are found without the texts, with how many rows tie for them. Of a frequent digest only the winner's rows
+    pass the map side; the others' rows meet their winner in one shuffle. Ties end in a grouping that adds up per
+    task."""
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"),
+        F.col("doc_id").alias("doc_id"),
+        F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"),
+        F.length(text_of()).cast("long").alias("n_cp"),
     )
-    # Of a frequent digest only the winner's row passes the map side, beside repeats of that very row.
-    rest = spark_docs.join(F.broadcast(winners), "__digest", "left").where("__most is null or (doc_id <=> __keep and __n = __most)")
-    first = Window.partitionBy("__digest").orderBy(F.desc("__n"), F.col("doc_id").asc_nulls_last())
-    return rest.withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*docs.columns)
+    digests = staged(keyed.drop("all"))
+
+    def winners(of: DataFrame) -> DataFrame:
+        once = of.groupBy("digest", "doc_id", "n_cp").agg(F.count(F.lit(1)).alias("ties"))
+        best = once.groupBy("digest").agg(F.min(_rank("ties")).alias("best"))
+        return best.select("digest", F.col("best.i").alias("keep"), (-F.col("best.m")).alias("most"), F.col("best.ties").alias("ties"))
+
+    hot = staged(winners(digests.join(F.broadcast(frequent(digests, counters)), "digest")))
+    cold = winners(digests.join(F.broadcast(hot), "digest", "left_anti"))
+    wins = F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_cp") == F.col("most"))
+    names = ["digest", "all", "ties"]
+    of_hot = keyed.join(F.broadcast(hot), "digest").where(wins).select(*names)
+    rest = keyed.join(F.broadcast(hot.select("digest")), "digest", "left_anti").alias("k")
+    won = cold.withColumnRenamed("digest", "of").hint("shuffle_hash")
+    of_cold = rest.join(won, (F.col("digest") == F.col("of")) & (F.col("n_cp") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep"))).select(*names)
+    kept = of_hot.union(of_cold)
+    tied = kept.where("ties > 1").groupBy("digest").agg(F.first("all").alias("all"))
+    return kept.where("ties = 1").select("all").union(tied.select("all")).select("all.*")
