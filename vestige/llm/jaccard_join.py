@@ -9,6 +9,9 @@ size, so that a prefix has a few keys a token. Each entry says how many of the s
 a pair whose needed overlap exceeds that on either side meets by another key or not at all, so it isn't formed.
 Every candidate is verified on the whole sets.
 
+The sets are what is joined: a set's copies are one member of the lists, whatever rows hold it, and only then do rows
+find the component of their set. Rows that share a doc_id tie their sets together.
+
 Within an index list the member with the shortest prefix, nearest to what the list's members have in common, leads:
 it is compared with the other members. After that only members of different components meet, with more leaders a
 list in each round, until no list has two components or the pairs left are few for the number of entries. So a group
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestige.llm.common import grouped_words, mix, shingles, staged, text_of, tidy
+from vestige.llm.common import grouped_words, mix, most_frequent, shingles, staged, text_of, tidy
 
 THRESHOLD = 75
 #: Frequent tokens: at most so many, in no fewer documents than this. Summaries name all that are in more than
@@ -52,10 +55,9 @@ def _token_sets(texts: list[str] | pa.Array):
             yield from map(shingles, words)
 
 
-def _print(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed integers."""
-    a, b = mix(tokens).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def set_id(tokens: np.ndarray) -> int:
+    """64 bits of a set, as a signed integer: its shingles are told apart by as many."""
+    return int(mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).astype(np.int64)[0])
 
 
 def _merge_counts(tokens: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,33 +71,32 @@ def _merge_counts(tokens: np.ndarray, counts: np.ndarray, most: int) -> tuple[np
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """Rows of documents (kind 0: id, n, f1 and f2 of the set) and of each task's frequent tokens (kind 1: f1, n)."""
+    """Rows of documents (kind 0: doc_id, n and the set's id) and of each task's frequent tokens (kind 1: id, n)."""
 
     def describe(batches):
         kept, held, size = (np.empty(0, np.uint64), np.empty(0, np.int64)), [], 0
         for b in batches:
-            n, prints = [], []
+            n, ids = [], []
             for tokens in _token_sets(b.column(1)):
                 n.append(len(tokens))
-                prints.append(_print(tokens))
+                ids.append(set_id(tokens))
                 held.append(tokens)
                 size += len(tokens)
                 if size > 1 << 20:
                     new = np.concatenate(held)
                     kept, held, size = _merge_counts(np.concatenate((kept[0], new)), np.concatenate((kept[1], np.ones(len(new), np.int64))), FREQUENT), [], 0
-            f1, f2 = zip(*prints) if prints else ((), ())
-            yield _rows(np.zeros(len(n), np.int8), b.column(0), n, f1, f2)
+            yield _rows(np.zeros(len(n), np.int8), b.column(0), n, ids)
         if held:
             new = np.concatenate(held)
             kept = _merge_counts(np.concatenate((kept[0], new)), np.concatenate((kept[1], np.ones(len(new), np.int64))), FREQUENT)
         often = kept[1] > 1
         k = int(often.sum())
-        yield _rows(np.ones(k, np.int8), pa.nulls(k, pa.int64()), kept[1][often], kept[0][often].astype(np.int64), np.zeros(k, np.int64))
+        yield _rows(np.ones(k, np.int8), pa.nulls(k, pa.int64()), kept[1][often], kept[0][often].astype(np.int64))
 
-    def _rows(kind, ids, n, f1, f2):
-        return pa.RecordBatch.from_arrays([pa.array(kind), ids, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["kind", "doc_id", "n", "f1", "f2"])
+    def _rows(kind, doc_ids, n, ids):
+        return pa.RecordBatch.from_arrays([pa.array(kind), doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["kind", "doc_id", "n", "id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidy(describe), "kind byte, doc_id long, n long, f1 long, f2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(tidy(describe), "kind byte, doc_id long, n long, id long")
 
 
 _LEVELS = [1]
@@ -110,9 +111,9 @@ def _choices(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k).T
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set of sorted tokens; for each, how many tokens count from it on, and whether it combines frequent
-    ones. frequent: sorted tokens; place: each one's place in their order; size: of its combinations.
+def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of sorted tokens; for each, how many tokens count from it on. frequent: sorted tokens; place: each
+    one's place in their order; size: of its combinations.
 
     A key counts for an overlap o if its last token lies in the shortest prefix that, less k - 1 tokens of each
     class, has n - o + 1 tokens. Linked sets' sizes lie in one level or in neighbouring ones, and both emit the keys
@@ -120,7 +121,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size
     n = len(tokens)
     beyond = n - (THRESHOLD * n + 99) // 100  # tokens that may be missing from another set
     if n < 2:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -128,10 +129,10 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size
         often = np.zeros(n, bool)
     n_rare = n - int(often.sum())
     if n_rare > beyond:
-        return tokens[~often][: beyond + 1], n - np.arange(beyond + 1), np.zeros(beyond + 1, bool)
+        return tokens[~often][: beyond + 1], n - np.arange(beyond + 1)
     order = np.argsort(place[at[often]])
     ordered, by = np.concatenate((tokens[~often], tokens[often][order])), size[at[often]][order]
-    keys, left, combined = [ordered[:n_rare]], [n - np.arange(n_rare)], [np.zeros(n_rare, bool)]
+    keys, left = [ordered[:n_rare]], [n - np.arange(n_rare)]
     level = int(np.searchsorted(_LEVELS, n, "right")) - 1
     schemes = {(max(1, low // A_CLASS[2]), max(1, low // A_CLASS[3]), low >= SMALL) for low in _LEVELS[level : level + 2].tolist()}
     for twos, threes, large in schemes:
@@ -159,37 +160,35 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray, size
                 key = mix(key * np.uint64(3) + token)
             keys.append(key)
             left.append(n - needs[chosen.max(axis=0)])
-            combined.append(np.ones(len(key), bool))
-    return np.concatenate(keys), np.concatenate(left), np.concatenate(combined)
+    return np.concatenate(keys), np.concatenate(left)
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> DataFrame:
-    """(sig, doc_id, n, left, combined) of all documents; a task indexes the copies of a set that it has indexed not
-    again."""
+def _index(texts: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(sig, id, n, left) of the texts' sets; a task indexes the copies of a set that it has indexed not again."""
 
-    def flush(ids, sizes, keys, left, combined):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((keys, np.int64), (ids, np.int64), (sizes, np.int32), (left, np.int32), (combined, bool))], ["sig", "doc_id", "n", "left", "combined"])
+    def flush(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["sig", "id", "n", "left"])
 
     def index(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for b in batches:
-            rows = [], [], [], [], []
-            for doc_id, tokens in zip(b.column(0).to_pylist(), _token_sets(b.column(1))):
-                if len(tokens) == 0 or (own := _print(tokens)) in seen:
+            rows = [], [], [], []
+            for tokens in _token_sets(b.column(0)):
+                if len(tokens) == 0 or (own := set_id(tokens)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(own)
-                found = signatures(tokens, frequent, place, size)
-                for kept, new in zip(rows, (np.full(len(found[0]), doc_id, np.int64), np.full(len(found[0]), len(tokens)), *found), strict=True):
+                keys, left = signatures(tokens, frequent, place, size)
+                for kept, new in zip(rows, (keys, np.full(len(keys), own), np.full(len(keys), len(tokens)), left), strict=True):
                     kept.append(new)
                 if len(rows[0]) >= 1000:
                     yield flush(*rows)
-                    rows = [], [], [], [], []
+                    rows = [], [], [], []
             if rows[0]:
                 yield flush(*rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null").mapInArrow(tidy(index), "sig long, doc_id long, n int, left int, combined boolean")
+    return texts.select("text").mapInArrow(tidy(index), "sig long, id long, n int, left int")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -204,7 +203,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def verify(batches):
         cache: OrderedDict[str, np.ndarray] = OrderedDict()
@@ -244,15 +243,25 @@ def most_shared(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(-1, size).sum(axis=0), y.reshape(-1, size).sum(axis=0)).sum())
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, cells) of each text."""
+def _involved(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, cells, text) of each set in ids: one of its texts, and its sketch."""
 
     def each(batches):
+        seen: set[int] = set()
         for b in batches:
-            sets = [(len(t), sketch(t)) for t in _token_sets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.binary())], ["doc_id", "n", "cells"])
+            at, rows = [], []
+            for k, tokens in enumerate(_token_sets(b.column(0))):
+                if len(tokens) and (own := set_id(tokens)) not in seen:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    at.append(k)
+                    rows.append((own, len(tokens), sketch(tokens)))
+            own, n, cells = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.binary()), b.column(0).take(pa.array(at, pa.int64()))], ["id", "n", "cells", "text"])
 
-    return texts.mapInArrow(tidy(each), "doc_id long, n long, cells binary")
+    found = texts.select("text").mapInArrow(tidy(each), "id long, n long, cells binary, text string")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -264,7 +273,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             most = np.array([most_shared(x, y) if x and y else min(n, m) for n, x, m, y in zip(na, b.column(3).to_pylist(), nb, b.column(5).to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(100 * most >= THRESHOLD * (na + nb - most)))
 
-    of = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("n").alias("n" + side), F.col("cells").alias("c" + side))
+    of = lambda side: sketches.select(F.col("id").alias(side), F.col("n").alias("n" + side), F.col("cells").alias("c" + side))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(tidy(bound), "a long, b long")
 
 
@@ -282,26 +291,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = staged(lower.join(jump, "comp").select("node", F.col("jumped").alias("comp")))
 
 
-def _lists(docs: DataFrame, copies: DataFrame, frequent: np.ndarray, place: np.ndarray, size: np.ndarray) -> DataFrame:
-    """(sig, id, n, left): the index's lists of two members or more; a set's copies are one member.
-
-    Lists of rare tokens are short by the summaries' bound, so a window counts them; those of combinations may hold
-    any share of the rows, so they are counted by partial sums and joined, which splits a hot list."""
-    index = staged(_index(docs, frequent, place, size))
-    rare = index.where("not combined").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("members > 1")
-    combined = index.where("combined")
-    several = combined.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    kept = rare.select("sig", "doc_id", "n", "left").union(combined.join(several, "sig").select("sig", "doc_id", "n", "left"))
-    return kept.join(copies, "doc_id", "left").groupBy("sig", F.coalesce("rep", "doc_id").alias("id"), "n").agg(F.max("left").alias("left"))
+def _lists(index: DataFrame) -> DataFrame:
+    """(sig, id, n, left): the index's lists of two members or more; a set's copies are one member. Any list may hold
+    any share of the sets, so lists are counted by partial sums and joined, which splits a hot one."""
+    members = staged(index.groupBy("sig", "id", "n").agg(F.max("left").alias("left")))
+    several = members.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return members.join(several, "sig").select("sig", "id", "n", "left")
 
 
 #: SQL: whether sets of n and m tokens, of which `left` and `its` count from a shared key on, can link by it.
 _MEETS = f"{100 + THRESHOLD} * least(left, its) >= {THRESHOLD} * (n + m)"
 
 
-def _joined_components(lists: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(id, comp) of the members that link with others. lists: what _lists() gives."""
-    spark, names, leaders, tried = lists.sparkSession, None, 1, None
+def _joined_components(lists: DataFrame, texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(id, comp) of the members that link with others. lists: what _lists() gives; names: what belongs together
+    without a link, likewise."""
+    spark, sketches, leaders, tried = lists.sparkSession, texts.select("id", "n", "cells"), 1, None
     entries = lists.count()
     while True:
         if names is not None:
@@ -346,33 +351,53 @@ def _joined_components(lists: DataFrame, texts: DataFrame, sketches: DataFrame)
     return names if names is not None else spark.createDataFrame([], "id long, comp long")
 
 
+def _ties(sets: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi, bare) of the ids whose rows hold several sets, or a set and no words: the least and the largest
+    set's id, and whether a row has no words."""
+    own = F.when(F.col("n") > 0, F.col("id"))
+    return sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max(F.col("n") == 0).alias("bare")).where("lo < hi or (bare and lo is not null)")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Null text counts as empty; a text without words has no shingles and no links. Rows that share a doc_id are one
-    node. A row without doc_id has no node, so its component_id is null. Other columns aren't read."""
+    node, which has the links of all their sets. A row without doc_id has no node, so its component_id is null, and
+    none of its links counts. Other columns aren't read."""
     described = staged(_described(docs))
-    sets = described.where("kind = 0").select("doc_id", "n", "f1", "f2")
-    top = described.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "f1").limit(FREQUENT).collect()
-    frequent = np.array([r.f1 for r in reversed(top)], np.int64).astype(np.uint64)  # rarest first
+    sets = described.where("kind = 0").select("doc_id", "n", "id")
+    counted = staged(described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
+    top = sorted(most_frequent(counted, "n", FREQUENT), key=lambda r: (-r.n, r.id))
+    frequent = np.array([r.id for r in reversed(top)], np.int64).astype(np.uint64)  # rarest first
     size = np.array([2 if r.n < VERY else 3 for r in reversed(top)], np.int64)
     order = np.argsort(frequent)
     frequent, place, size = frequent[order], order, size[order]
 
-    # Copies of a set count as its smallest doc_id.
-    groups = staged(sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    copies = staged(sets.join(groups, ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
-
-    lists = staged(_lists(docs, copies, frequent, place, size))
-    involved = lists.select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(involved, "doc_id", "left_semi"))
-    labels = _joined_components(lists, texts, staged(_sketches(texts)))
-
-    named = sets.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("id"))
-    return named.join(labels, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    texts = docs.where("doc_id is not null").select(text_of().alias("text"))
+    lists = staged(_lists(_index(texts, frequent, place, size)))
+    involved = staged(_involved(texts, lists.select("id").distinct()))
+    ties = staged(_ties(sets))
+    tied = bool(ties.limit(1).count())
+    names = None
+    if tied:
+        edges = sets.where("n > 0").join(ties, "doc_id").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+        names = components(staged(edges)).select(F.col("node").alias("id"), "comp")
+    labels = _joined_components(lists, involved, names)
+
+    # Sets, which are fewer than rows, find the least doc_id of their component; then rows find their set.
+    least = sets.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("own"))
+    joined = staged(least.join(labels, "id"))
+    of_comp = joined.groupBy("comp").agg(F.min("own").alias("top"))
+    found = staged(least.join(joined.join(of_comp, "comp").select("id", "top"), "id", "left").select("id", F.coalesce("top", "own").alias("component_id")))
+    rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id"))
+    if tied:
+        rows = rows.join(ties.select("doc_id", "lo"), "doc_id", "left").select("doc_id", "n", F.coalesce("id", "lo").alias("id"))
+    top_of = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.join(found, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), top_of.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents of docs that have their component's smallest doc_id; rows without doc_id stay."""
+    """The documents of docs that have their component's smallest doc_id; rows without doc_id stay, and rows that
+    share a doc_id share its fate."""
     gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
