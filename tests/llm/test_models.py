@@ -30,8 +30,9 @@ def is_held_out(doc_id: int | None) -> bool:
 def scores_by_hand(rows: list[tuple], scorer: hmm_scoring.Scorer) -> Counter:
     counts = Counter(w for i, t in rows if not is_held_out(i) for w in [*words_of(t), hmm_scoring.END])
     total, distinct = sum(counts.values()), len(counts)
-    short = sorted((w for w in counts if w != hmm_scoring.END and len(w) <= 64), key=lambda w: (-counts[w], w.encode()))
-    own = {w: k + 1 for k, w in enumerate(short[: hmm_scoring.AT_HAND][: hmm_scoring.OWN])}
+    short = sorted((w for w in counts if w != hmm_scoring.END and len(w) <= 64), key=lambda w: (-counts[w], w))
+    border = counts[short[hmm_scoring.AT_HAND]] if len(short) > hmm_scoring.AT_HAND else 0
+    own = {w: k + 1 for k, w in enumerate([w for w in short if counts[w] > border][: hmm_scoring.OWN])}
     shared = lambda w: int(hmm_scoring.shared_symbols(pa.array([w]))[0])
     mass = Counter()
     for w in counts:

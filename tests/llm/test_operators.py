@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, chat, exact_dedup, jaccard_join, licenses, lz_fingerprint, packing, quality, secrets, url_filter
+from vestige.llm import bpe, chat, exact_dedup, filter_audit, hmm_scoring, jaccard_join, licenses, lz_fingerprint, packing, quality, secrets, url_filter
 from vestige.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,13 @@ def test_drop_exact_copies(spark, counters):
     assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == sorted((k[1] is None, k[1]) for k in {(w[3], w[1]): w for w in want}.values())
 
 
+def test_copies_that_tie_leave_one_row(spark):
+    rows = [(1, "a b")] * 5 + [(1, "ab ")] * 3 + [(2, "a b")] * 2 + [(None, "ab")] * 4 + [(None, None)] * 3 + [(None, " ")] * 2
+    for counters in (1, 1024):
+        assert sorted(map(str, ((r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(odd(spark, rows), counters).collect()))) in (["(1, 'a b')", "(None, ' ')"], ["(1, 'ab ')", "(None, ' ')"])
+        assert sum(r.kept for r in exact_dedup.exact_groups(odd(spark, rows), counters).collect()) == 2
+
+
 def test_misra_gries_bound():
     rng = random.Random(5)
     values = [rng.choice("aaaabbc") if rng.random() < 0.5 else str(i) for i in range(5000)]
@@ -686,6 +693,18 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {k[2] for k in components_by_hand(odd_rows())}
 
 
+def test_jaccard_of_repeated_ids_with_other_texts(spark):
+    a, b, c = prose(40, 71), prose(40, 72), prose(40, 73)
+    for rows in (
+        [(1, a), (2, b), (3, a), (3, b), (4, c)],
+        [(1, a), (3, a), (3, b), (7, b + " more")],
+        [(5, None), (5, a), (2, a), (9, ""), (9, None), (8, b), (8, c), (8, c), (4, c + " more"), (None, b)],
+        [(i % 9, t) for i, t in near_copies(120, 5)] + [(20 + i % 30, t) for i, t in near_copies(60, 6)],
+    ):
+        got = jaccard_join.jaccard_components(odd(spark, rows)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_hand(rows)
+
+
 def test_signatures_leave_out_no_linked_pair():
     rng = random.Random(8)
     for _ in range(600):
@@ -702,7 +721,7 @@ def test_signatures_leave_out_no_linked_pair():
         frequent = universe[rng.choice([slice(0, 0), slice(0, 300), slice(0, 400)])]
         place = np.array(rng.sample(range(len(frequent)), len(frequent)), np.int64)
         size = np.array([rng.choice([2, 2, 3]) for _ in frequent], np.int64)
-        (kx, lx, _), (ky, ly, _) = (jaccard_join.signatures(t, frequent, place, size) for t in (x, y))
+        (kx, lx), (ky, ly) = (jaccard_join.signatures(t, frequent, place, size) for t in (x, y))
         least = -(-jaccard_join.THRESHOLD * (len(x) + len(y)) // (100 + jaccard_join.THRESHOLD))
         mine = dict(zip(kx.tolist(), lx.tolist()))
         assert any(min(mine[k], left) >= least for k, left in zip(ky.tolist(), ly.tolist()) if k in mine)
@@ -727,7 +746,7 @@ def test_sketches_bound_the_shared_tokens():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in result.description]
@@ -735,6 +754,37 @@ def test_sql(spark, name):
     assert Counter(tuple(r) for r in QUERIES[name](spark, SF).select(*columns).collect()) == want
 
 
+#: Names that the operators use for columns of their own.
+INNER = "row part tail i sig id left n comp word words times symbols base inner x dim n_cp best group_size ties keep most all of digest __digest __n __key __log_weight log_weight key kept keep_id fingerprint mask c d e good toxic first k block path host label spans start lo hi drawn size".split()
+
+
+@pytest.mark.parametrize("name", ["exact_groups", "drop_exact_copies", "edited_and_next", "digests", "licenses", "apply", "kept", "scan", "redacted", "packed", "jaccard_components", "drop_near_copies", "scored", "audit"])
+def test_columns_of_the_operators_own_names(spark, name):
+    rows = [(i, prose(30, i % 3), "password=abcdefghijklmn") for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "s", *["x"] * len(INNER)) for i, t, _ in rows], ", ".join(["doc_id long", "text string", "source string", *[f"`{c}` string" for c in INNER]]))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    calls = {
+        "exact_groups": lambda: exact_dedup.exact_groups(docs),
+        "drop_exact_copies": lambda: exact_dedup.drop_exact_copies(docs),
+        "edited_and_next": lambda: lz_fingerprint.edited_and_next(docs),
+        "digests": lambda: bpe.digests(docs, tokenizer_path()),
+        "licenses": lambda: licenses.licenses(docs.withColumn("path", F.concat(F.lit("/a/"), F.col("doc_id").cast("string")))),
+        "apply": lambda: quality.Resampler(docs, labels).apply(docs),
+        "kept": lambda: quality.Resampler(docs, labels).kept(docs),
+        "scan": lambda: secrets.scan(docs, secrets.train(docs, labels)),
+        "redacted": lambda: secrets.redacted(docs, secrets.train(docs, labels)),
+        "packed": lambda: packing.packed(docs, tokenizer_path()),
+        "jaccard_components": lambda: jaccard_join.jaccard_components(docs),
+        "drop_near_copies": lambda: jaccard_join.drop_near_copies(docs),
+        "scored": lambda: hmm_scoring.Scorer(docs, states=2, first_rounds=1, rounds=1).scored(),
+        "audit": lambda: filter_audit.audit(docs, labels),
+    }
+    got = calls[name]()
+    assert got.count() >= 3
+    if name in ("drop_exact_copies", "kept", "redacted", "drop_near_copies"):
+        assert got.columns == docs.columns and {r["row"] for r in got.collect()} == {"x"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
