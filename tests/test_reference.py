@@ -360,9 +360,9 @@ def test_mounted_values(spark):
     gpt = (b"DMIO:ID:" + bytes.fromhex("00112233445566778899aabbccddeeff")).hex()
     rows = [("\\DosDevices\\E:", struct.pack("<IQ", 0x1234ABCD, 1048576).hex()), ("\\??\\Volume{01dc0f73-0000-0000-0000-000000000000}", path), ("x", gpt), ("#{01dc0f73-0000-0000-0000-000000000000}", "00")]
     a, b, c, d = text.mounted(spark.createDataFrame(rows, "value_name string, hex string").coalesce(1)).collect()
-    assert (a.kind, a.drive_letter, a.target_kind, a.disk_signature, a.partition_offset) == ("drive_letter", "E", "mbr_partition", 0x1234ABCD, 1048576)
+    assert (a.kind, a.drive_letter, a.target_kind, a.disk_signature, a.partition_offset) == ("drive_letter", "E", "mbr_disk_signature", 0x1234ABCD, 1048576)
     assert (b.kind, b.volume_guid, b.target_kind, b.device_key) == ("volume_guid", "{01dc0f73-0000-0000-0000-000000000000}", "device_path", "USBSTOR\\DISK\\S1&0")
-    assert (c.target_kind, c.partition_guid) == ("gpt_partition", "{33221100-5544-7766-8899-aabbccddeeff}")
+    assert (c.target_kind, c.partition_guid) == ("gpt_partition_guid", "{33221100-5544-7766-8899-aabbccddeeff}")
     assert (d.kind, d.target_kind) == ("no_mount_point", "unknown")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,34 +15,18 @@ from pyspark.sql.types import StructType
 from vestige.functions import macros as m
 from vestige.sources import evtx
 from vestige.sources.binary import decoded, layout, mbr_signature
+from vestige.sources.catalogue import RULES, Rule, extracted
+from vestige.sources.ranged import log_chunks
 
-_PNP, _DF, _DSM, _NTFS = "Microsoft-Windows-Kernel-PnP/Configuration", "Microsoft-Windows-DriverFrameworks-UserMode/Operational", "Microsoft-Windows-DeviceSetupManager/Admin", "Microsoft-Windows-Ntfs/Operational"
-# Channel, provider ("" for any), event, kind, gate (what must be true of a record to be kept).
-RULES = [
-    (_PNP, "", 400, "install", "usb"), (_PNP, "", 410, "install", "usb"), (_PNP, "", 420, "disconnect", "usb"), (_PNP, "", 430, "other", "usb"), ("System", "Microsoft-Windows-Kernel-PnP", 219, "fault", "usb"), ("System", "Microsoft-Windows-UserPnp", 20001, "install", "usb"),
-    ("System", "Microsoft-Windows-UserPnp", 20003, "install", "usb"), ("System", "Microsoft-Windows-DriverFrameworks-UserMode", 10000, "install", "usb"), (_DF, "", 2003, "other", "usb"), (_DF, "", 2100, "other", "usb"), (_DF, "", 2102, "other", "usb"),
-    ("Microsoft-Windows-StorageVolume/Operational", "", 1001, "connect", "usb"), ("Microsoft-Windows-StorageVolume/Operational", "", 1002, "disconnect", "usb"), ("Microsoft-Windows-Storsvc/Diagnostic", "", 1001, "inventory", "usb"), ("Microsoft-Windows-Partition/Diagnostic", "", 1006, "inventory", "usb"),
-    ("Microsoft-Windows-Storage-Storport/Operational", "", 551, "inventory", "miniport"), (_NTFS, "", 4, "connect", "usb"), (_NTFS, "", 9, "other", "usb"), (_NTFS, "", 300, "disconnect", "usb"), (_NTFS, "", 303, "disconnect", "usb"), (_DSM, "", 121, "fault", "usb"), (_DSM, "", 123, "other", "usb"),
-    (_DSM, "", 126, "install", "usb"), (_DSM, "", 127, "other", "usb"), (_DSM, "", 234, "other", "usb"), ("System", "EventLog", 6005, "session", "any"), ("System", "EventLog", 6006, "session", "any"), ("System", "EventLog", 6008, "session", "any"), ("System", "EventLog", 6013, "session", "any"),
-    ("System", "Microsoft-Windows-Kernel-General", 12, "session", "any"), ("System", "Microsoft-Windows-Kernel-General", 13, "session", "any"), ("System", "User32", 1074, "session", "any"), ("System", "Microsoft-Windows-Kernel-Power", 42, "session", "any"), ("System", "Microsoft-Windows-Kernel-Power", 107, "session", "any"),
-    ("System", "Microsoft-Windows-Kernel-Power", 41, "session", "any"), ("Security", "", 4624, "logon", "any"), ("Security", "", 4634, "logon", "any"), ("Security", "", 4647, "logon", "any"), ("Security", "", 4800, "logon", "any"), ("Security", "", 4801, "logon", "any"),
-]
 # Events that were considered and are left out, with the reason; channels that are read when asked for.
 EXCLUDED = {
-    (_NTFS, 10): "cached run statistics", (_NTFS, 142): "free space sampling", (_NTFS, 145): "latency histogram", (_NTFS, 158): "volume statistics", ("System", 98): "corruption state without a device identity", ("System", 15): "hive resize", ("Security", 4907): "audit policy change",
+    ("Microsoft-Windows-Ntfs/Operational", 10): "cached run statistics", ("Microsoft-Windows-Ntfs/Operational", 142): "free space sampling", ("Microsoft-Windows-Ntfs/Operational", 145): "latency histogram", ("Microsoft-Windows-Ntfs/Operational", 158): "volume statistics", ("System", 98): "corruption state without a device identity", ("System", 15): "hive resize", ("Security", 4907): "audit policy change",
     ("Security", 4663): "object access that names no device", ("Security", 4656): "handle request that names no device",
 }
 OPT_IN = ("Security",)
-# Roles of fields by name; what a problem code and a bus type say.
-ROLES = {
-    "deviceinstanceid": "device_instance_id", "instanceid": "device_instance_id", "parentid": "device_instance_id", "diskinstancepath": "device_instance_id", "deviceid": "device_instance_id", "prop_devnodeid": "device_instance_id", "prop_deviceid": "device_instance_id", "prop_deviceinstanceid": "device_instance_id",
-    "parentdeviceinstanceid": "parent_instance_id", "volumeid": "volume_guid", "volumecorrelationid": "volume_guid", "volumelabel": "volume_label", "devicename": "device_name", "bustype": "bus_type", "vendorid": "vendor", "manufacturer": "vendor", "productid": "product", "model": "product", "productrevision": "revision",
-    "revision": "revision", "deviceserialnumber": "serial", "serialnumber": "serial", "disknumber": "disk_number", "volumenumber": "volume_number", "partitionoffset": "partition_offset", "capacity": "capacity", "size": "capacity", "mbr": "boot_record", "partitiontable": "disk_layout", "classguid": "class_guid",
-    "drivername": "driver_name", "driverfilename": "driver_name", "miniportname": "driver_name", "driverversion": "driver_version", "driverdate": "driver_date", "servicename": "service_name", "problem": "problem_code", "status": "status", "installstatus": "status", "processname": "process_name", "dismountreason": "reason",
-    "reason": "reason", "targetusername": "account", "logontype": "logon_type", "filesystem": "file_system",
-}
 # An identity of an enumerator of the bus, or a path that holds one under another.
 _ON_USB = re.compile(r"^(USBSTOR|USB|USBPRINT|USBHUB3|WPDBUSENUM|USBVIDEO|USBAUDIO)(\\|$)|(\\|_\?\?_)(USBSTOR|USB|USBPRINT|USBHUB3|WPDBUSENUM|USBVIDEO|USBAUDIO)[\\#]")
+# Problem codes of departed devices; what a problem code and a bus type say.
 GONE = ("45", "24")
 PROBLEMS = {"21": "CM_PROB_WILL_BE_REMOVED", "22": "CM_PROB_DISABLED", "24": "CM_PROB_DEVICE_NOT_THERE", "28": "CM_PROB_FAILED_INSTALL", "43": "CM_PROB_FAILED_POST_START", "45": "CM_PROB_DEVICE_DISCONNECTED", "47": "CM_PROB_HELD_FOR_EJECT"}
 BUSES = {"1": "SCSI", "2": "ATAPI", "3": "ATA", "4": "1394", "7": "USB", "8": "RAID", "9": "iSCSI", "10": "SAS", "11": "SATA", "12": "SD", "13": "MMC", "14": "virtual", "15": "file-backed virtual", "17": "NVMe"}
@@ -54,19 +39,26 @@ def channel_of(path: str) -> str:
 def wanted(path: str, opted: tuple[str, ...] = ()) -> bool:
     """Whether any rule reads the log's channel, and it was asked for if it must be."""
     channel = channel_of(path).lower()
-    return any(channel == r[0].lower() for r in RULES) and (channel not in [o.lower() for o in OPT_IN] or channel in [o.lower() for o in opted])
+    return any(channel == r.channel.lower() for r in RULES) and (channel not in [o.lower() for o in OPT_IN] or channel in [o.lower() for o in opted])
 
 
-def rule_for(channel: str, provider: str, event: int) -> tuple | None:
+@lru_cache(4096)
+def rule_for(channel: str, provider: str, event: int) -> Rule | None:
     """The rule of this provider, else the one of any."""
-    fits = [r for r in RULES if r[0].lower() == channel.lower() and r[2] == event and r[1].lower() in ("", provider.lower())]
-    return max(fits, key=lambda r: len(r[1]), default=None)
+    fits = [r for r in RULES if r.channel.lower() == channel.lower() and r.event == event and r.provider.lower() in ("", provider.lower())]
+    return max(fits, key=lambda r: len(r.provider), default=None)
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """What is read and what isn't, as rows."""
-    read = [(c, p, e, f"{c}:{p}:{e}" if p else f"{c}:{e}", k, "") for c, p, e, k, _ in RULES]
-    return spark.createDataFrame(read + [(c, "", e, "", "", why) for (c, e), why in EXCLUDED.items()], "channel string, provider string, event_id int, rule_id string, kind string, excluded string")
+    read = [(r.channel, r.provider, r.event, r.id, r.kind, r.meaning, "") for r in RULES]
+    return spark.createDataFrame(read + [(c, "", e, "", "", "", why) for (c, e), why in EXCLUDED.items()], "channel string, provider string, event_id int, rule_id string, kind string, meaning string, excluded string")
+
+
+def places(spark: SparkSession) -> DataFrame:
+    """The rules' candidate paths in their order: rule_id, place, path, name, role."""
+    rows = [(r.id, k + 1, ".".join(path), name, role) for r in RULES for k, (path, name, role) in enumerate(r.places)]
+    return spark.createDataFrame(rows, "rule_id string, place int, path string, name string, role string")
 
 
 def _usb(role: str, value: str) -> bool:
@@ -76,7 +68,7 @@ def _usb(role: str, value: str) -> bool:
     return (role, value) in (("bus_type", "7"), ("vendor", "USB"))
 
 
-EVENT = "channel string, record_id long, event_id long, provider string, raw_file_time long, rule_id string, kind string, device_instance_id string, outcome string, fields array<struct<name:string,role:string,value:string,path:string>>"
+EVENT = "channel string, record_id long, event_id long, provider string, raw_file_time long, rule_id string, kind string, meaning string, device_instance_id string, outcome string, fields array<struct<name:string,role:string,value:string,path:string>>"
 
 
 def judged(number: int, raw: int, fields: list[evtx.Field] | None) -> dict:
@@ -86,67 +78,56 @@ def judged(number: int, raw: int, fields: list[evtx.Field] | None) -> dict:
         return out | {"outcome": "unreadable"}
     system = {p.removeprefix("Event.System."): v for p, v in fields if p.startswith("Event.System.")}
     channel, provider = system.get("Channel", ""), system.get("Provider@Name", "")
-    event = int(system.get("EventID", "0") or 0)
+    told = system.get("EventID", "0") or "0"
+    if not told.isdecimal() or len(told) > 9:
+        return out | {"channel": channel, "provider": provider, "outcome": "unreadable"}
+    event = int(told)
     out |= {"channel": channel, "event_id": event, "provider": provider}
     if (rule := rule_for(channel, provider, event)) is None:
         why = next((w for (c, e), w in EXCLUDED.items() if c.lower() == channel.lower() and e == event), None)
         return out | {"outcome": f"excluded: {why}" if why else "no rule"}
-    told = [(p.rsplit(".", 1)[-1], v, p.removeprefix("Event.")) for p, v in fields if not p.startswith("Event.System") and "@" not in p]
-    named = dict((n, v) for n, v, _ in told)
-    if set(named) >= {"Name", "Value"}:  # pairs of name and value
-        names, values = ([v for n, v, _ in told if n == k] for k in ("Name", "Value"))
-        told += [(n, v, f"EventData.{n}") for n, v in zip(names, values)]
-    kept = [{"name": n, "role": ROLES.get(n.lower(), "detail"), "value": v, "path": p} for n, v, p in told]
-    passes = {"any": True, "usb": any(_usb(f["role"], f["value"]) for f in kept), "miniport": any(f["name"] == "MiniportName" and f["value"].strip().upper() == "USBSTOR" for f in kept)}[rule[4]]
+    kept = extracted(rule, fields)
+    passes = {"any": True, "usb": any(_usb(f["role"], f["value"]) for f in kept), "miniport": any(f["name"] == "MiniportName" and f["value"].strip().upper() == "USBSTOR" for f in kept)}[rule.gate]
     if not passes:
         return out | {"outcome": "no usb device"}
-    kind = rule[3]
+    kind = rule.kind
     if event == 420:
         kind = "disconnect" if any(f["role"] == "problem_code" and f["value"].strip() in GONE for f in kept) else "fault"
     device = next((f["value"].strip("\0 ") for f in kept if f["role"] == "device_instance_id"), "")
-    return out | {"outcome": "kept", "rule_id": f"{rule[0]}:{rule[1]}:{rule[2]}" if rule[1] else f"{rule[0]}:{rule[2]}", "kind": kind, "device_instance_id": device, "fields": kept}
+    return out | {"outcome": "kept", "rule_id": rule.id, "kind": kind, "meaning": rule.meaning, "device_instance_id": device, "fields": kept}
 
 
 def logs(spark: SparkSession, path: str, opted: tuple[str, ...] = ()) -> DataFrame:
-    """path, at and chunk of the event logs below path whose channels are read. A log that none reads isn't opened:
-    its name is filtered before its content is asked for."""
+    """path, at, chunk and note of the event logs below path whose channels are read. A log that none reads isn't
+    opened: its name is filtered before its content is asked for."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.evtx").load(path)
-    names = [r.path for r in f.select("path").collect()]
-    keep = [n for n in names if wanted(n, opted)]
-    opened = spark.read.format("binaryFile").load(keep) if keep else f.limit(0)
-
-    def cut(batches):
-        for b in batches:
-            for where, content in zip(b["path"], b["content"]):
-                try:
-                    rows = [(where, at, chunk) for at, chunk in evtx.chunks(bytes(content))]
-                except ValueError:
-                    rows = [(where, None, None)]
-                yield pd.DataFrame(rows, columns=["path", "at", "chunk"]).astype(object)
-
-    return opened.select("path", "content").mapInPandas(cut, "path string, at long, chunk binary")
+    return log_chunks(spark, [n for n in (r.path for r in f.select("path").collect()) if wanted(n, opted)])
 
 
 def scanned(chunks: DataFrame) -> DataFrame:
-    """Every record of the chunks with its outcome; chunks are dealt over all tasks before they are decoded."""
+    """Every record of the chunks with its outcome, place and note; chunks are dealt over all tasks before they are
+    decoded. What a chunk holds never ends the job: where its decoder fails, the chunk is an outcome of its own."""
     names = StructType.fromDDL(EVENT).fieldNames()
 
     def each(batches):
         for b in batches:
-            for path, at, chunk in zip(b["path"], b["at"], b["chunk"]):
-                rows = [(path, {"outcome": "unreadable log"})] if chunk is None else []
+            rows = []
+            for path, at, chunk, note in zip(b["path"], b["at"], b["chunk"], b["note"]):
+                if chunk is None:
+                    rows.append((path, at, note, {"outcome": "unreadable chunk" if at == at and at is not None else "unreadable log"}))
+                    continue
                 try:
-                    rows += [(path, judged(*r)) for r in evtx.records(bytes(chunk))] if chunk is not None else []
-                except (struct.error, IndexError):
-                    rows.append((path, {"outcome": "unreadable chunk"}))
-                yield pd.DataFrame([(p, *(r.get(n) for n in names)) for p, r in rows], columns=["path", *names]).astype(object)
+                    rows += [(path, at, None, judged(*r)) for r in evtx.records(bytes(chunk))]
+                except (struct.error, IndexError, ValueError, OverflowError, RecursionError) as e:
+                    rows.append((path, at, f"{type(e).__name__}: {e}", {"outcome": "unreadable chunk"}))
+            yield pd.DataFrame([(p, None if at is None or at != at else int(at), note, *(r.get(n) for n in names)) for p, at, note, r in rows], columns=["path", "at", "note", *names]).astype(object)
 
-    return chunks.repartition("path", "at").mapInPandas(each, f"path string, {EVENT}")
+    return chunks.repartition("path", "at").mapInPandas(each, f"path string, at long, note string, {EVENT}")
 
 
 def event_table(found: DataFrame) -> DataFrame:
     """The kept records as the event table."""
-    e = found.where("outcome = 'kept'").drop("outcome", "fields").withColumnRenamed("path", "source_file")
+    e = found.where("outcome = 'kept'").drop("outcome", "fields", "at", "note").withColumnRenamed("path", "source_file")
     return e.withColumn("time_utc", m.filetime(F.col("raw_file_time"))).withColumn("device_key", m.device_key(F.col("device_instance_id")))
 
 

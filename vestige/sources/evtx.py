@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
-CHUNK, _HEAD = 65536, 4096
+CHUNK, HEAD = 65536, 4096
 Field = tuple[str, str]  # path of the element, its text
 
 
@@ -192,15 +192,6 @@ def _time(raw: int) -> str | None:
     return (datetime(1601, 1, 1, tzinfo=UTC) + timedelta(microseconds=raw // 10)).replace(tzinfo=None).isoformat(" ", "microseconds")
 
 
-def chunks(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(place, chunk) of a log that has at least its header."""
-    if content[:8] != b"ElfFile\0":
-        raise ValueError("not an event log")
-    for at in range(_HEAD, len(content) - 511, CHUNK):
-        if content[at : at + 8] == b"ElfChnk\0":
-            yield at, content[at : at + CHUNK]
-
-
 def records(chunk: bytes) -> Iterator[tuple[int, int, list[Field] | None]]:
     """(record id, raw time, fields) of a chunk's records; fields None where a body can't be read."""
     end = min(struct.unpack_from("<I", chunk, 48)[0], len(chunk))

@@ -16,7 +16,12 @@ def setup_sections(spark: SparkSession, path: str) -> DataFrame:
 
     A section runs from its `>>>  [operation - target]` line to the next such line; its number is a running count of
     those lines within the file. Of repeated details the first counts. A section without an end stays."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    return sections_of(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"))
+
+
+def sections_of(logs: DataFrame) -> DataFrame:
+    """The sections of the logs (path, value)."""
+    lines = logs.select(F.col("path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     header = F.col("line").rlike(r"^>>>\s+\[.* - .*\]")
     w = Window.partitionBy("source_file").orderBy("at")
     numbered = lines.withColumn("section", F.sum(header.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("section > 0")
@@ -42,8 +47,8 @@ def usb_sections(sections: DataFrame) -> DataFrame:
 
 def mounted(values: DataFrame) -> DataFrame:
     """Mount values (value_name, hex) with kind, drive_letter, volume_guid and what the bytes say: target_kind
-    (gpt_partition, mbr_partition, volume, device_path or unknown), partition_guid, disk_signature,
-    partition_offset, device_path, device_key."""
+    (gpt_partition_guid, mbr_disk_signature, volume_guid_offset, device_path or unknown), partition_guid,
+    disk_signature, partition_offset, target_volume_guid, target_offset_hex, device_path, device_key."""
     name, raw = F.col("value_name"), F.unhex("hex")
     size = F.length(raw)
     # The beginnings, in UTF-16, of a device path and of a volume's name; other bytes needn't be text.
@@ -56,11 +61,11 @@ def mounted(values: DataFrame) -> DataFrame:
     guid = F.lower(F.concat(F.lit("{"), reverse(8, 4), F.lit("-"), reverse(12, 2), F.lit("-"), reverse(14, 2), F.lit("-"), F.substring("hex", 33, 4), F.lit("-"), F.substring("hex", 37, 12), F.lit("}")))
     mbr = (size == 12) & ~gpt
     volume = wide.rlike(rf"^{_GUID}#[0-9A-Fa-f]+$")
-    kind = F.when(gpt, "gpt_partition").when(mbr, "mbr_partition").when(volume, "volume").when(path, "device_path").otherwise("unknown")
+    kind = F.when(gpt, "gpt_partition_guid").when(mbr, "mbr_disk_signature").when(volume, "volume_guid_offset").when(path, "device_path").otherwise("unknown")
     return values.select(
         "*", F.when(name.rlike(r"^\\DosDevices\\[A-Za-z]:$"), "drive_letter").when(name.rlike(rf"^\\\?\?\\Volume{_GUID}$"), "volume_guid").when(name.rlike(rf"^#{_GUID}$"), "no_mount_point").otherwise("other").alias("kind"),
         F.upper(F.regexp_extract(name, r"^\\DosDevices\\([A-Za-z]):$", 1)).alias("drive_letter"), F.lower(F.regexp_extract(name, f"({_GUID})$", 1)).alias("volume_guid"), kind.alias("target_kind"), F.when(gpt, guid).otherwise("").alias("partition_guid"),
-        F.when(mbr, number(0, 4)).alias("disk_signature"), F.when(mbr, number(4, 8)).alias("partition_offset"), F.when(path, wide).otherwise("").alias("device_path"), F.when(path, device_key(wide)).otherwise("").alias("device_key"),
+        F.when(mbr, number(0, 4)).alias("disk_signature"), F.when(mbr, number(4, 8)).alias("partition_offset"), F.when(volume, F.lower(F.substring_index(wide, "#", 1))).otherwise("").alias("target_volume_guid"), F.when(volume, F.substring_index(wide, "#", -1)).otherwise("").alias("target_offset_hex"), F.when(path, wide).otherwise("").alias("device_path"), F.when(path, device_key(wide)).otherwise("").alias("device_key"),
     )
 
 
