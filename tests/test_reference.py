@@ -454,3 +454,69 @@ def test_stream_equals_batch(spark, tmp_path):
         assert {tuple(r) for r in spark.table("sessions_seen").collect()} == want
     finally:
         q.stop()
+
+
+def test_stars_connect_what_all_pairs_connect(spark):
+    from collections import defaultdict
+
+    case = case_of(spark, "/root/testdata/sf0.01")
+
+    def parts(edges):
+        parent = {}
+
+        def top(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[top(a)] = top(b)
+        out = defaultdict(set)
+        for x in list(parent):
+            out[top(x)].add(x)
+        return {frozenset(s) for s in out.values()}
+
+    stars = [(r.left_key, r.right_key, r.method) for r in case._grouping_star().collect()]
+    pairs = [(r.device_key, r.other_device_key, r.method) for r in case.device_link().where("asserts_same_device").collect()]
+    assert parts((a, b) for a, b, _ in stars) == parts((a, b) for a, b, _ in pairs) and stars
+    for method in {m for _, _, m in pairs}:
+        assert parts((a, b) for a, b, m in stars if m == method) == parts((a, b) for a, b, m in pairs if m == method)
+
+
+def test_a_container_of_many_identities_has_an_edge_each(spark):
+    from vestige.operators.full import Case
+
+    n = 5000
+    nodes = spark.range(n).selectExpr("'src-1' AS source_id", "'ControlSet001' AS control_set", "'USB' AS enumerator", "concat('VID_0001&PID_', lpad(hex(id % 65536), 4, '0')) AS device_id", "concat('7&', hex(id), '&0') AS instance_id")
+    key = "concat(enumerator, chr(92), device_id, chr(92), instance_id)"
+    nodes = nodes.selectExpr("*", f"{key} AS normalised_instance_id", f"upper({key}) AS device_key", "'{aaaaaaaa-0000-0000-0000-000000000001}' AS container_id")
+    of = case_of(spark, "/root/testdata/sf0.001")
+    like = of.table("devnode").limit(0)
+    case = Case(lambda name: like.unionByName(nodes, allowMissingColumns=True) if name == "devnode" else of.table(name).limit(0))
+    assert case._grouping_star().count() == n - 1
+    (row,) = case.device_group().groupBy("physical_device_id").agg(F.count(F.lit(1)).alias("n"), F.max("preference").alias("last"), F.count_distinct("preference").alias("places")).collect()
+    assert (row.n, row.last, row.places) == (n, n, n)
+    case.close()
+
+
+def test_reasons_quote_the_rules_notes(spark):
+    case = case_of(spark, "/root/testdata/sf0.01")
+    won = {r.rule_id: r.classification_reason for r in case.device_classification().collect()}
+    assert won["storage.identity"].startswith("matched storage.identity — A USBSTOR or SCSI disk identity, or USB base class 08.; facts: ")
+    reviews = {r.review_reason for r in case.device_classification().where("review_required").collect()}
+    assert "The serial is shared with another physical device." in {s.strip() + "." for r in reviews for s in r.split(".") if s}
+    assert case.rule().where("rule_id = 'mobile.apple'").first().note == "The Apple mobile device service names the device whatever else it exposes."
+
+
+def test_a_second_pass_adds_the_fact_of_attribution(spark):
+    case = case_of(spark, "/root/testdata/sf0.01")
+    after = case.second_pass()
+    first = {(r.physical_device_id, r.fact): r.evidence for r in case.device_fact().collect()}
+    second = {(r.physical_device_id, r.fact): r.evidence for r in after.device_fact().collect()}
+    group = {r.device_key: r.physical_device_id for r in case.device_group().collect()}
+    reached = {group[r.device_key] for r in case.file_attribution().select("device_key").distinct().collect()}
+    assert not any(f == "file_activity" for _, f in first) and {d for d, f in second if f == "file_activity"} == reached
+    assert {k: v for k, v in second.items() if k[1] != "file_activity"} == first
+    scores = [{r.physical_device_id: r.raw_score for r in c.device_classification().collect()} for c in (case, after)]
+    assert {d for d in scores[0] if scores[1][d] != scores[0][d]} == reached and all(scores[1][d] == scores[0][d] + 20 for d in reached)

@@ -72,10 +72,6 @@ def _sentence(template: str):
 
 
 class Facts(Volumes):
-    #: Whether records' attribution is a fact; facts are written before attribution, which reads them, so in a first
-    #: pass they can't hold it.
-    attribution_first = False
-
     @view
     def device_attribute(self) -> DataFrame:
         d = self.devnode().where("device_key <> ''").join(self.device_group().select("device_key", "physical_device_id"), "device_key")
@@ -84,7 +80,8 @@ class Facts(Volumes):
 
     @consolidated
     def device_fact_evidence(self) -> DataFrame:
-        """(physical_device_id, fact, evidence). What attributes tell comes from one pass over them."""
+        """(physical_device_id, fact, evidence). What attributes tell comes from one pass over them. Facts are written
+        before attribution, so what rests on it comes with Case.second_pass."""
         a = self.device_attribute()
         told = F.array(*[F.when(_tells(how, values), F.struct(F.lit(fact).alias("fact"), _sentence(say).alias("evidence"))) for fact, how, values, say in INTERFACES])
         out = [a.select("physical_device_id", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("x")).select("physical_device_id", "x.fact", "x.evidence")]
@@ -95,8 +92,6 @@ class Facts(Volumes):
 
         row(self.device().select("device_key", F.upper("enumerator").alias("enumerator")).where("enumerator in ('USBSTOR', 'SCSI')").join(group, "device_key"), "storage_identity", say("'enumerator ", "enumerator", "' on ", "device_key"))
         row(self.device_volume_link().join(group, "device_key").select("physical_device_id", "volume_id", "confidence").distinct(), "mounted_volume", say("'volume ", "volume_id", "' linked at ", "confidence"))
-        if self.attribution_first:
-            row(self.file_attribution().join(group, "device_key").select("physical_device_id", "confidence").distinct(), "file_activity", say("'file records attributed at ", "confidence"))
         p = self.physical_device()
         row(p.where("identity_not_unique"), "no_serial", F.lit("no identity in this device reported a serial"))
         row(p.where("not in_registry"), "partial_artefacts", F.lit("no registry key for this device is in this collection"))

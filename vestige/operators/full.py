@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from vestige.operators.case import listed
 from vestige.operators.chronicle import Chronicle
+from vestige.operators.staging import table_in_shared_folder
+
+#: What facts don't change: a second pass shares it with the first.
+_SHARED = ("device", "device_group", "physical_device", "connection", "device_volume_link", "file_activity", "file_attribution", "device_label")
 
 
 class Case(Chronicle):
@@ -15,3 +21,16 @@ class Case(Chronicle):
         other = type(self)(lambda name: rules[name] if name in rules else self.table(name))
         other._made = {"device_fact": self.device_fact(), "physical_device": self.physical_device()}
         return other
+
+    def second_pass(self) -> Case:
+        """The case once facts know of attribution: devices that file records reach get the fact `file_activity`, and
+        all that rests on facts is decided anew. No other fact depends on attribution, so only those devices' rows
+        are added; what facts don't change is shared with this case, which must stay open as long."""
+        group = self.device_group().select("device_key", "physical_device_id")
+        reached = self.file_attribution().join(group, "device_key").select("physical_device_id", F.concat(F.lit("file records attributed at "), "confidence").alias("evidence")).distinct()
+        added = reached.groupBy("physical_device_id").agg(listed("evidence", "; ").alias("evidence"), F.count(F.lit(1)).alias("evidence_count"))
+        first = self.device_fact()
+        other = type(self)(self.table)
+        other._made = {name: getattr(self, name)() for name in _SHARED}
+        other._made["device_fact"] = table_in_shared_folder(first.where("fact <> 'file_activity'").unionByName(added.withColumn("fact", F.lit("file_activity"))), other._written)
+        return other

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestige.functions import macros as m
 from vestige.operators.case import Views, consolidated, listed, listed_by, said, view, with_source
 from vestige.operators.components import connected_components
+from vestige.operators.timeline import numbered
 
 # Enumerators whose serials may be compared, and the least lengths.
 COMPARED = ("USB", "USBSTOR", "SCSI", "WPDBUSENUM")
@@ -149,19 +150,78 @@ class Inventory(Views):
 
     # ----------------------------------------------------------------- links
 
+    def _compared(self) -> tuple[DataFrame, DataFrame]:
+        """What identities are compared by, and those with a serial of their own."""
+        d = self.device().select(
+            "device_key", F.upper("enumerator").alias("enumerator"), F.upper("serial").alias("serial"), "serial_is_generated", F.lower("container_id").alias("container_id"), m.device_vid_pid(F.col("device_key")).alias("vid_pid"),
+            m.has_instance_id(F.col("device_key")).alias("whole"), F.upper(F.get(F.split("device_key", r"\\"), F.lit(1))).alias("product"),
+        )
+        return d, d.where("serial <> '' and not serial_is_generated")
+
+    def _across(self, real: DataFrame) -> DataFrame:
+        """Identities whose serials are compared across enumerators, and whether the serial is shared: more than one
+        product of an enumerator or more than one vendor and product id has it."""
+        by = real.groupBy("serial", "enumerator").agg(F.count_distinct("product").alias("products"), F.min(said("vid_pid")).alias("least"), F.max(said("vid_pid")).alias("most"))
+        shared = by.groupBy("serial").agg(F.coalesce((F.max("products") > 1) | (F.min("least") < F.max("most")), F.lit(False)).alias("shared"))
+        return real.where(F.col("enumerator").isin(*COMPARED) & (F.length("serial") >= LEAST_SERIAL)).join(shared, "serial")
+
+    @view
+    def _nodes(self) -> DataFrame:
+        return self.devnode().where("device_key <> ''").groupBy("device_key").agg(
+            *[F.upper(F.max(said(c))).alias(c) for c in ("parent_id_prefix", "instance_id", "device_id")], F.lower(F.max(said("service"))).alias("service"), F.upper(F.max("enumerator")).alias("enumerator"), F.upper(F.concat_ws("|", F.collect_set("hardware_id"))).alias("hardware_ids"),
+        )
+
+    def _kin(self) -> tuple[DataFrame, DataFrame]:
+        """Parents and children by prefix: every beginning of an instance id that ends before an ampersand, and the
+        whole of it."""
+        n = self._nodes()
+        at = F.expr("transform(sequence(1, size(split(instance_id, '&'))), k -> substring_index(instance_id, '&', k))")
+        child = n.where("instance_id is not null").select(F.col("device_key").alias("child"), F.explode(F.array_distinct(at)).alias("parent_id_prefix"))
+        parent = n.where("parent_id_prefix is not null and enumerator in ('USB', 'HID') and not startswith(device_id, 'ROOT_HUB') and not startswith(coalesce(service, ''), 'usbhub')").select(F.col("device_key").alias("parent"), "parent_id_prefix")
+        return parent, child
+
+    def _declared(self, d: DataFrame) -> DataFrame:
+        """(partial, full, matches): identities without an instance that are hardware ids of others."""
+        declared = self._nodes().select(F.col("device_key").alias("full"), F.explode(F.array_distinct(F.split("hardware_ids", r"\|"))).alias("partial"))
+        part = d.where(~F.col("whole")).select(F.col("device_key").alias("partial")).join(declared, "partial")
+        return part.join(part.groupBy("partial").agg(F.count(F.lit(1)).alias("matches")), "partial")
+
+    @consolidated
+    def _grouping_star(self) -> DataFrame:
+        """left_key, right_key, method, precedence: the asserted links with an edge an identity and key, to the key's
+        least identity. Components and methods are those of all pairs: a key's pairs connect all that has it, across
+        enumerators as soon as there are two, parents with children as soon as there are both."""
+        d, real = self._compared()
+
+        def star(df: DataFrame, on: list[str], method: str, precedence: int, connects: Column | None = None) -> DataFrame:
+            centre = df.groupBy(*on).agg(F.min("device_key").alias("left_key"), F.max("device_key").alias("last"), *([connects.alias("connects")] if connects is not None else []))
+            centre = centre.where("left_key < last").where("connects" if connects is not None else "true").drop("last", "connects")
+            return df.join(centre, on).where("device_key <> left_key").select("left_key", F.col("device_key").alias("right_key"), F.lit(method).alias("method"), F.lit(precedence).alias("precedence"))
+
+        parent, child = self._kin()
+        kin = parent.select("parent_id_prefix", F.col("parent").alias("device_key"), F.lit(True).alias("leads")).union(child.select("parent_id_prefix", F.col("child").alias("device_key"), F.lit(False).alias("leads")))
+        both = F.bool_or("leads") & F.bool_or(~F.col("leads"))
+        parts = [
+            star(d.where(m.is_real_container(F.col("container_id"))), ["container_id"], "container_id", 1),
+            star(self._across(real).where("not shared"), ["serial"], "serial_across_enumerators", 2, F.min("enumerator") < F.max("enumerator")),
+            star(real.where("vid_pid <> ''"), ["serial", "vid_pid"], "vid_pid_and_serial", 3),
+            star(kin, ["parent_id_prefix"], "parent_id_prefix", 4, both),
+            self._declared(d).where("matches = 1 and partial <> full").select(F.least("partial", "full").alias("left_key"), F.greatest("partial", "full").alias("right_key"), F.lit("hardware_id_unique").alias("method"), F.lit(5).alias("precedence")),
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.distinct()
+
     @consolidated
     def device_link(self) -> DataFrame:
         """Pairs of identities that may be one device: device_key, other_device_key, method, precedence,
         asserts_same_device, reason.
 
         Every arm is an equi-join: prefixes are cut out of the longer side, hardware ids exploded. A container or
-        serial with many identities is a list of pairs by what the view promises; grouping doesn't use it (see
-        grouping_star)."""
-        d = self.device().select(
-            "device_key", F.upper("enumerator").alias("enumerator"), F.upper("serial").alias("serial"), "serial_is_generated", F.lower("container_id").alias("container_id"), m.device_vid_pid(F.col("device_key")).alias("vid_pid"),
-            m.has_instance_id(F.col("device_key")).alias("whole"), F.upper(F.get(F.split("device_key", r"\\"), F.lit(1))).alias("product"),
-        )
-        real = d.where("serial <> '' and not serial_is_generated")
+        serial with many identities is a list of all its pairs by what the view promises; grouping reads
+        _grouping_star instead, which has an edge an identity."""
+        d, real = self._compared()
         pair = lambda df, on: df.alias("a").join(df.alias("b"), on).where("a.device_key < b.device_key")
         row = lambda df, a, b, method, precedence, asserts, reason: df.select(F.expr(a).alias("device_key"), F.expr(b).alias("other_device_key"), method.alias("method"), precedence.cast("int").alias("precedence"), asserts.alias("asserts_same_device"), reason.alias("reason"))
         say = lambda *parts: F.concat(*[F.lit(p) if not isinstance(p, str) or not p.startswith("$") else F.col(p[1:]).cast("string") for p in parts])
@@ -169,9 +229,7 @@ class Inventory(Views):
         container = pair(d.where(m.is_real_container(F.col("container_id"))), "container_id")
         out = [row(container, "a.device_key", "b.device_key", F.lit("container_id"), F.lit(1), F.lit(True), say("both identities carry ContainerID ", "$container_id"))]
 
-        # A serial is shared if more than one product of an enumerator or more than one vendor and product id has it.
-        shared = real.groupBy("serial", "enumerator").agg(F.count_distinct("product").alias("products"), F.collect_set(said("vid_pid")).alias("ids")).groupBy("serial").agg(((F.max("products") > 1) | (F.size(F.array_distinct(F.flatten(F.collect_list("ids")))) > 1)).alias("shared"))
-        across = pair(real.where(F.col("enumerator").isin(*COMPARED) & (F.length("serial") >= LEAST_SERIAL)).join(shared, "serial"), "serial").where("a.enumerator <> b.enumerator")
+        across = pair(self._across(real), "serial").where("a.enumerator <> b.enumerator")
         both = ("both report serial ", "$serial", " (", "$a.enumerator", " and ", "$b.enumerator", ")")
         conflict = F.col("a.shared")
         out.append(
@@ -182,20 +240,11 @@ class Inventory(Views):
         )
         out.append(row(pair(real.where("vid_pid <> ''"), ["serial", "vid_pid"]), "a.device_key", "b.device_key", F.lit("vid_pid_and_serial"), F.lit(3), F.lit(True), say("both are ", "$vid_pid", " reporting serial ", "$serial")))
 
-        n = self.devnode().where("device_key <> ''").groupBy("device_key").agg(
-            *[F.upper(F.max(said(c))).alias(c) for c in ("parent_id_prefix", "instance_id", "device_id")], F.lower(F.max(said("service"))).alias("service"), F.upper(F.max("enumerator")).alias("enumerator"), F.upper(F.concat_ws("|", F.collect_set("hardware_id"))).alias("hardware_ids"),
-        )
-        # Every beginning of an instance id that ends before an ampersand, and the whole of it.
-        at = F.expr("transform(sequence(1, size(split(instance_id, '&'))), k -> substring_index(instance_id, '&', k))")
-        child = n.where("instance_id is not null").select(F.col("device_key").alias("child"), F.explode(F.array_distinct(at)).alias("parent_id_prefix"))
-        parent = n.where("parent_id_prefix is not null and enumerator in ('USB', 'HID') and not startswith(device_id, 'ROOT_HUB') and not startswith(coalesce(service, ''), 'usbhub')").select(F.col("device_key").alias("parent"), "parent_id_prefix")
+        parent, child = self._kin()
         kin = parent.join(child, "parent_id_prefix").where("parent <> child")
         out.append(row(kin, "least(parent, child)", "greatest(parent, child)", F.lit("parent_id_prefix"), F.lit(4), F.lit(True), say("ParentIdPrefix ", "$parent_id_prefix", " of ", "$parent", " leads the instance id of ", "$child")))
 
-        declared = n.select(F.col("device_key").alias("full"), F.explode(F.array_distinct(F.split("hardware_ids", r"\|"))).alias("partial"))
-        part = d.where(~F.col("whole")).select(F.col("device_key").alias("partial")).join(declared, "partial")
-        many = part.groupBy("partial").agg(F.count(F.lit(1)).alias("matches"))
-        part, one = part.join(many, "partial"), F.col("matches") == 1
+        part, one = self._declared(d), F.col("matches") == 1
         out.append(
             row(
                 part, "least(partial, full)", "greatest(partial, full)", F.when(one, "hardware_id_unique").otherwise("hardware_id_ambiguous"), F.lit(5), one,
@@ -224,12 +273,13 @@ class Inventory(Views):
         """device_key, physical_device_id, identity_count, preference: identities by connected components of the
         asserted links; the preferred identity names the device."""
         d = self.device().select("device_key", "serial", "serial_is_generated", "enumerator")
-        found = d.join(connected_components(d.select("device_key"), self.device_grouping_edge().toDF("left_key", "right_key")), "device_key")
+        found = d.join(connected_components(d.select("device_key"), self._grouping_star()), "device_key")
         real = F.when((F.col("serial") != "") & ~F.col("serial_is_generated"), 0).otherwise(1)
         order = [real, F.when(m.has_instance_id(F.col("device_key")), 0).otherwise(1), m.identity_rank(F.col("enumerator")), F.col("device_key")]
-        best = found.groupBy("component").agg(F.min_by("device_key", F.struct(*order)).alias("physical_device_id"), F.count(F.lit(1)).alias("identity_count"))
-        ranked = found.withColumn("preference", F.row_number().over(Window.partitionBy("component").orderBy(*order)).cast("long"))
-        return ranked.join(best, "component").select("device_key", "physical_device_id", "identity_count", "preference")
+        # Places in one order of all identities, less the component's first: no task orders a whole component.
+        placed = numbered(found.select("device_key", "component", *[o.alias(f"o{k}") for k, o in enumerate(order)]), ["component", "o0", "o1", "o2", "o3"], "place")
+        best = placed.groupBy("component").agg(F.min_by("device_key", "place").alias("physical_device_id"), F.min("place").alias("first"), F.count(F.lit(1)).alias("identity_count"))
+        return placed.join(best, "component").select("device_key", "physical_device_id", "identity_count", (F.col("place") - F.col("first") + 1).cast("long").alias("preference"))
 
     @view
     def device_identity(self) -> DataFrame:
@@ -254,7 +304,7 @@ class Inventory(Views):
             F.min("first_install_date_utc").alias("first_install_date_utc"), *[F.max(c).alias(c) for c in ("install_date_utc", "last_arrival_date_utc", "last_removal_date_utc", "last_disconnect_utc", "last_seen_utc")], *[F.min(c).alias(c) for c in ("first_connect_utc", "first_seen_utc")], *[F.sum(c).alias(c) for c in _SUMMED],
         )
         of = lambda df, value, separator, name: df.join(group, "device_key").groupBy("physical_device_id").agg(listed(value, separator).alias(name))
-        methods = self.device_link().where("asserts_same_device").join(group, "device_key").select("physical_device_id", "method", "precedence").distinct().groupBy("physical_device_id").agg(listed_by(F.col("method"), "; ", F.col("precedence"), F.col("method")).alias("grouping_methods"))
+        methods = self._grouping_star().select(F.col("left_key").alias("device_key"), "method", "precedence").join(group, "device_key").select("physical_device_id", "method", "precedence").distinct().groupBy("physical_device_id").agg(listed_by(F.col("method"), "; ", F.col("precedence"), F.col("method")).alias("grouping_methods"))
         lists = [methods, of(self.table("mount_entry").where("drive_letter <> ''"), "drive_letter", ",", "current_drive_letters"), of(self.table("portable_device").where("friendly_name <> ''"), "friendly_name", "; ", "portable_names"), of(self.device_evidence(), "evidence", "; ", "evidence_sources")]
         for part in lists:
             out = out.join(part, "physical_device_id", "left")
