@@ -104,7 +104,8 @@ def test_logs_are_replayed_in_order():
         out = bytearray(old[:512])
         for sequence, at, data in entries:
             body = struct.pack("<II", at - 4096, len(data)) + data
-            out += b"HvLE" + struct.pack("<IIIIIQQ", 40 + len(body), 0, sequence, len(old) - 4096, 1, 0, 0) + body
+            head = b"HvLE" + struct.pack("<IIIIIQ", 40 + len(body), 0, sequence, len(old) - 4096, 1, hive.marvin(body))
+            out += head + struct.pack("<Q", hive.marvin(head)) + body
         return bytes(out)
 
     good = log((7, page, new[page : page + 512]))
@@ -113,6 +114,18 @@ def test_logs_are_replayed_in_order():
     h = hive.Hive(found)
     assert h.root.at("A").number("v") == 2 and not h.dirty
     assert hive.replayed(old, {"LOG1": log((9, page, new[page : page + 512]))})[1] == {"LOG1": "superseded"}  # entries between are missing
+    torn = bytearray(log((7, page, new[page : page + 512]), (8, page, old[page : page + 512])))
+    torn[-1] ^= 1  # the second entry's last page
+    found, state = hive.replayed(old, {"LOG1": bytes(torn)})
+    assert state == {"LOG1": "applied"} and hive.Hive(found).root.at("A").number("v") == 2
+    torn[512 + 12] ^= 1  # the first entry's sequence: its head's hash doesn't hold, so the log has no entry
+    assert hive.replayed(old, {"LOG1": bytes(torn)}) == (old, {"LOG1": "empty"})
+
+
+def test_marvin_hashes():
+    # The published values for this seed.
+    for data, value in (("", 0x30ED35C100CD3C7D), ("af", 0x48E73FC77D75DDC1), ("e70f", 0xB5F6E1FC485DBFF8), ("37f495", 0xF0B07C789B8CF7E8), ("8642dc59", 0x7008F2E87E9CF556)):
+        assert hive.marvin(bytes.fromhex(data), 0x004FB61A001BDBCC) == value
 
 
 def file_item(name: str, long: str) -> bytes:

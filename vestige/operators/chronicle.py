@@ -12,8 +12,11 @@ from vestige.operators import sentences as say
 from vestige.operators import timeline
 from vestige.operators.activity import Activity, confidence_of, confidence_rank
 from vestige.operators.case import consolidated, listed, listed_by, said, view, with_source
+from vestige.operators.timeline import numbered
 
 SHOWN_TIER = 2
+#: Items of a finding that the report shows.
+MOST_ITEMS = 200
 _FIELDS = {
     "friendly_name": "friendly_name", "device_description": "device_desc", "bus_reported_description": "bus_reported_desc", "manufacturer": "mfg", "serial": "serial", "device_class": "class", "driver_service": "service", "hardware_id": "hardware_id", "compatible_ids": "compatible_ids", "container_id": "container_id",
     "location": "location_information",
@@ -220,6 +223,29 @@ class Chronicle(Activity):
         ]
         return reduce(DataFrame.unionByName, parts).withColumn("finding_id", F.row_number().over(Window.orderBy("rank", "kind")))  # a dozen rows
 
+    def finding_items(self, most: int = MOST_ITEMS) -> DataFrame:
+        """What the findings list, as rows: kind, place, item, items, left_out. At most `most` a finding, in the
+        order of its detail, beside how many there are and how many are left out; a host's devices and programmes
+        then meet in no one string or task."""
+        d = self.device_classified()
+        name = F.coalesce(said("friendly_name"), said("device_desc"), F.col("physical_device_id"))
+        serial = F.when(F.col("serial") != "", _text(" (serial ", F.col("serial"), ")")).otherwise(" (no serial recorded)")
+        odd = _text(F.coalesce(said("friendly_name"), F.col("physical_device_id")), " — ", F.col("classification_reason"))
+        of = lambda df, kind, item, order: df.select(F.lit(kind).alias("kind"), order.alias("by"), item.alias("item"))
+        programme, p = _text(F.col("executable"), " (", F.col("drive_letter"), ":)"), self.prefetch_device_link()
+        launched = self.table("user_assist").where("not bookkeeping and drive_letter <> ''")
+        key = F.col("physical_device_id")
+        rows = reduce(DataFrame.unionByName, [
+            of(d.where("category = 'PotentialOffensiveDevice'"), "offensive", odd, key), of(d.where("category = 'Storage' and tier = 1"), "storage", F.concat(name, serial), key), of(d.where("category = 'MobileDevice'"), "mobile", name, key),
+            of(d.where("review_required"), "review", _text(name, " — ", F.col("review_reason")), key), of(d.where(f"identity_not_unique and tier <= {SHOWN_TIER}"), "identity", name, key),
+            of(p.where("ran_from"), "execution", programme, programme).distinct(), of(p.where("not ran_from"), "execution_read", programme, programme).distinct(),
+            of(launched, "user_launched", _text(F.col("drive_letter"), ":  ", F.col("name")), _text(F.col("drive_letter"), ":", F.col("name"))),
+        ])
+        placed = numbered(rows, ["kind", "by", "item"], "n")
+        first = placed.groupBy("kind").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("items"))
+        placed = placed.join(F.broadcast(first), "kind").withColumn("place", F.col("n") - F.col("first") + 1).where(F.col("place") <= most)
+        return placed.select("kind", "place", "item", "items", F.greatest(F.col("items") - most, F.lit(0)).alias("left_out"))
+
     @view
     def report_coverage(self) -> DataFrame:
         bad = lambda k: F.count_if(F.col("severity") == k).alias(k)
