@@ -225,3 +225,29 @@ def test_a_log_beyond_two_gigabytes_is_read_by_ranges(spark, tmp_path):
     assert sorted(r.at for r in chunks.select("at").collect()) == places
     sizes = [r.end - r.begin for r in ranged._Reader([str(path)]).partitions()]
     assert sizes == sorted(sizes, reverse=True) and max(sizes) <= ranged.RANGE
+
+
+def test_the_command_line_writes_a_run(spark, tmp_path, capsys):
+    import json
+
+    from vestige.__main__ import main
+
+    collection(tmp_path / "in")
+    folder = main(["--evidence", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--run-id", "one", "--exports", "data/devices,provenance/observations"])
+    assert folder.endswith("/one")
+    said = json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/manifest.json").collect()))
+    outputs = {o["name"]: o for o in said["outputs"]}
+    assert outputs["data/devices"]["rows"] == 1 and outputs["case/devnode"]["rows"] == 2 and len(outputs) == 2 + len(loading.TABLES) + 7 + 4
+    evidence = said["about"]["evidence"]
+    assert evidence["sources"]["SYSTEM"] == {"files": 1, "bytes": len(system_hive()), "changed": 0} and evidence["changed"] == []
+    assert evidence["event_selection"]["files_read"] == 2 and evidence["event_selection"]["channels_skipped"] == ["Security"] and evidence["event_selection"]["records"] == {"kept": 3}
+    assert set(said["about"]["timings"]) == {"exports", "case", "report", "verification"}
+    with pytest.raises(ValueError):
+        main(["--evidence", str(tmp_path / "in"), "--output", str(tmp_path / "in" / "out")])
+    with pytest.raises(SystemExit):
+        main(["--evidence", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--exports", "data/nothing"])
+    capsys.readouterr()
+    main(["--list-sources"])
+    assert "System:EventLog:6005: session: the event log service started" in capsys.readouterr().out
+    main(["--list-rules"])
+    assert "storage.identity: Storage if storage_identity" in capsys.readouterr().out

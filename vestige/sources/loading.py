@@ -27,6 +27,8 @@ from vestige.sources.ranged import digested, log_chunks
 HIVES = ("SYSTEM", "SOFTWARE", "NTUSER", "USRCLASS")
 # What the categories of launches hold.
 CATEGORIES = {"{CEBFF5CD-ACE2-4F4F-9178-9926F41749EA}": "an executable file", "{F4E57C4B-2036-45F0-A9AB-443BCFE33D9F}": "a shortcut file"}
+#: Changed sources that a manifest names; it counts all.
+MOST_CHANGED = 1000
 #: The evidence tables of a case.
 TABLES = (
     "source", "observation", "warning", "devnode", "host_time_zone", "host_prefetch_setting", "mount_entry", "portable_device", "emd_volume", "mount_point", "shell_bag", "mru_entry", "user_assist",
@@ -123,6 +125,26 @@ class Collection:
         note = F.when(same, "").when(F.col("problem").isNotNull(), F.col("problem")).otherwise("the file's digest is another than at the first reading")
         return source.join(again, "path").withColumns({"verified": same, "verify_note": note}).select(*source.columns)
 
+    def event_selection(self) -> dict:
+        """What was read of event logs: files, bytes, channels, and records by what became of them."""
+        logs = self.artefacts.where("kind = 'EVTX'").select("path")
+        skipped = [r.path for r in logs.where(~F.col("path").isin(self._logs)).collect()] if self._logs else [r.path for r in logs.collect()]
+        size = self._sources.where("kind = 'EVTX'").agg(F.sum("size_bytes")).first()[0]
+        outcomes = {r.outcome: r.n for r in self._scanned.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return {"files_read": len(self._logs), "files_skipped": len(skipped), "bytes_read": size or 0, "channels_read": sorted({events.channel_of(p) for p in self._logs}), "channels_skipped": sorted({events.channel_of(p) for p in skipped}), "records": outcomes}
+
+    def account(self, source: DataFrame) -> dict:
+        """The manifest's account of the evidence: sources by artefact, those that a second reading found changed,
+        and the selection of events."""
+        again = self.verified(source)
+        by = again.groupBy("artefact").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"), F.count_if(~F.col("verified")).alias("changed")).collect()
+        changed = again.where(~F.col("verified")).select("path", "verify_note").orderBy("path").limit(MOST_CHANGED).collect()
+        return {
+            "sources": {r.artefact: {"files": r.n, "bytes": r.b or 0, "changed": r.changed} for r in by},
+            "changed": [{"path": r.path, "note": r.verify_note} for r in changed],
+            "event_selection": self.event_selection(),
+        }
+
     @cached_property
     def observation(self) -> DataFrame:
         """One row for each stored value, numbered by source, kind and place."""

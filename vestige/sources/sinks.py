@@ -6,7 +6,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -186,12 +186,23 @@ def rule_lines(rules: RuleSet | None = None, profile: str = "general") -> list[s
     return out + [f"{w:+7.1f}  {fact}" for fact, w, *_ in sorted(weights, key=lambda w: (-abs(w[1]), w[0]))]
 
 
-def run_case(spark: SparkSession, case: Case, tables: Iterable[str], root: str, title: str, run_id: str | None = None) -> str:
-    """A whole run: a folder of its own, exports, the case, the report, and the manifest that lists them all."""
-    folder = claimed(spark, root, run_id)
-    began = datetime.now(UTC)
-    outputs = export_case(case, folder) + [o | {"name": f"case/{o['name']}"} for o in save_case(case, tables, f"{folder}/case")]
-    spark.createDataFrame([(report(case, title),)], "value string").coalesce(1).write.text(f"{folder}/report.html")
+def run_case(spark: SparkSession, case: Case, tables: Iterable[str], root: str, title: str, run_id: str | None = None, names: Iterable[str] = tuple(EXPORTS), about: Callable[[], dict] | None = None) -> str:
+    """A whole run: a folder of its own, exports, the case, the report, and the manifest that lists them all with how
+    long each step took. about: what the manifest says of the evidence; it is asked last, when all has been read."""
+    folder, timings, began = claimed(spark, root, run_id), {}, datetime.now(UTC)
+
+    def timed(step: str, f: Callable):
+        since = datetime.now(UTC)
+        out = f()
+        timings[step] = (datetime.now(UTC) - since).total_seconds()
+        return out
+
+    outputs = timed("exports", lambda: export_case(case, folder, names))
+    outputs += [o | {"name": f"case/{o['name']}"} for o in timed("case", lambda: save_case(case, tables, f"{folder}/case"))]
+    timed("report", lambda: spark.createDataFrame([(report(case, title),)], "value string").coalesce(1).write.text(f"{folder}/report.html"))
     counts = case.report_summary().first().asDict()
-    manifest(spark, outputs, {"title": title, "run": folder.rsplit("/", 1)[1], "began": began.isoformat(), "seconds": (datetime.now(UTC) - began).total_seconds(), "counts": {k: str(v) for k, v in counts.items()}}, folder)
+    said = {"title": title, "run": folder.rsplit("/", 1)[1], "began": began.isoformat(), "counts": {k: str(v) for k, v in counts.items()}}
+    if about is not None:
+        said |= {"evidence": timed("verification", about)}
+    manifest(spark, outputs, said | {"seconds": (datetime.now(UTC) - began).total_seconds(), "timings": timings}, folder)
     return folder
