@@ -251,3 +251,44 @@ def test_the_command_line_writes_a_run(spark, tmp_path, capsys):
     assert "System:EventLog:6005: session: the event log service started" in capsys.readouterr().out
     main(["--list-rules"])
     assert "storage.identity: Storage if storage_identity" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("layout", ["", "uploads/auto/C%3A", "D"])
+def test_discovery_by_listing_is_that_by_walking(spark, tmp_path, layout):
+    import shutil
+
+    from vestige.sources import evidence, listing
+
+    collection(tmp_path / "made")
+    root = tmp_path / "in"
+    shutil.copytree(tmp_path / "made" / "uploads" / "auto" / "C%3A", root / layout, dirs_exist_ok=True)
+    volume = root / layout
+    (tmp_path / "out.lnk").write_text("x")
+    desktop = volume / "Users/ann/Desktop"
+    desktop.mkdir()
+    (desktop / "escape.lnk").symlink_to(tmp_path / "out.lnk")
+    (desktop / "_hidden.LNK").write_text("")
+    (volume / "Users/bob").mkdir()
+    for name in ("NTUSER.DAT", "ntuser.dat"):
+        (volume / "Users/bob" / name).write_text("x")
+    (volume / "Program Files" / "deep").mkdir(parents=True)
+    (volume / "Program Files" / "deep" / "never.lnk").write_text("x")
+    walked, found = evidence.locate(str(root)), listing.located(spark, f"file://{root}")
+    here = lambda rows: sorted((k, p.removeprefix("file://"), v.removeprefix("file://"), d, u, c, [x.removeprefix("file://") for x in logs]) for k, p, v, d, u, c, logs in rows)
+    assert here(found.artefacts) == here(walked.artefacts) and len(found.artefacts) == 11
+    assert [f[0] for f in found.failures] == ["LNK"] == [f[0] for f in walked.failures] and len(found.collisions) == len(walked.collisions) == 1
+    assert not found.missing
+    listing_rows = {r.below for r in listing.listed(spark, str(root)).collect()}
+    assert not any("never" in r for r in listing_rows)
+    case = loading.load(spark, f"file://{root}")
+    assert case.table("source").count() == 10 and case.table("devnode").count() == 2 and case.table("event").count() == 3
+    case.close()
+
+
+def test_no_folder_and_no_volume(spark, tmp_path):
+    from vestige.sources import listing
+
+    with pytest.raises(ValueError):
+        listing.located(spark, f"file://{tmp_path}")
+    with pytest.raises(ValueError):
+        listing.located(spark, f"file://{tmp_path}/nothing")

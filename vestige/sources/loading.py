@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from functools import cached_property
 
 import pandas as pd
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,9 @@ from vestige.operators.full import Case
 from vestige.operators.rules import RuleSet
 from vestige.operators.staging import table_in_shared_folder
 from vestige.operators.timeline import numbered, seasonal_candidates
-from vestige.sources import binary, events, evidence, jumplists, prefetch, registry, text
+from vestige.sources import binary, events, evidence, jumplists, listing, prefetch, registry, text
 from vestige.sources.hive import replayed
-from vestige.sources.ranged import digested, log_chunks
+from vestige.sources.ranged import digested, log_chunks, where
 
 HIVES = ("SYSTEM", "SOFTWARE", "NTUSER", "USRCLASS")
 # What the categories of launches hold.
@@ -89,7 +90,9 @@ class Collection:
         if not paths:
             return self.spark.createDataFrame([], "path string, content binary")
         named = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
-        return self.spark.read.format("binaryFile").load(named).select(plain("path").alias("path"), "content")
+        read = self.spark.read.format("binaryFile").load(named)
+        # URIs of local files come back without their slashes.
+        return read.select((F.regexp_replace("path", "^file:/+", "file:///") if paths[0].startswith("file:") else plain("path")).alias("path"), "content")
 
     # ------------------------------------------------------------------ ledger
 
@@ -465,9 +468,11 @@ class Collection:
 
 
 def load(spark: SparkSession, root: str, opted: tuple[str, ...] = (), rules: RuleSet | None = None, profile: str = "general") -> Case:
-    """The case of the collection in the folder root. opted: channels that are read only when asked for. Tables are
+    """The case of the collection in the folder root, a path of this machine or a URI of a file system that Arrow
+    opens and Spark reads. opted: channels that are read only when asked for. Tables are
     decoded when a view first asks for them, written once, and deleted when the case is closed."""
-    made = Collection(spark, evidence.locate(root), opted)
+    here = isinstance(where(root)[0], LocalFileSystem) and "://" not in root
+    made = Collection(spark, evidence.locate(root) if here else listing.located(spark, root), opted)
     ruled = (rules or RuleSet()).tables(spark, profile)
     case = Case(lambda name: ruled[name] if name in ruled else table_in_shared_folder(made.table(name), case._written))
     made.written = case._written
