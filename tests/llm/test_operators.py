@@ -407,6 +407,27 @@ def test_transcripts_are_cut_into_turns(spark):
     assert chat.rendered("user", ["Assistant: x", "  "]) == "<|user|>\nAssistant: x\n<|end|>"
 
 
+def test_glued_conversations_are_cut_and_told_apart(spark):
+    """Whole conversations in one text, each turn after its speaker's marker, decoded by a model of sf0.1's records."""
+    hmm = chat.Hmm(chat._records(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")))
+    turns = sorted(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("role in ('user', 'assistant') and text is not null").collect(), key=lambda r: (r.conv_id, r.turn))
+    right = total = extra = 0
+    for between in ("\n", "\n\n"):
+        for _, group in groupby(turns, key=lambda r: r.conv_id):
+            want, lines = [], []
+            for r in group:
+                want.append((len(lines), r.role))
+                lines += f"{'Human' if r.role == 'user' else 'Assistant'}: {r.text.strip()}{between}".split("\n")[:-1]
+            seen = chat.observed("\n".join(lines))
+            path = hmm.path([(k == 0, *s) for k, s in enumerate(seen)], None, None)
+            got = {(k, chat.ROLES[s]) for k, s in enumerate(path) if s < 3}
+            right, total, extra = right + len(got & set(want)), total + len(want), extra + len(got - set(want))
+    assert right > 0.95 * total and extra < 0.05 * total, (right, extra, total)
+    text = "User: how long do eggs take?\nAssistant: It depends.\nBoil eight minutes.\nUser: thanks\nAssistant: welcome"
+    path = hmm.path([(k == 0, *s) for k, s in enumerate(chat.observed(text))], None, None)
+    assert path == [1, 2, 5, 1, 2]
+
+
 def test_chat_accuracy(spark):
     true = spark.read.parquet(f"{SF}/conversations.parquet").withColumnRenamed("role", "true").select("conv_id", "turn", "true")
     got = QUERIES["op6_chat_format"](spark, SF).join(true, ["conv_id", "turn"])

@@ -3,8 +3,8 @@
 A record is a turn or holds several. Each of its lines shows a speaker marker (if any) and a symbol of line features.
 A line's state is the role that speaks and whether the line begins a turn; a record's first line begins one. Start and
 step probabilities between roles and the features' emissions are counted over all records with a known role; what
-markers say, and how often a turn begins within a record, are parameters, as such records' roles tell nothing of
-them. Viterbi decodes a conversation's lines; its beginnings cut records into turns.
+markers say, how often a turn begins within a record, and whether after a blank line, are parameters, as records that
+are cut at turns tell nothing of them. Viterbi decodes a conversation's lines; its beginnings cut records into turns.
 
 Records are numbered in one order and cut into blocks of BLOCK numbers, whatever their turn numbers are; a block's
 best scores from each state to each are a 6 x 6 matrix, so a conversation of any length is decoded block by block, and
@@ -31,7 +31,7 @@ BLOCK = 512
 _WORDS = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "customer": 1, "q": 1, "assistant": 2, "ai": 2, "bot": 2, "agent": 2, "a": 2}
 _MARKER = re.compile(rf"\s*(?:#+ *|<\|?|\[)?({'|'.join(sorted(_WORDS, key=len, reverse=True))})\b *(?:\|?>|\]|:)", re.IGNORECASE | re.ASCII)
 _LENGTHS = (1, 40, 120, 240, 480, 960)
-FEATURES = (len(_LENGTHS) + 1) * 2 * 2 * 2
+FEATURES = (len(_LENGTHS) + 1) * 2 * 2
 #: How often a line that begins a turn has its role's marker or another's, and a line within a turn any one; how often
 #: a line within a record begins a turn.
 OWN, OTHER, WITHIN, BEGINS = 0.5, 0.01, 0.002, 0.1
@@ -39,13 +39,13 @@ _NEVER = -1e18
 
 
 def observed(text: str) -> list[tuple[int, int]]:
-    """(marker, features) of each line; marker 3 is none."""
+    """(marker, features) of each line; marker 3 is none. Features: length, a question, a blank line before."""
     out, blank = [], False
-    for k, line in enumerate(text.split("\n")):
+    for line in text.split("\n"):
         found = _MARKER.match(line)
         bare = line.strip()
         value = sum(len(bare) >= n for n in _LENGTHS)
-        for flag in (bare.endswith("?"), k == 0, blank):
+        for flag in (bare.endswith("?"), blank):
             value = value * 2 + flag
         out.append((_WORDS[found[1].lower()] if found else 3, value))
         blank = not bare
@@ -78,6 +78,8 @@ class Hmm:
         feature = np.ones((6, FEATURES))
         for row in seen.select("r", "text").mapInArrow(tidy(count), "s int, f int, c long").groupBy("s", "f").agg(F.sum("c").alias("c")).collect():
             feature[row.s, row.f] += row.c
+        # Records are cut at turns, so none tells whether a turn's first line follows a blank one: it may as well.
+        feature[:3] = feature[:3].reshape(3, -1, 2).mean(axis=2).repeat(2, axis=1)
         start, step = np.ones(3), np.ones((3, 3))
         first = records.groupBy("conv_id").agg(F.min("n").alias("n"))
         for row in seen.join(first, ["conv_id", "n"]).groupBy("r").count().collect():
