@@ -334,6 +334,15 @@ def test_cascade_is_exact(spark, monkeypatch, most, one_in):
     assert not keys.where(url_filter.Cascade(listed.limit(0), keys).holds(F.col("key"))).count()
 
 
+def test_the_registered_list_cascades(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    keys = url_filter.keys_of(url_filter.with_host_and_path(pages.select("url")))
+    cascade = url_filter.Cascade(url_filter.noted_keys(pages), keys)
+    assert len(cascade.levels) >= 2
+    held = {r.key for r in keys.where(cascade.holds(F.col("key"))).collect()}
+    assert held == {r.key for r in keys.collect() if hashlib.md5(r.key.encode()).hexdigest()[0] == "0"} and len(held) > 100
+
+
 # ------------------------------------------------------------------ chat
 
 

@@ -33,7 +33,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.listed_keys(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.listed_keys(spark).union(url_filter.noted_keys(pages)))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +107,10 @@ def _op5() -> str:
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in rules)
     of = lambda names: f"(SELECT unnest({names!r}) AS x)"
     return rf"""
-WITH listed AS (SELECT f.x || a.x || '-' || b.x || '.example.' || e.x AS key FROM {of(url_filter._FRONTS)} f, {of(url_filter._FIRST)} a, {of(url_filter._SECOND)} b, {of(url_filter._ENDS)} e),
+WITH named AS (SELECT f.x || a.x || '-' || b.x || '.example.' || e.x AS key FROM {of(url_filter._FRONTS)} f, {of(url_filter._FIRST)} a, {of(url_filter._SECOND)} b, {of(url_filter._ENDS)} e),
 r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+listed AS (SELECT key FROM named UNION SELECT k FROM (SELECT host AS k FROM p UNION SELECT host || path FROM p) WHERE starts_with(md5(k), '{url_filter.NOTED}'))
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN host IN (SELECT key FROM listed) OR host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM p
 """
 

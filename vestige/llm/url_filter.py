@@ -23,6 +23,9 @@ _FIRST, _SECOND = ["ads", "adult", "casino", "cheap", "free", "spam"], ["track",
 _FRONTS, _ENDS = ["", "www.", "m.", "blog."], ["com", "net", "org"]
 LISTED = [f"{front}{a}-{b}.example.{end}" for a in _FIRST for b in _SECOND for front in _FRONTS for end in _ENDS]
 
+#: The beginning of noted keys' MD5: one in sixteen.
+NOTED = "0"
+
 #: Bits of an array, at most: each array is a scalar of the plan. A level of more bits is dealt over several arrays.
 MOST_BITS = 1 << 24
 #: The least share of unlisted keys that level 0 lets pass.
@@ -111,13 +114,17 @@ class Cascade:
         return F.coalesce(out, F.lit(False))
 
 
+def keys_of(parts: DataFrame) -> DataFrame:
+    """The key universe of pages with host and path: each host, and each host with its path."""
+    return parts.select(F.explode(F.array("host", F.concat("host", "path"))).alias("key")).distinct()
+
+
 def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict. The longest rule decides; where none fits, a page is
     blocked if the list has its host or its host with its path. Null urls have empty host and path, and no rule."""
     parts = with_host_and_path(pages.select("page_id", "url"))
-    universe = parts.select(F.explode(F.array("host", F.concat("host", "path"))).alias("key")).distinct()
     rule, verdict = ruled(rules)
-    cascade = Cascade(listed, universe)
+    cascade = Cascade(listed, keys_of(parts))
     is_listed = cascade.holds(F.col("host")) | cascade.holds(F.concat("host", "path"))
     by_list = F.when(is_listed, "block").otherwise("allow")
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
@@ -125,3 +132,9 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]
 
 def listed_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k,) for k in LISTED], "key string")
+
+
+def noted_keys(pages: DataFrame, beginning: str = NOTED) -> DataFrame:
+    """The corpus's own part of the block list: the keys of its pages whose MD5 begins so. No list of real hosts comes
+    with the tables; this one grows with them, as a list that reviewers keep would."""
+    return keys_of(with_host_and_path(pages.select("url"))).where(F.md5("key").startswith(beginning))
