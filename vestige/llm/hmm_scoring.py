@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import mix, staged, text_of, tidy
+from vestige.llm.common import mix, most_frequent, staged, text_of, tidy
 
 #: What the counts of all words are raised by; an unseen word counts as one more word.
 RAISED = 0.1
@@ -38,6 +38,7 @@ PRIOR, MOVES = 200.0, 10.0
 #: In training, longer texts count as several sequences of so many tokens (scores are of whole texts); tokens of a
 #: group whose recursions run beside each other, and the most that run so.
 LONGEST, GROUP, LANES = 1 << 14, 1 << 19, 512
+_PART = 1 << 16  # cells that are looked at together
 #: No word has a space, so this is none.
 END = " "
 
@@ -160,83 +161,92 @@ Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def laid_out(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lane, first step) of sequences that follow each other in lanes of about the same length."""
+    """(lane, first step) of sequences that follow each other in lanes of about the same length, the longest first."""
     lanes = int(min(lanes, max(1, lengths.sum() // lengths.max())))
     heap, lane, first = [(0, k) for k in range(lanes)], np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for i in np.argsort(-lengths, kind="stable"):
         lane[i], first[i] = heap[0][1], heap[0][0]
         heapq.heapreplace(heap, (int(first[i] + lengths[i]), int(lane[i])))
-    return lane, first
+    place = np.empty(lanes, np.int64)
+    place[[k for _, k in sorted(heap, reverse=True)]] = np.arange(lanes)
+    return place[lane], first
 
 
 class Lanes:
-    """A group of sequences in lanes: step t holds one token of each lane. Cells without token emit one symbol more,
-    which every state emits with probability 1."""
+    """A group of sequences in lanes: step t holds one token of each lane that is as long. Those lead, as lanes are
+    sorted by length."""
 
     def __init__(self, model: Model, symbols: np.ndarray, lengths: np.ndarray, kind: type):
-        self.first, self.moves, emissions = (m.astype(kind) for m in model)
-        self.table = np.vstack((emissions, np.ones((1, emissions.shape[1]), kind)))
+        self.first, self.moves, self.table = (m.astype(kind) for m in model)
         lane, first = laid_out(lengths, LANES)
         self.lanes, self.steps = int(lane.max()) + 1, int((first + lengths).max())
-        self.begins = np.cumsum(lengths) - lengths
-        inside = np.arange(len(symbols)) - np.repeat(self.begins, lengths)
-        self.cell = (np.repeat(first, lengths) + inside) * self.lanes + np.repeat(lane, lengths)
-        self.symbols = np.full(self.steps * self.lanes, len(emissions), np.int32)
+        self.begins, self.tokens = np.cumsum(lengths) - lengths, symbols
+        self.cell = (np.repeat(first, lengths) + np.arange(len(symbols)) - np.repeat(self.begins, lengths)) * self.lanes + np.repeat(lane, lengths)
+        self.symbols = np.zeros(self.steps * self.lanes, np.int32)
         self.symbols[self.cell] = symbols
+        self.symbols = self.symbols.reshape(self.steps, self.lanes)
         self.starts, self.ends = first * self.lanes + lane, (first + lengths - 1) * self.lanes + lane
+        self.active, self.window = np.bincount(self.cell // self.lanes, minlength=self.steps), max(1, _PART // self.lanes)
 
-    def _at(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lanes of these cells in the order of steps, and where each step's begin."""
+    def _at(self, cells: np.ndarray) -> list[np.ndarray | None]:
+        """By step, the lanes of these cells."""
         cells = np.sort(cells)
-        return cells % self.lanes, np.searchsorted(cells // self.lanes, np.arange(self.steps + 1))
+        bounds = np.searchsorted(cells // self.lanes, np.arange(self.steps + 1)).tolist()
+        lanes = cells % self.lanes
+        return [lanes[a:b] if a < b else None for a, b in zip(bounds, bounds[1:])]
 
     def _emitted(self, begin: int, end: int) -> np.ndarray:
-        return self.table[self.symbols[begin * self.lanes : end * self.lanes]].reshape(end - begin, self.lanes, -1)
+        return self.table[self.symbols[begin:end]]
+
+    def _forward(self, alpha: np.ndarray | None = None) -> np.ndarray:
+        """The scales of all cells; alpha gets the states' probabilities after each step."""
+        state, scales = np.tile(self.first, (self.lanes, 1)), np.ones((self.steps, self.lanes, 1), self.first.dtype)
+        for t, (n, begun) in enumerate(zip(self.active.tolist(), self._at(self.starts))):
+            if t % self.window == 0:
+                emitted = self._emitted(t, t + self.window)
+            state = state[:n] @ self.moves
+            if begun is not None:
+                state[begun] = self.first
+            state *= emitted[t % self.window, :n]
+            scale = np.add.reduce(state, axis=1, keepdims=True, out=scales[t, :n])
+            state /= scale
+            if alpha is not None:
+                alpha[t, :n] = state
+        return scales
 
     def likelihoods(self) -> np.ndarray:
         """log10 of each sequence's probability; memory doesn't follow a sequence's length but for its scales."""
-        state, scales, window = np.tile(self.first, (self.lanes, 1)), np.empty((self.steps, self.lanes)), max(1, GROUP // self.lanes)
-        places, bounds = self._at(self.starts)
-        for t in range(self.steps):
-            if t % window == 0:
-                emitted = self._emitted(t, min(self.steps, t + window))
-            state = state @ self.moves
-            if bounds[t] < bounds[t + 1]:
-                state[places[bounds[t] : bounds[t + 1]]] = self.first
-            state *= emitted[t % window]
-            scales[t] = scale = state.sum(axis=1)
-            state /= scale[:, None]
-        return np.add.reduceat(np.log10(scales).reshape(-1)[self.cell], self.begins)
+        return np.add.reduceat(np.log10(self._forward()).reshape(-1)[self.cell], self.begins)
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, transitions, and emissions by symbol and state."""
-        states = len(self.first)
-        used, alpha = self._emitted(0, self.steps), np.empty((self.steps, self.lanes, states), self.first.dtype)
-        scales = np.empty((self.steps, self.lanes, 1), self.first.dtype)
-        state, (places, bounds) = np.tile(self.first, (self.lanes, 1)), self._at(self.starts)
-        for t in range(self.steps):
-            state = state @ self.moves
-            if bounds[t] < bounds[t + 1]:
-                state[places[bounds[t] : bounds[t + 1]]] = self.first
-            state *= used[t]
-            np.sum(state, axis=1, keepdims=True, out=scales[t])
-            state /= scales[t]
-            alpha[t] = state
-        used /= scales
-        gamma, back = np.empty_like(alpha), np.ascontiguousarray(self.moves.T)
-        beta, (places, bounds) = np.ones_like(state), self._at(self.ends)
-        for t in range(self.steps - 1, -1, -1):
-            if bounds[t] < bounds[t + 1]:
-                beta[places[bounds[t] : bounds[t + 1]]] = 1
-            np.multiply(alpha[t], beta, out=gamma[t])
-            used[t] *= beta
-            beta = used[t] @ back
-        gamma, used, alpha = (m.reshape(-1, states) for m in (gamma, used, alpha))
-        used[self.starts] = 0
-        used[self.symbols == len(self.table) - 1] = 0
-        moves = self.moves * (alpha[: -self.lanes].T @ used[self.lanes :])
-        emissions = np.stack([np.bincount(self.symbols, gamma[:, s], len(self.table))[:-1] for s in range(states)], axis=1)
-        return gamma[self.starts].sum(axis=0), moves, emissions
+        """Expected counts of first states, transitions, and emissions by symbol and state. The way back goes by
+        windows of steps, whose transitions are added up at once."""
+        states, back = len(self.first), np.ascontiguousarray(self.moves.T)
+        alpha = np.zeros((self.steps, self.lanes, states), self.first.dtype)  # in the end times what follows
+        scales, begun, over, active = self._forward(alpha), self._at(self.starts), self._at(self.ends), self.active.tolist()
+        beta, moves = np.ones((self.lanes, states), self.first.dtype), np.zeros((states, states))
+        for low in range((self.steps - 1) // self.window * self.window, -1, -self.window):
+            used = self._emitted(low, low + self.window)
+            used /= scales[low : low + self.window]
+            after = np.zeros_like(used)
+            for k in range(len(used) - 1, -1, -1):
+                n = active[low + k]
+                if over[low + k] is not None:
+                    beta[over[low + k]] = 1
+                after[k, :n] = beta[:n]
+                used[k] *= after[k]
+                np.matmul(used[k, :n], back, out=beta[:n])
+                if begun[low + k] is not None:
+                    used[k, begun[low + k]] = 0
+            before, first = alpha[max(0, low - 1) : low + len(used) - 1], int(low == 0)
+            moves += before.reshape(-1, states).T @ used[first:].reshape(-1, states)
+            alpha[low : low + self.window] *= after
+        gamma, emissions = alpha.reshape(-1, states), np.zeros((states, len(self.table)))
+        for at in range(0, len(self.cell), _PART):
+            tokens, rows = self.tokens[at : at + _PART], gamma[self.cell[at : at + _PART]].T
+            for counts, weights in zip(emissions, rows, strict=True):
+                counts += np.bincount(tokens, weights, len(self.table))
+        return gamma[self.starts].sum(axis=0), self.moves * moves, emissions.T
 
 
 def grouped(symbols: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -246,7 +256,7 @@ def grouped(symbols: list[np.ndarray]) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(np.cumsum(lengths[order]) // GROUP)) + 1) if len(order) else ()
 
 
-def buffered(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 * GROUP) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+def buffered(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 * GROUP) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
     """Runs of rows, and their sequences in this column, of about `size` tokens."""
     held, rows, tokens = [], [], 0
     for b in batches:
@@ -314,15 +324,18 @@ class Scorer:
         self.tokens, distinct, self.end_count = counted[0] or 0, counted[1], counted[2] or 0
         self.log_total = float(np.log10(self.tokens + RAISED * (distinct + 1)))
         # Long words aren't at hand, so that the list's size has a bound.
-        short = self.vocabulary.where(F.col("word") != END).where(F.length("word") <= 64)
-        top = short.orderBy(F.desc("c"), "word").limit(AT_HAND).collect()
+        short = self.vocabulary.where((F.col("word") != END) & (F.length("word") <= 64))
+        top = sorted(most_frequent(short, "c", AT_HAND), key=lambda r: (-r.c, r.word))
         self.known = Known([r.word for r in top], [r.c for r in top])
         self.sums = self._symbol_sums()
         self.sequences = staged(sequences(docs, self.known, self.log_total, self.end_count))
         learnt = self.sequences.where("not held_out").select("symbols")
         shares = self.sums / self.sums.sum()
         model = initial(shares, states)
-        chosen = self.sequences.where("not held_out").select("row", "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(FIRST_TEXTS).select("row")
+        # Twice as many as wanted pass the first test, so that tasks send few rows to the second.
+        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+        likely = self.sequences.where("not held_out").where(drawn <= min(1.0, 2 * FIRST_TEXTS / max(1, self.end_count)) * (1 << 40))
+        chosen = likely.select("row", drawn.alias("drawn")).orderBy("drawn", "row").limit(FIRST_TEXTS).select("row")
         some = staged(self.sequences.join(F.broadcast(chosen), "row", "left_semi").select("symbols").repartition(8))
         for data, n in ((some, first_rounds), (learnt, rounds)):
             for _ in range(n if self.tokens else 0):
