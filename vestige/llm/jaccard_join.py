@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.llm.common import grouped_words, mix, most_frequent, shingles, staged, text_of, tidy
+from vestige.operators.staging import dropped, table_in_shared_folder
 
 THRESHOLD = 75
 #: Frequent tokens: at most so many, in no fewer documents than this. Summaries name all that are in more than
@@ -292,11 +293,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _lists(index: DataFrame) -> DataFrame:
-    """(sig, id, n, left): the index's lists of two members or more; a set's copies are one member. Any list may hold
-    any share of the sets, so lists are counted by partial sums and joined, which splits a hot one."""
-    members = staged(index.groupBy("sig", "id", "n").agg(F.max("left").alias("left")))
+    """(sig, id, n, left), written: the index's lists of two members or more; a set's copies are one member. Any list
+    may hold any share of the sets, so lists are counted by partial sums and joined, which splits a hot one. The whole
+    index, most of whose lists have one member, goes once the others are written."""
+    written: list[str] = []
+    members = table_in_shared_folder(index.groupBy("sig", "id", "n").agg(F.max("left").alias("left")), written)
     several = members.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return members.join(several, "sig").select("sig", "id", "n", "left")
+    lists = staged(members.join(several, "sig").select("sig", "id", "n", "left"))
+    for path in written:
+        dropped(index.sparkSession, path)
+    return lists
 
 
 #: SQL: whether sets of n and m tokens, of which `left` and `its` count from a shared key on, can link by it.
@@ -374,7 +380,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent, place, size = frequent[order], order, size[order]
 
     texts = docs.where("doc_id is not null").select(text_of().alias("text"))
-    lists = staged(_lists(_index(texts, frequent, place, size)))
+    lists = _lists(_index(texts, frequent, place, size))
     involved = staged(_involved(texts, lists.select("id").distinct()))
     ties = staged(_ties(sets))
     tied = bool(ties.limit(1).count())
