@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 
 import __spark_entry__ as entry
 from vestige.functions import macros as m
-from vestige.operators import timeline
+from vestige.operators import facts, inventory, timeline
 from vestige.operators.asof import as_of, beside
 from vestige.operators.components import connected_components
 from vestige.operators.full import Case
@@ -212,6 +212,46 @@ def test_a_serial_on_two_products_asserts_nothing(case):
     assert sorted(groups.values()) == [1, 1, 1, 1, 2]
 
 
+def alike(n):
+    """n sticks and n of their USB nodes on one serial, which asserts nothing, and two devices of another."""
+    usb = [node("USB", f"VID_0001&PID_{k:04d}", "SAME12345") for k in range(n)]
+    sticks = [node("USBSTOR", f"DISK&PROD_{k}", "SAME12345&0") for k in range(n)]
+    return [*usb, *sticks, node("USB", "VID_0009&PID_0001", "OTHER1234"), node("USBSTOR", "DISK&PROD_X", "OTHER1234&0"), node("USBSTOR", "DISK&PROD_Y", "OTHER1234&0"), node("USBSTOR", "DISK&PROD_L", "LONE98765&0")]
+
+
+def test_devices_of_one_serial_are_written_once_each(case):
+    n = 40
+    c = case(devnode=alike(n))
+    assert c.device_link().count() == n * n + 2
+    assert c.device_classified().count() == 2 * n + 4
+    assert max(c.device().sparkSession.read.parquet(path).count() for path in c._written) < n * n
+    written = sum(c.device().sparkSession.read.parquet(path).count() for path in c._written)
+    assert written < 20 * n * len(("identities", "facts"))
+
+
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_evidence_names_every_other_device_of_a_serial(case, monkeypatch, block):
+    monkeypatch.setattr(inventory, "A_BLOCK", block)
+    monkeypatch.setattr(facts, "A_BLOCK", block)
+    c = case(devnode=alike(7))
+    links = [(r.device_key, r.other_device_key) for r in c.device_link().collect()]
+    assert len(links) == len(set(links)) == 7 * 7 + 2
+    serial = {r.physical_device_id: r.serial for r in c.physical_device().collect()}
+    near = {(r.physical_device_id, r.other_physical_device_id) for r in c.device_candidate_link().where("not already_grouped").collect()}
+    want = Counter()
+    want.update(("unresolved_identity_link", a, f"a candidate link to {b} was not acted on") for a, b in near)
+    want.update(("duplicate_serial", a, f"serial {serial[a]} is also reported by {b}") for a in serial for b in serial if a != b and serial[a] == serial[b])
+    told = [(r.fact, r.physical_device_id, r.evidence) for r in c.device_fact_evidence().collect() if r.fact in ("unresolved_identity_link", "duplicate_serial")]
+    assert Counter(told) == want and len(near) == 7 * 7 + 2
+    held = {(r.fact, r.physical_device_id): (r.evidence, r.evidence_count) for r in c.device_fact().collect()}
+    quoted = {r.physical_device_id: r.fact_evidence for r in c.device_classification().collect()}
+    for fact, device in {k[:2] for k in want}:
+        each = sorted(e for f, d, e in want if (f, d) == (fact, device))
+        assert held[fact, device] == ("; ".join(each), len(each))
+        assert f"{fact} ({'; '.join(each)})" in quoted[device]
+    assert Counter(k[0] for k in held)["duplicate_serial"] == 2 * 7 + 3
+
+
 def test_a_long_serials_beginning_is_a_candidate(case):
     nodes = [node("USB", "VID_0001&PID_0001", "A" * 20), node("SCSI", "DISK", "A" * 20 + "7"), node("SCSI", "DISK", "A" * 19)]
     got = case(devnode=nodes).device_candidate_link().collect()
