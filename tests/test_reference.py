@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import struct
+import time
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -19,6 +21,7 @@ from vestige.operators.asof import as_of, beside
 from vestige.operators.components import connected_components
 from vestige.operators.full import Case
 from vestige.operators.rules import RuleSet
+from vestige.operators.staging import table_in_shared_folder
 from vestige.plans import model
 from vestige.plans.registry import ORACLE_SQL, QUERIES, case_of
 from vestige.sources import binary, sinks, text
@@ -212,6 +215,10 @@ def test_a_serial_on_two_products_asserts_nothing(case):
     assert sorted(groups.values()) == [1, 1, 1, 1, 2]
 
 
+def tempfile_roots(spark):
+    return [Path(d.toString()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+
 def alike(n):
     """n sticks and n of their USB nodes on one serial, which asserts nothing, and two devices of another."""
     usb = [node("USB", f"VID_0001&PID_{k:04d}", "SAME12345") for k in range(n)]
@@ -219,6 +226,18 @@ def alike(n):
     return [*usb, *sticks, node("USB", "VID_0009&PID_0001", "OTHER1234"), node("USBSTOR", "DISK&PROD_X", "OTHER1234&0"), node("USBSTOR", "DISK&PROD_Y", "OTHER1234&0"), node("USBSTOR", "DISK&PROD_L", "LONE98765&0")]
 
 
+def test_a_written_tables_shuffle_files_go_with_the_write(spark, tmp_path):
+    kept = lambda: spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    before, held = kept(), lambda: {f for d in tempfile_roots(spark) for f in d.rglob("shuffle_*.data")}
+    there = held()
+    table_in_shared_folder(spark.range(100_000).repartition(3, "id").groupBy((F.col("id") % 999).alias("k")).count())
+    for _ in range(50):
+        if not held() - there:
+            break
+        time.sleep(0.1)
+    assert not held() - there and kept() == before
+
+
 def test_devices_of_one_serial_are_written_once_each(case):
     n = 40
     c = case(devnode=alike(n))
