@@ -337,6 +337,11 @@ def test_moments_gather_the_nearest_entries(case):
     assert {(r.moment_kind, r.member_count) for r in c.timeline_moment().collect()} == {("arrival", 2)}
 
 
+def test_moments_look_no_entry_up_again(spark):
+    plan = case_of(spark, SF).timeline_moment()._jdf.queryExecution().executedPlan().toString()
+    assert "Join [entry_id" not in plan and "Join [moment_id" in plan
+
+
 def test_local_times_are_read_in_the_hosts_zone(case):
     zone = [{"control_set": "1", "key_name": "z", "source_id": "s", "bias_minutes": 300, "standard_bias_minutes": 0, "daylight_bias_minutes": -60, "standard_start_month": 11, "daylight_start_month": 3, "dynamic_daylight_disabled": False}]
     setup = [{"device_key": STICK, "device_instance_id": STICK, "kind": "install", "operation": "o", "source_id": "s", "line_number": k, "start_local": t} for k, t in enumerate(["2024/01/02 03:04:05.25", "1980-01-01 07:00:00", "odd"])]
