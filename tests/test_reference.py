@@ -271,6 +271,19 @@ def test_evidence_names_every_other_device_of_a_serial(case, monkeypatch, block)
     assert Counter(k[0] for k in held)["duplicate_serial"] == 2 * 7 + 3
 
 
+def test_names_that_a_device_reaches_in_part(case):
+    """Keys that don't begin with their enumerators, so that a device comes before some of a list only."""
+    made = [(f"K{k}\\P{k}\\SAME12345", ("USB", "USBSTOR", "SCSI")[k % 3]) for k in range(9)]
+    nodes = [{**node(e, f"VID_0001&PID_{k:04d}" if e == "USB" else f"DISK&PROD_{k}", "SAME12345" if e == "USB" else "SAME12345&0"), "device_key": key} for k, (key, e) in enumerate(made)]
+    c = case(devnode=nodes)
+    near = {(r.physical_device_id, r.other_physical_device_id) for r in c.device_candidate_link().where("not already_grouped").collect()}
+    assert len(near) == 27
+    want = {a: "; ".join(sorted(f"a candidate link to {b} was not acted on" for x, b in near if x == a)) for a, _ in near}
+    assert {r.physical_device_id: r.evidence for r in c.device_fact().where("fact = 'unresolved_identity_link'").collect()} == want
+    # Names, not a text each, are what is made for a device.
+    assert dict(c._beside_peers(c.physical_device().select("physical_device_id")).dtypes)["linked_to"].startswith("struct<names:array<string>")
+
+
 def test_a_long_serials_beginning_is_a_candidate(case):
     nodes = [node("USB", "VID_0001&PID_0001", "A" * 20), node("SCSI", "DISK", "A" * 20 + "7"), node("SCSI", "DISK", "A" * 19)]
     got = case(devnode=nodes).device_candidate_link().collect()
