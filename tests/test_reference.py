@@ -22,7 +22,7 @@ from vestige.operators.components import connected_components
 from vestige.operators.full import Case
 from vestige.operators.rules import RuleSet
 from vestige.operators.staging import table_in_shared_folder
-from vestige.plans import model
+from vestige.plans import model, registry
 from vestige.plans.registry import ORACLE_SQL, QUERIES, case_of
 from vestige.sources import binary, sinks, text
 from vestige.streaming.connections import activity_sessions
@@ -284,6 +284,15 @@ def test_names_that_a_device_reaches_in_part(case):
     assert dict(c._beside_peers(c.physical_device().select("physical_device_id")).dtypes)["linked_to"].startswith("struct<names:array<string>")
 
 
+def test_events_are_summed_by_user_once_a_case(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(registry, "table_in_shared_folder", lambda df, paths=None: read.append(df.inputFiles()) or table_in_shared_folder(df, paths))
+    c = registry.case_of(spark, f"{SF}/.")
+    for name in ("mount_entry", "emd_volume", "disk_layout"):
+        assert Counter(c.table(name).collect()) == Counter(model.table(spark, SF, name).collect())
+    assert sum(any("events.parquet" in f for f in files) for files in read) == 1
+
+
 def test_a_long_serials_beginning_is_a_candidate(case):
     nodes = [node("USB", "VID_0001&PID_0001", "A" * 20), node("SCSI", "DISK", "A" * 20 + "7"), node("SCSI", "DISK", "A" * 19)]
     got = case(devnode=nodes).device_candidate_link().collect()
